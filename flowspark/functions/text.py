@@ -160,7 +160,7 @@ def comparison_line(config: Column, values, auc: Column) -> Column:
 
 def kpi_band(value: Column) -> Column:
     """Colour band of a headline number."""
-    return F.when(value >= 0.9, "good").when(value >= 0.7, "fair").otherwise("poor")
+    return F.when(value >= 0.9, "green").when(value >= 0.7, "yellow").otherwise("red")
 
 
 def schema_hash(names: Column) -> Column:

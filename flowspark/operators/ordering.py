@@ -87,8 +87,9 @@ def _hot_plan(df, keys, order, tie, hot_rows, max_slices):
     grid = [i / n_slices for i in range(1, n_slices)]
     accuracy = n_slices * 10
     cuts = hot_df.agg(F.percentile_approx(_as_number(df, order), grid, accuracy).alias("cuts")).first()["cuts"]
-    # An order value met twice holds at least one whole slice: isolate it and cut it by tie.
-    heavy = sorted({b for a, b in zip(cuts, cuts[1:]) if a == b})
+    # An order value met twice holds at least one whole slice: isolate it and cut it by tie. Above
+    # 2**53 different whole numbers may share a double, so those stay in one slice.
+    heavy = sorted({b for a, b in zip(cuts, cuts[1:]) if a == b and abs(b) < 2 ** 53})
     order_edges = sorted({*cuts, *[_next_up(v) for v in heavy]})
     tie_edges = []
     if heavy:
