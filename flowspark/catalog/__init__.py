@@ -1,0 +1,13 @@
+"""Registered queries: name -> (function(spark, sf_dir), DuckDB statement or None)."""
+
+
+def all_queries():
+    from flowspark.catalog import flow_queries, session_queries
+
+    found = {}
+    for module in (flow_queries, session_queries):
+        for name, pair in module.QUERIES.items():
+            if name in found:
+                raise ValueError(f"query {name} is registered twice")
+            found[name] = pair
+    return found

@@ -23,11 +23,12 @@ def latency_curve(score, aligned_session_flows: DataFrame, points=tuple(TRUNCATI
                   keys=("host", "session_idx")):
     """Accuracy and F1 by number of observed flows, statistics on raw values.
 
-    score adds y_pred to a session table; the truth is the label of the whole session.
+    score adds y_pred to a session table, whose observed_label is the label of the flows seen so
+    far; the truth is the label of the whole session.
     """
     keys = list(keys)
     truth = session_table(aligned_session_flows, keys).select(*keys, F.col("label").alias("y_true"))
-    cut = session_table(truncate_sessions(aligned_session_flows, points), [*keys, "n"]).drop("label")
+    cut = session_table(truncate_sessions(aligned_session_flows, points), [*keys, "n"]).withColumnRenamed("label", "observed_label")
     return metrics_by(score(cut.join(truth, keys)), "n")
 
 

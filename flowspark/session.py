@@ -1,6 +1,7 @@
 """Session settings that suit this package; a cluster's own settings win."""
 
-import os
+import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -24,17 +25,26 @@ def build_session(app_name="flowspark", master=None, **conf):
     return builder.getOrCreate()
 
 
-def shared_dir(spark, name):
-    """A folder below the cluster's checkpoint location, for tables that cut lineage."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if root is None and spark.sparkContext.getCheckpointDir():
-        root = spark.sparkContext.getCheckpointDir()
+def shared_root(spark):
+    """The folder every executor can reach that spark.checkpoint.dir names.
+
+    Only a local session may go without the setting; it then gets a temporary folder.
+    """
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if root is None:
-        raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-    return os.path.join(root, name)
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
+        root = tempfile.mkdtemp(prefix="flowspark-")
+        spark.conf.set("spark.checkpoint.dir", root)
+    return root.rstrip("/")
+
+
+def work_dir(spark, name):
+    """A new folder below the shared root."""
+    return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
 
 def ensure_checkpoint_dir(spark):
-    """Point checkpoint() at the folder named by spark.checkpoint.dir."""
+    """Make DataFrame.checkpoint() usable."""
     if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(shared_dir(spark, "checkpoints"))
+        spark.sparkContext.setCheckpointDir(shared_root(spark))
