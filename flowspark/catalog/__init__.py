@@ -2,10 +2,17 @@
 
 
 def all_queries():
-    from flowspark.catalog import flow_queries, session_queries
+    from flowspark.catalog import (
+        alert_queries, flow_queries, metric_queries, model_queries, sample_queries, session_queries,
+        stream_queries, threat_queries,
+    )
 
     found = {}
-    for module in (flow_queries, session_queries):
+    modules = (
+        flow_queries, session_queries, sample_queries, metric_queries, alert_queries, threat_queries,
+        model_queries, stream_queries,
+    )
+    for module in modules:
         for name, pair in module.QUERIES.items():
             if name in found:
                 raise ValueError(f"query {name} is registered twice")

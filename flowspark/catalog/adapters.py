@@ -78,15 +78,13 @@ def predictions(spark, sf_dir) -> DataFrame:
         .otherwise(F.col("label_id")).cast("int").alias("y_pred"),
     )
     # Tenths as whole numbers, so that both engines divide the same integers.
-    tenths = [
-        F.lit(10) + F.when(c_pred == c, F.lit(20) + item % 13 * 40).otherwise(0) + (item * 31 + c * 17) % 5
-        for c in range(N_CLASSES)
-    ]
-    scored = base.withColumn("_tenths", F.array(*tenths))
-    total = sum((F.col("_tenths")[c] for c in range(1, N_CLASSES)), F.col("_tenths")[0])
-    scored = scored.withColumn("_total", total)
-    probs = F.array(*[F.round(F.col("_tenths")[c] / F.col("_total"), 9) for c in range(N_CLASSES)])
-    return scored.select("session_id", "y_true", "y_pred", probs.alias("probs"))
+    tenths = F.transform(F.sequence(F.lit(0), F.lit(N_CLASSES - 1)), lambda c: (
+        F.lit(10) + F.when(c == c_pred, F.lit(20) + item % 13 * 40).otherwise(0) + (item * 31 + c * 17) % 5
+    ))
+    scored = base.withColumn("_tenths", tenths)
+    total = F.aggregate("_tenths", F.lit(0).cast("bigint"), lambda s, t: s + t).cast("double")
+    probs = F.transform("_tenths", lambda t: F.round(t / F.col("_total"), 9))
+    return scored.withColumn("_total", total).select("session_id", "y_true", "y_pred", probs.alias("probs"))
 
 
 # The same three tables as DuckDB common table expressions.

@@ -7,11 +7,25 @@ from flowspark.functions.labels import label_name
 from flowspark.schema import ATTACK_GATE, N_CLASSES
 
 
+def _let(value: Column, body) -> Column:
+    """body(value) with value computed once, also inside the lambdas of body."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def softmax(logits: Column) -> Column:
-    top = F.array_max(logits)
-    powers = F.transform(logits, lambda x: F.exp(x - top))
-    total = F.aggregate(powers, F.lit(0.0), lambda s, x: s + x)
-    return F.transform(powers, lambda x: x / total)
+    def shifted(v):
+        return F.struct(v.alias("v"), F.array_max(v).alias("top"))
+
+    def powered(s):
+        return F.transform(s["v"], lambda x: F.exp(x - s["top"]))
+
+    def totalled(p):
+        return F.struct(p.alias("p"), F.aggregate(p, F.lit(0.0), lambda a, x: a + x).alias("total"))
+
+    def shared(s):
+        return F.transform(s["p"], lambda x: x / s["total"])
+
+    return _let(_let(_let(_let(logits, shifted), powered), totalled), shared)
 
 
 def argmax_class(probs: Column) -> Column:

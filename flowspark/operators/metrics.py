@@ -251,11 +251,14 @@ def weighted_auc(preds: DataFrame, digits=DIGITS):
 
 def threshold_sweep(preds: DataFrame, thresholds=tuple(THRESHOLDS), digits=DIGITS):
     """Attack / benign quality at each threshold on 1 - P(benign), from one aggregate."""
-    score, truth = F.round(attack_score(F.col("probs")), digits), F.col("y_true") != 0
+    rows = preds.select(
+        F.round(attack_score(F.col("probs")), digits).alias("score"), (F.col("y_true") != 0).alias("truth")
+    )
+    score, truth = F.col("score"), F.col("truth")
     aggs = [F.count_if(truth).alias("_p"), F.count_if(~truth).alias("_n")]
     for i, t in enumerate(thresholds):
         aggs += [F.count_if(truth & (score >= t)).alias(f"tp{i}"), F.count_if(~truth & (score >= t)).alias(f"fp{i}")]
-    rows = F.explode(F.array(*[
+    table = F.explode(F.array(*[
         F.struct(F.lit(t).alias("threshold"), F.col(f"tp{i}").alias("tp"), F.col(f"fp{i}").alias("fp"),
                  (F.col("_p") - F.col(f"tp{i}")).alias("fn"), (F.col("_n") - F.col(f"fp{i}")).alias("tn"))
         for i, t in enumerate(thresholds)
@@ -264,7 +267,7 @@ def threshold_sweep(preds: DataFrame, thresholds=tuple(THRESHOLDS), digits=DIGIT
     one = F.lit(1)
     tpr = tp / F.greatest(tp + fn, one)
     precision = tp / F.greatest(tp + fp, one)
-    return preds.agg(*aggs).select(rows.alias("r")).select("r.*").select(
+    return rows.agg(*aggs).select(table.alias("r")).select("r.*").select(
         "threshold",
         F.round(tpr, 4).alias("tpr"),
         F.round(fp / F.greatest(fp + tn, one), 4).alias("fpr"),
@@ -371,16 +374,20 @@ def calibration_edges(bins=10):
 def calibration(preds: DataFrame, bins=10, digits=DIGITS):
     """Confidence bins [low, high): mean confidence, accuracy, rows. Confidence 1 is in no bin."""
     edges = calibration_edges(bins)
-    conf = F.round(confidence(F.col("probs"), F.col("y_pred")), digits)
-    which = F
+    rows = preds.select(
+        F.round(confidence(F.col("probs"), F.col("y_pred")), digits).alias("conf"),
+        (F.col("y_true") == F.col("y_pred")).cast("double").alias("ok"),
+    )
+    conf, which = F.col("conf"), F
     for i in range(bins):
         which = which.when((conf >= edges[i]) & (conf < edges[i + 1]), i)
-    rows = preds.select(which.alias("bin"), conf.alias("conf"), (F.col("y_true") == F.col("y_pred")).cast("double").alias("ok"))
-    return rows.filter("bin IS NOT NULL").groupBy("bin").agg(
+    # Rows without a bin are dropped by their count after the aggregate: a filter on the bin would
+    # be pushed below and repeat the whole score expression.
+    return rows.withColumn("bin", which).groupBy("bin").agg(
         F.round(F.avg("conf"), 4).alias("mean_confidence"),
         F.round(F.avg("ok"), 4).alias("mean_accuracy"),
-        F.count("*").alias("n_samples"),
-    ).select(
+        F.count("bin").alias("n_samples"),
+    ).filter("n_samples > 0").select(
         F.round(F.col("bin") / bins, 2).alias("bin_lower"), F.round((F.col("bin") + 1) / bins, 2).alias("bin_upper"),
         "mean_confidence", "mean_accuracy", "n_samples",
     )

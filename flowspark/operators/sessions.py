@@ -87,13 +87,13 @@ def session_truth(session_flows: DataFrame, keys=("host", "session_idx"), label=
     ).withColumn("majority_name", label_name(F.col("majority_id")))
 
 
-def truncate_sessions(session_flows: DataFrame, points=tuple(TRUNCATION_POINTS)):
-    """Each session cut to its first n flows, for every n; the session label stays that of all flows.
+def truncate_sessions(session_flows: DataFrame, points=tuple(TRUNCATION_POINTS), name="n"):
+    """Each session cut to its first n flows, for every n; flows keep the labels they have.
 
     A flow at position p belongs to every cut n > p, so rows repeat at most len(points) times.
     """
     cuts = F.array(*[F.lit(n) for n in points])
-    return session_flows.withColumn("n", F.explode(F.filter(cuts, lambda n: n > F.col("pos"))))
+    return session_flows.withColumn(name, F.explode(F.filter(cuts, lambda n: n > F.col("pos"))))
 
 
 def session_arrays(session_flows: DataFrame, features, keys=("host", "session_idx"), label="label_id"):

@@ -28,8 +28,8 @@ def latency_curve(score, aligned_session_flows: DataFrame, points=tuple(TRUNCATI
     """
     keys = list(keys)
     truth = session_table(aligned_session_flows, keys).select(*keys, F.col("label").alias("y_true"))
-    cut = session_table(truncate_sessions(aligned_session_flows, points), [*keys, "n"]).withColumnRenamed("label", "observed_label")
-    return metrics_by(score(cut.join(truth, keys)), "n")
+    cut = session_table(truncate_sessions(aligned_session_flows, points, "n_flows"), [*keys, "n_flows"]).withColumnRenamed("label", "observed_label")
+    return metrics_by(score(cut.join(truth, keys)), "n_flows")
 
 
 def window_ablation(score, aligned: DataFrame, sizes=tuple(ABLATION_SIZES), **options):
