@@ -1,7 +1,6 @@
 """The driver's tables seen as flows, sessions and predictions, once for Spark and once as SQL."""
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from flowspark.functions.protocol import add_protocol_columns
 from flowspark.schema import N_CLASSES
@@ -26,42 +25,33 @@ def flows(spark, sf_dir) -> DataFrame:
 
 
 def flows_from_events(events: DataFrame) -> DataFrame:
-    k = F.regexp_extract("props", "[0-9]+", 0).cast("int")
-    events = events.withColumn("k", k)
-    k, value = F.col("k"), F.col("value")
-    port = F.when(k % 10 == 0, PORTS[0])
-    for rest, number in enumerate(PORTS[1:], start=1):
-        port = port.when(k % 10 == rest, number)
-    port = port.otherwise(k + 40000)
-    label = (
-        F.when((F.col("event_type") == "error") & (k < 20) & (k % 3 == 0), 2)
-        .when((F.col("event_type") == "error") & (k < 20) & (k % 3 == 1), 4)
-        .when((F.col("event_type") == "error") & (k < 20), 10)
-        .otherwise(0)
-    )
+    ports = " ".join(f"WHEN {i} THEN {p}" for i, p in enumerate(PORTS))
     measures = {
-        "destination_port": port,
-        "flow_duration": value * 4000,
-        "total_fwd_packets": k % 9 + 1,
-        "total_backward_packets": k % 4,
-        "total_length_of_fwd_packets": value * 10000,
-        "total_length_of_bwd_packets": value * (k % 7) * 100,
-        "flow_bytes_s": value * 1000000,
-        "flow_iat_mean": value * 100,
-        "fin_flag_count": (k % 3 == 0).cast("int"),
-        "syn_flag_count": k % 2,
-        "rst_flag_count": (k % 11 == 0).cast("int"),
-        "psh_flag_count": k % 5,
-        "urg_flag_count": (k % 17 == 0).cast("int"),
-        "init_win_bytes_forward": k * 256,
-        "init_win_bytes_backward": k * 128,
-        "active_mean": value,
-        "idle_mean": k,
+        "destination_port": f"CASE k % 10 {ports} ELSE 40000 + k END",
+        "flow_duration": "value * 4000",
+        "total_fwd_packets": "1 + k % 9",
+        "total_backward_packets": "k % 4",
+        "total_length_of_fwd_packets": "value * 10000",
+        "total_length_of_bwd_packets": "value * (k % 7) * 100",
+        "flow_bytes_s": "value * 1000000",
+        "flow_iat_mean": "value * 100",
+        "fin_flag_count": "CAST(k % 3 = 0 AS INT)",
+        "syn_flag_count": "k % 2",
+        "rst_flag_count": "CAST(k % 11 = 0 AS INT)",
+        "psh_flag_count": "k % 5",
+        "urg_flag_count": "CAST(k % 17 = 0 AS INT)",
+        "init_win_bytes_forward": "k * 256",
+        "init_win_bytes_backward": "k * 128",
+        "active_mean": "value",
+        "idle_mean": "k",
     }
-    return events.select(
-        F.col("event_id").alias("flow_id"), F.col("user_id").alias("host"), "ts",
-        *[c.cast("double").alias(name) for name, c in measures.items()],
-        label.cast("int").alias("label_id"),
+    label = "CASE WHEN event_type = 'error' AND k < 20 THEN CASE k % 3 WHEN 0 THEN 2 WHEN 1 THEN 4 ELSE 10 END ELSE 0 END"
+    keyed = events.selectExpr(
+        "event_id", "user_id", "ts", "event_type", "value", "CAST(regexp_extract(props, '[0-9]+', 0) AS INT) AS k"
+    )
+    return keyed.selectExpr(
+        "event_id AS flow_id", "user_id AS host", "ts",
+        *[f"CAST({e} AS DOUBLE) AS {name}" for name, e in measures.items()], f"{label} AS label_id",
     )
 
 
@@ -71,20 +61,18 @@ def enriched(spark, sf_dir) -> DataFrame:
 
 def predictions(spark, sf_dir) -> DataFrame:
     """Every flow as a scored item: y_true, y_pred, 15 probabilities."""
-    item, c_pred = F.col("session_id"), F.col("y_pred")
-    base = flows(spark, sf_dir).select(
-        F.col("flow_id").alias("session_id"), F.col("label_id").alias("y_true"),
-        F.when(F.col("flow_id") % 7 == 0, 0).when(F.col("flow_id") % 11 == 0, 4)
-        .otherwise(F.col("label_id")).cast("int").alias("y_pred"),
+    called = flows(spark, sf_dir).selectExpr(
+        "flow_id AS session_id", "label_id AS y_true",
+        "CASE WHEN flow_id % 7 = 0 THEN 0 WHEN flow_id % 11 = 0 THEN 4 ELSE label_id END AS y_pred",
     )
     # Tenths as whole numbers, so that both engines divide the same integers.
-    tenths = F.transform(F.sequence(F.lit(0), F.lit(N_CLASSES - 1)), lambda c: (
-        F.lit(10) + F.when(c == c_pred, F.lit(20) + item % 13 * 40).otherwise(0) + (item * 31 + c * 17) % 5
-    ))
-    scored = base.withColumn("_tenths", tenths)
-    total = F.aggregate("_tenths", F.lit(0).cast("bigint"), lambda s, t: s + t).cast("double")
-    probs = F.transform("_tenths", lambda t: F.round(t / F.col("_total"), 9))
-    return scored.withColumn("_total", total).select("session_id", "y_true", "y_pred", probs.alias("probs"))
+    tenths = (
+        f"transform(sequence(0, {N_CLASSES - 1}), c -> 10 + CASE WHEN c = y_pred THEN 20 + session_id % 13 * 40 ELSE 0 END"
+        " + (session_id * 31 + c * 17) % 5)"
+    )
+    scored = called.selectExpr("*", f"{tenths} AS tenths")
+    totalled = scored.selectExpr("*", "CAST(aggregate(tenths, 0L, (s, t) -> s + t) AS DOUBLE) AS total")
+    return totalled.selectExpr("session_id", "y_true", "y_pred", "transform(tenths, t -> round(t / total, 9)) AS probs")
 
 
 # The same three tables as DuckDB common table expressions.

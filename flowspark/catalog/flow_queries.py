@@ -6,6 +6,7 @@ from flowspark.catalog.adapters import ENRICHED_CTE, FLOW_COLUMNS, FLOWS_CTE, en
 from flowspark.functions.alignment import bad_cells, realign_array
 from flowspark.functions.cleaning import clean_number, pad_features, prune, to_number
 from flowspark.functions.labels import encode_label, label_name
+from flowspark.functions.literals import literal_array
 from flowspark.functions.protocol import (
     conn_state, conn_state_token, log_type, log_type_name, proto_flag, proto_name, service_code,
 )
@@ -24,12 +25,13 @@ SPELLINGS = [
     ("", 0), ("Heartbleed", 8), ("PortScan", 10), ("infiltration", 9),
 ]
 
-_K = F.regexp_extract("props", "[0-9]+", 0).cast("int")
+def _k():
+    return F.regexp_extract("props", "[0-9]+", 0).cast("int")
 
 
 def label_encode(spark, sf_dir):
     events = table(spark, sf_dir, "events")
-    spelling = F.get(F.array(*[F.lit(s) for s, _ in SPELLINGS]), _K % len(SPELLINGS))
+    spelling = F.get(literal_array(s for s, _ in SPELLINGS), _k() % len(SPELLINGS))
     class_id = encode_label(spelling)
     return events.select(
         "event_id", class_id.alias("label_id"), label_name(class_id).alias("label_name"),
@@ -54,14 +56,14 @@ _BAD_TEXT = ["Infinity", "-Infinity", "NaN", "", "abc", "1e12", "-1e12", "0x1A",
 
 def _dirty(spark, sf_dir):
     events = table(spark, sf_dir, "events")
-    texts = F.array(*[F.lit(t) for t in _BAD_TEXT])
-    return events.withColumn("t", F.coalesce(F.get(texts, _K % 12), F.col("value").cast("string")))
+    texts = literal_array(_BAD_TEXT)
+    return events.withColumn("t", F.coalesce(F.get(texts, _k() % 12), F.col("value").cast("string")))
 
 
 def clean_values(spark, sf_dir):
-    number = to_number(F.col("t"))
-    return _dirty(spark, sf_dir).select(
-        "event_id", clean_number(number).alias("zeroed"), clean_number(number, "bound").alias("bounded")
+    numbers = _dirty(spark, sf_dir).withColumn("number", to_number("t"))
+    return numbers.select(
+        "event_id", clean_number("number").alias("zeroed"), clean_number("number", "bound").alias("bounded")
     )
 
 
@@ -76,30 +78,29 @@ FROM keyed"""
 
 
 def log_type_assign(spark, sf_dir):
-    code = log_type(F.col("destination_port"), F.col("total_length_of_fwd_packets"))
+    code = log_type("destination_port", "total_length_of_fwd_packets")
     return flows(spark, sf_dir).select("flow_id", code.alias("log_type"), log_type_name(code).alias("log_type_name"))
 
 
 def protocol_flag(spark, sf_dir):
-    fin, syn = F.col("fin_flag_count"), F.col("syn_flag_count")
+    fin, syn = "fin_flag_count", "syn_flag_count"
     return flows(spark, sf_dir).select(
         "flow_id", proto_flag(fin, syn).alias("zeek_proto"), proto_name(fin, syn).alias("proto_name")
     )
 
 
 def conn_state_code(spark, sf_dir):
-    cols = [F.col(c) for c in ("syn_flag_count", "fin_flag_count", "rst_flag_count", "total_backward_packets")]
+    cols = ["syn_flag_count", "fin_flag_count", "rst_flag_count", "total_backward_packets"]
     return flows(spark, sf_dir).select("flow_id", conn_state(*cols).alias("zeek_conn_state"))
 
 
 def conn_state_text(spark, sf_dir):
-    cols = [F.col(c) for c in ("syn_flag_count", "fin_flag_count", "rst_flag_count", "total_fwd_packets",
-                               "total_backward_packets")]
+    cols = ["syn_flag_count", "fin_flag_count", "rst_flag_count", "total_fwd_packets", "total_backward_packets"]
     return flows(spark, sf_dir).select("flow_id", conn_state_token(*cols).alias("conn_state_token"))
 
 
 def service(spark, sf_dir):
-    return flows(spark, sf_dir).select("flow_id", service_code(F.col("destination_port")).alias("zeek_service"))
+    return flows(spark, sf_dir).select("flow_id", service_code("destination_port").alias("zeek_service"))
 
 
 def enrich_flows(spark, sf_dir):
@@ -114,8 +115,8 @@ def log_types(spark, sf_dir):
 
 def padded_columns(spark, sf_dir):
     wide = pad_features(prune(flows(spark, sf_dir), extra=["flow_id"]), extra=["flow_id"])
-    total = sum((F.col(c) for c in FEATURES[1:]), F.col(FEATURES[0]))
-    zero = sum(((F.col(c) == 0).cast("bigint") for c in FEATURES if c not in FLOW_COLUMNS), F.lit(0).cast("bigint"))
+    total = F.expr(" + ".join(FEATURES))
+    zero = F.expr(" + ".join(f"CAST({c} = 0 AS BIGINT)" for c in FEATURES if c not in FLOW_COLUMNS))
     return wide.select("flow_id", F.lit(len(wide.columns) - 1).cast("bigint").alias("n_columns"),
                        F.round(total, 2).alias("total"), zero.alias("n_padded"))
 
@@ -123,11 +124,10 @@ def padded_columns(spark, sf_dir):
 def realign_schema(spark, sf_dir):
     """Arrays of 78 values, realigned to 81; the dropped column holds a sentinel."""
     wide = pad_features(flows(spark, sf_dir), extra=["flow_id"])
-    values = [F.col(c) for c in FEATURES]
-    values[64] = F.lit(99999.0)
-    values[63] = F.lit(77777.0)
-    aligned = realign_array(F.array(*values), (F.col("flow_id") % 5).cast("int"))
-    rows = wide.select("flow_id", aligned.alias("a"))
+    values = list(FEATURES)
+    values[64], values[63] = "99999D", "77777D"
+    arrays = wide.selectExpr("flow_id", f"array({', '.join(values)}) AS features")
+    rows = arrays.select("flow_id", realign_array("features", "flow_id % 5").alias("a"))
     return rows.select(
         "flow_id", F.size("a").cast("bigint").alias("width"),
         F.exists("a", lambda v: v == 99999.0).alias("sentinel_left"),

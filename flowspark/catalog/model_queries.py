@@ -18,6 +18,7 @@ from flowspark.plans.evaluate import score_configs
 from flowspark.plans.models import ClassModel, DetectorSet, unseen_classes
 from flowspark.plans.prepare import session_table, split_sessions
 from flowspark.schema import FEATURES, STAT_NAMES
+from flowspark.session import materialise
 
 # Small forests keep the queries quick; the library's own defaults are larger.
 _TREES = {"numTrees": 12, "maxDepth": 5}
@@ -32,13 +33,13 @@ def _embedder(flows, scaler=None):
 
 
 def _session_rows(spark, sf_dir):
-    """Sessions with split, statistics, label and embedding."""
-    flows = split_sessions(enriched(spark, sf_dir))
+    """Sessions with split, statistics, label and embedding, prepared once and stored."""
+    flows = materialise(split_sessions(enriched(spark, sf_dir)), "session-flows")
     train = flows.filter("split = 'train'")
     embedder = _embedder(train)
     stats = session_table(flows, KEYS)
     vectors = embedder.transform(flows, [F.first("split").alias("split")])
-    return stats.join(vectors, KEYS), embedder
+    return materialise(stats.join(vectors, KEYS), "session-rows"), embedder
 
 
 def split_by_session(spark, sf_dir):
@@ -103,7 +104,7 @@ def new_classes(spark, sf_dir):
 
 
 def _fitted(spark, sf_dir):
-    rows = session_table(windows(spark, sf_dir), KEYS)
+    rows = materialise(session_table(windows(spark, sf_dir), KEYS).withColumn("sid", F.xxhash64(*KEYS)), "sessions")
     return rows, ClassModel.fit(rows, list(STAT_NAMES), **_TREES)
 
 
@@ -115,7 +116,6 @@ def importance(spark, sf_dir):
 def shuffled_importance(spark, sf_dir):
     """Accuracy lost when a statistic is shuffled among 500 sessions."""
     rows, model = _fitted(spark, sf_dir)
-    rows = rows.withColumn("sid", F.xxhash64(*KEYS))
     return permutation_importance(model.score_index, sample_rows(rows, 500, "sid"), list(STAT_NAMES), "label", "sid")
 
 
@@ -126,7 +126,6 @@ def _means(rows):
 
 def occluded(spark, sf_dir):
     rows, model = _fitted(spark, sf_dir)
-    rows = rows.withColumn("sid", F.xxhash64(*KEYS))
     return occlusion(model.score_index, rows, list(STAT_NAMES), _means(rows), "sid").select("sid", "feature", "rank", "importance")
 
 
@@ -151,7 +150,6 @@ def entropies(spark, sf_dir):
 def reports(spark, sf_dir):
     """Explanation text per session from its occlusion results and heaviest flows."""
     rows, model = _fitted(spark, sf_dir)
-    rows = rows.withColumn("sid", F.xxhash64(*KEYS))
     parts = occlusion(model.score_index, rows, list(STAT_NAMES), _means(rows), "sid", 10)
     features = parts.groupBy("sid").agg(F.array_sort(F.collect_list(F.struct("rank", "feature", "importance", "value"))).alias("features"))
     events = top_events(_weights(spark, sf_dir), 5, KEYS).withColumn("sid", F.xxhash64(*KEYS)).groupBy("sid").agg(

@@ -4,8 +4,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowspark.errors import FeatureDimensionError, NaNInfError, SessionSizeError
-from flowspark.functions.cleaning import is_bad
-from flowspark.functions.protocol import add_protocol_columns, conn_state, proto_flag, service_code
+from flowspark.functions.cleaning import bad_sql
+from flowspark.functions.protocol import add_protocol_columns, conn_state_sql, proto_flag_sql, service_code_sql
 from flowspark.schema import (
     DROPPED_FEATURE_INDEX, FEATURES, N_RAW_FEATURES, N_TRAINED_FEATURES, SESSION_SIZE, TRAINED_FEATURES,
 )
@@ -33,10 +33,7 @@ def check_finite(df: DataFrame, columns, stage="input"):
 
 def bad_cells(columns) -> Column:
     """Number of NaN, infinite or null cells in a row."""
-    total = F.lit(0)
-    for c in columns:
-        total = total + is_bad(F.col(c).cast("double")).cast("int")
-    return total
+    return F.expr(" + ".join(f"CAST({bad_sql(f'CAST(`{c}` AS DOUBLE)')} AS INT)" for c in columns))
 
 
 def check_session_sizes(session_sizes: DataFrame, size=SESSION_SIZE, column="n_flows"):
@@ -52,31 +49,28 @@ def realign(df: DataFrame, log_type_column="log_type", extra=()):
     check_width(df, FEATURES, "realign-input")
     given = log_type_column if log_type_column in df.columns else None
     wide = add_protocol_columns(df, given)
-    cols = [F.col(c).cast("double").alias(c) for c in TRAINED_FEATURES]
-    return wide.select(*[c for c in extra if c in df.columns], *cols)
+    return wide.selectExpr(
+        *[f"`{c}`" for c in extra if c in df.columns], *[f"CAST(`{c}` AS DOUBLE) AS `{c}`" for c in TRAINED_FEATURES]
+    )
 
 
-def realign_array(features: Column, log_type: Column) -> Column:
-    """Array form of realign for request rows; a wrong width fails the row's query."""
+def realign_array(features, log_type) -> Column:
+    """Array form of realign for request rows (column names or SQL text); a wrong width fails the query."""
 
     def at(name):
-        return F.element_at(features, FEATURES.index(name) + 1)
-
-    fin, syn, rst = at("fin_flag_count"), at("syn_flag_count"), at("rst_flag_count")
-    tail = F.array(
-        log_type.cast("double"),
-        proto_flag(fin, syn).cast("double"),
-        conn_state(syn, fin, rst, at("total_backward_packets")).cast("double"),
-        service_code(at("destination_port")).cast("double"),
-    )
-    head = F.slice(features, 1, DROPPED_FEATURE_INDEX)
-    rest = F.slice(features, DROPPED_FEATURE_INDEX + 2, N_RAW_FEATURES - DROPPED_FEATURE_INDEX - 1)
-    message = F.concat(
-        F.lit(f"realign-input: {N_RAW_FEATURES} feature columns expected, "), F.size(features).cast("string")
-    )
-    return F.when(F.size(features) == N_RAW_FEATURES, F.concat(head, rest, tail)).otherwise(
-        F.raise_error(message)
-    )
+        return f"element_at({features}, {FEATURES.index(name) + 1})"
+
+    fin, syn = at("fin_flag_count"), at("syn_flag_count")
+    state = conn_state_sql(syn, fin, at("rst_flag_count"), at("total_backward_packets"))
+    tail = ", ".join(f"CAST({e} AS DOUBLE)" for e in (
+        log_type, proto_flag_sql(fin, syn), state, service_code_sql(at("destination_port"))
+    ))
+    first_after = DROPPED_FEATURE_INDEX + 2
+    return F.expr(f"""CASE WHEN size({features}) = {N_RAW_FEATURES} THEN concat(
+        slice({features}, 1, {DROPPED_FEATURE_INDEX}),
+        slice({features}, {first_after}, {N_RAW_FEATURES - first_after + 1}), array({tail}))
+      ELSE raise_error(concat('realign-input: {N_RAW_FEATURES} feature columns expected, ', size({features}), ' found'))
+      END""")
 
 
 assert N_TRAINED_FEATURES == N_RAW_FEATURES - 1 + 4

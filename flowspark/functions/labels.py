@@ -3,20 +3,12 @@
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from flowspark.functions.literals import literal_array, literal_map
 from flowspark.schema import LABELS, MISREAD_SEPARATOR, label_aliases
 
 _EDGE_SPACE = r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$"
 
 
-def literal_map(mapping, value_type=None):
-    """A constant map column; the optimizer folds it into the plan."""
-    cells = []
-    for key, value in mapping.items():
-        value = F.lit(value)
-        cells += [F.lit(key), value.cast(value_type) if value_type else value]
-    return F.create_map(*cells)
-
-
 def encode_label(raw: Column, strict=False) -> Column:
     """Class id of a label spelling; unknown text is benign.
 
@@ -29,10 +21,10 @@ def encode_label(raw: Column, strict=False) -> Column:
     text = F.regexp_replace(raw.cast("string"), _EDGE_SPACE, "")
     dashed = F.translate(text, "�–", "\x96\x96")
     hyphened = F.replace(text, F.lit(MISREAD_SEPARATOR), F.lit("-"))
-    upper = F.upper(text)
-    contained = F
-    for spelling, class_id in aliases.items():
-        contained = contained.when(F.contains(upper, F.lit(spelling.upper())), class_id)
+    spellings = literal_array(s.upper() for s in aliases)
+    first = F.filter(spellings, lambda s: F.contains(F.upper(text), s))
+    ids = literal_map({s.upper(): i for s, i in aliases.items()}, "int")
+    contained = F.try_element_at(ids, F.get(first, F.lit(0)))
     return F.coalesce(
         F.try_element_at(lookup, text),
         F.try_element_at(lookup, dashed),

@@ -12,10 +12,7 @@ def event_weights(session_flows: DataFrame, scaler, keys=("host", "session_idx")
 
     A session of identical average flows gives equal weights.
     """
-    distance = F.lit(0.0)
-    for c in scaler.columns:
-        z = scaler.scaled(c)
-        distance = distance + z * z
+    distance = F.expr(" + ".join(f"pow({scaler.scaled_sql(c)}, 2)" for c in scaler.columns))
     session = Window.partitionBy(*keys)
     total, n = F.sum("_d").over(session), F.count("*").over(session)
     weight = F.when(total > 0, F.col("_d") / total).otherwise(F.lit(1.0) / n)

@@ -9,7 +9,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from flowspark.functions.labels import label_name, literal_map
+from flowspark.functions.labels import label_name
+from flowspark.functions.literals import literal_map
 from flowspark.functions.scores import attack_score, confidence
 from flowspark.functions.text import comparison_line
 from flowspark.schema import LABELS, N_CLASSES, STAGES, STAT_NAMES, THRESHOLDS

@@ -5,25 +5,21 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from flowspark.functions.labels import label_name
+from flowspark.functions.literals import sql_text
 from flowspark.functions.protocol import log_type_name
 from flowspark.functions.text import schema_hash
 from flowspark.schema import LABELS, LOG_TYPE_NAMES, N_CLASSES, SESSION_SIZE
 
-_INF = float("inf")
-
 
 def cell_report(df: DataFrame, columns):
     """column, nan_count, inf_count per column from a single pass; null counts as NaN."""
     aggs = []
     for i, c in enumerate(columns):
-        value = F.col(c).cast("double")
-        aggs.append(F.count_if(value.isNull() | F.isnan(value)).alias(f"n{i}"))
-        aggs.append(F.count_if(F.abs(value) == F.lit(_INF)).alias(f"f{i}"))
-    rows = F.explode(F.array(*[
-        F.struct(F.lit(c).alias("column"), F.col(f"n{i}").alias("nan_count"), F.col(f"f{i}").alias("inf_count"))
-        for i, c in enumerate(columns)
-    ]))
-    return df.agg(*aggs).select(rows.alias("r")).select("r.*")
+        value = f"CAST(`{c}` AS DOUBLE)"
+        aggs.append(F.expr(f"count_if({value} IS NULL OR isnan({value}))").alias(f"n{i}"))
+        aggs.append(F.expr(f"count_if(abs({value}) = double('inf'))").alias(f"f{i}"))
+    rows = ", ".join(f"{sql_text(c)}, n{i}, f{i}" for i, c in enumerate(columns))
+    return df.agg(*aggs).selectExpr(f"stack({len(columns)}, {rows}) AS (column, nan_count, inf_count)")
 
 
 def schema_report(df: DataFrame, expected, label="label_id"):

@@ -5,7 +5,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowspark.functions.labels import literal_map
+from flowspark.functions.literals import literal_map, sql_text
 from flowspark.operators.sampling import class_totals
 
 
@@ -20,8 +20,8 @@ class FeatureScaler:
     def fit(cls, df: DataFrame, columns):
         aggs = []
         for i, c in enumerate(columns):
-            value = F.col(c).cast("double")
-            aggs += [F.avg(value).alias(f"m{i}"), F.stddev_pop(value).alias(f"s{i}")]
+            value = f"CAST(`{c}` AS DOUBLE)"
+            aggs += [F.expr(f"avg({value})").alias(f"m{i}"), F.expr(f"stddev_pop({value})").alias(f"s{i}")]
         row = df.agg(*aggs).first()
         means, deviations = {}, {}
         for i, c in enumerate(columns):
@@ -36,8 +36,11 @@ class FeatureScaler:
     def columns(self):
         return list(self.means)
 
+    def scaled_sql(self, name):
+        return f"(CAST(`{name}` AS DOUBLE) - {sql_text(self.means[name])}) / {sql_text(self.deviations[name])}"
+
     def scaled(self, name):
-        return (F.col(name).cast("double") - F.lit(self.means[name])) / F.lit(self.deviations[name])
+        return F.expr(self.scaled_sql(name))
 
     def transform(self, df: DataFrame, suffix=""):
         return df.withColumns({c + suffix: self.scaled(c) for c in self.columns})

@@ -41,7 +41,7 @@ def benign_sessions(flows: DataFrame, **options):
 
 def class_counts(label="label_id"):
     """One count per class as an array column, for use inside an aggregate."""
-    return F.array(*[F.count_if(F.col(label) == c) for c in range(N_CLASSES)])
+    return F.expr(f"array({', '.join(f'count_if({label} = {c})' for c in range(N_CLASSES))})")
 
 
 def majority_label(counts):

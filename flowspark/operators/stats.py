@@ -3,12 +3,12 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowspark.functions.cleaning import clean_number
+from flowspark.functions.cleaning import clean_sql
 from flowspark.schema import LOG_TYPE_NAMES, SHORT_FLOW_US, STAT_NAMES
 
-EPS = 1e-9
-BPS_CAP = 1e8
-IAT_CAP = 1e9
+_EPS = "1e-9D"
+_BPS_CAP = "1e8D"
+_IAT_CAP = "1e9D"
 
 
 def session_stats(session_flows: DataFrame, keys=("host", "session_idx"), extra_aggs=(), bounded=True):
@@ -22,92 +22,77 @@ def session_stats(session_flows: DataFrame, keys=("host", "session_idx"), extra_
     have = set(session_flows.columns)
 
     def col(name):
-        return F.col(name).cast("double") if name in have else F.lit(0.0)
+        return f"CAST(`{name}` AS DOUBLE)" if name in have else "0D"
 
     fwd, bwd = col("total_length_of_fwd_packets"), col("total_length_of_bwd_packets")
-    total = fwd + bwd
-    fwd_pkts, pkts = col("total_fwd_packets"), col("total_fwd_packets") + col("total_backward_packets")
+    fwd_pkts, bwd_pkts = col("total_fwd_packets"), col("total_backward_packets")
+    total, pkts = f"({fwd} + {bwd})", f"({fwd_pkts} + {bwd_pkts})"
     duration = col("flow_duration")
-    bps = _cap(col("flow_bytes_s"), BPS_CAP)
-    iat = _cap(col("flow_iat_mean"), IAT_CAP)
+    bps = f"least(greatest({col('flow_bytes_s')}, 0D), {_BPS_CAP})"
+    iat = f"least(greatest({col('flow_iat_mean')}, 0D), {_IAT_CAP})"
     fin, syn, rst, psh, urg = (col(f"{f}_flag_count") for f in ("fin", "syn", "rst", "psh", "urg"))
-    flags = F.sum(fin + syn + rst + psh + urg + EPS)
-    window = (col("init_win_bytes_forward") + col("init_win_bytes_backward")) / 2
-    idle, active = F.sum(col("idle_mean")), F.sum(col("active_mean"))
-    log_code = col("log_type").cast("int")
-    log_counts = F.array(*[F.count_if(log_code == code) for code in LOG_TYPE_NAMES])
-    port = col("destination_port").cast("bigint")
+    flags = f"sum({fin} + {syn} + {rst} + {psh} + {urg} + {_EPS})"
+    idle, active = f"sum({col('idle_mean')})", f"sum({col('active_mean')})"
+    log_counts = ", ".join(f"count_if(CAST({col('log_type')} AS INT) = {code})" for code in LOG_TYPE_NAMES)
 
     aggs = {
-        "stat_flow_count": F.count("*").cast("double"),
-        "stat_total_fwd_bytes": F.sum(fwd),
-        "stat_total_bwd_bytes": F.sum(bwd),
-        "stat_avg_bytes_per_flow": F.avg(total),
-        "stat_std_bytes_per_flow": F.stddev_pop(total) + EPS,
-        "stat_avg_duration": F.avg(duration),
-        "stat_std_duration": F.stddev_pop(duration) + EPS,
-        "stat_avg_pkts_per_flow": F.avg(pkts),
-        "stat_std_pkts_per_flow": F.stddev_pop(pkts) + EPS,
-        "stat_bytes_ratio": F.sum(fwd) / (F.sum(total) + EPS),
-        "stat_pkt_ratio": F.sum(fwd_pkts) / (F.sum(pkts) + EPS),
-        "stat_syn_ratio": F.sum(syn) / flags,
-        "stat_fin_ratio": F.sum(fin) / flags,
-        "stat_rst_ratio": F.sum(rst) / flags,
-        "stat_psh_ratio": F.sum(psh) / flags,
-        "stat_urg_ratio": F.sum(urg) / flags,
-        "stat_avg_flow_bps": F.avg(bps),
-        "stat_max_flow_bps": F.max(bps),
-        "stat_avg_flow_iat": F.avg(iat),
-        "stat_std_flow_iat": F.stddev_pop(iat) + EPS,
-        "stat_short_flow_ratio": F.avg((duration < SHORT_FLOW_US).cast("double")),
-        "stat_avg_win_size": F.avg(window),
-        "stat_idle_active_ratio": idle / (active + EPS + idle),
+        "stat_flow_count": "CAST(count(*) AS DOUBLE)",
+        "stat_total_fwd_bytes": f"sum({fwd})",
+        "stat_total_bwd_bytes": f"sum({bwd})",
+        "stat_avg_bytes_per_flow": f"avg({total})",
+        "stat_std_bytes_per_flow": f"stddev_pop({total}) + {_EPS}",
+        "stat_avg_duration": f"avg({duration})",
+        "stat_std_duration": f"stddev_pop({duration}) + {_EPS}",
+        "stat_avg_pkts_per_flow": f"avg({pkts})",
+        "stat_std_pkts_per_flow": f"stddev_pop({pkts}) + {_EPS}",
+        "stat_bytes_ratio": f"sum({fwd}) / (sum({total}) + {_EPS})",
+        "stat_pkt_ratio": f"sum({fwd_pkts}) / (sum({pkts}) + {_EPS})",
+        "stat_syn_ratio": f"sum({syn}) / {flags}",
+        "stat_fin_ratio": f"sum({fin}) / {flags}",
+        "stat_rst_ratio": f"sum({rst}) / {flags}",
+        "stat_psh_ratio": f"sum({psh}) / {flags}",
+        "stat_urg_ratio": f"sum({urg}) / {flags}",
+        "stat_avg_flow_bps": f"avg({bps})",
+        "stat_max_flow_bps": f"max({bps})",
+        "stat_avg_flow_iat": f"avg({iat})",
+        "stat_std_flow_iat": f"stddev_pop({iat}) + {_EPS}",
+        "stat_short_flow_ratio": f"avg(CASE WHEN {duration} < {SHORT_FLOW_US} THEN 1D ELSE 0D END)",
+        "stat_avg_win_size": f"avg(({col('init_win_bytes_forward')} + {col('init_win_bytes_backward')}) / 2D)",
+        "stat_idle_active_ratio": f"{idle} / ({active} + {_EPS} + {idle})",
+        "_log_counts": f"array({log_counts})",
     }
-    columns = [value.alias(name) for name, value in aggs.items()]
-    columns.append(log_counts.alias("_log_counts"))
-    columns += list(extra_aggs)
     if bounded:
-        columns.append(F.collect_list(port).alias("_ports"))
-    grouped = session_flows.groupBy(*keys).agg(*columns)
+        aggs["_ports"] = f"collect_list(CAST({col('destination_port')} AS BIGINT))"
+    grouped = session_flows.groupBy(*keys).agg(*[F.expr(e).alias(name) for name, e in aggs.items()], *extra_aggs)
 
+    derived = {"stat_log_type_entropy": entropy_sql("_log_counts")}
     if bounded:
-        ports = F.col("_ports")
-        distinct = F.array_distinct(ports)
-        repeats = F.transform(distinct, lambda p: F.size(F.filter(ports, lambda q: q == p)))
-        grouped = grouped.withColumns({
-            "stat_port_entropy": entropy(repeats),
-            "stat_unique_dst_ports": F.size(distinct).cast("double"),
-        }).drop("_ports")
+        repeats = "transform(array_distinct(_ports), p -> size(filter(_ports, q -> q = p)))"
+        derived["stat_port_entropy"] = entropy_sql(repeats)
+        derived["stat_unique_dst_ports"] = "CAST(size(array_distinct(_ports)) AS DOUBLE)"
     else:
         grouped = grouped.join(port_diversity(session_flows, keys), keys)
-    grouped = grouped.withColumn("stat_log_type_entropy", entropy(F.col("_log_counts"))).drop("_log_counts")
-
-    others = [c for c in grouped.columns if c not in keys and c not in STAT_NAMES]
-    finished = [clean_number(F.col(c), "bound", limit=float("inf")).alias(c) for c in STAT_NAMES]
-    return grouped.select(*keys, *finished, *others)
+    dropped = {"_log_counts", "_ports"}
+    wide = grouped.selectExpr(
+        *[f"`{c}`" for c in grouped.columns if c not in dropped], *[f"{e} AS {n}" for n, e in derived.items()]
+    )
+    others = [f"`{c}`" for c in wide.columns if c not in keys and c not in STAT_NAMES]
+    finished = [f"{clean_sql(c, 'bound', limit=None)} AS {c}" for c in STAT_NAMES]
+    return wide.selectExpr(*[f"`{k}`" for k in keys], *finished, *others)
 
 
-def entropy(counts):
-    """Base-2 entropy of an array of counts."""
-    n = F.aggregate(counts, F.lit(0.0), lambda s, c: s + c)
-    spread = F.aggregate(
-        counts, F.lit(0.0), lambda s, c: s + F.when(c > 0, c * F.log2(c.cast("double"))).otherwise(0.0)
-    )
-    value = F.log2(n) - spread / n
-    return F.when(n > 0, F.greatest(value, F.lit(0.0))).otherwise(0.0)
+def entropy_sql(counts) -> str:
+    """Base-2 entropy of an array of counts, given as SQL text."""
+    n = f"aggregate({counts}, 0D, (s, c) -> s + c)"
+    spread = f"aggregate({counts}, 0D, (s, c) -> s + CASE WHEN c > 0 THEN c * log2(c) ELSE 0D END)"
+    return f"CASE WHEN {n} > 0 THEN greatest(log2({n}) - {spread} / {n}, 0D) ELSE 0D END"
 
 
 def port_diversity(flows: DataFrame, keys):
     """Port entropy and distinct ports by two groupings, so that no group is held in one place."""
-    port = F.col("destination_port").cast("double").cast("bigint")
-    per_port = flows.groupBy(*keys, port.alias("_port")).agg(F.count("*").cast("double").alias("_n"))
-    n = F.sum("_n")
-    spread = F.sum(F.col("_n") * F.log2("_n")) / n
+    port = F.expr("CAST(CAST(destination_port AS DOUBLE) AS BIGINT)").alias("_port")
+    per_port = flows.groupBy(*keys, port).agg(F.expr("CAST(count(*) AS DOUBLE)").alias("_n"))
     return per_port.groupBy(*keys).agg(
-        F.greatest(F.log2(n) - spread, F.lit(0.0)).alias("stat_port_entropy"),
-        F.count("*").cast("double").alias("stat_unique_dst_ports"),
+        F.expr("greatest(log2(sum(_n)) - sum(_n * log2(_n)) / sum(_n), 0D)").alias("stat_port_entropy"),
+        F.expr("CAST(count(*) AS DOUBLE)").alias("stat_unique_dst_ports"),
     )
-
-
-def _cap(value, high):
-    return F.least(F.greatest(value, F.lit(0.0)), F.lit(high))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from flowspark.errors import ModelNotLoadedError
 from flowspark.functions.alerts import alert_fields, alert_id
 from flowspark.functions.alignment import realign_array
-from flowspark.functions.cleaning import clean_number
+from flowspark.functions.cleaning import clean_sql
 from flowspark.operators.quality import log_type_map, split_requests
 from flowspark.operators.stats import session_stats
 from flowspark.operators.threat import add_threat_intel
@@ -15,11 +15,9 @@ from flowspark.schema import MAX_FLOWS_PER_REQUEST, STAT_NAMES, TRAINED_FEATURES
 
 def aligned_requests(requests: DataFrame) -> DataFrame:
     """(request_id, pos, features[78], log_type) to the 81 trained columns, boundary-cleaned."""
-    bounded = F.transform(F.col("features"), lambda v: clean_number(v.cast("double"), "bound"))
-    rows = requests.withColumn("_a", realign_array(bounded, F.col("log_type")))
-    return rows.select("request_id", "pos", *[
-        F.get(F.col("_a"), F.lit(i)).alias(c) for i, c in enumerate(TRAINED_FEATURES)
-    ])
+    bounded = F.expr(f"transform(CAST(features AS ARRAY<DOUBLE>), v -> {clean_sql('v', 'bound')})")
+    rows = requests.withColumn("_f", bounded).withColumn("_a", realign_array("_f", "log_type"))
+    return rows.selectExpr("request_id", "pos", *[f"_a[{i}] AS `{c}`" for i, c in enumerate(TRAINED_FEATURES)])
 
 
 def analyze(requests: DataFrame, detectors, embedder, received_at, max_flows=MAX_FLOWS_PER_REQUEST):

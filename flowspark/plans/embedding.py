@@ -56,10 +56,10 @@ class SessionEmbedder:
     def summarise(session_flows: DataFrame, scaler, keys=("host", "session_idx"), extra_aggs=()):
         aggs = []
         for i, c in enumerate(scaler.columns):
-            z = scaler.scaled(c)
+            z = scaler.scaled_sql(c)
             aggs += [
-                F.avg(z).alias(f"e{i}_mean"), F.stddev_pop(z).alias(f"e{i}_sd"),
-                (F.max_by(z, "pos") - F.min_by(z, "pos")).alias(f"e{i}_trend"),
+                F.expr(f"avg({z})").alias(f"e{i}_mean"), F.expr(f"stddev_pop({z})").alias(f"e{i}_sd"),
+                F.expr(f"max_by({z}, pos) - min_by({z}, pos)").alias(f"e{i}_trend"),
             ]
         return session_flows.groupBy(*keys).agg(*aggs, *extra_aggs)
 

@@ -3,7 +3,8 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowspark.functions.labels import label_name, literal_map
+from flowspark.functions.labels import label_name
+from flowspark.functions.literals import literal_map
 from flowspark.functions.scores import top_predictions
 from flowspark.functions.text import retrieval_query, with_prefix
 from flowspark.operators.neighbors import nearest

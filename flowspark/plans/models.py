@@ -2,13 +2,14 @@
 
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.feature import VectorAssembler, VectorSizeHint
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowspark.errors import FeatureDimensionError, ModelNotLoadedError
-from flowspark.functions.labels import literal_map
+from flowspark.functions.literals import literal_map
 from flowspark.functions.scores import argmax_class, confidence, scatter_classes
 from flowspark.operators.sampling import class_totals
 from flowspark.operators.scaling import log_class_weights
@@ -44,9 +45,9 @@ class ClassModel:
             forest = forest.setWeightCol(weight)
         if len(classes) < 2:
             raise ValueError("training needs at least two classes")
-        assembled = assembler.transform(train)
-        model = forest.fit(assembled)
-        return cls(PipelineModel([assembler, model]), inputs, classes, model.numFeatures)
+        stages = PipelineModel([*_size_hints(rows, inputs), assembler])
+        model = forest.fit(stages.transform(train))
+        return cls(PipelineModel([*stages.stages, model]), inputs, classes, model.numFeatures)
 
     def feature_names(self, embedding_dims=0):
         """Names of the assembled inputs; a vector column gives emb_0, emb_1, ..."""
@@ -83,6 +84,15 @@ class ClassModel:
         return cls(PipelineModel.load(f"{path}/stages"), about["inputs"], about["classes"], about["width"])
 
 
+def _size_hints(rows: DataFrame, inputs):
+    """Width of each vector input, which the assembler needs to fill in a missing vector."""
+    vectors = [c for c in inputs if isinstance(rows.schema[c].dataType, VectorUDT)]
+    if not vectors:
+        return []
+    first = rows.select(*vectors).dropna().first()
+    return [VectorSizeHint(inputCol=c, size=first[c].size, handleInvalid="optimistic") for c in vectors]
+
+
 def unseen_classes(train: DataFrame, validation: DataFrame, label="label"):
     """Classes of the validation rows that training never saw."""
     return validation.select(label).distinct().join(train.select(label).distinct(), label, "left_anti")

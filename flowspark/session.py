@@ -44,6 +44,17 @@ def work_dir(spark, name):
     return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+def materialise(df, name):
+    """Write a table once to shared storage and go on from there.
+
+    Cuts the lineage before work that passes over its input many times; unlike a cached table it
+    outlives a lost executor.
+    """
+    path = work_dir(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def ensure_checkpoint_dir(spark):
     """Make DataFrame.checkpoint() usable."""
     if not spark.sparkContext.getCheckpointDir():

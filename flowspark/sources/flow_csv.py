@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from flowspark.functions.cleaning import clean_features, present_features
-from flowspark.functions.labels import encode_label, literal_map
+from flowspark.functions.labels import encode_label
+from flowspark.functions.literals import literal_map
 from flowspark.operators.sampling import capped_sample
 from flowspark.schema import FEATURES, RAW_LABEL, snake
 from flowspark.sources import files

@@ -81,8 +81,8 @@ def apply_model_fn(flows: DataFrame, model_fn, scaler, id_column="flow_id", feat
     Both inputs are 2-d float arrays. A batch the function fails on gives null results, which
     detection_events turns into the benign fallback. Other columns are kept.
     """
-    raw = F.array(*[F.col(c).cast("double") for c in features])
-    scaled = F.array(*[scaler.scaled(c) for c in features])
+    raw = F.expr(f"array({', '.join(f'CAST(`{c}` AS DOUBLE)' for c in features)})")
+    scaled = F.expr(f"array({', '.join(scaler.scaled_sql(c) for c in features)})")
     kept = [c for c in flows.columns if c not in features]
     schema = T.StructType([
         *[flows.schema[c] for c in kept],
