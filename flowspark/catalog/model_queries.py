@@ -3,7 +3,8 @@
 from pyspark.sql import functions as F
 
 from flowspark.catalog.adapters import ENRICHED_CTE, FLOW_COLUMNS, enriched, sessions_cte, table
-from flowspark.catalog.session_queries import KEYS, windows
+from flowspark.catalog.sample_queries import split_cte
+from flowspark.catalog.session_queries import KEYS, LABELLED_CTE, windows
 from flowspark.functions.labels import label_name
 from flowspark.functions.scores import confidence
 from flowspark.functions.text import explanation_report
@@ -97,10 +98,9 @@ def vector_classifier(spark, sf_dir):
 
 
 def new_classes(spark, sf_dir):
-    """Labels of the later half of the flows that the first half lacks, among labels by dominant port."""
+    """Ports of all flows that no attack flow used: classes a model of attacks would not know."""
     flows = enriched(spark, sf_dir).withColumn("label", F.col("destination_port"))
-    later = F.col("flow_id") % 2 == 1
-    return unseen_classes(flows.filter(~later), flows.filter(later))
+    return unseen_classes(flows.filter("label_id != 0"), flows)
 
 
 def _fitted(spark, sf_dir):
@@ -191,8 +191,22 @@ w AS (SELECT host, session_idx, pos, d / sum(d) OVER (PARTITION BY host, session
 
 
 QUERIES = {
-    "split_by_session": (split_by_session, None),
-    "split_flows_first": (split_flows_first, None),
+    "split_by_session": (split_by_session, f"""
+WITH {ENRICHED_CTE}{sessions_cte()}{LABELLED_CTE},
+h AS (SELECT host, session_idx, label, CAST('0x' || substr(md5('session|' || host || '|' || session_idx), 1, 15) AS BIGINT) AS sid
+      FROM labelled),
+{split_cte('h', 'label', 'sid')},
+f AS (SELECT * FROM session_flows JOIN split_h USING (host, session_idx))
+SELECT split, count(*) AS n_flows, count(DISTINCT (host, session_idx)) AS n_sessions,
+  count(*) FILTER (label_id <> 0) AS n_attack_flows FROM f GROUP BY 1"""),
+    "split_flows_first": (split_flows_first, f"""
+WITH {ENRICHED_CTE},
+{split_cte('enriched', 'label_id', 'flow_id')},
+o AS (SELECT split, label_id, row_number() OVER (PARTITION BY split
+        ORDER BY CAST('0x' || substr(md5('42|' || flow_id), 1, 8) AS BIGINT), flow_id) - 1 AS i,
+      count(*) OVER (PARTITION BY split) AS total FROM split_enriched)
+SELECT split, count(*) AS n_flows, count(DISTINCT i // 20) AS n_sessions, count(*) FILTER (label_id <> 0) AS n_attack_flows
+FROM o WHERE (i // 20) * 20 + 20 <= total GROUP BY 1"""),
     "session_embedding": (session_embedding, None),
     "models_abc": (models_abc, None),
     "fallback": (fallback, f"""
@@ -203,8 +217,8 @@ SELECT CASE WHEN host % 4 = 0 THEN 'B' ELSE 'C' END AS config_used, count(*) AS
     "vector_classifier": (vector_classifier, None),
     "unseen_classes": (new_classes, f"""
 WITH {ENRICHED_CTE}
-SELECT DISTINCT destination_port AS label FROM enriched WHERE flow_id % 2 = 1
-  AND destination_port NOT IN (SELECT destination_port FROM enriched WHERE flow_id % 2 = 0)"""),
+SELECT DISTINCT destination_port AS label FROM enriched
+WHERE destination_port NOT IN (SELECT destination_port FROM enriched WHERE label_id <> 0)"""),
     "importance": (importance, None),
     "permutation_importance": (shuffled_importance, None),
     "occlusion": (occluded, None),

@@ -12,7 +12,7 @@ _ITEM_MEASURES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 
 
 def capped(spark, sf_dir):
-    """At most 500 rows per ship mode of the item table, here its return flag."""
+    """At most 500 rows per return flag of the item table."""
     items = table(spark, sf_dir, "lineitem").withColumn(
         "item_id", F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
     )
@@ -85,7 +85,14 @@ def _scaled_sql(source, keys, columns, constant=False):
     return f"s AS (SELECT {stats} FROM {source}) SELECT {keys}, {', '.join(cells)} FROM {source}, s"
 
 
-_HASH = "md5('42|' || {})"
+def split_cte(source, label, item):
+    """split_<source>: source with a split of 70 / 15 / 15 percent per label in hash order of item."""
+    return f"""r_{source} AS (SELECT *, count(*) OVER (PARTITION BY {label}) AS split_n,
+    row_number() OVER (PARTITION BY {label}
+      ORDER BY CAST('0x' || substr(md5('42|' || {item}), 1, 8) AS BIGINT), {item}) - 1 AS split_r FROM {source}),
+split_{source} AS (SELECT *, CASE WHEN split_r < split_n - (split_n * 30 + 99) // 100 THEN 'train'
+    WHEN split_r < split_n - ((split_n * 30 + 99) // 100 * 15 + 29) // 30 THEN 'val' ELSE 'test' END AS split FROM r_{source})"""
+
 
 QUERIES = {
     "capped_sample": (capped, """
@@ -107,13 +114,17 @@ SELECT flow_id, label_id, source_file FROM d JOIN c USING (label_id, source_file
 QUALIFY row_number() OVER (PARTITION BY label_id ORDER BY flow_id) <= 5"""),
     "stratified_split": (split, f"""
 WITH {FLOWS_CTE},
-r AS (SELECT flow_id, label_id, count(*) OVER (PARTITION BY label_id) AS n,
-        row_number() OVER (PARTITION BY label_id
-          ORDER BY CAST('0x' || substr(md5('42|' || flow_id), 1, 8) AS BIGINT), flow_id) - 1 AS r FROM flows),
-s AS (SELECT *, (n * 30 + 99) // 100 AS rest FROM r)
-SELECT flow_id, label_id, CASE WHEN r < n - rest THEN 'train' WHEN r < n - (rest * 15 + 29) // 30 THEN 'val'
-  ELSE 'test' END AS split FROM s"""),
-    "balanced_resample": (resample, None),
+{split_cte('flows', 'label_id', 'flow_id')}
+SELECT flow_id, label_id, split FROM split_flows"""),
+    # Copies of a row: how many terms of the class's Poisson distribution lie below its draw.
+    "balanced_resample": (resample, f"""
+WITH {FLOWS_CTE},
+c AS (SELECT label_id, count(*) AS n FROM flows GROUP BY 1),
+m AS (SELECT label_id, (SELECT sum(n) FROM c) / CAST((SELECT count(*) FROM c) * n AS DOUBLE) AS mean FROM c),
+p AS (SELECT label_id, k, sum(exp(-mean + k * ln(mean) - lgamma(k + 1))) OVER (PARTITION BY label_id ORDER BY k) AS cdf
+      FROM m, range(0, 400) r(k)),
+u AS (SELECT flow_id, label_id, CAST('0x' || substr(md5('42|' || flow_id), 1, 8) AS BIGINT) / 4294967296e0 AS u FROM flows)
+SELECT flow_id, label_id, k AS copy FROM u JOIN p USING (label_id) WHERE cdf <= u"""),
     "standard_scale": (scaled_items, "WITH " + _scaled_sql("lineitem", "l_orderkey, l_linenumber", _ITEM_MEASURES, True)),
     "standard_scale_flows": (scaled_flows, f"WITH {FLOWS_CTE}, " + _scaled_sql("flows", "flow_id", FLOW_COLUMNS)),
     "class_weights_log": (weights_log, f"""

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from flowspark.functions.cleaning import pad_features
 from flowspark.functions.alignment import realign
 from flowspark.functions.protocol import add_protocol_columns
-from flowspark.operators.sampling import hash_number, stratified_split
+from flowspark.operators.sampling import hash_long, hash_number, stratified_split
 from flowspark.operators.scaling import FeatureScaler
 from flowspark.operators.sessions import attack_ids, class_counts, majority_label, sessionize
 from flowspark.operators.stats import session_stats
@@ -65,7 +65,7 @@ def split_sessions(flows: DataFrame, size=SESSION_SIZE, split_first=False, seed=
     windows = sessionize(flows, size, keys=keys, order=order, tie=tie)
     session_keys = [*keys, "session_idx"]
     labels = windows.groupBy(*session_keys).agg(majority_label(class_counts()).alias("label"))
-    labels = labels.withColumn("_sid", F.xxhash64(*session_keys))
+    labels = labels.withColumn("_sid", hash_long("session", *session_keys))
     assigned = stratified_split(labels, "label", "_sid", seed=seed).select(*session_keys, "split")
     return windows.join(assigned, session_keys)
 

@@ -67,12 +67,13 @@ def upsert(existing: DataFrame, batch: DataFrame, max_alerts=MAX_ALERTS) -> Data
     """
     order = F.struct(F.col("ts"), F.coalesce("alert_uuid", F.lit("")), F.col("raw"))
     latest = newest_per_id(batch, order).orderBy(F.col("ts").desc(), F.col("alert_uuid").desc()).limit(max_alerts)
+    last = existing.agg(F.coalesce(F.max("seq"), F.lit(0)).alias("last")).first()["last"]
     # From here on both sides hold at most max_alerts rows.
-    kept = existing.join(F.broadcast(latest.select("alert_uuid").filter("alert_uuid IS NOT NULL")), "alert_uuid", "left_anti")
-    last = existing.agg(F.coalesce(F.max("seq"), F.lit(0)).alias("_last")).first()["_last"]
     place = Window.partitionBy(F.lit(1)).orderBy("ts", "alert_uuid", "raw")
     fresh = latest.withColumn("seq", (F.lit(last) + F.row_number().over(place)).cast("bigint"))
-    return retain(kept.select("seq", *_FIELDS).unionByName(fresh.select("seq", *_FIELDS)), max_alerts)
+    columns = ["seq", *_FIELDS]
+    both = existing.select(*columns).unionByName(fresh.select(*columns))
+    return retain(newest_per_id(both, F.col("seq")), max_alerts)
 
 
 def retain(alerts: DataFrame, max_alerts=MAX_ALERTS) -> DataFrame:

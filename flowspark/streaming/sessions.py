@@ -9,6 +9,7 @@ that sends a large share of a batch is numbered in slices like in the batch path
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from flowspark.functions.alignment import bad_cells
 from flowspark.operators.ordering import HOT_ROWS, with_row_index
@@ -33,15 +34,16 @@ class StreamSessionizer:
     def process(self, batch: DataFrame, batch_id) -> DataFrame:
         """Complete windows after this batch in long form (session_idx, pos added)."""
         schema = batch.schema
+        seen_schema = T.StructType([schema["host"], T.StructField("seen", T.LongType())])
         placed_schema = batch.withColumns({"session_idx": F.lit(0).cast("bigint"), "pos": F.lit(0)}).schema
         before = batch_id - 1
         if files.exists(self.spark, self._path(before, "seen/_SUCCESS")):
-            seen = self.spark.read.schema("host long, seen long").parquet(self._path(before, "seen"))
+            seen = self.spark.read.schema(seen_schema).parquet(self._path(before, "seen"))
             waiting = self.spark.read.schema(placed_schema).parquet(self._path(before, "flows/complete=false"))
         elif batch_id > 0 and files.glob(self.spark, f"{self.state_dir}/batch=*/seen/_SUCCESS"):
             raise RuntimeError(f"state of batch {before} is missing in {self.state_dir}")
         else:
-            seen = self.spark.createDataFrame([], "host long, seen long")
+            seen = self.spark.createDataFrame([], seen_schema)
             waiting = self.spark.createDataFrame([], placed_schema)
 
         ranked = with_row_index(batch, ["host"], "ts", "flow_id", "_i", hot_rows=self.hot_rows)
