@@ -10,8 +10,9 @@ from flowspark.functions.scores import confidence
 from flowspark.functions.text import kpi_band
 from flowspark.operators import counters as C
 from flowspark.operators.sessions import session_truth
-from flowspark.schema import ALERT_SCHEMA, LABELS, MAX_ALERTS
-from flowspark.sources.alert_table import newest_per_id, normalise_alerts, retain, upsert
+from flowspark.schema import LABELS, MAX_ALERTS
+from flowspark.session import work_dir
+from flowspark.sources.alert_table import AlertTable, newest_per_id, normalise_alerts, retain
 
 _NAMES = "[" + ", ".join(f"'{n}'" for n in LABELS.values()) + "]"
 
@@ -32,9 +33,11 @@ def alerts_of(spark, sf_dir):
     return normalise_alerts(rows)
 
 
-def stored(spark, sf_dir, max_alerts=MAX_ALERTS):
-    empty = spark.createDataFrame([], ALERT_SCHEMA)
-    return upsert(empty, alerts_of(spark, sf_dir), max_alerts)
+def stored(spark, sf_dir):
+    """The alert table after recording all alerts in one batch."""
+    store = AlertTable(spark, work_dir(spark, "alert-table"))
+    store.record(alerts_of(spark, sf_dir))
+    return store.read()
 
 
 def verdicts(spark, sf_dir):
@@ -50,9 +53,10 @@ def one_per_id(spark, sf_dir):
 def upserted(spark, sf_dir):
     """Table after a second batch that updates ids of the first."""
     alerts = alerts_of(spark, sf_dir)
-    first = upsert(spark.createDataFrame([], ALERT_SCHEMA), alerts.filter("session_id % 3 = 0"))
-    second = upsert(first, alerts.filter("session_id % 3 = 1").withColumn("ts", F.col("ts") + 1e6))
-    return second.select("alert_uuid", "session_id", "ts", "attack_id", "verdict")
+    store = AlertTable(spark, work_dir(spark, "alert-table"))
+    store.record(alerts.filter("session_id % 3 = 0"))
+    store.record(alerts.filter("session_id % 3 = 1").withColumn("ts", F.col("ts") + 1e6))
+    return store.read().select("alert_uuid", "session_id", "ts", "attack_id", "verdict")
 
 
 def recent(spark, sf_dir):
