@@ -11,6 +11,8 @@ from flowspark.schema import MASK_RATE
 
 _UNIT = 2 ** 32
 CHUNK = 10_000
+# Cuts of up to this many groups are sent to every task; more are joined.
+MAX_GROUPS = 100_000
 MAX_POISSON_MEAN = 1000
 
 
@@ -35,28 +37,31 @@ def hash_unit(seed, *cols):
 
 
 def capped_sample(df: DataFrame, n, group, id_column, seed=42):
-    """At most n rows per group: the first n in hash order. id_column must be unique.
+    """At most n rows per group: the first n in hash order.
 
-    Only rows whose hash lies below a cut that lets about 4n + 200 rows of the group through are
-    ranked, so a group of any size sends few rows to its task. Should the cut ever leave fewer rows
-    than asked for, the query fails instead of giving a short sample.
+    One pass counts, per group, the rows below 2**32, 2**31, ... of the hash. The lowest of these
+    limits that still lets n rows through becomes the group's cut, and only rows below it are
+    ranked: about 2n of them, however large the group is.
     """
     group = list(group)
-    sizes = df.groupBy(*group).agg(F.count("*").alias("_n"))
-    cut = F.ceil(F.lit(float(_UNIT)) * (4 * n + 200) / F.col("_n"))
-    candidates = (
-        df.withColumn("_h", hash_hex(seed, id_column))
-        .withColumn("_u", F.conv(F.substring("_h", 1, 8), 16, 10).cast("bigint"))
-        .join(sizes.withColumn("_cut", cut), group)
-        .filter(F.col("_u") < F.col("_cut"))
+    hashed = df.withColumn("_h", hash_hex(seed, id_column)).withColumn(
+        "_u", F.conv(F.substring("_h", 1, 8), 16, 10).cast("bigint")
     )
-    rows = Window.partitionBy(*group)
-    wanted = F.least(F.lit(n), F.col("_n"))
-    enough = F.count("*").over(rows) >= wanted
-    message = F.lit(f"capped_sample: too few rows below the cut; is {id_column} unique?")
+    below = F.expr(f"array({', '.join(f'count_if(_u < {_UNIT >> j})' for j in range(32))})")
+    sizes = hashed.groupBy(*group).agg(F.count("*").alias("_n"), below.alias("_below"))
+    enough = F.size(F.filter("_below", lambda c: c >= F.least(F.lit(n), F.col("_n"))))
+    cuts = sizes.withColumn("_enough", enough).select(
+        *[F.col(c).alias(f"_g{i}") for i, c in enumerate(group)],
+        F.expr(f"shiftright({_UNIT}L, _enough - 1)").alias("_cut"),
+    )
+    found = cuts.limit(MAX_GROUPS + 1).collect()
+    if len(found) <= MAX_GROUPS:
+        cuts = F.broadcast(df.sparkSession.createDataFrame(found, cuts.schema))
+    same = [F.col(c).eqNullSafe(F.col(f"_g{i}")) for i, c in enumerate(group)]
+    candidates = hashed.join(cuts, same).filter(F.col("_u") < F.col("_cut"))
+    ranked = Window.partitionBy(*group).orderBy("_h", id_column)
     return (
-        candidates.withColumn("_rank", F.row_number().over(rows.orderBy("_h", id_column)))
-        .withColumn("_rank", F.when(enough, F.col("_rank")).otherwise(F.raise_error(message).cast("int")))
+        candidates.withColumn("_rank", F.row_number().over(ranked))
         .filter(F.col("_rank") <= n)
         .select(*df.columns)
     )
