@@ -66,13 +66,14 @@ def predictions(spark, sf_dir) -> DataFrame:
         "CASE WHEN flow_id % 7 = 0 THEN 0 WHEN flow_id % 11 = 0 THEN 4 ELSE label_id END AS y_pred",
     )
     # Tenths as whole numbers, so that both engines divide the same integers.
-    tenths = (
-        f"transform(sequence(0, {N_CLASSES - 1}), c -> 10 + CASE WHEN c = y_pred THEN 20 + session_id % 13 * 40 ELSE 0 END"
-        " + (session_id * 31 + c * 17) % 5)"
-    )
-    scored = called.selectExpr("*", f"{tenths} AS tenths")
-    totalled = scored.selectExpr("*", "CAST(aggregate(tenths, 0L, (s, t) -> s + t) AS DOUBLE) AS total")
-    return totalled.selectExpr("session_id", "y_true", "y_pred", "transform(tenths, t -> round(t / total, 9)) AS probs")
+    tenths = [
+        f"10 + CASE WHEN y_pred = {c} THEN 20 + session_id % 13 * 40 ELSE 0 END + (session_id * 31 + {c * 17}) % 5"
+        for c in range(N_CLASSES)
+    ]
+    scored = called.selectExpr("*", *[f"{e} AS t{c}" for c, e in enumerate(tenths)])
+    totalled = scored.selectExpr("*", f"CAST({' + '.join(f't{c}' for c in range(N_CLASSES))} AS DOUBLE) AS total")
+    shares = ", ".join(f"round(t{c} / total, 9)" for c in range(N_CLASSES))
+    return totalled.selectExpr("session_id", "y_true", "y_pred", f"array({shares}) AS probs")
 
 
 # The same three tables as DuckDB common table expressions.

@@ -12,7 +12,7 @@ from flowspark.functions.text import kb_text, parse_reply, promote_reply, prompt
 from flowspark.knowledge import TACTICS, TECHNIQUES, TRUTH, entries, knowledge_base
 from flowspark.operators import threat as T
 from flowspark.operators.metrics import class_counts_from, confusion_counts
-from flowspark.operators.neighbors import nearest, nearest_in_large
+from flowspark.operators.neighbors import hit_rows, nearest, nearest_in_large
 from flowspark.operators.stats import session_stats
 from flowspark.plans.embedding import TextEmbedder
 from flowspark.plans.enrich import KnowledgeSearch, enrich_alerts
@@ -141,9 +141,10 @@ def vector_nearest_class(spark, sf_dir):
         table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), _centroids(spark, sf_dir), 3,
         index_id="label",
     )
-    rows = found.select("vec_id", F.posexplode("hits").alias("rank", "h"))
-    return rows.select("vec_id", F.col("rank").cast("bigint").alias("rank"), F.col("h.id").alias("label"),
-                       F.round("h.distance", 6).alias("distance"))
+    return hit_rows(found, ["vec_id"]).select(
+        "vec_id", F.col("rank").cast("bigint").alias("rank"), F.col("id").alias("label"),
+        F.round("distance", 6).alias("distance"),
+    )
 
 
 def vector_truncate(spark, sf_dir):
@@ -162,8 +163,9 @@ def text_search(spark, sf_dir):
     """The knowledge-base entry nearest to every whole document."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = _search(spark).search(docs, "text", 3)
-    rows = found.select("doc_id", F.posexplode("hits").alias("rank", "h"))
-    return rows.select("doc_id", "rank", F.col("h.id").alias("attack_id"), F.round("h.distance", 6).alias("distance"))
+    return hit_rows(found, ["doc_id"]).select(
+        "doc_id", "rank", F.col("id").alias("attack_id"), F.round("distance", 6).alias("distance")
+    )
 
 
 def _called_names(spark, sf_dir):

@@ -47,6 +47,7 @@ def kb_text() -> Column:
     def listed(column, sep):
         return F.array_join(F.col(column), sep)
 
+    # Captions of the lines, in order.
     lines = [
         ("ATTACK", F.col("attack_name")),
         ("CATEGORY", F.col("category")),
@@ -97,6 +98,7 @@ def prompt_text(attack_name: Column, conf: Column, predictions: Column, context:
     block = F.concat_ws("\n", *shown) if shown else F.lit("")
     block = F.when(block == "", F.lit("  (no session statistics available)")).otherwise(block)
     snippet = F.when(F.length(context) > 0, F.substring(context, 1, 600)).otherwise(F.lit("(no KB context)"))
+    # The layout of the message.
     return F.concat(
         F.lit("DETECTION RESULT:\n  Attack type : "), attack_name,
         F.lit("\n  Confidence  : "), percent(conf),

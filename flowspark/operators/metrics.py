@@ -224,6 +224,8 @@ def one_vs_rest_auc(preds: DataFrame, digits=DIGITS):
     negatives give no row.
     """
     present = sorted(r["y_true"] for r in preds.select("y_true").distinct().limit(N_CLASSES + 1).collect())
+    if len(present) > N_CLASSES:
+        raise ValueError(f"y_true has more than {N_CLASSES} classes")
     inside = [F.get(F.col("probs"), F.lit(int(c))) for c in present]
     if len(present) < 2:
         return preds.sparkSession.createDataFrame([], "class_id int, support bigint, auc double")

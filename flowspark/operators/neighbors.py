@@ -57,7 +57,17 @@ def nearest(queries: DataFrame, index: DataFrame, k, query_vector="embedding", i
             for row, chosen in zip(distance, best)
         ])
 
-    return queries.withColumn(name, search(F.col(query_vector).cast("array<double>")))
+    return queries.withColumn(name, search(F.col(query_vector)))
+
+
+def hit_rows(found: DataFrame, keep, name="hits"):
+    """One row per hit: keep, rank (from 0), id, distance.
+
+    The outer form of the generator is used on purpose: for the plain one Spark adds a size check on
+    the array below it, which would run the search a second time.
+    """
+    rows = found.select(*keep, F.posexplode_outer(name).alias("rank", "_h")).filter("rank IS NOT NULL")
+    return rows.select(*keep, "rank", F.col("_h.id").alias("id"), F.col("_h.distance").alias("distance"))
 
 
 def nearest_in_large(index: DataFrame, queries: DataFrame, k, index_id="id", index_vector="embedding",
@@ -88,7 +98,7 @@ def nearest_in_large(index: DataFrame, queries: DataFrame, k, index_id="id", ind
             })
 
     vectors = index.select(
-        F.col(index_id).alias("id"), F.col(index_vector).cast("array<double>").alias("v")
+        F.col(index_id).alias("id"), F.col(index_vector).alias("v")
     )
     found = vectors.mapInPandas(partition_best, f"query_id {query_kind}, id {id_kind}, distance double")
     ranked = Window.partitionBy("query_id").orderBy("distance", "id")

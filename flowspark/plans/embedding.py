@@ -6,7 +6,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-TEXT_DIMS = 1024
+TEXT_DIMS = 512
 
 
 class TextEmbedder:
@@ -28,7 +28,7 @@ class TextEmbedder:
     def transform(self, df: DataFrame, column="text", name="embedding", dims=None):
         """Add the vector as an array; dims keeps only the first entries."""
         out = self.model.transform(df.withColumn("_text", F.coalesce(F.col(column), F.lit(""))))
-        vector = vector_to_array("_unit")
+        vector = vector_to_array("_unit", "float32")
         if dims:
             vector = F.slice(vector, 1, dims)
         return out.withColumn(name, vector).drop("_text", "_words", "_tf", "_tfidf", "_unit")

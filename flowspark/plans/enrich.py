@@ -9,6 +9,7 @@ from flowspark.functions.scores import top_predictions
 from flowspark.functions.text import retrieval_query, with_prefix
 from flowspark.operators.neighbors import nearest
 from flowspark.operators.threat import join_knowledge_base, lookup_entry
+from flowspark.plans.embedding import TEXT_DIMS
 from flowspark.sources.stores import knowledge_texts
 
 
@@ -19,7 +20,7 @@ class KnowledgeSearch:
         self.embedder, self.index = embedder, index
 
     @classmethod
-    def build(cls, spark, embedder_class, dims=1024):
+    def build(cls, spark, embedder_class, dims=TEXT_DIMS):
         texts = knowledge_texts(spark).withColumn("document", F.col("text"))
         texts = texts.withColumn("text", with_prefix(F.col("text")))
         embedder = embedder_class.fit(texts, "text", dims)

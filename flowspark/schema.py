@@ -168,6 +168,7 @@ CONFIGS = {
     "C": "session embedding and statistics",
 }
 
+# Thresholds, truncation points and window sizes of the evaluation.
 THRESHOLDS = [0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]
 TRUNCATION_POINTS = [3, 5, 8, 10, 15, 20]
 ABLATION_SIZES = [10, 20, 50]

@@ -30,12 +30,13 @@ def shared_root(spark):
 
     Only a local session may go without the setting; it then gets a temporary folder.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    context = spark.sparkContext
+    root = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if root is None:
-        if not spark.sparkContext.master.startswith("local"):
+        if not context.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-        root = tempfile.mkdtemp(prefix="flowspark-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="flowspark-"))
+        root = context.getCheckpointDir()
     return root.rstrip("/")
 
 
@@ -54,8 +55,3 @@ def materialise(df, name):
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
 
-
-def ensure_checkpoint_dir(spark):
-    """Make DataFrame.checkpoint() usable."""
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(shared_root(spark))

@@ -42,6 +42,8 @@ def test_nearest_of_a_small_index(spark, k):
     got = {r.qid: [h.id for h in r.hits] for r in N.nearest(queries, index, k).collect()}
     want = brute_nearest(q, x, min(k, 12))
     assert [got[i] for i in range(40)] == want
+    rows = N.hit_rows(N.nearest(queries, index, k), ["qid"]).collect()
+    assert {(r.qid, r["rank"], r.id) for r in rows} == {(q, i, j) for q, hits in got.items() for i, j in enumerate(hits)}
     some = N.nearest(queries, index, 2, where=F.col("kind") == 1).collect()
     want = brute_nearest(q, x, 2, lambda j: j % 3 == 1)
     assert {r.qid: [h.id for h in r.hits] for r in some} == dict(enumerate(want))
