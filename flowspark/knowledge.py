@@ -97,7 +97,7 @@ TACTICS = {
     14: ["Collection", "Credential Access", "Execution"],
 }
 
-# Reference tactics and techniques per class that the knowledge base is scored against.
+# True tactics and techniques per class that the knowledge base is scored against.
 TRUTH = {
     0: ([], []),
     1: (["Command and Control", "Collection"], ["T1071", "T1571", "T1041"]),

@@ -21,7 +21,8 @@ class SideTooLarge(ValueError):
 
 def collect_small(df: DataFrame, id_column, vector_column):
     """(ids, row-normalised matrix) of a table proven small."""
-    rows = df.select(id_column, F.col(vector_column).cast("array<double>").alias("v")).limit(MAX_SMALL_ROWS + 1).collect()
+    vectors = df.select(id_column, F.col(vector_column).cast("array<double>").alias("v")).filter("v IS NOT NULL")
+    rows = vectors.limit(MAX_SMALL_ROWS + 1).collect()
     if len(rows) > MAX_SMALL_ROWS:
         raise SideTooLarge(f"more than {MAX_SMALL_ROWS} vectors on the side to be sent to every task")
     if not rows:
@@ -36,6 +37,8 @@ def nearest(queries: DataFrame, index: DataFrame, k, query_vector="embedding", i
             index_vector="embedding", where=None, name="hits"):
     """Add `name`: array of (id, distance), the k nearest index rows, nearest first, ties by id.
 
+    A query without a vector gets an empty array.
+
     where is a condition on the index that is applied before the search. k is cut to the index size.
     """
     if where is not None:
@@ -48,14 +51,17 @@ def nearest(queries: DataFrame, index: DataFrame, k, query_vector="embedding", i
 
     @F.pandas_udf(f"array<struct<id:{kind},distance:double>>")
     def search(vectors: pd.Series) -> pd.Series:
-        if k == 0 or len(vectors) == 0:
-            return pd.Series([[] for _ in range(len(vectors))])
-        distance = _distances(np.stack(vectors.to_numpy()).astype(float), matrix)
+        hits = [[] for _ in range(len(vectors))]
+        present = np.flatnonzero(vectors.notna().to_numpy())
+        if k == 0 or len(present) == 0:
+            return pd.Series(hits)
+        distance = _distances(np.stack(vectors.to_numpy()[present]).astype(float), matrix)
         best = np.argsort(distance, axis=1, kind="stable")[:, :k]
-        return pd.Series([
-            [{"id": ids[j].item() if hasattr(ids[j], "item") else ids[j], "distance": float(row[j])} for j in chosen]
-            for row, chosen in zip(distance, best)
-        ])
+        for at, row, chosen in zip(present, distance, best):
+            hits[at] = [
+                {"id": ids[j].item() if hasattr(ids[j], "item") else ids[j], "distance": float(row[j])} for j in chosen
+            ]
+        return pd.Series(hits)
 
     return queries.withColumn(name, search(F.col(query_vector)))
 
@@ -99,7 +105,7 @@ def nearest_in_large(index: DataFrame, queries: DataFrame, k, index_id="id", ind
 
     vectors = index.select(
         F.col(index_id).alias("id"), F.col(index_vector).alias("v")
-    )
+    ).filter("v IS NOT NULL")
     found = vectors.mapInPandas(partition_best, f"query_id {query_kind}, id {id_kind}, distance double")
     ranked = Window.partitionBy("query_id").orderBy("distance", "id")
     return found.withColumn("rank", F.row_number().over(ranked)).filter(F.col("rank") <= k)

@@ -30,15 +30,17 @@ def with_row_index(df: DataFrame, keys, order, tie, name="row_index", total=None
     tie a number column that makes the order total; both without nulls. total names a further
     column for the number of rows of the key.
     """
-    keys = list(keys)
-    plan = None if _is_small(df, hot_rows) else _hot_plan(df, keys, order, tie, hot_rows, max_slices)
+    stand_ins = _stand_ins(df, keys)
+    keyed, plain_keys = df.withColumns(stand_ins) if stand_ins else df, list(keys)
+    keys = list(stand_ins)
+    plan = None if _is_small(df, hot_rows) else _hot_plan(keyed, keys, order, tie, hot_rows, max_slices)
     if plan is None:
-        by = Window.partitionBy(*(keys or [F.lit(0)]))
+        by = Window.partitionBy(*(plain_keys or [F.lit(0)]))
         out = df.withColumn(name, (F.row_number().over(by.orderBy(order, tie)) - 1).cast("bigint"))
         return out.withColumn(total, F.count("*").over(by)) if total else out
 
     hot, order_edges, tie_edges, heavy_values = plan
-    sliced = _slice(df, keys, order, tie, hot, order_edges, tie_edges, heavy_values)
+    sliced = _slice(keyed, keys, order, tie, hot, order_edges, tie_edges, heavy_values)
     cells = keys + ["_slice", "_subslice"]
     sizes = sliced.filter("_hot").groupBy(*cells).agg(F.count("*").alias("_n"))
     # At most len(order_edges) * len(tie_edges) rows per hot key.
@@ -61,6 +63,18 @@ def with_row_index(df: DataFrame, keys, order, tie, name="row_index", total=None
     return out.select(*df.columns, *added)
 
 
+def _stand_ins(df, keys):
+    """Key columns without nulls (value and null flag), so that joins and windows treat null as a key."""
+    columns = {}
+    for i, key in enumerate(keys):
+        kind = df.schema[key].dataType
+        value = F.col(key) if isinstance(kind, T.NumericType) else F.col(key).cast("string")
+        default = F.lit(0).cast(kind) if isinstance(kind, T.NumericType) else F.lit("")
+        columns[f"_key{i}"] = F.coalesce(value, default)
+        columns[f"_null{i}"] = F.col(key).isNull()
+    return columns
+
+
 def _is_small(df, hot_rows):
     """True when the planner's size estimate leaves no room for a hot key (no job needed)."""
     try:

@@ -1,6 +1,5 @@
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from flowspark.operators import counters as C
 from flowspark.operators import metrics as M

@@ -41,6 +41,15 @@ def test_slices_give_the_plain_numbers(spark, keys, same_time, kind):
     assert plain.exceptAll(sliced).count() == 0 and sliced.count() == df.count()
 
 
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_null_can_be_the_hot_key(spark, kind):
+    df = skewed(spark).withColumn("host", F.when(F.col("host") != 1, F.col("host")).cast(kind))
+    plain = with_row_index(df, ["host"], "ts", "flow_id", total="n")
+    sliced = with_row_index(df, ["host"], "ts", "flow_id", total="n", hot_rows=50)
+    assert plain.exceptAll(sliced).count() == 0 and sliced.count() == df.count()
+    assert sliced.columns == plain.columns
+
+
 def test_hot_key_is_spread(spark):
     df = skewed(spark, same_time=True)
     sliced = with_row_index(df, ["host"], "ts", "flow_id", hot_rows=50)

@@ -67,6 +67,15 @@ def test_size_of_the_sent_side_is_checked(spark, monkeypatch):
         N.nearest_in_large(index, index.withColumnRenamed("id", "query_id"), 2, "id")
 
 
+def test_missing_vectors(spark):
+    queries, _ = vectors(spark, 8, "qid", 1)
+    holed = queries.withColumn("embedding", F.when(F.col("qid") != 2, F.col("embedding")))
+    found = {r.qid: len(r.hits) for r in N.nearest(holed, holed.withColumnRenamed("qid", "id"), 3).collect()}
+    assert found[2] == 0 and found[0] == 3
+    large = N.nearest_in_large(holed.withColumnRenamed("qid", "id"), queries.withColumnRenamed("qid", "query_id"), 8, "id")
+    assert large.filter("id = 2").count() == 0 and large.filter("query_id = 2").count() == 7
+
+
 def test_empty_index_gives_no_hits(spark):
     queries, _ = vectors(spark, 8, "qid", 1)
     assert all(r.hits == [] for r in N.nearest(queries, queries.withColumnRenamed("qid", "id"), 3, where="kind = 9").collect())
