@@ -1,6 +1,5 @@
 """Session settings that suit this package; a cluster's own settings win."""
 
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
@@ -28,15 +27,12 @@ def build_session(app_name="flowspark", master=None, **conf):
 def shared_root(spark):
     """The folder every executor can reach that spark.checkpoint.dir names.
 
-    Only a local session may go without the setting; it then gets a temporary folder.
+    Where the setting is missing, a folder beside the warehouse's tables serves, which a cluster
+    shares as well.
     """
-    context = spark.sparkContext
-    root = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    root = spark.conf.get("spark.checkpoint.dir", None)
     if root is None:
-        if not context.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="flowspark-"))
-        root = context.getCheckpointDir()
+        root = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_work"
     return root.rstrip("/")
 
 
@@ -45,13 +41,21 @@ def work_dir(spark, name):
     return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+def forget_at_exit(spark, path):
+    """Have the file system remove a folder when the application ends."""
+    jvm = spark._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(target)
+
+
 def materialise(df, name):
     """Write a table once to shared storage and go on from there.
 
     Cuts the lineage before work that passes over its input many times; unlike a cached table it
-    outlives a lost executor.
+    outlives a lost executor. The folder goes when the application ends.
     """
-    path = work_dir(df.sparkSession, name)
+    spark = df.sparkSession
+    path = work_dir(spark, name)
     df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
-
+    forget_at_exit(spark, path)
+    return spark.read.schema(df.schema).parquet(path)
