@@ -1,7 +1,8 @@
 """Set-similarity join on word n-grams with rare-first prefixes.
 
-Every text becomes a set of shingle tokens in one global order, rare shingles first. Texts with equal
-sets form a class; the join runs on classes. Two sets can only reach the similarity when they share a
+Every text becomes a set of shingle tokens in one global order, rare shingles first: shingles that many
+texts hold come last, and within both parts a shingle comes the earlier the less often its words occur
+in all texts. Texts with equal sets form a class; the join runs on classes. Two sets can only reach the similarity when they share a
 token in their prefixes, so prefixes are the index. A posting pair is dropped by three exact bounds:
 length, position (tokens before the shared one that no other prefix holds cannot be shared) and a
 suffix bound (the sets differ in at least as many tokens as their parities over 256 token ranges do).
@@ -27,40 +28,94 @@ from pyspark.sql import functions as F
 
 from flowspark.llm.components import connected_components
 from flowspark.llm.keys import columns_of, text_key
-from flowspark.llm.words import WHITE_SPACE, shingles_by_text, slices, windows, words_of
+from flowspark.llm.words import WHITE_SPACE, slices, windows, words_of
 from flowspark.session import materialise
 
-#: Shingles are counted in this many cells; only the order of the tokens depends on it.
-CELL_BITS = 18
+#: Words are counted in this many cells; only the order of the tokens depends on it.
+CELL_BITS = 20
 _CELLS = 1 << CELL_BITS
+#: A token is crowded when more texts than this hold it among the first of their order.
+CROWD = 32
+#: Sets that go to the tasks are sets of bits of this fixed size, which may let more pass.
+CROWD_BITS = 24
+_WEIGHT_SHIFT, _HASH_SHIFT = np.uint64(51), np.uint64(13)
 
 
-def shingle_ranks(docs, words):
-    """The rank of every counting cell by how many shingles of all texts fall in it, rarest first."""
+def word_weights(docs):
+    """For every counting cell 16 * log2 of how many words of all texts fall in it."""
 
     def count(batches):
         total = np.zeros(_CELLS, dtype=np.int64)
         for batch in slices(batches):
-            hashes, first = words_of(batch.column(0), WHITE_SPACE)
-            every = windows(hashes, words)
-            total += np.bincount((every & np.uint64(_CELLS - 1)).astype(np.int64), minlength=_CELLS)
+            hashes, _ = words_of(batch.column(0), WHITE_SPACE)
+            total += np.bincount((hashes & np.uint64(_CELLS - 1)).astype(np.int64), minlength=_CELLS)
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays(
             [pa.array(seen.astype(np.int32)), pa.array(total[seen])], names=["cell", "n"])
 
     counts = docs.select("text").mapInArrow(count, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n"))
     table = counts.toArrow()  # at most _CELLS rows
-    n = np.zeros(_CELLS, dtype=np.int64)
+    n = np.ones(_CELLS, dtype=np.int64)
     n[table["cell"].to_numpy()] = table["n"].to_numpy()
-    ranks = np.empty(_CELLS, dtype=np.uint64)
-    ranks[np.lexsort((np.arange(_CELLS), n))] = np.arange(_CELLS, dtype=np.uint64)
-    return ranks
+    return np.minimum(16 * np.log2(n), 800).astype(np.uint16)
 
 
-def _ordered(shingles, ranks):
-    """A text's distinct tokens, rarest first; a token is a shingle's cell rank before the rest of its hash."""
-    cells = (shingles & np.uint64(_CELLS - 1)).astype(np.int64)
-    return np.unique((ranks[cells] << np.uint64(64 - CELL_BITS)) | (shingles >> np.uint64(CELL_BITS)))
+def _tokens(shingles, weights, crowded):
+    tokens = (np.minimum(weights, 4095).astype(np.uint64) << _WEIGHT_SHIFT) | (shingles >> _HASH_SHIFT)
+    if crowded is not None:
+        tokens |= _in_bits(crowded, tokens.view(np.int64)).astype(np.uint64) << np.uint64(63)
+    return tokens
+
+
+def tokens_by_text(column, words, order):
+    """Yield each text's distinct tokens, first of the global order first."""
+    weights, crowded = order
+    hashes, first = words_of(column, WHITE_SPACE)
+    sums = np.concatenate(([0], np.cumsum(weights[(hashes & np.uint64(_CELLS - 1)).astype(np.int64)], dtype=np.int64)))
+    every = windows(hashes, words)
+    every = _tokens(every, sums[words:words + len(every)] - sums[:len(every)], crowded)
+    for a, b in zip(first[:-1], first[1:]):
+        if b - a >= words:
+            yield np.unique(every[a:b - words + 1])
+        elif b > a:
+            yield _tokens(windows(hashes[a:b], b - a), sums[b:b + 1] - sums[a:a + 1], crowded)
+        else:
+            yield every[:0]
+
+
+def _prefix(tokens, percent, share=1):
+    """The first tokens, `share` times as many as any similar set must share one of."""
+    return tokens[:share * (len(tokens) - _overlap_needed(len(tokens), percent) + 1)].view(np.int64)
+
+
+def crowded_tokens(docs, weights, words, percent):
+    """Bits of the tokens that more than CROWD texts hold within twice their prefix."""
+    sent = docs.sparkSession.sparkContext.broadcast((weights, None))
+
+    def emit(batches):
+        for batch in slices(batches):
+            found = [_prefix(t, percent, 2) for t in tokens_by_text(batch.column(0), words, sent.value) if len(t)]
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found))], names=["token"])
+
+    counts = docs.select("text").mapInArrow(emit, "token long").groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+    return _bits(counts.where(F.col("n") > CROWD).select("token"))
+
+
+def _bits(numbers):
+    """A set of long numbers as 2**CROWD_BITS bits, by the numbers' last bits."""
+    size = 1 << CROWD_BITS
+    (name,) = numbers.columns
+    at = numbers.select(F.col(name).bitwiseAND(size - 1).cast("int").alias("at")).distinct()
+    at = at.toArrow()["at"].to_numpy()  # at most 2**CROWD_BITS rows
+    bits = np.zeros(size >> 3, dtype=np.uint8)
+    np.bitwise_or.at(bits, at >> 3, (1 << (at & 7)).astype(np.uint8))
+    return bits
+
+
+def _in_bits(bits, numbers):
+    at = numbers & ((1 << CROWD_BITS) - 1)
+    return (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1
 
 
 def _parity(tokens):
@@ -79,20 +134,17 @@ def _overlap_needed(size, percent):
     return -(-size * percent // 100)
 
 
-def token_sets(docs, ranks, words, percent):
+def token_sets(docs, order, words, percent):
     """Per row: doc_id, text_id, n (set size), sig (equal for equal sets), prefix tokens and parities."""
-    sent = docs.sparkSession.sparkContext.broadcast(ranks)
+    sent = docs.sparkSession.sparkContext.broadcast(order)
 
     def build(batches):
-        order = sent.value
         for batch in slices(batches):
-            hashes, first = words_of(batch.column(1), WHITE_SPACE)
             sizes, sigs, prefixes, parities = [], [], [], []
-            for shingles in shingles_by_text(hashes, first, words):
-                tokens = _ordered(shingles, order)
+            for tokens in tokens_by_text(batch.column(1), words, sent.value):
                 sizes.append(len(tokens))
                 sigs.append(hashlib.blake2b(tokens.tobytes(), digest_size=16).digest())
-                prefixes.append(tokens[:len(tokens) - _overlap_needed(len(tokens), percent) + 1].view(np.int64))
+                prefixes.append(_prefix(tokens, percent) if len(tokens) else tokens.view(np.int64))
                 parities.append(_parity(tokens))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(2), pa.array(sizes, pa.int64()), pa.array(sigs, pa.binary()),
@@ -105,82 +157,109 @@ def token_sets(docs, ranks, words, percent):
 
 
 def _postings(classes):
-    """Prefix tokens that at least two classes hold, with what the bounds need.
+    """Prefix tokens that at least two classes hold: (token, id, n, width, free, pos).
 
-    `free` counts the tokens of the prefix before this one that some other prefix holds too.
+    `free` counts the tokens of the prefix before this one that some other prefix holds too, `width`
+    all of them.
     """
-    every = classes.select("sig", F.posexplode("prefix").alias("pos", "token"))
+    every = classes.select("id", F.posexplode("prefix").alias("pos", "token"))
     shared = every.groupBy("token").agg(F.count(F.lit(1)).alias("holders")).where("holders > 1").select("token")
-    kept = every.join(shared, "token").groupBy("sig").agg(
+    kept = every.join(shared, "token").groupBy("id").agg(
         F.sort_array(F.collect_list(F.struct("pos", "token"))).alias("tokens"))
-    per_class = kept.join(classes.select("sig", "n", "parity"), "sig")
-    return per_class.select(
-        "sig", "n", "parity", F.size("tokens").alias("width"), F.posexplode("tokens").alias("free", "t")).select(
-        "sig", "n", "parity", "width", "free", F.col("t.pos").alias("pos"), F.col("t.token").alias("token"))
+    per_class = kept.join(classes.select("id", F.col("n").cast("int").alias("n")), "id")
+    return per_class.select("id", "n", F.size("tokens").alias("width"), F.posexplode("tokens").alias("free", "t")).select(
+        F.col("t.token").alias("token"), "id", "n", "width", "free", F.col("t.pos").alias("pos"))
+
+
+def _needed(na, nb, percent):
+    """Least intersection of similar sets: intersection * (100 + percent) >= percent * (na + nb)."""
+    return F.ceil((na + nb) * percent / F.lit(100 + percent) - F.lit(1e-6))
+
 
+def _may_link(percent):
+    """The length and the position bound for a token that the sets a and b share in their prefixes."""
+    na, nb = F.col("a_n"), F.col("b_n")
+    rest = F.least(na - F.col("a_pos"), nb - F.col("b_pos"))
+    before = F.least("a_free", "b_free")
+    return (na * 100 >= nb * percent) & (nb * 100 >= na * percent) & (before + rest >= _needed(na, nb, percent))
 
-def _may_link(a, b, percent):
-    """The three bounds for a token that the sets a and b share in their prefixes."""
-    na, nb = F.col(f"{a}_n"), F.col(f"{b}_n")
-    # intersection * (100 + percent) >= percent * (na + nb)
-    need = F.ceil((na + nb) * percent / F.lit(100 + percent) - F.lit(1e-6))
-    rest = F.least(na - F.col(f"{a}_pos"), nb - F.col(f"{b}_pos"))
-    before = F.least(F.col(f"{a}_free"), F.col(f"{b}_free"))
-    differ = sum((F.bit_count(F.get(F.col(f"{a}_parity"), F.lit(i)).bitwiseXOR(F.get(F.col(f"{b}_parity"), F.lit(i))))
-                  for i in range(4)), F.lit(0))
-    return (na * 100 >= nb * percent) & (nb * 100 >= na * percent) & (before + rest >= need) & (differ <= na + nb - 2 * need)
 
+_SIDE = ("id", "n", "pos", "free")
 
-def _named(postings, side, *more):
-    names = ["sig", "n", "parity", "pos", "free"]
-    return postings.select("token", *[F.col(c).alias(f"{side}_{c}") for c in names], *more)
+
+def _side(postings, side, *more):
+    return postings.select("token", *[F.col(c).alias(f"{side}_{c}") for c in _SIDE], *more)
 
 
 def _hub_pairs(postings, percent):
     """Pairs of each class with the hub of its posting group, for its own and the next length band."""
     band = F.floor(F.log(F.col("n").cast("double")) / F.lit(math.log(100 / percent)))
     banded = postings.withColumn("band", band.cast("int"))
-    best = F.struct((-F.col("width")).alias("rank"), "sig", "n", "parity", "pos", "free")
+    best = F.struct((-F.col("width")).alias("rank"), *_SIDE)
     hubs = banded.groupBy("token", "band").agg(F.min(best).alias("h"))
     hubs = hubs.select("token", F.explode(F.array(F.col("band"), F.col("band") + 1)).alias("band"),
-                       *[F.col(f"h.{c}").alias(f"a_{c}") for c in ("sig", "n", "parity", "pos", "free")])
-    members = _named(banded, "b", "band")
-    joined = members.join(hubs, ["token", "band"]).where(F.col("a_sig") != F.col("b_sig"))
-    return joined.where(_may_link("a", "b", percent))
+                       *[F.col(f"h.{c}").alias(f"a_{c}") for c in _SIDE])
+    joined = _side(banded, "b", "band").join(hubs, ["token", "band"])
+    return joined.where((F.col("a_id") != F.col("b_id")) & _may_link(percent))
 
 
-def _cross_pairs(postings, parts, percent):
-    """Pairs of a posting group whose ends are in different components, with the bounds in the join."""
-    marked = postings.join(parts, postings["sig"] == parts["node"], "left").withColumn(
-        "part", F.coalesce("component", "sig")).drop("node", "component")
+def _cross_pairs(postings, classes, parts, percent):
+    """Pairs of a posting group whose ends are in different components, with all bounds in the join."""
+    marked = postings.join(parts, postings["id"] == parts["node"], "left").withColumn(
+        "part", F.coalesce("component", "id")).drop("node", "component")
     several = marked.groupBy("token").agg(F.min("part").alias("low"), F.max("part").alias("high"))
     marked = marked.join(several.where("low <> high").select("token"), "token")
-    a = _named(marked, "a", F.col("part").alias("a_part"))
-    b = _named(marked, "b", F.col("part").alias("b_part"))
-    return a.join(b, "token").where((F.col("a_sig") < F.col("b_sig")) & (F.col("a_part") != F.col("b_part"))).where(
-        _may_link("a", "b", percent))
+    marked = materialise(marked.join(classes.select("id", "parity"), "id"), "marked")
+    a = _side(marked, "a", F.col("part").alias("a_part"), F.col("parity").alias("pa"))
+    b = _side(marked, "b", F.col("part").alias("b_part"), F.col("parity").alias("pb"))
+    return a.join(b, "token").where(
+        (F.col("a_id") < F.col("b_id")) & (F.col("a_part") != F.col("b_part")) & _may_link(percent)
+        & _few_differ(F.col("a_n"), F.col("b_n"), percent)).select("a_id", "b_id")
+
+
+def _few_differ(na, nb, percent):
+    """The suffix bound: sets differ in at least as many tokens as their parities pa and pb do."""
+    differ = sum((F.bit_count(F.get("pa", F.lit(i)).bitwiseXOR(F.get("pb", F.lit(i)))) for i in range(4)), F.lit(0))
+    return differ <= na + nb - 2 * _needed(na, nb, percent)
+
+
+def _suffix_bound(pairs, classes, percent):
+    """The pairs whose sets differ in few enough tokens, as far as their parities tell."""
+    info = classes.select("id", "n", "parity")
+    a = info.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("parity").alias("pa"))
+    b = info.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("parity").alias("pb"))
+    return pairs.join(a, "a").join(b, "b").where(_few_differ(F.col("na"), F.col("nb"), percent)).select("a", "b")
 
 
-def _verified(pairs, docs, classes, ranks, words, percent):
+def _verified(pairs, docs, classes, order, words, percent):
     """The pairs that reach the similarity, each compared once over the whole sets."""
-    sent = docs.sparkSession.sparkContext.broadcast(ranks)
-    pairs = pairs.select(F.least("a_sig", "b_sig").alias("a"), F.greatest("a_sig", "b_sig").alias("b")).distinct()
-    pairs = materialise(pairs, "pairs")
-    ends = pairs.select(F.col("a").alias("sig")).unionByName(pairs.select(F.col("b").alias("sig"))).distinct()
-    wanted = materialise(classes.join(ends, "sig").select("text_id", "sig"), "wanted")
+    pairs = pairs.select(F.least("a_id", "b_id").alias("a"), F.greatest("a_id", "b_id").alias("b")).distinct()
+    pairs = materialise(_suffix_bound(pairs, classes, percent), "pairs")
+    ends = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
+    wanted = materialise(classes.join(ends, "id").select("text_id", "id"), "wanted")
+    bits = _bits(wanted.select(F.xxhash64("text_id").alias("h")))
+    sent = docs.sparkSession.sparkContext.broadcast((order, bits))
 
     def tokens(batches):
-        order = sent.value
+        """Token sets of the texts that may be wanted, so that only these are shuffled."""
+        order, bits = sent.value
+        done = set()
         for batch in slices(batches):
-            hashes, first = words_of(batch.column(1), WHITE_SPACE)
-            sets = [_ordered(s, order).view(np.int64) for s in shingles_by_text(hashes, first, words)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), _lists(sets)], names=["sig", "tokens"])
-
-    texts = docs.select(text_key(F.col("text")).alias("text_id"), "text").join(wanted, "text_id").select("sig", "text")
-    texts = texts.dropDuplicates(["sig"])
-    sets = materialise(texts.mapInArrow(tokens, "sig binary, tokens array<long>"), "sets")
-    left = sets.select(F.col("sig").alias("a"), F.col("tokens").alias("left"))
-    right = sets.select(F.col("sig").alias("b"), F.col("tokens").alias("right"))
+            found = np.flatnonzero(_in_bits(bits, batch.column(2).to_numpy()))
+            fresh = [i for i, key in zip(found, batch.column(0).take(pa.array(found)).to_pylist())
+                     if key not in done and not done.add(key)]
+            if len(done) > 1 << 16:
+                done.clear()
+            part = batch.take(pa.array(fresh, pa.int64()))
+            sets = [t.view(np.int64) for t in tokens_by_text(part.column(1), words, order)]
+            yield pa.RecordBatch.from_arrays([part.column(0), _lists(sets)], names=["text_id", "tokens"])
+
+    key = text_key(F.col("text"))
+    texts = docs.select(key.alias("text_id"), "text").select("text_id", "text", F.xxhash64("text_id").alias("h"))
+    sets = texts.mapInArrow(tokens, "text_id binary, tokens array<long>").join(wanted, "text_id")
+    sets = materialise(sets.groupBy("id").agg(F.first("tokens").alias("tokens")), "sets")
+    left = sets.select(F.col("id").alias("a"), F.col("tokens").alias("left"))
+    right = sets.select(F.col("id").alias("b"), F.col("tokens").alias("right"))
     both = pairs.join(left, "a").join(right, "b")
     shared = F.size(F.array_intersect("left", "right"))
     union = F.size("left") + F.size("right") - shared
@@ -195,18 +274,21 @@ def similar_groups(docs, words=3, percent=90):
     and is null for an empty set.
     """
     plain = columns_of(docs, "doc_id", "text")
-    ranks = shingle_ranks(plain, words)
-    sets = materialise(token_sets(plain, ranks, words, percent), "token_sets")
-    classes = materialise(sets.where("n > 0").groupBy("sig").agg(
+    weights = word_weights(plain)
+    order = (weights, crowded_tokens(plain, weights, words, percent))
+    sets = materialise(token_sets(plain, order, words, percent), "token_sets")
+    classes = sets.where("n > 0").groupBy("sig").agg(
         F.min("doc_id").alias("least_id"), F.first("n").alias("n"), F.first("prefix").alias("prefix"),
-        F.first("parity").alias("parity"), F.min("text_id").alias("text_id")), "classes")
+        F.first("parity").alias("parity"), F.min("text_id").alias("text_id"))
+    # the number is drawn once, when the table is written
+    classes = materialise(classes.withColumn("id", F.monotonically_increasing_id()), "classes")
     postings = materialise(_postings(classes), "postings")
-    links = materialise(_verified(_hub_pairs(postings, percent), plain, classes, ranks, words, percent), "links")
+    links = materialise(_verified(_hub_pairs(postings, percent), plain, classes, order, words, percent), "links")
     parts = materialise(connected_components(links, "a", "b"), "parts")
-    more = _verified(_cross_pairs(postings, parts, percent), plain, classes, ranks, words, percent)
+    more = _verified(_cross_pairs(postings, classes, parts, percent), plain, classes, order, words, percent)
     parts = connected_components(links.unionByName(more), "a", "b")
-    named = classes.select("sig", "least_id").join(parts, F.col("sig") == F.col("node"), "left").select(
-        "sig", "least_id", F.coalesce("component", "sig").alias("part"))
+    named = classes.select("id", "sig", "least_id").join(parts, F.col("id") == F.col("node"), "left").select(
+        "sig", "least_id", F.coalesce("component", "id").alias("part"))
     least = named.groupBy("part").agg(F.min("least_id").alias("component_id"))
     by_class = named.join(least, "part").select("sig", "component_id", "part")
     out = sets.select("doc_id", "n", "sig", "text_id").join(by_class, "sig", "left")

@@ -25,7 +25,7 @@ WHITE_SPACE = _separators([(0x20, 0x20), (0x09, 0x0D)])
 NOT_ALNUM = _separators([(0x00, 0x2F), (0x3A, 0x60), (0x7B, 0x7F)])
 
 _values = np.random.default_rng(20240607).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
-_values = _values[_lower]
+_folded_values = _values[_lower]
 _powers = {}
 
 
@@ -77,8 +77,12 @@ def word_bounds(offsets, data, separators):
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-def hash_words(data, starts, ends):
-    """A 64-bit hash of every word, A-Z taken as lower case; long buffers go piece by piece."""
+def hash_words(data, starts, ends, fold=True):
+    """A 64-bit hash of every word, A-Z taken as lower case unless fold is false.
+
+    Words must be in the order of their starts; long buffers go piece by piece.
+    """
+    values = _folded_values if fold else _values
     out = np.empty(len(starts), dtype=np.uint64)
     i = 0
     while i < len(starts):
@@ -88,7 +92,7 @@ def hash_words(data, starts, ends):
         up, down = _power_tables(len(piece) + 1)
         with np.errstate(over="ignore"):
             sums = np.zeros(len(piece) + 1, dtype=np.uint64)
-            np.cumsum(_values[piece] * up[:len(piece)], out=sums[1:])
+            np.cumsum(values[piece] * up[:len(piece)], out=sums[1:])
             s, e = starts[i:j] - base, ends[i:j] - base
             out[i:j] = mix((sums[e] - sums[s]) * down[s] + (e - s).astype(np.uint64) * _BASE)
         i = j
@@ -114,16 +118,6 @@ def windows(hashes, width):
     return out
 
 
-def shingles_by_text(hashes, first, width):
-    """Yield each text's shingle hashes: all of `width` words, or the whole text if it has fewer words."""
-    every = windows(hashes, width)
-    for a, b in zip(first[:-1], first[1:]):
-        if b - a >= width:
-            yield every[a:b - width + 1]
-        else:
-            yield windows(hashes[a:b], b - a) if b > a else every[:0]
-
-
 def slices(batches, rows=ROWS):
     """The batches in pieces of a few rows, so that what is worked on at once stays small."""
     for batch in batches:
