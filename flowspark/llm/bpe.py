@@ -3,8 +3,12 @@
 Encoding splits every text into the tokenizer's words, counts them, and encodes each distinct word
 once. Ids go back by position in two ways that together cover every word: words at least as frequent
 as a cut, at most `head_words` of them, travel to the tasks as one dictionary of bounded size; every
-other word stays in the table and its ids are joined to (text, position) rows. Decoding joins ids with
-the id-to-piece table, which the tokenizer's file bounds, and joins pieces by the file's rule.
+other word stays in the table, and its ids are joined to (text, gap) rows and put into the gaps that
+the dictionary left. Decoding joins ids with the id-to-piece table, which the tokenizer's file bounds,
+and joins pieces by the file's rule.
+
+Texts of plain characters are split over whole Arrow buffers, by the file's own word pattern put as
+character classes; any other text goes through the tokenizer's own normaliser and splitter.
 
 Special tokens that stand in a text are ids of their own, as the library has it by default.
 
@@ -13,27 +17,36 @@ result each; other columns are ignored; an empty table gives no rows. Texts are
 """
 
 import hashlib
+import json
 import re
-from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-import regex
+import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from flowspark.llm.keys import columns_of, text_key
-from flowspark.llm.words import slices
+from flowspark.llm.keys import bounded_batches, columns_of, text_key
+from flowspark.llm.words import hash_words, slices, text_buffers
 from flowspark.session import materialise
 
 #: Words in the dictionary that every task holds.
-HEAD_WORDS = 400_000
-#: Different words that a task counts before it hands them on.
+HEAD_WORDS = 1_000_000
+#: Different words that a task counts before it hands them on, and rows it splits at once.
 _HELD_WORDS = 500_000
-#: Texts of these characters alone are normal already but for case, and split the same way by any
-#: version of the Unicode tables: printable ASCII, tab, line feed, carriage return, and U+00A1 to
-#: U+024F without U+00AD and U+0130. Fixed values.
-_PLAIN = re.compile(r"[\t\n\r\x20-\x7e¡-¬®-įı-ɏ]*")
+_ROWS = 512
+#: The word pattern that the fast splitter stands for, and the characters it is meant for: printable
+#: ASCII, tab, line feed, carriage return, and the letters from U+00C0 to U+024F but for U+0130, whose
+#: lower case is one character and which no normal form changes. Fixed values.
+_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_PLAIN = r"\A[\t\n\r\x20-\x7eÀ-ÖØ-öø-įı-ɏ]*\z"
+_SPACE, _LETTER, _DIGIT, _OTHER = range(4)
+_class = np.full(256, _OTHER, dtype=np.uint8)
+_class[[9, 10, 13, 32]] = _SPACE
+_class[48:58] = _DIGIT
+_class[65:91] = _class[97:123] = _LETTER
+_class[128:] = _LETTER
 
 
 class Splitter:
@@ -43,18 +56,26 @@ class Splitter:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        size = max(self.tokenizer.get_vocab(with_added_tokens=True).values()) + 1
+        #: Ids take two bytes where the vocabulary allows it.
+        self.id_type = "<u2" if size <= 1 << 16 else "<u4"
         added = self.tokenizer.get_added_tokens_decoder()
         self.special = {t.content: i for i, t in added.items()}
         self._cut = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")")
-        #: Ids take two bytes where the vocabulary allows it.
-        self.id_type = "<u2" if max(self.tokenizer.get_vocab(with_added_tokens=True).values()) < 1 << 16 else "<u4"
-        pattern = _split_pattern(self.tokenizer)
-        self._word = regex.compile(pattern) if pattern else None
+        self.fast = self._has_known_pattern()
+        if self.tokenizer.decoder is None:
+            self.pieces = pa.array([self.tokenizer.id_to_token(i) for i in range(size)])
+            self.numbers = pa.array([str(i) for i in range(size)])
+
+    def _has_known_pattern(self):
+        shape = json.loads(self.tokenizer.to_str())
+        steps = [s["type"] for s in (shape.get("normalizer") or {}).get("normalizers", [])]
+        cuts = (shape.get("pre_tokenizer") or {}).get("pretokenizers", [])
+        return (steps == ["NFC", "Replace", "Lowercase"] and len(cuts) == 2 and cuts[0]["type"] == "Split"
+                and cuts[0]["pattern"].get("Regex") == _PATTERN and cuts[0]["behavior"] == "Removed" and cuts[0]["invert"])
 
     def words(self, text):
         """The words of a text without special tokens, as they stand after normalisation."""
-        if self._word is not None and _PLAIN.fullmatch(text):
-            return self._word.findall(text.lower())
         normal = self.tokenizer.normalizer.normalize_str(text)
         return [normal[a:b] for _, (a, b) in self.tokenizer.pre_tokenizer.pre_tokenize_str(normal)]
 
@@ -70,20 +91,89 @@ class Splitter:
                 out.extend(self.words(part))
         return out
 
+    def split(self, column):
+        return Parts(self, column)
+
     def encode_words(self, words):
         return [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
 
 
-def _split_pattern(tokenizer):
-    """The word pattern of a file that lower-cases and keeps matches only; None for any other file."""
-    import json
+class Parts:
+    """The words of a column of texts: bytes, start and end of every word, first word of every text.
 
-    shape = json.loads(tokenizer.to_str())
-    steps = [s["type"] for s in (shape.get("normalizer") or {}).get("normalizers", [])]
-    cuts = (shape.get("pre_tokenizer") or {}).get("pretokenizers", [])
-    if steps != ["NFC", "Replace", "Lowercase"] or not cuts or cuts[0]["type"] != "Split":
-        return None
-    return cuts[0]["pattern"]["Regex"] if cuts[0]["behavior"] == "Removed" and cuts[0]["invert"] else None
+    special holds the id of a special token, -1 for a word.
+    """
+
+    def __init__(self, splitter, column):
+        column = column.fill_null("")
+        plain = pc.match_substring_regex(column, _PLAIN) if splitter.fast else pa.array([False] * len(column))
+        if splitter.special:
+            marked = pc.match_substring_regex(column, "|".join(map(re.escape, splitter.special)))
+            plain = pc.and_not(plain, marked)
+        lower = pc.utf8_lower(pc.if_else(plain, column, ""))
+        offsets, self.data = text_buffers(lower)
+        self.starts, self.ends = _plain_bounds(offsets, self.data)
+        self.first = np.searchsorted(self.starts, offsets)
+        self.special = np.full(len(self.starts), -1, dtype=np.int64)
+        for row in np.flatnonzero(~plain.to_numpy(zero_copy_only=False)):
+            self._insert(int(row), splitter.parts(column[int(row)].as_py()))
+
+    def _insert(self, row, parts):
+        """Put the parts of a text that was split apart from the others in their place."""
+        words = [p.encode() if type(p) is str else b"" for p in parts]
+        ends = np.cumsum([len(w) for w in words], dtype=np.int64) + len(self.data)
+        at = self.first[row]
+        self.data = np.concatenate([self.data, np.frombuffer(b"".join(words), dtype=np.uint8)])
+        self.starts = np.insert(self.starts, at, ends - [len(w) for w in words])
+        self.ends = np.insert(self.ends, at, ends)
+        self.special = np.insert(self.special, at, [-1 if type(p) is str else p for p in parts])
+        self.first[row + 1:] += len(parts)
+
+    def hashes(self):
+        order = np.argsort(self.starts, kind="stable")  # hashing goes through the bytes in order
+        out = np.empty(len(order), dtype=np.uint64)
+        out[order] = hash_words(self.data, self.starts[order], self.ends[order], fold=False)
+        return out
+
+    def strings(self, at):
+        """The words at these places."""
+        lengths = (self.ends - self.starts)[at]
+        offsets = np.concatenate(([0], np.cumsum(lengths)))
+        data = self.data[_ragged(self.starts[at], lengths)]
+        return pa.LargeStringArray.from_buffers(
+            len(at), pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(data)).cast(pa.string())
+
+
+def _ragged(starts, lengths):
+    """start, start + 1, ... for every start, as many as its length."""
+    before = np.concatenate(([0], np.cumsum(lengths)[:-1])) if len(lengths) else lengths
+    return np.repeat(starts - before, lengths) + np.arange(int(lengths.sum()))
+
+
+def _plain_bounds(offsets, data):
+    """Word bounds of lower-cased plain texts."""
+    kind = _class[data]
+    begins = np.ones(len(data), dtype=bool)
+    begins[1:] = (kind[1:] != kind[:-1]) | (kind[1:] == _DIGIT)
+    cuts = offsets[(offsets > 0) & (offsets < len(data))]
+    begins[cuts] = True
+    # an apostrophe that begins a word takes a following s, t, m, d, re, ve or ll with it
+    quote = np.flatnonzero((data == 39) & begins)
+    if len(quote):
+        text_end = offsets[np.searchsorted(offsets, quote, "right")]
+        byte = lambda k: np.where(quote + k < text_end, data[np.minimum(quote + k, len(data) - 1)], 0)
+        one, two = byte(1), byte(2)
+        short = np.isin(one, np.frombuffer(b"stmd", dtype=np.uint8))
+        long = ((one == 114) | (one == 118)) & (two == 101) | (one == 108) & (two == 108)
+        for taken, size in ((short, 2), (long, 3)):
+            begins[quote[taken] + 1] = False
+            after = quote[taken] + size
+            after = after[after < text_end[taken]]
+            begins[after] = True
+    starts = np.flatnonzero(begins)
+    ends = np.append(starts[1:], len(data))[:len(starts)]
+    words = kind[starts] != _SPACE
+    return starts[words], ends[words]
 
 
 _splitters = {}
@@ -96,25 +186,36 @@ def splitter(path):
     return _splitters[path]
 
 
+def _merged(held):
+    """The distinct (word, count) of several lists of hashes, counts and words."""
+    hashes, counts = np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held])
+    words = pa.concat_arrays([h[2] for h in held])
+    _, at, group = np.unique(hashes, return_index=True, return_inverse=True)
+    return hashes[at], np.bincount(group, weights=counts, minlength=len(at)).astype(np.int64), words.take(pa.array(at))
+
+
 def word_table(docs, path):
     """(word, n, ids) for every distinct word of all texts; ids are little-endian numbers of id_type."""
 
     def count(batches):
-        held, cut = Counter(), splitter(path)
+        cut, held = splitter(path), []
 
-        def flush():
-            batch = pa.RecordBatch.from_arrays(
-                [pa.array(list(held), pa.string()), pa.array(list(held.values()), pa.int64())], names=["word", "n"])
+        def rows():
+            _, counts, words = _merged(held)
             held.clear()
-            return batch
-
-        for batch in slices(batches):
-            for text in batch.column(0).to_pylist():
-                if text:
-                    held.update(w for w in cut.parts(text) if type(w) is str)
-                    if len(held) > _HELD_WORDS:
-                        yield flush()
-        yield flush()
+            return pa.RecordBatch.from_arrays([words, pa.array(counts)], names=["word", "n"])
+
+        for batch in slices(batches, _ROWS):
+            parts = cut.split(batch.column(0))
+            real = np.flatnonzero(parts.special < 0)
+            hashes, at, counts = np.unique(parts.hashes()[real], return_index=True, return_counts=True)
+            held.append((hashes, counts, parts.strings(real[at])))
+            if sum(len(h[0]) for h in held) > _HELD_WORDS:
+                held = [_merged(held)]
+                if len(held[0][0]) > _HELD_WORDS // 2:
+                    yield rows()
+        if held:
+            yield rows()
 
     def encode(batches):
         cut = splitter(path)
@@ -128,7 +229,7 @@ def word_table(docs, path):
 
 
 def _head_cut(words, head_words):
-    """The least count that leaves at most head_words words at or above it.
+    """The least count that leaves at most head_words words at or above it; None if there is none.
 
     Counts are grouped by their leading bits, so the groups number a few hundred at any size.
     """
@@ -142,156 +243,165 @@ def _head_cut(words, head_words):
     return cut
 
 
+class Head:
+    """The dictionary: 64-bit hashes of words in order with their rank by count, and ids by rank."""
+
+    def __init__(self, table, id_type):
+        order = np.argsort(-table["n"].to_numpy(), kind="stable")
+        table = table.take(pa.array(order)).combine_chunks()
+        words, ids = (table[c].combine_chunks() if len(table) else pa.array([], table[c].type) for c in ("word", "ids"))
+        offsets, data = text_buffers(words)
+        hashes = hash_words(data, offsets[:-1], offsets[1:], fold=False)
+        self.ranks = np.argsort(hashes, kind="stable").astype(np.int32)
+        self.hashes = hashes[self.ranks]
+        self.flat = np.frombuffer(b"".join(ids.to_pylist()), dtype=id_type)
+        lengths = pc.binary_length(ids).to_numpy(zero_copy_only=False) // np.dtype(id_type).itemsize
+        self.ends = np.cumsum(lengths, dtype=np.int64)
+        self.lengths = lengths.astype(np.int32)
+
+    def find(self, hashes):
+        """Rank of every hash, -1 where it is not in the dictionary."""
+        if not len(self.hashes):
+            return np.full(len(hashes), -1)
+        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+        return np.where(self.hashes[at] == hashes, self.ranks[at], -1)
+
+
+def _head(words, cut):
+    """The words with n >= cut, at most head_words of them."""
+    return words.where(F.lit(False) if cut is None else F.col("n") >= F.lit(cut)).toArrow()
+
+
+def _codes(parts, head):
+    """A number for every word: 0 for a gap, odd ones for special tokens, even ones for ranks."""
+    rank = head.find(parts.hashes())
+    return np.where(parts.special >= 0, 2 * parts.special + 1, 2 * rank + 2).astype("<u4")
+
+
+def _ids(codes, head, fill, id_type):
+    """The ids that the codes of a text stand for, gaps filled with the given ids in order."""
+    gaps, special = np.flatnonzero(codes == 0), codes % 2 == 1
+    if len(gaps) != len(fill):
+        raise ValueError(f"{len(gaps)} gaps and {len(fill)} words for them")
+    more = [np.frombuffer(f["ids"], dtype=id_type) for f in fill]
+    flat = np.concatenate([head.flat, (codes[special] // 2).astype(id_type), *more]) if len(gaps) or special.any() else head.flat
+    rank = np.maximum(codes.astype(np.int64) // 2 - 1, 0)
+    rank[special] = 0
+    lengths = head.lengths[rank].astype(np.int64) if len(head.lengths) else np.zeros(len(codes), dtype=np.int64)
+    starts = (head.ends[rank] if len(head.ends) else 0) - lengths
+    lengths[special], lengths[gaps] = 1, [len(m) for m in more]
+    starts[special] = len(head.flat) + np.arange(int(special.sum()))
+    if len(gaps):
+        starts[gaps] = len(flat) - np.cumsum([len(m) for m in more[::-1]])[::-1]
+    return flat[_ragged(starts, lengths)].tobytes()
+
+
 def encode(docs, path, head_words=HEAD_WORDS, keep=("doc_id",)):
-    """The kept columns with ids: a binary of little-endian token ids per row, two bytes each
-    where the vocabulary has at most 65,536 ids and four bytes otherwise."""
+    """The kept columns with ids: a binary of little-endian token ids per row, two bytes each where the
+    vocabulary has at most 65,536 ids and four bytes otherwise.
+    """
+    bounded_batches(docs.sparkSession)
     plain = columns_of(docs, *keep, "text")
-    spark = docs.sparkSession
     words = word_table(plain, path)
-    cut = _head_cut(words, head_words)
-    table = words.where(F.col("n") >= F.lit(cut)).select("word", "ids").toArrow() if cut is not None else None
-    sent = spark.sparkContext.broadcast(table)
-    is_tail = F.lit(True) if cut is None else F.col("n") < F.lit(cut)
-    tail = words.where(is_tail).select("word", "ids")
+    cut_at = _head_cut(words, head_words)
+    id_type = splitter(path).id_type
+    sent = docs.sparkSession.sparkContext.broadcast(Head(_head(words, cut_at), id_type))
+    tail = words.where(F.lit(True) if cut_at is None else F.col("n") < F.lit(cut_at)).select("word", "ids")
 
     def rare(batches):
-        """(text, places, word) for the words outside the dictionary."""
-        head, cut = _dictionary(sent), splitter(path)
-        for batch in slices(batches):
-            keys, names, places = [], [], []
-            for key, text in zip(batch.column(0), batch.column(1).to_pylist()):
-                found = {}
-                for place, word in enumerate(cut.parts(text) if text else ()):
-                    if type(word) is str and word not in head:
-                        found.setdefault(word, []).append(place)
-                keys.extend([key] * len(found))
-                names.extend(found)
-                places.extend(found.values())
+        """(text_id, gap, word) for the words outside the dictionary, gaps counted within the text."""
+        head, cut = sent.value, splitter(path)
+        for batch in slices(batches, _ROWS):
+            parts = cut.split(batch.column(1))
+            gaps = np.flatnonzero((head.find(parts.hashes()) < 0) & (parts.special < 0))
+            text = np.searchsorted(parts.first, gaps, "right") - 1
+            number = np.arange(len(gaps)) - np.searchsorted(gaps, parts.first[text])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(keys, pa.binary()), pa.array(names, pa.string()), pa.array(places, pa.list_(pa.int32()))],
-                names=["text_id", "word", "places"])
+                [batch.column(0).take(pa.array(text)), pa.array(number.astype(np.int32)), parts.strings(gaps)],
+                names=["text_id", "gap", "word"])
 
     keyed = plain.select(text_key(F.col("text")).alias("text_id"), "text")
-    holes = keyed.mapInArrow(rare, "text_id binary, word string, places array<int>").dropDuplicates(["text_id", "word"])
-    filled = holes.join(tail, "word").groupBy("text_id").agg(
-        F.collect_list(F.struct("places", "ids")).alias("fill"))
+    holes = keyed.mapInArrow(rare, "text_id binary, gap int, word string")
+    filled = holes.join(tail, "word").dropDuplicates(["text_id", "gap"]).groupBy("text_id").agg(
+        F.sort_array(F.collect_list(F.struct("gap", "ids"))).alias("fill"))
+
+    names = [*keep, "text_id", "text"]
+    kinds = dict(plain.dtypes)
 
     def known(batches):
-        """The ids of a text with a gap for every word outside the dictionary, and the gaps' places."""
-        head, cut = _dictionary(sent), splitter(path)
-        for batch in slices(batches):
-            ids, gaps, offsets = [], [], []
-            for text in batch.column(names.index("text")).to_pylist():
-                parts = cut.parts(text) if text else ()
-                found = [head.get(w) if type(w) is str else np.array([w], dtype=cut.id_type).tobytes() for w in parts]
-                missing = [i for i, f in enumerate(found) if f is None]
-                ids.append(b"".join([f for f in found if f is not None]))
-                gaps.append(missing)
-                if missing:
-                    lengths = np.cumsum([0 if f is None else len(f) for f in found])
-                    offsets.append(lengths[missing].tolist())
-                else:
-                    offsets.append([])
+        """The packed codes of every text, which take less room than its ids."""
+        head, cut, pack = sent.value, splitter(path), zstandard.ZstdCompressor(level=3)
+        for batch in slices(batches, _ROWS):
+            parts = cut.split(batch.column(len(keep) + 1))
+            codes = _codes(parts, head)
+            # the bytes of one significance together: the upper ones are mostly zero
+            packed = [pack.compress(codes[a:b].view(np.uint8).reshape(-1, 4).T.tobytes()) for a, b in zip(parts.first[:-1], parts.first[1:])]
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(i) for i, n in enumerate(names) if n != "text"), pa.array(ids, pa.binary()),
-                 pa.array(gaps, pa.list_(pa.int32())), pa.array(offsets, pa.list_(pa.int64()))],
-                names=[*(n for n in names if n != "text"), "ids", "gaps", "offsets"])
+                [*(batch.column(i) for i in range(len(keep) + 1)), pa.array(packed, pa.binary())], names=[*names[:-1], "codes"])
 
-    names = [*keep, "text_id", "text"]
-    kinds = dict(plain.dtypes)
-    schema = ", ".join([*(f"`{n}` {kinds[n]}" for n in keep), "text_id binary", "ids binary", "gaps array<int>", "offsets array<long>"])
-    coded = plain.select(*keep, text_key(F.col("text")).alias("text_id"), "text").mapInArrow(known, schema)
-    joined = coded.join(filled, "text_id", "left").select(*keep, "ids", "gaps", "offsets", "fill")
+    kept = [f"`{n}` {kinds[n]}" for n in keep]
+    coded = plain.select(*keep, text_key(F.col("text")).alias("text_id"), "text").mapInArrow(
+        known, ", ".join([*kept, "text_id binary", "codes binary"]))
+    joined = coded.join(filled, "text_id", "left").select(*keep, "codes", "fill")
 
     def fill(batches):
+        head, unpack = sent.value, zstandard.ZstdDecompressor()
         for batch in slices(batches):
-            at = len(keep)
             out = []
-            for ids, gaps, offsets, parts in zip(*(batch.column(at + k).to_pylist() for k in range(4))):
-                out.append(_filled(ids, gaps, offsets, parts) if gaps else ids)
+            for packed, parts in zip(batch.column(len(keep)).to_pylist(), batch.column(len(keep) + 1).to_pylist()):
+                codes = np.frombuffer(unpack.decompress(packed), dtype=np.uint8).reshape(4, -1).T.copy().view("<u4").ravel()
+                out.append(_ids(codes, head, parts or [], id_type))
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(i) for i in range(at)), pa.array(out, pa.binary())], names=[*keep, "ids"])
-
-    return joined.mapInArrow(fill, ", ".join([*(f"`{n}` {kinds[n]}" for n in keep), "ids binary"]))
+                [*(batch.column(i) for i in range(len(keep))), pa.array(out, pa.binary())], names=[*keep, "ids"])
 
+    return joined.mapInArrow(fill, ", ".join([*kept, "ids binary"]))
 
-_dictionaries = {}
 
+def _joined(table, column, id_type):
+    """For every row of ids the entries of a table at these ids with spaces between."""
+    sizes = pc.binary_length(column).to_numpy(zero_copy_only=False) // np.dtype(id_type).itemsize
+    ids = np.frombuffer(b"".join(column.to_pylist()), dtype=id_type)
+    offsets = np.concatenate(([0], np.cumsum(sizes))).astype(np.int64)
+    rows = pa.LargeListArray.from_arrays(pa.array(offsets), table.take(pa.array(ids)))
+    return pc.binary_join(rows, " ")
 
-def _dictionary(sent):
-    """The words of the broadcast table with their ids; kept for the next task of the process."""
-    if sent.value is None:
-        return {}
-    if _dictionaries.get("of") is not sent.value:
-        table = sent.value
-        _dictionaries["words"] = dict(zip(table["word"].to_pylist(), table["ids"].to_pylist()))
-        _dictionaries["of"] = table
-    return _dictionaries["words"]
 
-
-def _filled(ids, gaps, offsets, parts):
-    by_place = {p: part["ids"] for part in parts for p in part["places"]}
-    out, last = [], 0
-    for place, offset in zip(gaps, offsets):
-        out += (ids[last:offset], by_place[place])
-        last = offset
-    out.append(ids[last:])
-    return b"".join(out)
+def _pieces(path):
+    cut = splitter(path)
+    if cut.tokenizer.decoder is not None:
+        raise ValueError("decode is defined for files without a decoder, whose pieces are joined by spaces")
+    return cut.pieces
 
 
 def decode(coded, path, keep=("doc_id",)):
     """The kept columns with text: the pieces of the ids, joined as the library's decode joins them."""
-    names = [*keep, "ids"]
-    plain = columns_of(coded, *names)
+    plain = columns_of(coded, *keep, "ids")
     kinds = dict(plain.dtypes)
 
     def pieces(batches):
         for batch in slices(batches):
-            texts = [_joined(_pieces(path), ids, path) for ids in batch.column(len(keep)).to_pylist()]
+            texts = _joined(_pieces(path), batch.column(len(keep)).fill_null(b""), splitter(path).id_type)
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(i) for i in range(len(keep))), pa.array(texts, pa.string())], names=[*keep, "text"])
+                [*(batch.column(i) for i in range(len(keep))), texts.cast(pa.string())], names=[*keep, "text"])
 
     return plain.mapInArrow(pieces, ", ".join([*(f"`{n}` {kinds[n]}" for n in keep), "text string"]))
 
 
-def _joined(table, ids, path):
-    """The entries of a table at these ids with spaces between."""
-    return " ".join(table.take(pa.array(np.frombuffer(ids, dtype=splitter(path).id_type))).to_pylist())
-
-
-_tables = {}
-
-
-def _pieces(path):
-    """The id-to-piece table as an Arrow array, the id being the place."""
-    if path not in _tables:
-        tokenizer = splitter(path).tokenizer
-        if tokenizer.decoder is not None:
-            raise ValueError("decode is defined for files without a decoder, whose pieces are joined by spaces")
-        size = max(tokenizer.get_vocab(with_added_tokens=True).values()) + 1
-        _tables[path] = pa.array([tokenizer.id_to_token(i) for i in range(size)])
-    return _tables[path]
-
-
 def digests(docs, path, head_words=HEAD_WORDS):
     """Per document: doc_id, n_tokens, ids_sha256, decoded_sha256."""
     coded = encode(docs, path, head_words)
     kind = dict(columns_of(docs, "doc_id").dtypes)["doc_id"]
+    _pieces(path)
 
     def digest(batches):
-        pieces = _pieces(path)
-        numbers = pa.array([str(i) for i in range(len(pieces))])
-        size = np.dtype(splitter(path).id_type).itemsize
-        for batch in slices(batches):
-            rows = [(len(ids) // size, _sha(_joined(numbers, ids, path)), _sha(_joined(pieces, ids, path)))
-                    for ids in batch.column(1).to_pylist()]
+        cut = splitter(path)
+        size = np.dtype(cut.id_type).itemsize
+        for batch in slices(batches, 128):
+            ids = batch.column(1)
+            counts = pa.array(pc.binary_length(ids).to_numpy(zero_copy_only=False).astype(np.int64) // size)
+            hashed = [pa.array([hashlib.sha256(t.as_buffer()).hexdigest() for t in _joined(table, ids, cut.id_type)], pa.string())
+                      for table in (cut.numbers, cut.pieces)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.string()),
-                 pa.array([r[2] for r in rows], pa.string())],
-                names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+                [batch.column(0), counts, *hashed], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return coded.mapInArrow(digest, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
-
-
-def _sha(text):
-    return hashlib.sha256(text.encode()).hexdigest()

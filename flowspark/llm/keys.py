@@ -11,3 +11,10 @@ def text_key(text):
 def columns_of(docs, *names):
     """The named columns alone, so that further columns of any name are neither read nor clash."""
     return docs.select(*[F.col(f"`{n}`") for n in names])
+
+
+def bounded_batches(spark, rows=1000):
+    """Lower Spark's default of 10,000 rows in an Arrow batch, as whole texts are long; another setting stays."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, str(rows))
