@@ -32,7 +32,7 @@ from flowspark.llm.words import hash_words, slices, text_buffers
 from flowspark.session import materialise
 
 #: Words in the dictionary that every task holds.
-HEAD_WORDS = 1_000_000
+HEAD_WORDS = 500_000
 #: Different words that a task counts before it hands them on, and rows it splits at once.
 _HELD_WORDS = 500_000
 _ROWS = 512
