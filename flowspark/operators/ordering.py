@@ -16,8 +16,6 @@ from pyspark.sql import types as T
 HOT_ROWS = 2_000_000
 MAX_HOT_KEYS = 100_000
 MAX_SLICES = 4096
-# A compressed row takes at least this much; fewer bytes than hot_rows of them hold no hot key.
-MIN_ROW_BYTES = 8
 
 _INF = float("inf")
 
@@ -33,7 +31,7 @@ def with_row_index(df: DataFrame, keys, order, tie, name="row_index", total=None
     stand_ins = _stand_ins(df, keys)
     keyed, plain_keys = df.withColumns(stand_ins) if stand_ins else df, list(keys)
     keys = list(stand_ins)
-    plan = None if _is_small(df, hot_rows) else _hot_plan(keyed, keys, order, tie, hot_rows, max_slices)
+    plan = _hot_plan(keyed, keys, order, tie, hot_rows, max_slices)
     if plan is None:
         by = Window.partitionBy(*(plain_keys or [F.lit(0)]))
         out = df.withColumn(name, (F.row_number().over(by.orderBy(order, tie)) - 1).cast("bigint"))
@@ -75,15 +73,6 @@ def _stand_ins(df, keys):
     return columns
 
 
-def _is_small(df, hot_rows):
-    """True when the planner's size estimate leaves no room for a hot key (no job needed)."""
-    try:
-        size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    except Exception:
-        return False
-    return size <= hot_rows * MIN_ROW_BYTES
-
-
 def _as_number(df, column):
     kind = df.schema[column].dataType
     value = F.col(column)

@@ -95,17 +95,15 @@ def log_type_map(df: DataFrame, keys):
 
 
 def label_counts(df: DataFrame, label="label_id"):
-    """Rows per class for all classes, absent ones as 0: one row of 15 counters, turned into rows."""
-    wide = df.agg(*[F.count_if(F.col(label) == c).alias(f"c{c}") for c in range(N_CLASSES)])
-    rows = F.array(*[
-        F.struct(F.lit(c).alias("label_id"), F.col(f"c{c}").alias("n")) for c in range(N_CLASSES)
-    ])
-    return wide.select(F.explode(rows).alias("r")).select("r.*")
+    """Rows per class: all known classes, absent ones as 0, and any other id or null that occurs."""
+    found = df.groupBy(F.col(label).cast("int").alias("label_id")).agg(F.count("*").alias("n"))
+    known = df.sparkSession.range(N_CLASSES).select(F.col("id").cast("int").alias("label_id"), F.lit(0).cast("bigint").alias("n"))
+    return found.unionByName(known).groupBy("label_id").agg(F.sum("n").alias("n"))
 
 
 def label_distribution(df: DataFrame, label="label_id", min_samples=2):
     """Per class: name, count, share and whether it is empty or rare."""
-    # Always 15 rows, so the window over all of them is small.
+    # One row per class, so the window over all of them is small.
     everything = Window.partitionBy(F.lit(1))
     return label_counts(df, label).select(
         "label_id", label_name(F.col("label_id")).alias("label_name"), "n",

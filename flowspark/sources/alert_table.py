@@ -2,6 +2,8 @@
 
 Each change writes a new snapshot folder and never touches the one it reads. A snapshot counts
 once its _SUCCESS marker exists, so a job that dies half-way leaves the previous one in force.
+A stream's batches are listed in a ledger beside the snapshots that took them in; an entry counts
+once its snapshot does, so a batch that is handed in again is left out.
 """
 
 import logging
@@ -100,15 +102,30 @@ class AlertTable:
     def _write(self, alerts, version):
         alerts.coalesce(1).write.mode("overwrite").parquet(f"{self.root}/snapshot={version}")
 
-    def record(self, batch: DataFrame, source=None, version=None):
-        """Add a batch. With a version (a stream's batch id) a repeated call gives the same snapshot."""
-        base = self.version() if version is None else max(-1, version - 1)
+    def _stored(self, writer, batch_id, base):
+        if not files.glob(self.spark, f"{self.root}/ledger/snapshot=*/_SUCCESS"):
+            return False
+        ledger = self.spark.read.schema("writer string, batch_id bigint, snapshot int").parquet(f"{self.root}/ledger")
+        mine = (F.col("writer") == writer) & (F.col("batch_id") == batch_id) & (F.col("snapshot") <= base)
+        return not ledger.filter(mine).isEmpty()
+
+    def record(self, batch: DataFrame, source=None, batch_id=None, writer="stream"):
+        """Add a batch to the snapshot in force, whoever wrote that.
+
+        A stream names itself and its batch; a batch that is stored already changes nothing.
+        """
+        base = self.version()
+        if batch_id is not None:
+            if self._stored(writer, batch_id, base):
+                return
+            entry = self.spark.createDataFrame([(writer, batch_id)], "writer string, batch_id bigint")
+            entry.coalesce(1).write.mode("overwrite").parquet(f"{self.root}/ledger/snapshot={base + 1}")
         self._write(upsert(self.read(base), normalise_alerts(batch, source), self.max_alerts), base + 1)
 
-    def record_safely(self, batch: DataFrame, source=None, version=None):
+    def record_safely(self, batch: DataFrame, source=None, batch_id=None, writer="stream"):
         """record for callers whose detection must go on when the table cannot be written."""
         try:
-            self.record(batch, source, version)
+            self.record(batch, source, batch_id, writer)
             return True
         except Exception as error:
             log.warning("alerts were not stored: %s", error)

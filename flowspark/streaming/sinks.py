@@ -18,9 +18,9 @@ def start_counters(events: DataFrame, name, checkpoint, trigger=None):
 
 
 def start_alerts(alerts: DataFrame, table: AlertTable, checkpoint, source="stream", trigger=None):
-    """Upsert a stream of alerts; the batch id is the snapshot number, so a repeat changes nothing."""
+    """Upsert a stream of alerts; the checkpoint names the stream, so a repeated batch changes nothing."""
     return (
-        alerts.writeStream.foreachBatch(lambda batch, batch_id: table.record(batch, source, batch_id))
+        alerts.writeStream.foreachBatch(lambda batch, batch_id: table.record(batch, source, batch_id, checkpoint))
         .option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
     )
 

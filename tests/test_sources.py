@@ -159,9 +159,9 @@ def test_alert_retention_and_null_ids(spark, store):
 
 def test_repeated_batch_gives_the_same_snapshot(spark, store):
     batch = spark.createDataFrame([REST, STREAM], ALERT)
-    store.record(batch, "stream", version=0)
+    store.record(batch, "stream", batch_id=0)
     first = store.read().collect()
-    store.record(batch, "stream", version=0)
+    store.record(batch, "stream", batch_id=0)
     assert store.read().collect() == first and store.version() == 0
 
 
@@ -174,3 +174,26 @@ def test_write_failure_is_not_fatal(spark, tmp_path):
 def test_bulky_part_is_not_stored(spark, store):
     store.record(spark.createDataFrame([REST], ALERT).withColumn("threat_intelligence", F.lit("long")), "rest")
     assert "threat_intelligence" not in store.read().first().raw
+
+
+def test_alert_table_keeps_what_streams_and_requests_share(spark, tmp_path):
+    store = A.AlertTable(spark, str(tmp_path / "shared"))
+
+    def one(name, ts):
+        return spark.createDataFrame([REST], ALERT).withColumn("alert_uuid", F.lit(name)).withColumn("ts", F.lit(float(ts)))
+
+    def ids():
+        return sorted(r["alert_uuid"] for r in store.read().collect())
+
+    store.record(one("r1", 1), "rest")
+    store.record(one("r2", 2), "rest")
+    store.record(one("s0", 3), "stream", batch_id=0, writer="a")
+    assert ids() == ["r1", "r2", "s0"]
+    store.record(one("r3", 4), "rest")
+    store.record(one("s1", 5), "stream", batch_id=1, writer="a")
+    store.record(one("s1", 5), "stream", batch_id=1, writer="a")
+    store.record(one("t1", 6), "stream", batch_id=1, writer="b")
+    assert ids() == ["r1", "r2", "r3", "s0", "s1", "t1"]
+    store.clear()
+    store.record(one("s2", 7), "stream", batch_id=2, writer="a")
+    assert ids() == ["s2"]
