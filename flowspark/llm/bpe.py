@@ -279,11 +279,11 @@ def _codes(parts, head):
 
 
 def _ids(codes, head, fill, id_type):
-    """The ids that the codes of a text stand for, gaps filled with the given ids in order."""
+    """The ids that the codes of a text stand for, gaps filled with the given entries (gap, ids) in order."""
     gaps, special = np.flatnonzero(codes == 0), codes % 2 == 1
     if len(gaps) != len(fill):
         raise ValueError(f"{len(gaps)} gaps and {len(fill)} words for them")
-    more = [np.frombuffer(f["ids"], dtype=id_type) for f in fill]
+    more = [np.frombuffer(f, dtype=id_type, offset=4) for f in fill]
     flat = np.concatenate([head.flat, (codes[special] // 2).astype(id_type), *more]) if len(gaps) or special.any() else head.flat
     rank = np.maximum(codes.astype(np.int64) // 2 - 1, 0)
     rank[special] = 0
@@ -322,8 +322,10 @@ def encode(docs, path, head_words=HEAD_WORDS, keep=("doc_id",)):
 
     keyed = plain.select(text_key(F.col("text")).alias("text_id"), "text")
     holes = keyed.mapInArrow(rare, "text_id binary, gap int, word string")
-    filled = holes.join(tail, "word").dropDuplicates(["text_id", "gap"]).groupBy("text_id").agg(
-        F.sort_array(F.collect_list(F.struct("gap", "ids"))).alias("fill"))
+    # four bytes of the gap's number, highest first, and the ids; the set leaves one of what copies of a text repeat
+    entry = F.concat(F.unhex(F.lpad(F.hex("gap"), 8, "0")), F.col("ids"))
+    filled = holes.join(tail, "word").select("text_id", entry.alias("entry")).groupBy("text_id").agg(
+        F.sort_array(F.collect_set("entry")).alias("fill"))
 
     names = [*keep, "text_id", "text"]
     kinds = dict(plain.dtypes)
