@@ -51,11 +51,12 @@ def one_per_id(spark, sf_dir):
 
 
 def upserted(spark, sf_dir):
-    """Table after a second batch that updates ids of the first."""
+    """Table after three batches, the later ones updating ids of the earlier; the second is the newest."""
     alerts = alerts_of(spark, sf_dir)
     store = AlertTable(spark, work_dir(spark, "alert-table"))
     store.record(alerts.filter("session_id % 3 = 0"))
-    store.record(alerts.filter("session_id % 3 = 1").withColumn("ts", F.col("ts") + 1e6))
+    store.record(alerts.filter("session_id % 3 = 2").withColumn("ts", F.col("ts") + 1e6))
+    store.record(alerts.filter("session_id % 3 = 1").withColumn("ts", F.col("ts") + 2e6))
     return store.read().select("alert_uuid", "session_id", "ts", "attack_id", "verdict")
 
 
@@ -195,7 +196,7 @@ QUERIES = {
     "verdicts": (verdicts, f"{_ALERTS}\nSELECT session_id, ground_truth, verdict FROM judged"),
     "alert_dedup": (one_per_id, f"{_ALERTS}\nSELECT alert_uuid, session_id, ts, attack_id, verdict FROM latest"),
     "alert_upsert": (upserted, f"""{_ALERTS},
-again AS (SELECT * REPLACE (ts + CASE WHEN session_id % 3 = 1 THEN 1e6 ELSE 0e0 END AS ts) FROM judged WHERE session_id % 3 < 2),
+again AS (SELECT * REPLACE (ts + CASE session_id % 3 WHEN 1 THEN 2e6 WHEN 2 THEN 1e6 ELSE 0e0 END AS ts) FROM judged),
 one AS (SELECT * FROM again QUALIFY row_number() OVER (PARTITION BY alert_uuid ORDER BY ts DESC) = 1)
 SELECT alert_uuid, session_id, ts, attack_id, verdict FROM one ORDER BY ts DESC LIMIT {MAX_ALERTS}"""),
     "alert_recent": (recent, f"{_ALERTS}\n{_RECENT} ORDER BY ts DESC LIMIT 50"),
@@ -216,7 +217,8 @@ SELECT attack_name, n, round(n * 100 / CAST(max(n) OVER () AS DOUBLE), 1) AS bar
 e AS (SELECT session_id, unnest(probs) AS p, unnest(range(15)) AS c FROM preds),
 t AS (SELECT session_id, string_agg(CAST(c AS VARCHAR), ',' ORDER BY p DESC, c) AS top_predictions FROM
   (SELECT * FROM e QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY p DESC, c) <= 3) GROUP BY 1)
-SELECT session_id, substr(sha256(CAST(session_id AS VARCHAR)), 1, 8) AS alert_uuid, session_id + 1700000000e0 AS ts,
+SELECT session_id, sha256(CAST(session_id AS VARCHAR)) AS alert_uuid,
+  substr(sha256(CAST(session_id AS VARCHAR)), 1, 8) AS short_id, session_id + 1700000000e0 AS ts,
   y_pred AS attack_id, {_NAMES}[y_pred + 1] AS attack_name, round(probs[y_pred + 1], 4) AS confidence,
   y_pred <> 0 AS is_attack, CAST(20 AS INT) AS n_flows, top_predictions FROM preds JOIN t USING (session_id)"""),
     "alert_json": (alert_text, f"{_ALERTS}\nSELECT session_id, alert_uuid, attack_id, attack_name, true AS intel_left_out FROM alerts"),

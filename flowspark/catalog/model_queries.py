@@ -9,7 +9,7 @@ from flowspark.functions.labels import label_name
 from flowspark.functions.scores import confidence
 from flowspark.functions.text import explanation_report
 from flowspark.operators.explain import (
-    event_weights, model_importance, occlusion, permutation_importance, sample_rows, top_events, weight_entropy,
+    event_weights, model_importance, occlusion, permutation_importance, top_events, weight_entropy,
 )
 from flowspark.operators.metrics import summary_metrics
 from flowspark.operators.scaling import FeatureScaler
@@ -114,9 +114,9 @@ def importance(spark, sf_dir):
 
 
 def shuffled_importance(spark, sf_dir):
-    """Accuracy lost when a statistic is shuffled among 500 sessions."""
+    """Accuracy lost when a statistic is shuffled among all sessions."""
     rows, model = _fitted(spark, sf_dir)
-    return permutation_importance(model.score_index, sample_rows(rows, 500, "sid"), list(STAT_NAMES), "label", "sid")
+    return permutation_importance(model.score_index, rows, list(STAT_NAMES), "label", "sid")
 
 
 def _means(rows):

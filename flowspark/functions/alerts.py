@@ -28,8 +28,13 @@ def binary_truth(has_attack: Column) -> Column:
 
 
 def alert_id(*key: Column) -> Column:
-    """Eight hex characters that depend only on the key, so that a retried job repeats them."""
-    return F.substring(F.sha2(F.concat_ws("|", *[k.cast("string") for k in key]), 256), 1, 8)
+    """A hash that depends only on the key, so that a retried job repeats it; the alert table's key."""
+    return F.sha2(F.concat_ws("|", *[k.cast("string") for k in key]), 256)
+
+
+def short_id(alert_uuid: Column) -> Column:
+    """Eight characters of an alert id to show; different alerts may share them."""
+    return F.substring(alert_uuid, 1, 8)
 
 
 def stream_alert_id(n: Column) -> Column:
@@ -60,6 +65,7 @@ def alert_fields(alert_uuid: Column, ts: Column, class_id: Column, probs: Column
     """The scalar fields every alert carries, as named columns."""
     return [
         alert_uuid.alias("alert_uuid"),
+        short_id(alert_uuid).alias("short_id"),
         ts.cast("double").alias("ts"),
         class_id.cast("int").alias("attack_id"),
         label_name(class_id, F.lit("Unknown")).alias("attack_name"),

@@ -4,6 +4,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowspark.functions.scores import attention_entropy
+from flowspark.operators.ordering import with_row_index
 from flowspark.operators.sampling import hash_hex, hash_unit
 
 
@@ -45,19 +46,17 @@ def sample_rows(df: DataFrame, n, id_column, seed=42):
     return df.orderBy(hash_hex(seed, id_column), id_column).limit(n)
 
 
-def permutation_importance(scored_by, sample: DataFrame, columns, label, id_column, seed=42):
-    """Loss of accuracy when one column is shuffled among the sampled rows.
+def permutation_importance(scored_by, rows: DataFrame, columns, label, id_column, seed=42):
+    """Loss of accuracy when one column is shuffled among all rows.
 
     scored_by turns rows with the feature columns into rows with `prediction`. All shuffled copies
-    are scored in one pass. The sample is a bounded set (500 rows), so two row numbers over it pair
-    each row with another row's values.
+    are scored in one pass. Two numberings of the rows, by id and in hash order, pair each row with
+    another row's values; id_column is a number column.
     """
-    everyone = Window.partitionBy(F.lit(1))
-    here = sample.withColumn("_r", F.row_number().over(everyone.orderBy(id_column)))
-    donors = sample.select(
-        F.row_number().over(everyone.orderBy(hash_unit(seed, id_column), id_column)).alias("_r"),
-        *[F.col(c).alias(f"_donor_{c}") for c in columns],
-    )
+    here = with_row_index(rows, (), id_column, id_column, "_r")
+    drawn = rows.select(F.col(id_column).alias("_id"), hash_unit(seed, id_column).alias("_u"),
+                        *[F.col(c).alias(f"_donor_{c}") for c in columns])
+    donors = with_row_index(drawn, (), "_u", "_id", "_r").drop("_id", "_u")
     paired = here.join(donors, "_r")
     names = F.array(F.lit(""), *[F.lit(c) for c in columns])
     copies = paired.withColumn("feature", F.explode(names))

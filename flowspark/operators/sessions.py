@@ -7,6 +7,9 @@ from flowspark.functions.labels import label_name
 from flowspark.operators.ordering import HOT_ROWS, with_row_index
 from flowspark.schema import N_CLASSES, SESSION_SIZE, TRUNCATION_POINTS
 
+#: Stands for every label id that is none of the known classes; it counts as an attack.
+OTHER_CLASS = N_CLASSES
+
 
 def sessionize(flows: DataFrame, size=SESSION_SIZE, stride=None, keys=("host",), order="ts", tie="flow_id",
                hot_rows=HOT_ROWS):
@@ -40,20 +43,25 @@ def benign_sessions(flows: DataFrame, **options):
 
 
 def class_counts(label="label_id"):
-    """One count per class as an array column, for use inside an aggregate."""
-    return F.expr(f"array({', '.join(f'count_if({label} = {c})' for c in range(N_CLASSES))})")
+    """One count per class as an array column, for use inside an aggregate; the last is OTHER_CLASS."""
+    known = [f"count_if({label} = {c})" for c in range(N_CLASSES)]
+    return F.expr(f"array({', '.join(known)}, count_if({label} NOT BETWEEN 0 AND {N_CLASSES - 1}))")
 
 
 def majority_label(counts):
-    """Most frequent class; with any attack present, the most frequent attack. Ties: lowest id."""
-    attacks = F.slice(counts, 2, N_CLASSES - 1)
+    """Most frequent class; with any attack present, the most frequent attack. Ties: lowest id.
+
+    Null when no flow has a label.
+    """
+    attacks = F.slice(counts, 2, N_CLASSES)
     top = F.array_max(attacks)
-    return F.when(top > 0, F.array_position(attacks, top)).otherwise(0).cast("int")
+    benign = F.when(F.element_at(counts, 1) > 0, 0)
+    return F.when(top > 0, F.array_position(attacks, top)).otherwise(benign).cast("int")
 
 
 def attack_ids(counts):
-    """Sorted ids of the attack classes with a non-zero count."""
-    ids = F.sequence(F.lit(1), F.lit(N_CLASSES - 1))
+    """Sorted ids of the attack classes with a non-zero count, OTHER_CLASS among them."""
+    ids = F.sequence(F.lit(1), F.lit(OTHER_CLASS))
     return F.filter(ids, lambda c: F.element_at(counts, c + 1) > 0)
 
 
@@ -77,11 +85,13 @@ def session_truth(session_flows: DataFrame, keys=("host", "session_idx"), label=
     per_label = session_flows.groupBy(*keys, label).agg(
         F.count("*").alias("_n"), F.min("pos").alias("_first")
     )
+    # A map takes no null key.
+    name = F.coalesce(label_name(F.col(label)), F.lit("Unknown"))
     return per_label.groupBy(*keys).agg(
         F.max_by(F.col(label), F.struct(F.col("_n"), -F.col("_first"))).cast("int").alias("majority_id"),
         F.bool_or(F.col(label) != 0).alias("has_attack"),
         F.map_from_entries(F.array_sort(F.collect_list(
-            F.struct(label_name(F.col(label)).alias("name"), F.col("_n").alias("n"))
+            F.struct(name.alias("name"), F.col("_n").alias("n"))
         ))).alias("distribution"),
         F.sum("_n").cast("int").alias("n_flows"),
     ).withColumn("majority_name", label_name(F.col("majority_id")))

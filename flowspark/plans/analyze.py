@@ -31,7 +31,7 @@ def analyze(requests: DataFrame, detectors, embedder, received_at, max_flows=MAX
     accepted, rejected = split_requests(requests, max_flows)
     aligned = aligned_requests(requests.join(accepted.select("request_id"), "request_id"))
     keys = ["request_id"]
-    stats = session_stats(aligned, keys, [F.count("*").cast("int").alias("n_flows")], bounded=max_flows <= 1000)
+    stats = session_stats(aligned, keys, [F.count("*").cast("int").alias("n_flows")], bounded=False)
     table = stats.join(embedder.transform(aligned), keys).join(log_type_map(aligned, keys), keys)
     scored = detectors.predict_with_fallback(table)
     stat_map = F.create_map(*[x for s in STAT_NAMES for x in (F.lit(s), F.round(F.col(s), 4))])

@@ -12,8 +12,6 @@ from flowspark.operators.threat import join_knowledge_base, lookup_entry
 from flowspark.plans.embedding import TEXT_DIMS
 from flowspark.sources.stores import knowledge_texts
 
-MAX_SENTENCES = 10_000
-
 
 class KnowledgeSearch:
     """The embedded knowledge base; 15 rows, sent to every task."""
@@ -48,18 +46,11 @@ def enrich_alerts(alerts: DataFrame, search: KnowledgeSearch, k=3):
     """Alerts (attack_id, probs, statistics columns) with entry fields, context and top predictions.
 
     For known classes the retrieval sentence takes at most 15 * 2**6 values, so each distinct
-    sentence is searched once and sent back to the alerts. Should there be more than MAX_SENTENCES
-    (unknown class ids), they are searched and joined as a table.
+    sentence is searched once and joined back to the alerts; Spark picks the form of the join.
     """
     name = label_name(F.col("attack_id"), F.concat(F.lit("Unknown ("), F.col("attack_id").cast("string"), F.lit(")")))
     asked = alerts.withColumn("query_text", retrieval_query(name))
-    distinct = asked.select("query_text").distinct()
-    sentences = distinct.limit(MAX_SENTENCES + 1).collect()
-    if len(sentences) <= MAX_SENTENCES:
-        few = alerts.sparkSession.createDataFrame(sentences, "query_text string")
-        hits = F.broadcast(search.search(few, "query_text", k))
-    else:
-        hits = search.search(distinct, "query_text", k)
+    hits = search.search(asked.select("query_text").distinct(), "query_text", k)
     documents = {r["id"]: r["document"][:400] for r in search.documents().collect()}
     text = literal_map(documents)
     context = F.transform(F.slice(F.col("hits"), 1, 2), lambda h: F.try_element_at(text, h["id"]))

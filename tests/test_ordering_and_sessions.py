@@ -90,6 +90,10 @@ def labelled(spark, labels):
     ([4, 4, 2, 2] + [0] * 16, 2, [2, 4], 0),
     ([14] * 11 + [1] * 9, 14, [1, 14], 14),
     ([5] * 10 + [3] * 10, 3, [3, 5], 5),
+    ([15] * 2 + [0] * 18, 15, [15], 0),
+    ([99] * 3 + [-1] * 2 + [4] * 4 + [0] * 11, 15, [4, 15], 0),
+    ([None] * 12 + [0] * 8, 0, [], None),
+    ([None] * 20, None, [], None),
 ])
 def test_session_label(spark, labels, label, ids, majority):
     flows = sessionize(labelled(spark, labels))
