@@ -10,7 +10,7 @@ from flowspark.session import materialise
 
 
 def told_language(spark, docs, sf_dir):
-    """Documents whose language is told; lang becomes the language found."""
+    """Documents whose language is told; their columns stay as they are."""
     return language_id.keep_identified(docs)
 
 

@@ -25,6 +25,8 @@ from flowspark.llm.words import slices, text_buffers
 
 PER_LANGUAGE = 250
 LANDMARKS = 80
+#: Languages a model may have, as it is one matrix of cells by languages; more are an error.
+MAX_LANGUAGES = 1000
 RIDGE = 1e-4
 #: n-gram length and log2 of its cells.
 SPECTRUM = ((2, 13), (3, 14), (4, 15))
@@ -94,6 +96,11 @@ def _sample(docs, per_language):
     # hashes are spread evenly, so this share holds per_language rows and a margin
     share = F.least(F.lit(1.0), F.lit(per_language * 1.3 + 50) / F.col("n"))
     limits = counts.select("lang", (share * float(1 << 63) * 2 - float(1 << 63)).alias("limit"))
+    rows = limits.limit(MAX_LANGUAGES + 1).collect()
+    if len(rows) > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} values of lang")
+    # counted above, so texts need not move to meet their language's limit
+    limits = F.broadcast(docs.sparkSession.createDataFrame(rows, limits.schema))
     drawn = learn.select("lang", "text", order).join(limits, "lang").where(F.col("order").cast("double") <= F.col("limit"))
 
     def read(batches):
