@@ -300,6 +300,14 @@ def encode(docs, path, head_words=HEAD_WORDS, keep=("doc_id",)):
     """The kept columns with ids: a binary of little-endian token ids per row, two bytes each where the
     vocabulary has at most 65,536 ids and four bytes otherwise.
     """
+    return _encode(docs, path, head_words, keep, lambda batches: batches, "ids binary")
+
+
+def _encode(docs, path, head_words, keep, finish, columns):
+    """The kept columns and what finish makes of the batches of (kept columns, ids), in the same task.
+
+    A second Arrow function behind the first would hold a second Python process for every task.
+    """
     bounded_batches(docs.sparkSession)
     plain = columns_of(docs, *keep, "text")
     words = word_table(plain, path)
@@ -356,7 +364,7 @@ def encode(docs, path, head_words=HEAD_WORDS, keep=("doc_id",)):
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(i) for i in range(len(keep))), pa.array(out, pa.binary())], names=[*keep, "ids"])
 
-    return joined.mapInArrow(fill, ", ".join([*kept, "ids binary"]))
+    return joined.mapInArrow(lambda batches: finish(fill(batches)), ", ".join([*kept, columns]))
 
 
 def _joined(table, column, id_type):
@@ -391,8 +399,6 @@ def decode(coded, path, keep=("doc_id",)):
 
 def digests(docs, path, head_words=HEAD_WORDS):
     """Per document: doc_id, n_tokens, ids_sha256, decoded_sha256."""
-    coded = encode(docs, path, head_words)
-    kind = dict(columns_of(docs, "doc_id").dtypes)["doc_id"]
     _pieces(path)
 
     def digest(batches):
@@ -406,4 +412,4 @@ def digests(docs, path, head_words=HEAD_WORDS):
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), counts, *hashed], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return coded.mapInArrow(digest, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return _encode(docs, path, head_words, ("doc_id",), digest, "n_tokens long, ids_sha256 string, decoded_sha256 string")
