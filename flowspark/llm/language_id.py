@@ -77,10 +77,26 @@ def _parts(rows):
         at += size
 
 
+def _packed_parts(packed, at, size):
+    """(first row, normalised float rows) of packed rows for one n-gram length, few rows at a time."""
+    for i in range(0, len(packed), 128):
+        part = np.unpackbits(packed[i:i + 128, at // 8:(at + size) // 8], axis=1).astype(np.float32)
+        part /= np.sqrt(np.maximum(part.sum(axis=1, keepdims=True), 1))
+        yield i, part
+
+
+def _spans():
+    """First cell and number of cells of every n-gram length."""
+    return zip(np.cumsum([0, *_SIZES]).tolist(), _SIZES)
+
+
 def _kernel(rows, others):
+    """The kernel of packed rows."""
     total = np.zeros((len(rows), len(others)))
-    for (_, a), (_, b) in zip(_parts(rows), _parts(others)):
-        total += a @ b.T
+    for at, size in _spans():
+        for j, right in _packed_parts(others, at, size):
+            for i, left in _packed_parts(rows, at, size):
+                total[i:i + len(left), j:j + len(right)] += left @ right.T
     return total / len(SPECTRUM)
 
 
@@ -127,15 +143,16 @@ def fit(docs, per_language=PER_LANGUAGE, landmarks=LANDMARKS, ridge=RIDGE):
     if not kept:
         return None
     languages = sorted({k[0] for k in kept})
-    rows = np.unpackbits(np.stack([k[2] for k in kept]), axis=1)
+    # rows stay packed, as the driver's memory is small: a thousand of them take 57 MB unpacked
+    rows = np.stack([k[2] for k in kept])
     wanted = np.array([[float(k[0] == name) for name in languages] for k in kept])
     marks = rows[[k[1] <= landmarks for k in kept]]
-    # in blocks of rows, to hold few float rows at once
-    cross = np.concatenate([_kernel(rows[i:i + 128], marks) for i in range(0, len(rows), 128)])
-    inner = np.concatenate([_kernel(marks[i:i + 128], marks) for i in range(0, len(marks), 128)])
+    cross, inner = _kernel(rows, marks), _kernel(marks, marks)
     left = cross.T @ cross + ridge * len(rows) * inner + 1e-9 * np.eye(len(marks))
     weights = np.linalg.solve(left, cross.T @ wanted)
-    folded = np.concatenate([part.T @ weights for _, part in _parts(marks)]) / len(SPECTRUM)
+    folded = np.concatenate([
+        sum(part.T @ weights[i:i + len(part)] for i, part in _packed_parts(marks, at, size)) for at, size in _spans()
+    ]) / len(SPECTRUM)
     return languages, folded.astype(np.float32)
 
 
