@@ -13,7 +13,7 @@ least hash of text and id, `landmarks` of them being landmarks. Every document i
 Only text and non-null lang of documents with crc32(doc_id) mod 5 <> 0 are learned from; a null
 doc_id is neither held out nor learned from. Defined cases: a text that is null or has no letter is
 `und` with score 0; so is everything if there is nothing to learn from; ties go to the language that
-sorts first; repeated rows get equal results; other columns are ignored; an empty table gives no rows.
+sorts first; more than MAX_LANGUAGES values of lang are an error; repeated rows get equal results; other columns are ignored; an empty table gives no rows.
 """
 
 import numpy as np
