@@ -57,6 +57,10 @@ def license_query(spark, sf_dir):
     return license_scan.scan(_table(spark, sf_dir, "documents"))
 
 
+def license_notices_query(spark, sf_dir):
+    return license_scan.notices(_table(spark, sf_dir, "documents"))
+
+
 def warc_query(spark, sf_dir):
     return warc.round_trip(_table(spark, sf_dir, "pages"))
 
@@ -77,6 +81,7 @@ QUERIES = {
     "op5_decontamination": (decontamination_query, decontaminate.SQL),
     "op6_url_filter": (url_query, None),
     "op7_license_scan": (license_query, license_scan.SQL),
+    "op7_license_notices": (license_notices_query, license_scan.NOTICES_SQL),
     "op8_warc": (warc_query, warc.SQL),
     "op9_bpe": (bpe_query, None),
     "op10_vector_join": (vector_query, vector_join.SQL),

@@ -145,6 +145,19 @@ def test_license_scan_places_and_labels(spark, docs):
     assert license_scan.scan(docs([])).count() == 0
 
 
+def test_license_notices_in_usual_wordings(spark, docs):
+    mit = ("MIT License\n\nPermission is hereby granted, free of charge, to any person obtaining a copy of this software and "
+           "associated documentation files (the \"Software\"), to deal in the Software without restriction")
+    gpl = ("under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of "
+           "the License, or (at your option) any later version.")
+    texts = {mit: "mit", mit.split("\n\n")[1]: "mit", gpl: "gpl,gpl-3.0",
+             "Licensed under the GNU General Public License version 3": "gpl,gpl-3.0", "Apache License, Version 2.0": "apache-2.0",
+             "CC BY-NC 4.0": "cc-by,cc-by-nc", "CC BY-NC-SA 4.0": "cc-by,cc-by-nc-sa", "Mozilla Public License Version 1.1": "",
+             gpl.replace("version 3", "version 2"): "gpl", "the summit license": ""}
+    got = {r["doc_id"]: r["labels"] for r in license_scan.notices(docs(enumerate(texts))).collect()}
+    assert [got[i] for i in range(len(texts))] == list(texts.values())
+
+
 def test_languages_are_told_on_held_out_rows(spark, sf_dir):
     documents = spark.read.parquet(f"{sf_dir}/documents.parquet")
     rows = language_id.identify(documents).join(documents.select("doc_id", "lang"), "doc_id").where("held_out").collect()
