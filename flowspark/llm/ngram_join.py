@@ -13,6 +13,11 @@ hub for each length band, the member with most shared prefix tokens; verified li
 The second pass takes the pairs of a group whose ends are not yet in one component, with all three
 bounds inside the join. So a group of copies costs its size, and no link between components is lost.
 
+That gives the components, which are all that one row of every group needs (similar_groups). Links are
+counted by similar_links and listed by similar_pairs: every link lies inside a component, so there the
+classes of a component are dealt to tiles, and each pair of classes is compared once over the whole
+sets, tile against tile. Counting makes a row for each class and tile, not for each pair.
+
 Defined cases: null and empty texts, or texts without words, have an empty set and link with nothing;
 a text with fewer words than a shingle is one shingle of all its words. Rows with equal texts or equal
 ids are rows of their own with equal results. A null doc_id stays null and is not taken as the smallest
@@ -38,6 +43,8 @@ _CELLS = 1 << CELL_BITS
 CROWD = 32
 #: Sets that go to the tasks are sets of bits of this fixed size, which may let more pass.
 CROWD_BITS = 24
+#: A tile holds about this many classes, or this many tokens if those are fewer classes.
+TILE, TILE_TOKENS = 1024, 1 << 20
 _WEIGHT_SHIFT, _HASH_SHIFT = np.uint64(51), np.uint64(13)
 
 
@@ -236,7 +243,18 @@ def _verified(pairs, docs, classes, order, words, percent):
     pairs = pairs.select(F.least("a_id", "b_id").alias("a"), F.greatest("a_id", "b_id").alias("b")).distinct()
     pairs = materialise(_suffix_bound(pairs, classes, percent), "pairs")
     ends = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    wanted = materialise(classes.join(ends, "id").select("text_id", "id"), "wanted")
+    sets = _sets_of(classes.join(ends, "id"), docs, order, words)
+    left = sets.select(F.col("id").alias("a"), F.col("tokens").alias("left"))
+    right = sets.select(F.col("id").alias("b"), F.col("tokens").alias("right"))
+    both = pairs.join(left, "a").join(right, "b")
+    shared = F.size(F.array_intersect("left", "right"))
+    union = F.size("left") + F.size("right") - shared
+    return both.where(shared * 100 >= union * percent).select("a", "b")
+
+
+def _sets_of(classes, docs, order, words):
+    """The whole token set of each class: (id, tokens)."""
+    wanted = materialise(classes.select("text_id", "id"), "wanted")
     bits = _bits(wanted.select(F.xxhash64("text_id").alias("h")))
     sent = docs.sparkSession.sparkContext.broadcast((order, bits))
 
@@ -257,43 +275,126 @@ def _verified(pairs, docs, classes, order, words, percent):
     key = text_key(F.col("text"))
     texts = docs.select(key.alias("text_id"), "text").select("text_id", "text", F.xxhash64("text_id").alias("h"))
     sets = texts.mapInArrow(tokens, "text_id binary, tokens array<long>").join(wanted, "text_id")
-    sets = materialise(sets.groupBy("id").agg(F.first("tokens").alias("tokens")), "sets")
-    left = sets.select(F.col("id").alias("a"), F.col("tokens").alias("left"))
-    right = sets.select(F.col("id").alias("b"), F.col("tokens").alias("right"))
-    both = pairs.join(left, "a").join(right, "b")
-    shared = F.size(F.array_intersect("left", "right"))
-    union = F.size("left") + F.size("right") - shared
-    return both.where(shared * 100 >= union * percent).select("a", "b")
+    return materialise(sets.groupBy("id").agg(F.first("tokens").alias("tokens")), "sets")
 
 
-def similar_groups(docs, words=3, percent=90):
-    """Per row of docs: doc_id, n_shingles, component_id, text_id, part.
-
-    Two rows link when 100 * intersection >= percent * union of their shingle sets; component_id is
-    the least doc_id reachable by links, its own id for a row without links. part names the component
-    and is null for an empty set.
-    """
+def _groups(docs, words, percent):
+    """(doc_id and text, token order, sets, classes, components of classes that have links)."""
     plain = columns_of(docs, "doc_id", "text")
     weights = word_weights(plain)
     order = (weights, crowded_tokens(plain, weights, words, percent))
     sets = materialise(token_sets(plain, order, words, percent), "token_sets")
     classes = sets.where("n > 0").groupBy("sig").agg(
         F.min("doc_id").alias("least_id"), F.first("n").alias("n"), F.first("prefix").alias("prefix"),
-        F.first("parity").alias("parity"), F.min("text_id").alias("text_id"))
+        F.first("parity").alias("parity"), F.min("text_id").alias("text_id"), F.count(F.lit(1)).alias("n_rows"))
     # the number is drawn once, when the table is written
     classes = materialise(classes.withColumn("id", F.monotonically_increasing_id()), "classes")
     postings = materialise(_postings(classes), "postings")
     links = materialise(_verified(_hub_pairs(postings, percent), plain, classes, order, words, percent), "links")
     parts = materialise(connected_components(links, "a", "b"), "parts")
     more = _verified(_cross_pairs(postings, classes, parts, percent), plain, classes, order, words, percent)
-    parts = connected_components(links.unionByName(more), "a", "b")
-    named = classes.select("id", "sig", "least_id").join(parts, F.col("id") == F.col("node"), "left").select(
-        "sig", "least_id", F.coalesce("component", "id").alias("part"))
+    return plain, order, sets, classes, connected_components(links.unionByName(more), "a", "b")
+
+
+def _members(sets, classes, parts, *more):
+    """Per row: doc_id, n_shingles, component_id, text_id, part and the named columns of its class."""
+    named = classes.join(parts, F.col("id") == F.col("node"), "left").select(
+        "sig", "least_id", F.coalesce("component", "id").alias("part"), *more)
     least = named.groupBy("part").agg(F.min("least_id").alias("component_id"))
-    by_class = named.join(least, "part").select("sig", "component_id", "part")
+    by_class = named.join(least, "part").select("sig", "component_id", "part", *more)
     out = sets.select("doc_id", "n", "sig", "text_id").join(by_class, "sig", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"),
-                      F.coalesce("component_id", "doc_id").alias("component_id"), "text_id", "part")
+                      F.coalesce("component_id", "doc_id").alias("component_id"), "text_id", "part", *more)
+
+
+def similar_groups(docs, words=3, percent=90):
+    """Per row of docs: doc_id, n_shingles, component_id, text_id, part.
+
+    Two rows link when 100 * intersection >= percent * union of their shingle sets; component_id is
+    the least doc_id reachable by links, its own id for a row without links. part names the component
+    and is null for an empty set. Links are verified as far as the components need them.
+    """
+    _, _, sets, classes, parts = _groups(docs, words, percent)
+    return _members(sets, classes, parts)
+
+
+def _tiles(sets, classes, parts, tile):
+    """Classes of each component, once for every pair of tiles that theirs is in: (part, low, high, second, id, n_rows, tokens)."""
+    inside = classes.join(parts, F.col("id") == F.col("node")).select("id", "n", "n_rows", F.col("component").alias("part"))
+    counts = inside.groupBy("part").agg(
+        F.ceil(F.greatest(F.count(F.lit(1)) / tile, F.sum("n") / TILE_TOKENS)).cast("int").alias("n_tiles"))
+    dealt = inside.join(counts, "part").withColumn("own", F.pmod(F.xxhash64("id"), F.col("n_tiles")).cast("int"))
+    every = dealt.join(sets, "id").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_tiles") - 1)))
+    return every.select("part", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"),
+                        (F.col("own") > F.col("other")).alias("second"), "id", "n_rows", "tokens")
+
+
+def _linked(table, percent):
+    """(place of each first class, places of the classes linked to it) of one pair of tiles, every pair of classes once."""
+    lists = table["tokens"].combine_chunks()
+    lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
+    first = lists.offsets.to_numpy() - lists.offsets[0].as_py()
+    sizes = np.diff(first)
+    terms, codes = np.unique(lists.flatten().to_numpy(), return_inverse=True)
+    second = table["second"].to_numpy()
+    here = np.zeros(len(terms), dtype=bool)
+    # within one tile a class is compared with those after it
+    one_tile = table["low"][0] == table["high"][0]
+    ends = np.arange(len(sizes)) if one_tile else np.flatnonzero(second)
+    right = codes if one_tile else np.concatenate([codes[first[k]:first[k + 1]] for k in ends] or [codes[:0]])
+    starts = np.concatenate(([0], np.cumsum(sizes[ends])))
+    for i in np.flatnonzero(~second):
+        skip = i + 1 if one_tile else 0
+        if skip >= len(ends):
+            continue
+        here[codes[first[i]:first[i + 1]]] = True
+        shared = np.add.reduceat(here[right[starts[skip]:]], starts[skip:-1] - starts[skip], dtype=np.int64)
+        here[codes[first[i]:first[i + 1]]] = False
+        yield i, ends[skip:][shared * 100 >= (sizes[i] + sizes[ends[skip:]] - shared) * percent]
+
+
+def _pairs_of(table, percent):
+    ids = table["id"].to_numpy()
+    found = [(np.full(len(at), ids[i]), ids[at]) for i, at in _linked(table, percent) if len(at)]
+    a, b = (np.concatenate([x[k] for x in found] or [ids[:0]]) for k in (0, 1))
+    return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+
+
+def _counts_of(table, percent):
+    ids, rows = table["id"].to_numpy(), table["n_rows"].to_numpy()
+    total = np.zeros(len(ids), dtype=np.int64)
+    for i, at in _linked(table, percent):
+        total[i] += rows[at].sum()
+        total[at] += rows[i]
+    return pa.table({"id": ids, "n_linked": total})
+
+
+def _by_tiles(groups, words, percent, tile, function, schema):
+    plain, order, _, classes, parts = groups
+    sets = _sets_of(classes.join(parts, F.col("id") == F.col("node")), plain, order, words)
+    tiles = _tiles(sets, classes, parts, tile)
+    return tiles.groupBy("part", "low", "high").applyInArrow(lambda table: function(table, percent), schema)
+
+
+def similar_pairs(docs, words=3, percent=90, tile=TILE):
+    """Two tables: per row doc_id, n_shingles, component_id, text_id, part and class id; and every pair a < b of
+    linked classes, once. Rows of one class link with each other and with all rows of linked classes."""
+    *head, parts = _groups(docs, words, percent)
+    groups = (*head, materialise(parts, "all_parts"))
+    return (_members(*groups[2:], "id"), _by_tiles(groups, words, percent, tile, _pairs_of, "a long, b long"))
+
+
+def similar_links(docs, words=3, percent=90, tile=TILE):
+    """Per row of docs: the columns of similar_groups and n_links, the number of other rows it links with."""
+    *head, parts = _groups(docs, words, percent)
+    groups = (*head, materialise(parts, "all_parts"))
+    _, _, sets, classes, parts = groups
+    counts = _by_tiles(groups, words, percent, tile, _counts_of, "id long, n_linked long")
+    counts = counts.groupBy("id").agg(F.sum("n_linked").alias("n_linked"))
+    classes = classes.join(counts, "id", "left").withColumn(
+        "n_links", F.col("n_rows") - 1 + F.coalesce("n_linked", F.lit(0)))
+    members = _members(sets, materialise(classes.select("id", "sig", "least_id", "n_links"), "counted"), parts, "n_links")
+    return members.withColumn("n_links", F.coalesce("n_links", F.lit(0)).cast("long"))
 
 
 def keep_one_of_each_group(docs, words=5, percent=80):

@@ -37,7 +37,8 @@ def chat_query(spark, sf_dir):
 
 
 def ngram_join_query(spark, sf_dir):
-    return ngram_join.similar_groups(_table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+    found = ngram_join.similar_links(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_shingles", "component_id", "n_links")
 
 
 def language_query(spark, sf_dir):

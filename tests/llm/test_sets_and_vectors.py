@@ -66,6 +66,22 @@ def test_ngram_join_finds_the_links_of_all_pairs(spark, docs):
         assert got == want
 
 
+def test_ngram_join_counts_every_link(spark, docs):
+    texts = _corpus()
+    ids = list(range(len(texts)))
+    for words, percent, tile in ((3, 90, 1024), (3, 50, 2)):
+        sets = [_shingles(t, words) for t in texts]
+        links = {(a, b) for a in ids for b in ids if a != b and sets[a]
+                 and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b])}
+        got = ngram_join.similar_links(docs(zip(ids, texts)), words, percent, tile).collect()
+        assert {r["doc_id"]: r["n_links"] for r in got} == {i: sum(a == i for a, _ in links) for i in ids}
+    members, pairs = ngram_join.similar_pairs(docs(zip(ids, texts)), words, percent, tile)
+    named = [(r["doc_id"], r["id"]) for r in members.where("id is not null").collect()]
+    pairs = list(map(tuple, pairs.collect()))
+    assert len(pairs) == len(set(pairs))
+    assert {(a, b) for a, i in named for b, j in named if a != b and (i == j or (min(i, j), max(i, j)) in pairs)} == links
+
+
 def test_one_row_of_every_group_stays(spark, docs):
     text = " ".join(f"w{i}" for i in range(30))
     rows = [(5, text), (5, text), (2, text + " more"), (None, text), (9, "other words here now five six"), (7, None), (8, None)]
