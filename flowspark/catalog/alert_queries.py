@@ -51,9 +51,9 @@ def one_per_id(spark, sf_dir):
 
 
 def upserted(spark, sf_dir):
-    """Table after three batches, the later ones updating ids of the earlier; the second is the newest."""
+    """Table of the newest MAX_ALERTS after three batches, the later ones updating ids of the earlier; the second is the newest."""
     alerts = alerts_of(spark, sf_dir)
-    store = AlertTable(spark, work_dir(spark, "alert-table"))
+    store = AlertTable(spark, work_dir(spark, "alert-table"), MAX_ALERTS)
     store.record(alerts.filter("session_id % 3 = 0"))
     store.record(alerts.filter("session_id % 3 = 2").withColumn("ts", F.col("ts") + 1e6))
     store.record(alerts.filter("session_id % 3 = 1").withColumn("ts", F.col("ts") + 2e6))
@@ -89,7 +89,7 @@ def bars(spark, sf_dir):
 
 
 def retention(spark, sf_dir):
-    """Newest 1000 by sequence; the table's own limit is applied by upsert."""
+    """Newest 1000 by sequence of the whole table."""
     return retain(stored(spark, sf_dir), 1000).select("alert_uuid", "session_id")
 
 

@@ -13,7 +13,7 @@ from flowspark.operators.counters import attack_counts
 from flowspark.operators.scaling import FeatureScaler
 from flowspark.operators.sessions import session_summary
 from flowspark.operators.stats import session_stats
-from flowspark.schema import FEATURES, LABELS, N_CLASSES
+from flowspark.schema import FEATURES, LABELS, MAX_ALERTS, N_CLASSES
 from flowspark.session import work_dir
 from flowspark.sources.alert_table import AlertTable
 from flowspark.streaming.replay import clean_stream, detection_events, feature_events, score_stream
@@ -93,7 +93,7 @@ def stream_alerts(spark, sf_dir):
         F.col("flow_id").alias("session_no"), F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), "attack_id",
         "attack_name", "confidence", (F.col("ground_truth_id") != 0).alias("has_attack"), F.lit(20).alias("n_flows"),
     ).withColumn("ts", F.col("us") / 1e6)
-    store = AlertTable(spark, f"{root}/table")
+    store = AlertTable(spark, f"{root}/table", MAX_ALERTS)
     start_alerts(session_alerts(alerts), store, f"{root}/checkpoint").awaitTermination()
     return store.read().select("seq", "alert_uuid", "attack_id", "verdict", "ground_truth", "source")
 

@@ -1,4 +1,4 @@
-"""The alert table: newest alerts, one row per alert id, kept as parquet snapshots.
+"""The alert table: all alerts or the newest ones, one row per alert id, kept as parquet snapshots.
 
 Each change writes a new snapshot folder and never touches the one it reads. A snapshot counts
 once its _SUCCESS marker exists, so a job that dies half-way leaves the previous one in force.
@@ -13,7 +13,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowspark.functions.alerts import verdict
-from flowspark.schema import ALERT_SCHEMA, MAX_ALERTS
+from flowspark.schema import ALERT_SCHEMA
+from flowspark.session import materialise
 from flowspark.sources import files
 
 log = logging.getLogger(__name__)
@@ -62,29 +63,45 @@ def newest_per_id(alerts: DataFrame, order) -> DataFrame:
     return named.unionByName(alerts.filter("alert_uuid IS NULL"))
 
 
-def upsert(existing: DataFrame, batch: DataFrame, max_alerts=MAX_ALERTS) -> DataFrame:
+def _numbered(rows: DataFrame, last) -> DataFrame:
+    """rows with seq counting on from last in (ts, alert_uuid, raw) order; ranges are numbered apart and shifted.
+
+    with_row_index wants a number as tie-breaker, which a text id is not.
+    """
+    order = ("ts", "alert_uuid", "raw")
+    # written once, so that the ranges are the same for counting and numbering
+    dealt = materialise(rows.repartitionByRange(*order).withColumn("range", F.spark_partition_id()), "new-alerts")
+    # one row for each range
+    earlier = Window.partitionBy(F.lit(1)).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    before = dealt.groupBy("range").agg(F.count(F.lit(1)).alias("n")).select(
+        "range", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
+    place = F.row_number().over(Window.partitionBy("range").orderBy(*order))
+    return dealt.join(before, "range").withColumn("seq", (F.lit(last) + F.col("before") + place).cast("bigint"))
+
+
+def upsert(existing: DataFrame, batch: DataFrame, max_alerts=None) -> DataFrame:
     """Table after recording a batch of normalised alerts in (ts, alert_uuid) order.
 
-    A known id moves to the end with its new content; then only the newest max_alerts stay.
+    A known id moves to the end with its new content. With max_alerts only the newest so many stay.
     """
     order = F.struct(F.col("ts"), F.coalesce("alert_uuid", F.lit("")), F.col("raw"))
-    latest = newest_per_id(batch, order).orderBy(F.col("ts").desc(), F.col("alert_uuid").desc()).limit(max_alerts)
+    latest = newest_per_id(batch, order)
+    if max_alerts is not None:
+        latest = latest.orderBy(F.col("ts").desc(), F.col("alert_uuid").desc()).limit(max_alerts)
     last = existing.agg(F.coalesce(F.max("seq"), F.lit(0)).alias("last")).first()["last"]
-    # From here on both sides hold at most max_alerts rows.
-    place = Window.partitionBy(F.lit(1)).orderBy("ts", "alert_uuid", "raw")
-    fresh = latest.withColumn("seq", (F.lit(last) + F.row_number().over(place)).cast("bigint"))
+    fresh = _numbered(latest, last)
     columns = ["seq", *_FIELDS]
     both = existing.select(*columns).unionByName(fresh.select(*columns))
     return retain(newest_per_id(both, F.col("seq")), max_alerts)
 
 
-def retain(alerts: DataFrame, max_alerts=MAX_ALERTS) -> DataFrame:
-    """The newest max_alerts rows."""
-    return alerts.orderBy(F.col("seq").desc()).limit(max_alerts)
+def retain(alerts: DataFrame, max_alerts=None) -> DataFrame:
+    """The newest max_alerts rows, all without a number."""
+    return alerts if max_alerts is None else alerts.orderBy(F.col("seq").desc()).limit(max_alerts)
 
 
 class AlertTable:
-    def __init__(self, spark, root, max_alerts=MAX_ALERTS):
+    def __init__(self, spark, root, max_alerts=None):
         self.spark, self.root, self.max_alerts = spark, root.rstrip("/"), max_alerts
 
     def version(self):
@@ -100,7 +117,7 @@ class AlertTable:
         return self.spark.read.schema(ALERT_SCHEMA).parquet(f"{self.root}/snapshot={version}")
 
     def _write(self, alerts, version):
-        alerts.coalesce(1).write.mode("overwrite").parquet(f"{self.root}/snapshot={version}")
+        alerts.write.mode("overwrite").parquet(f"{self.root}/snapshot={version}")
 
     def _stored(self, writer, batch_id, base):
         if not files.glob(self.spark, f"{self.root}/ledger/snapshot=*/_SUCCESS"):

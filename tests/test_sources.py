@@ -157,6 +157,19 @@ def test_alert_retention_and_null_ids(spark, store):
     assert sorted(r.ts for r in store.read().collect())[-1] == 99.0 and store.read().count() == 5
 
 
+def test_alert_table_without_a_limit_keeps_all(spark, tmp_path):
+    store = A.AlertTable(spark, str(tmp_path / "all"))
+    many = spark.range(10_050).select(
+        F.col("id").cast("string").alias("alert_uuid"), (F.col("id") % 7).cast("double").alias("ts"))
+    store.record(many.filter("id < 10040"), "rest")
+    store.record(many.filter("id >= 10030"), "rest")
+    rows = store.read().collect()
+    assert len(rows) == len({r.alert_uuid for r in rows}) == 10_050
+    first = sorted((r for r in rows if int(r.alert_uuid) < 10_030), key=lambda r: r.seq)
+    assert first == sorted(first, key=lambda r: (r.ts, r.alert_uuid))
+    assert sorted(r.seq for r in rows if int(r.alert_uuid) >= 10_030) == list(range(10_041, 10_061))
+
+
 def test_repeated_batch_gives_the_same_snapshot(spark, store):
     batch = spark.createDataFrame([REST, STREAM], ALERT)
     store.record(batch, "stream", batch_id=0)
