@@ -7,12 +7,19 @@ agree on the move (a diagonal) gather the anchors that stand right. A diagonal w
 is then read word by word in the text itself, which gives the exact phrase matches and the
 proximity matches.
 
+For exact matches ANCHORS words of a window are enough, and all must stand in place. A near window may
+differ in some of its words, so for proximity more anchors are stored than words may differ, and a
+diagonal is read once the rest of them stands in place; no near window is missed. Words are compared in
+place: an inserted word cuts a window in two parts on two diagonals, and each counts by itself.
+
 Defined cases: a null or empty text has no words and is never hit; rows with the same text, and
 repeated rows, get the same result each; repeated items count once per item_id, items with equal
 ids but other texts count as one item with all their windows; a null item_id is no item. Columns
 beside the named ones are ignored. Empty tables give no hits or no rows.
 """
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
@@ -27,7 +34,7 @@ ANCHORS = 2
 NEAR = 0.8
 #: Items are worked on in blocks with at most this many words, the size of what is sent to each task.
 BLOCK_WORDS = 500_000
-_MATCHES = "text_id binary, edges array<long>, exact array<string>, near array<string>"
+_MATCHES = "text_id binary, edges array<long>, exact array<string>, near array<string>, near_edges array<long>"
 
 
 def _item_blocks(items, block_words):
@@ -72,7 +79,15 @@ def _term_counts(docs, vocabulary):
     return out
 
 
-def _anchor_places(items, vocabulary, counts, width, anchors):
+def _anchor_rule(n_words, width, anchors, near, proximity):
+    """(anchors stored for each window, anchors that must stand in place) of an item with so many words."""
+    span = min(width, n_words)
+    may_differ = math.floor(span * (1 - near) + 1e-9) if proximity else 0
+    stored = min(span, max(anchors, may_differ + 1))
+    return stored, max(1, stored - may_differ)
+
+
+def _anchor_places(items, vocabulary, counts, width, rule):
     """Rows (term, item index, place in the item) for the rarest words of every window."""
     places = set()
     for index, (_, hashes) in enumerate(items):
@@ -82,7 +97,7 @@ def _anchor_places(items, vocabulary, counts, width, anchors):
         rank[order] = np.arange(len(hashes))
         last = max(1, len(hashes) - width + 1)
         spans = np.lib.stride_tricks.sliding_window_view(rank, min(width, len(hashes)))[:last]
-        best = np.argsort(spans, axis=1)[:, :anchors] + np.arange(len(spans))[:, None]
+        best = np.argsort(spans, axis=1)[:, :rule(len(hashes))[0]] + np.arange(len(spans))[:, None]
         places.update((index, int(p)) for p in np.unique(best))
     return [(int(np.searchsorted(vocabulary, items[i][1][p])), i, p) for i, p in sorted(places)]
 
@@ -106,10 +121,10 @@ def build_index(docs, vocabulary, wanted):
     return keyed.mapInArrow(find, "term long, text_id binary, pos long")
 
 
-def _diagonals(spark, index, places, items, anchors):
+def _diagonals(spark, index, places, items, rule):
     """(text_id, item index, move) where enough anchors of the item stand in place."""
     known = spark.createDataFrame(places, "term long, item int, place long")
-    needed = [(i, min(anchors, len(h))) for i, (_, h) in enumerate(items)]
+    needed = [(i, rule(len(h))[1]) for i, (_, h) in enumerate(items)]
     needed = spark.createDataFrame(needed, "item int, needed int")
     # both small tables are bounded by the words of a block of items
     moved = index.join(F.broadcast(known), "term").select("text_id", "item", (F.col("pos") - F.col("place")).alias("move"), "place")
@@ -118,8 +133,8 @@ def _diagonals(spark, index, places, items, anchors):
 
 
 def _match(hashes, candidates, items, width, near):
-    """(covered words as booleans, exact items, near items) of one text."""
-    covered = np.zeros(len(hashes), dtype=bool)
+    """(covered words as booleans, exact items, near items, words in near windows as booleans) of one text."""
+    covered, touched = np.zeros(len(hashes), dtype=bool), np.zeros(len(hashes), dtype=bool)
     exact, close = set(), set()
     for item, move in candidates:
         name, words = items[item]
@@ -130,53 +145,58 @@ def _match(hashes, candidates, items, width, near):
         same = hashes[low + move:high + move] == words[low:high]
         sums = np.concatenate(([0], np.cumsum(same)))
         per_window = sums[span:] - sums[:-span]
-        if per_window.max() >= near * span:
+        for start in np.flatnonzero(per_window >= near * span - 1e-9):
             close.add(name)
+            touched[low + move + start:low + move + start + span] = True
         for start in np.flatnonzero(per_window == span):
             exact.add(name)
             covered[low + move + start:low + move + start + span] = True
-    return covered, exact, close
+    return covered, exact, close, touched
+
+
+def _edges(covered):
+    return np.flatnonzero(np.diff(np.concatenate(([0], covered.view(np.int8), [0])))).tolist()
 
 
 def _judge(docs, found, items, width, near):
-    """(text_id, spans, exact, near) of every text that has diagonals, by reading its words."""
+    """(text_id, spans, exact, near, near spans) of every text that has diagonals, by reading its words."""
     sent = docs.sparkSession.sparkContext.broadcast(items)
     texts = docs.select(text_key(F.col("text")).alias("text_id"), "text").where("text is not null")
     moves = found.groupBy("text_id").agg(F.collect_list(F.struct("item", "move")).alias("moves"))
     texts = texts.join(moves, "text_id").select("text_id", "text", "moves")
 
     def read(batches):
-        known, kinds = sent.value, (pa.list_(pa.int64()), pa.list_(pa.string()), pa.list_(pa.string()))
+        known, kinds = sent.value, [pa.list_(kind) for kind in (pa.int64(), pa.string(), pa.string(), pa.int64())]
         for batch in slices(batches, 64):
             hashes, first = words_of(batch.column(1), NOT_ALNUM)
             rows = []
             for k, moves in enumerate(batch.column(2).to_pylist()):
                 mine = hashes[first[k]:first[k + 1]]
-                covered, exact, close = _match(mine, [(m["item"], m["move"]) for m in moves], known, width, near)
-                edges = np.flatnonzero(np.diff(np.concatenate(([0], covered.view(np.int8), [0]))))
-                rows.append((edges.tolist(), sorted(exact), sorted(close)))
+                covered, exact, close, touched = _match(mine, [(m["item"], m["move"]) for m in moves], known, width, near)
+                rows.append((_edges(covered), sorted(exact), sorted(close), _edges(touched)))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), *(pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds))],
-                names=["text_id", "edges", "exact", "near"])
+                names=["text_id", "edges", "exact", "near", "near_edges"])
 
     return texts.mapInArrow(read, _MATCHES).dropDuplicates(["text_id"])
 
 
-def phrase_matches(docs, items, width=WIDTH, anchors=ANCHORS, near=NEAR, block_words=BLOCK_WORDS):
+def phrase_matches(docs, items, width=WIDTH, anchors=ANCHORS, near=NEAR, block_words=BLOCK_WORDS, proximity=True):
     """One row per matched text: text_id, edges (start and end of every hit span of words, in turn),
-    exact and near (ids of items with an exact or a near window). Near windows are those found from
-    a diagonal with at least `anchors` rare words in place.
+    exact and near (ids of items with an exact or a near window), near_edges (spans of near windows).
+    Without proximity the near columns hold only what the search for exact hits happens to see.
 
     Every block of items is taken through the whole index; a text may have a row for each block.
     """
     docs = columns_of(docs, "text")
+    rule = lambda n: _anchor_rule(n, width, anchors, near, proximity)
     out = None
     for block in _item_blocks(columns_of(items, "item_id", "text"), block_words):
         vocabulary = np.unique(np.concatenate([h for _, h in block]))
-        places = _anchor_places(block, vocabulary, _term_counts(docs, vocabulary), width, anchors)
+        places = _anchor_places(block, vocabulary, _term_counts(docs, vocabulary), width, rule)
         wanted = np.unique([t for t, _, _ in places])
         index = materialise(build_index(docs, vocabulary, wanted), "postings")
-        found = materialise(_diagonals(docs.sparkSession, index, places, block, anchors), "diagonals")
+        found = materialise(_diagonals(docs.sparkSession, index, places, block, rule), "diagonals")
         part = materialise(_judge(docs, found, block, width, near), "matches")
         out = part if out is None else out.unionByName(part)
     if out is None:
@@ -226,7 +246,7 @@ def _covered(edges):
 
 def remove_contaminated(docs, items, **settings):
     """The documents without any hit, with all their columns; null texts stay."""
-    hit = phrase_matches(docs, items, **settings).where(F.size("edges") > 0).select(
+    hit = phrase_matches(docs, items, **{"proximity": False} | settings).where(F.size("edges") > 0).select(
         F.col("text_id").alias("__hit_text")).distinct()
     return docs.join(hit, text_key(F.col("text")) == F.col("__hit_text"), "left_anti")
 

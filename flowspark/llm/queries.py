@@ -46,10 +46,14 @@ def language_query(spark, sf_dir):
 
 
 def decontamination_query(spark, sf_dir):
-    found = decontaminate.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    found = decontaminate.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), proximity=False)
     return found.drop("n_near")
 
 
+def proximity_query(spark, sf_dir):
+    return decontaminate.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def url_query(spark, sf_dir):
     return url_filter.judge(_table(spark, sf_dir, "pages"))
 
@@ -80,6 +84,7 @@ QUERIES = {
     "op3_ngram_jaccard": (ngram_join_query, None),
     "op4_language_id": (language_query, None),
     "op5_decontamination": (decontamination_query, decontaminate.SQL),
+    "op5_proximity": (proximity_query, None),
     "op6_url_filter": (url_query, None),
     "op7_license_scan": (license_query, license_scan.SQL),
     "op7_license_notices": (license_notices_query, license_scan.NOTICES_SQL),

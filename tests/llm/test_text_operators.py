@@ -97,6 +97,36 @@ def test_near_windows_are_told(spark, docs):
     assert got == {1: (0, 1), 2: (10, 1), 3: (0, 0), 4: (0, 0)}
 
 
+def test_near_windows_are_all_found(spark, docs):
+    import random
+
+    rng = random.Random(8)
+    item = [f"w{i}" for i in range(14)]
+    texts = []
+    for size in (4, 6, 10, 14):
+        for _ in range(25):
+            words = item[:size]
+            for _ in range(rng.randrange(1, 4)):
+                words[rng.randrange(size)] = "other"
+            texts.append(" ".join(["x"] * rng.randrange(3) + words))
+    texts += [" ".join(item[1:])] * 2 + ["w9 w8 other w7"] * 5
+    items = [(k, " ".join(item[:k])) for k in (1, 4, 6, 10, 14)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+
+    def near(text, item):
+        text, item = text.split(), item.split()
+        span = min(10, len(item))
+        starts = itertools.product(range(len(text) - span + 1), range(len(item) - span + 1))
+        return any(10 * sum(text[i + k] == item[j + k] for k in range(span)) >= 8 * span for i, j in starts)
+
+    rows = list(enumerate(texts))
+    want = {i: sum(near(t, item) for _, item in items) for i, t in rows}
+    got = {r["doc_id"]: r["n_near"] for r in decontaminate.contamination(docs(rows), bench).collect()}
+    assert got == want
+    spans = decontaminate.phrase_matches(docs([(1, "x x " + " ".join(["other", *item[1:10]]))]), bench.where("item_id = 10"))
+    assert [r["near_edges"] for r in spans.collect()] == [[2, 12]]
+
+
 def test_bpe_equals_the_library(spark, docs):
     tokenizers = pytest.importorskip("tokenizers")
     path = tokenizer_file()
