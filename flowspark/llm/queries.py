@@ -5,7 +5,7 @@ import os
 from pyspark.sql import functions as F
 
 from flowspark.llm import (
-    bpe, chat, decontaminate, language_id, license_scan, line_dedup, ngram_join, url_filter, vector_join, warc,
+    bpe, chat, decontaminate, filter_audit, language_id, license_scan, line_dedup, ngram_join, url_filter, vector_join, warc,
 )
 
 
@@ -78,6 +78,10 @@ def vector_query(spark, sf_dir):
     return vector_join.near_vectors(_table(spark, sf_dir, "embeddings"))
 
 
+def filter_query(spark, sf_dir):
+    return filter_audit.audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op1_line_dedup": (line_dedup_query, line_dedup.SQL),
     "op2_chat_format": (chat_query, chat.SQL),
@@ -91,4 +95,5 @@ QUERIES = {
     "op8_warc": (warc_query, warc.SQL),
     "op9_bpe": (bpe_query, None),
     "op10_vector_join": (vector_query, vector_join.SQL),
+    "op13_filter_audit": (filter_query, filter_audit.SQL),
 }
