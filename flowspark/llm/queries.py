@@ -5,7 +5,7 @@ import os
 from pyspark.sql import functions as F
 
 from flowspark.llm import (
-    bpe, chat, decontaminate, filter_audit, language_id, license_scan, line_dedup, ngram_join, url_filter, vector_join, warc,
+    bpe, chat, decontaminate, filter_audit, language_id, license_scan, line_dedup, ngram_join, piece_bpe, url_filter, vector_join, warc,
 )
 
 
@@ -23,6 +23,16 @@ def tokenizer_file(name="word_bpe_49k.json"):
     return public_tokenizers.path(name)
 
 
+def vocabulary(name):
+    """The place of a vocabulary file by its name; FLOWSPARK_VOCABULARIES names another folder."""
+    folder = os.environ.get("FLOWSPARK_VOCABULARIES")
+    if folder:
+        return os.path.join(folder, name)
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def line_dedup_query(spark, sf_dir):
     kept = line_dedup.dedup_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return kept.select("doc_id", "n_lines", "n_deleted", F.char_length("text").cast("long").alias("kept_chars"),
@@ -78,6 +88,10 @@ def vector_query(spark, sf_dir):
     return vector_join.near_vectors(_table(spark, sf_dir, "embeddings"))
 
 
+def piece_query(spark, sf_dir):
+    return piece_bpe.digests(_table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
+
+
 def filter_query(spark, sf_dir):
     return filter_audit.audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -95,5 +109,6 @@ QUERIES = {
     "op8_warc": (warc_query, warc.SQL),
     "op9_bpe": (bpe_query, None),
     "op10_vector_join": (vector_query, vector_join.SQL),
+    "op11_piece_bpe": (piece_query, None),
     "op13_filter_audit": (filter_query, filter_audit.SQL),
 }
