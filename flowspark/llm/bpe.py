@@ -228,7 +228,7 @@ def word_table(docs, path):
     return materialise(counted.mapInArrow(encode, "word string, n long, ids binary"), "words")
 
 
-def _head_cut(words, head_words):
+def head_cut(words, head_words):
     """The least count that leaves at most head_words words at or above it; None if there is none.
 
     Counts are grouped by their leading bits, so the groups number a few hundred at any size.
@@ -311,7 +311,7 @@ def _encode(docs, path, head_words, keep, finish, columns):
     bounded_batches(docs.sparkSession)
     plain = columns_of(docs, *keep, "text")
     words = word_table(plain, path)
-    cut_at = _head_cut(words, head_words)
+    cut_at = head_cut(words, head_words)
     id_type = splitter(path).id_type
     sent = docs.sparkSession.sparkContext.broadcast(Head(_head(words, cut_at), id_type))
     tail = words.where(F.lit(True) if cut_at is None else F.col("n") < F.lit(cut_at)).select("word", "ids")

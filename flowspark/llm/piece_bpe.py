@@ -176,11 +176,15 @@ class PieceModel:
         return ids.tobytes()
 
     def cut(self, text):
-        """The parts of a text, with the space put before it, that no merge joins."""
-        return self._part.findall(SPACE + text.replace(" ", SPACE)) if text else []
+        """The parts of a text with marked spaces that no merge joins."""
+        return self._part.findall(text)
 
     def encode(self, text):
         """Ids of a text as little-endian numbers of four bytes, begin and end ids left out."""
+        return self.encode_marked(SPACE + text.replace(" ", SPACE)) if text else b""
+
+    def encode_marked(self, text):
+        """Ids of a text in which spaces are marked already, the one put before it included."""
         return b"".join(map(self.parts.__getitem__, self.cut(text)))
 
     def decode(self, ids):

@@ -5,7 +5,8 @@ import os
 from pyspark.sql import functions as F
 
 from flowspark.llm import (
-    bpe, chat, decontaminate, filter_audit, language_id, license_scan, line_dedup, ngram_join, piece_bpe, url_filter, vector_join, warc,
+    bpe, chat, decontaminate, filter_audit, language_id, license_scan, line_dedup, ngram_join, piece_bpe, token_alignment,
+    url_filter, vector_join, warc,
 )
 
 
@@ -92,6 +93,11 @@ def piece_query(spark, sf_dir):
     return piece_bpe.digests(_table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
 
 
+def alignment_query(spark, sf_dir):
+    return token_alignment.digests(
+        _table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model"))
+
+
 def filter_query(spark, sf_dir):
     return filter_audit.audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -110,5 +116,6 @@ QUERIES = {
     "op9_bpe": (bpe_query, None),
     "op10_vector_join": (vector_query, vector_join.SQL),
     "op11_piece_bpe": (piece_query, None),
+    "op12_token_alignment": (alignment_query, None),
     "op13_filter_audit": (filter_query, filter_audit.SQL),
 }
