@@ -16,9 +16,9 @@ from flowspark.operators.stats import session_stats
 from flowspark.schema import FEATURES, LABELS, MAX_ALERTS, N_CLASSES
 from flowspark.session import work_dir
 from flowspark.sources.alert_table import AlertTable
-from flowspark.streaming.replay import clean_stream, detection_events, feature_events, score_stream
-from flowspark.streaming.sessions import StreamSessionizer, split_valid_sessions
-from flowspark.streaming.sinks import session_alerts, start_alerts, start_counters, start_table
+from flowspark.streaming.replay import clean_stream, detection_events, feature_events, score_stream, stream_parquet
+from flowspark.streaming.sessions import split_valid_sessions, start_sessions
+from flowspark.streaming.sinks import read_counters, session_alerts, start_alerts, start_counters, start_table
 
 
 def _stream(spark, sf_dir):
@@ -41,10 +41,9 @@ def _called(df):
 def stream_counters(spark, sf_dir):
     events = detection_events(_called(_stream(spark, sf_dir)))
     root = work_dir(spark, "counters")
-    name = "counters_" + root.rsplit("-", 1)[-1]
-    query = start_counters(events, name, f"{root}/checkpoint")
-    query.awaitTermination()
-    return spark.table(name).withColumns({c: F.round(c, 6) for c in ("detection_rate", "false_positive_rate")})
+    start_counters(events, f"{root}/counters", f"{root}/checkpoint").awaitTermination()
+    return read_counters(spark, f"{root}/counters").withColumns(
+        {c: F.round(c, 6) for c in ("detection_rate", "false_positive_rate")})
 
 
 def stream_events(spark, sf_dir):
@@ -66,12 +65,34 @@ def stream_features(spark, sf_dir):
 
 def _streamed_sessions(spark, sf_dir):
     root = work_dir(spark, "sessions")
+    start_sessions(_stream(spark, sf_dir), f"{root}/windows", f"{root}/checkpoint").awaitTermination()
+    return spark.read.parquet(f"{root}/windows")
 
-    def keep(session_flows, batch_id):
-        session_flows.write.mode("overwrite").parquet(f"{root}/windows/batch={batch_id}")
 
-    StreamSessionizer(spark, f"{root}/state").start(_stream(spark, sf_dir), keep, f"{root}/checkpoint").awaitTermination()
-    return spark.read.parquet(f"{root}/windows").drop("batch")
+def _resumed_sessions(spark, sf_dir):
+    """Windows of a stream of four files, one a batch, that is stopped and started again half-way."""
+    root = work_dir(spark, "resumed")
+    events = table(spark, sf_dir, "events")
+    second = F.unix_micros(F.col("ts").cast("timestamp"))
+    cuts = events.agg(F.percentile_approx(second, [0.25, 0.5, 0.75], 1000).alias("cuts")).first()["cuts"] or []
+    edges = [None, *cuts, None]
+
+    def arrive(slices):
+        for low, high in slices:
+            part = events.where(F.lit(low is None) | (second >= F.lit(low)))
+            part = part.where(F.lit(high is None) | (second < F.lit(high)))
+            part.write.mode("append").parquet(f"{root}/arriving")
+
+    def run():
+        stream = add_protocol_columns(flows_from_events(stream_parquet(spark, f"{root}/arriving", events.schema)))
+        start_sessions(stream, f"{root}/windows", f"{root}/checkpoint").awaitTermination()
+
+    slices = list(zip(edges, edges[1:]))
+    arrive(slices[:2])
+    run()
+    arrive(slices[2:])
+    run()
+    return spark.read.parquet(f"{root}/windows")
 
 
 def stream_sessions(spark, sf_dir):
@@ -81,6 +102,13 @@ def stream_sessions(spark, sf_dir):
     )
 
 
+def stream_sessions_resumed(spark, sf_dir):
+    """The same labels from several files and two runs over one checkpoint."""
+    return session_summary(_resumed_sessions(spark, sf_dir), KEYS).withColumn(
+        "attack_ids", F.array_join(F.transform("attack_ids", lambda c: c.cast("string")), ",")
+    )
+
+
 def stream_stats(spark, sf_dir):
     return session_stats(_streamed_sessions(spark, sf_dir), KEYS).select(*KEYS, *rounded_stats())
 
@@ -157,6 +185,10 @@ _EVENTS = f"""{_CALLED}
 SELECT flow_id, CAST(c AS INT) AS attack_id, {_NAMES}[c + 1] AS attack_name, 0.9e0 AS confidence, c <> 0 AS is_attack,
   false AS score_failed, label_id AS ground_truth_id, {_NAMES}[label_id + 1] AS ground_truth_name, c = label_id AS correct FROM called"""
 
+_SESSIONS = f"""
+WITH {ENRICHED_CTE}{sessions_cte()}{LABELLED_CTE}
+SELECT host, session_idx, label, has_attack, attack_ids, n_flows FROM labelled"""
+
 QUERIES = {
     "stream_counters": (stream_counters, f"""{_CALLED},
 s AS (SELECT count(*) AS total_flows, count(*) FILTER (label_id <> 0) AS total_attacks, count(*) FILTER (label_id = 0) AS total_benign,
@@ -168,9 +200,8 @@ SELECT *, round(tp / CAST(tp + fn AS DOUBLE), 6) AS detection_rate, round(fp / C
 WITH {FLOWS_CTE}
 SELECT flow_id, CAST(-1 AS INT) AS attack_id, '' AS attack_name, 0e0 AS confidence, label_id AS ground_truth_id,
   CAST(NULL AS BOOLEAN) AS correct FROM flows"""),
-    "stream_sessions": (stream_sessions, f"""
-WITH {ENRICHED_CTE}{sessions_cte()}{LABELLED_CTE}
-SELECT host, session_idx, label, has_attack, attack_ids, n_flows FROM labelled"""),
+    "stream_sessions": (stream_sessions, _SESSIONS),
+    "stream_sessions_resumed": (stream_sessions_resumed, _SESSIONS),
     "stream_stats": (stream_stats, f"WITH {ENRICHED_CTE}{sessions_cte()}\n{stats_sql()}"),
     "stream_alerts": (stream_alerts, f"""{_CALLED},
 n AS (SELECT *, row_number() OVER (ORDER BY ts DESC, 'stream-' || flow_id DESC) AS age FROM called),

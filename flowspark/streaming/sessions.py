@@ -1,84 +1,90 @@
-"""Count windows per host over a stream.
+"""Count windows per host over a stream, kept in the engine's keyed state.
 
-Every flow's place in its host's sequence is the number of flows the host sent in earlier batches
-plus its place in this batch. Flows of windows that are not full yet wait in a table in shared
-storage (fewer than `size` per host). Each batch reads the state of the batch before it and writes
-its own folder, so a repeated batch starts from the same state and gives the same result. A host
-that sends a large share of a batch is numbered in slices like in the batch path.
+Every host has a state of its own: the number of windows it has filled, and its flows since then, fewer
+than `size`. A batch touches the states of its own hosts only; checkpoints, restarts and repeated batches
+are those of the query. The last windows of a host, which it never fills, are not emitted, like the
+dropped tail of the batch path.
 """
 
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.streaming.state import GroupStateTimeout
 
 from flowspark.functions.alignment import bad_cells
-from flowspark.operators.ordering import HOT_ROWS, with_row_index
 from flowspark.schema import SESSION_SIZE
-from flowspark.sources import files
 
 
-class StreamSessionizer:
-    """Turns a stream of flows (host, ts, flow_id, ...) into session flows, batch by batch.
+def _packed(rows, schema):
+    table = pa.Table.from_pandas(rows, schema=schema, preserve_index=False)
+    out = pa.BufferOutputStream()
+    with pa.ipc.new_stream(out, schema) as writer:
+        writer.write_table(table)
+    return out.getvalue().to_pybytes()
 
-    Within a batch flows are ordered by (ts, flow_id); across batches by arrival. Windows a host
-    never fills are never emitted, like the dropped tail of the batch path.
+
+def _unpacked(packed):
+    return pa.ipc.open_stream(packed).read_all().to_pandas()
+
+
+def _cut(rows, size, done):
+    """(flows of the windows that are full, with session_idx and pos; the others; windows filled so far)."""
+    full = len(rows) // size * size
+    windows, place = rows.iloc[:full].copy(), pd.RangeIndex(full)
+    windows["session_idx"] = done + place // size
+    windows["pos"] = (place % size).astype("int32")
+    return windows, rows.iloc[full:], done + full // size
+
+
+def sessionize_stream(flows: DataFrame, size=SESSION_SIZE, key="host", order="ts", tie="flow_id", idle=None) -> DataFrame:
+    """Stream of complete windows in long form: every flow with session_idx and pos.
+
+    Flows of a batch are ordered by (order, tie), those of different batches by arrival. With idle, such
+    as "1 hour", a host without flows for that long in event time loses the flows that wait for a full
+    window; the number of its windows stays, so that a session_idx is never given twice, and flows that
+    arrive later than that are left out. A null host is a host. One batch's flows of a host meet in one
+    task, so what a trigger reads bounds the work for a hot host.
     """
+    out = T.StructType([*flows.schema.fields, T.StructField("session_idx", T.LongType()), T.StructField("pos", T.IntegerType())])
+    names = flows.columns
+    # pandas holds time stamps without a zone, in the state as in a batch
+    arrow = pa.schema([f.with_type(pa.timestamp("us")) if pa.types.is_timestamp(f.type) else f for f in to_arrow_schema(flows.schema)])
+    late = GroupStateTimeout.NoTimeout
+    if idle is not None:
+        late = GroupStateTimeout.EventTimeTimeout
+        flows = flows.withColumn("_seen_at", F.col(order).cast("timestamp")).withWatermark("_seen_at", idle)
+
+    def windows(_, chunks, state):
+        done, waiting = state.get if state.exists else (0, None)
+        if state.hasTimedOut:
+            state.update((done, None))
+            return
+        rows = pd.concat(chunks)
+        if idle is not None:
+            # the watermark lags behind by the idle time, so it passes the host's last flow when that is over
+            last = rows["_seen_at"].max().value // 1_000_000
+            state.setTimeoutTimestamp(max(last, state.getCurrentWatermarkMs() + 1))
+        rows = rows[names].sort_values([order, tie], kind="stable")
+        if waiting is not None:
+            rows = pd.concat([_unpacked(waiting), rows])
+        full, rest, done = _cut(rows, size, done)
+        state.update((done, _packed(rest, arrow) if len(rest) else None))
+        if len(full):
+            yield full
+
+    return flows.groupBy(key).applyInPandasWithState(windows, out, "done long, waiting binary", "append", late)
 
-    def __init__(self, spark, state_dir, size=SESSION_SIZE, hot_rows=HOT_ROWS):
-        self.spark, self.state_dir = spark, state_dir.rstrip("/")
-        self.size, self.hot_rows = size, hot_rows
-
-    def _path(self, batch_id, part):
-        return f"{self.state_dir}/batch={batch_id}/{part}"
-
-    def process(self, batch: DataFrame, batch_id) -> DataFrame:
-        """Complete windows after this batch in long form (session_idx, pos added)."""
-        schema = batch.schema
-        seen_schema = T.StructType([schema["host"], T.StructField("seen", T.LongType())])
-        placed_schema = batch.withColumns({"session_idx": F.lit(0).cast("bigint"), "pos": F.lit(0)}).schema
-        before = batch_id - 1
-        if files.exists(self.spark, self._path(before, "seen/_SUCCESS")):
-            seen = self.spark.read.schema(seen_schema).parquet(self._path(before, "seen"))
-            waiting = self.spark.read.schema(placed_schema).parquet(self._path(before, "flows/complete=false"))
-        elif batch_id > 0 and files.glob(self.spark, f"{self.state_dir}/batch=*/seen/_SUCCESS"):
-            raise RuntimeError(f"state of batch {before} is missing in {self.state_dir}")
-        else:
-            seen = self.spark.createDataFrame([], seen_schema)
-            waiting = self.spark.createDataFrame([], placed_schema)
-
-        ranked = with_row_index(batch, ["host"], "ts", "flow_id", "_i", hot_rows=self.hot_rows)
-        arrived = batch.groupBy("host").agg(F.count("*").alias("_n"))
-        hosts = seen.join(arrived, "host", "full").select(
-            "host", F.coalesce("seen", F.lit(0)).alias("_before"),
-            (F.coalesce("seen", F.lit(0)) + F.coalesce("_n", F.lit(0))).alias("_after"),
-        )
-        place = F.col("_i") + F.col("_before")
-        new = ranked.join(hosts, "host").withColumns({
-            "session_idx": F.floor(place / self.size).cast("bigint"), "pos": (place % self.size).cast("int"),
-        })
-        old = waiting.join(hosts, "host")
-        complete = F.col("session_idx") < F.floor(F.col("_after") / self.size)
-        columns = [*schema.names, "session_idx", "pos", "complete"]
-        both = new.withColumn("complete", complete).select(*columns).unionByName(
-            old.withColumn("complete", complete).select(*columns)
-        )
-        both.write.mode("overwrite").partitionBy("complete").parquet(self._path(batch_id, "flows"))
-        if not files.exists(self.spark, self._path(batch_id, "flows/complete=false")):
-            self.spark.createDataFrame([], placed_schema).write.mode("overwrite").parquet(
-                self._path(batch_id, "flows/complete=false"))
-        # Written last: its marker is what the next batch looks for.
-        hosts.select("host", F.col("_after").alias("seen")).write.mode("overwrite").parquet(self._path(batch_id, "seen"))
-        done = self._path(batch_id, "flows/complete=true")
-        if not files.exists(self.spark, done):
-            return self.spark.createDataFrame([], placed_schema)
-        return self.spark.read.schema(placed_schema).parquet(done)
-
-    def start(self, flows: DataFrame, on_sessions, checkpoint, trigger=None):
-        """Run over a stream; on_sessions(session_flows, batch_id) must tolerate a repeated batch."""
-        writer = flows.writeStream.foreachBatch(
-            lambda batch, batch_id: on_sessions(self.process(batch, batch_id), batch_id)
-        ).option("checkpointLocation", checkpoint)
-        return writer.trigger(**(trigger or {"availableNow": True})).start()
+
+def start_sessions(flows: DataFrame, path, checkpoint, trigger=None, **options):
+    """Append complete windows of a stream to a parquet table; each batch is there once."""
+    return (
+        sessionize_stream(flows, **options).writeStream.format("parquet").outputMode("append")
+        .option("path", path).option("checkpointLocation", checkpoint)
+        .trigger(**(trigger or {"availableNow": True})).start()
+    )
 
 
 def split_valid_sessions(aligned: DataFrame, features, size=SESSION_SIZE, keys=("host", "session_idx")):

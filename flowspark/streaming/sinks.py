@@ -1,22 +1,38 @@
 """Where streams end: alert table, running counters, batch tables."""
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowspark.functions.alerts import binary_truth, stream_alert_id, verdict
 from flowspark.operators.counters import detection_counters, throughput
+from flowspark.sources import files
 from flowspark.sources.alert_table import AlertTable
 from flowspark.sources.stores import write_json
 
 
-def start_counters(events: DataFrame, name, checkpoint, trigger=None):
-    """Running counters of an event stream as an in-memory table of one row."""
+def start_counters(events: DataFrame, path, checkpoint, trigger=None):
+    """Running counters of an event stream: one row per batch folder, which a repeated batch writes again."""
+
+    def keep(counters, batch_id):
+        counters.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
     return (
-        detection_counters(events).writeStream.outputMode("complete").format("memory").queryName(name)
+        detection_counters(events).writeStream.outputMode("complete").foreachBatch(keep)
         .option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
     )
 
 
+def read_counters(spark, path) -> DataFrame:
+    """The counters of the last batch that is complete; they outlive the query and its driver."""
+    done = files.glob(spark, f"{path}/batch=*/_SUCCESS")
+    if not done:
+        raise FileNotFoundError(f"no counters in {path}")
+    last = max(int(re.search(r"batch=(\d+)/_SUCCESS$", p).group(1)) for p in done)
+    return spark.read.parquet(f"{path}/batch={last}")
+
+
 def start_alerts(alerts: DataFrame, table: AlertTable, checkpoint, source="stream", trigger=None):
     """Upsert a stream of alerts; the checkpoint names the stream, so a repeated batch changes nothing."""
     return (

@@ -13,8 +13,8 @@ from flowspark.operators.sessions import five_minute_windows, sessionize
 from flowspark.schema import FEATURES, N_CLASSES
 from flowspark.sources.alert_table import AlertTable
 from flowspark.streaming import replay as R
-from flowspark.streaming.sessions import StreamSessionizer, split_valid_sessions
-from flowspark.streaming.sinks import session_alerts, start_alerts, start_counters, start_table, write_stream_summary
+from flowspark.streaming.sessions import _cut, split_valid_sessions, start_sessions
+from flowspark.streaming.sinks import read_counters, session_alerts, start_alerts, start_counters, start_table, write_stream_summary
 from flowspark.sources.stores import read_json
 
 START = dt.datetime(2024, 1, 1)
@@ -46,35 +46,60 @@ def arriving(spark, tmp_path):
     return df, str(folder)
 
 
-@pytest.mark.parametrize("hot_rows", [10, 2_000_000])
-def test_streamed_windows_equal_batch_windows(spark, arriving, tmp_path, hot_rows):
-    df, folder = arriving
-    stream = R.stream_parquet(spark, folder, df.schema)
-    batches = []
-
-    def keep(found, batch_id):
-        batches.append(batch_id)
-        found.write.mode("overwrite").parquet(str(tmp_path / f"out/batch={batch_id}"))
-
-    sessionizer = StreamSessionizer(spark, str(tmp_path / "state"), hot_rows=hot_rows)
-    sessionizer.start(stream, keep, str(tmp_path / "checkpoint")).awaitTermination()
-    assert batches == [0, 1, 2, 3]
-    columns = ["flow_id", "host", "session_idx", "pos"]
-    got = spark.read.parquet(str(tmp_path / "out")).select(*columns)
-    want = sessionize(df).select(*columns)
+def _link(folder, staged, number):
+    """A written part arrives as the file of that number."""
+    name = [f for f in os.listdir(staged) if f.endswith(".parquet")][0]
+    os.link(f"{staged}/{name}", f"{folder}/{number}.parquet")
+    stamp = time.time() - 1000 + number * 10
+    os.utime(f"{folder}/{number}.parquet", (stamp, stamp))
+
+
+@pytest.mark.parametrize("kind", ["timestamp_ntz", "timestamp"])
+def test_streamed_windows_equal_batch_windows_after_a_restart(spark, tmp_path, kind):
+    df = flows(spark).withColumns({"ts": F.col("ts").cast(kind), "host": F.when(F.col("host") != 8, F.col("host")),
+                                   "label_id": F.when(F.col("flow_id") % 7 != 0, F.col("label_id"))})
+    folder, out, checkpoint = tmp_path / "in", str(tmp_path / "out"), str(tmp_path / "checkpoint")
+    folder.mkdir()
+    for run in ((0, 1), (2, 3)):
+        for part in run:
+            staged = str(tmp_path / f"part{part}")
+            df.filter(f"flow_id >= {part * 225} AND flow_id < {(part + 1) * 225}").coalesce(1).write.parquet(staged)
+            _link(folder, staged, part)
+        query = start_sessions(R.stream_parquet(spark, str(folder), df.schema).drop("source_file"), out, checkpoint)
+        query.awaitTermination()
+        assert query.lastProgress["batchId"] >= run[-1]
+    columns = ["flow_id", "host", "ts", "label_id", "session_idx", "pos"]
+    got, want = spark.read.parquet(out).select(*columns), sessionize(df).select(*columns)
     assert got.count() == want.count() and got.exceptAll(want).count() == 0
 
 
-def test_repeated_batch_changes_nothing(spark, tmp_path):
-    df = flows(spark, 300)
-    first, second = df.filter("flow_id < 150"), df.filter("flow_id >= 150")
-    sessionizer = StreamSessionizer(spark, str(tmp_path / "state"))
-    sessionizer.process(first, 0)
-    once = sorted((r.flow_id, r.session_idx, r.pos) for r in sessionizer.process(second, 1).collect())
-    again = sorted((r.flow_id, r.session_idx, r.pos) for r in sessionizer.process(second, 1).collect())
-    assert once == again
-    with pytest.raises(RuntimeError, match="state of batch 6 is missing"):
-        sessionizer.process(second, 7)
+def test_state_holds_less_than_a_window_of_a_host(spark):
+    rows = flows(spark, 300).toPandas()
+    full, rest, done = _cut(rows, 20, 3)
+    assert (len(full), len(rest), done) == (300, 0, 18) and list(full["session_idx"].unique()) == list(range(3, 18))
+    full, rest, done = _cut(rows.iloc[:19], 20, 3)
+    assert (len(full), len(rest), done) == (0, 19, 3)
+
+
+def test_idle_hosts_lose_what_waits_but_keep_their_numbers(spark, tmp_path):
+    folder = tmp_path / "in"
+    folder.mkdir()
+
+    def hour(number, host, first, n, at):
+        rows = [(first + i, host, START + dt.timedelta(hours=at, seconds=i), 80.0, 0) for i in range(n)]
+        staged = str(tmp_path / f"hour{number}")
+        spark.createDataFrame(rows, SCHEMA).withColumn("ts", F.col("ts").cast("timestamp")).coalesce(1).write.parquet(staged)
+        _link(folder, staged, number)
+
+    schema = spark.createDataFrame([], SCHEMA).withColumn("ts", F.col("ts").cast("timestamp")).schema
+    hour(0, 1, 0, 30, 0)       # one window, ten flows wait
+    hour(1, 2, 100, 5, 5)      # host 2 moves the clock on; host 1 falls idle with the next batch
+    hour(2, 2, 200, 5, 6)
+    hour(3, 1, 300, 20, 7)     # back again: a window of its own, numbered on
+    stream = R.stream_parquet(spark, str(folder), schema)
+    start_sessions(stream, str(tmp_path / "out"), str(tmp_path / "cp"), idle="1 hour").awaitTermination()
+    got = {(r.flow_id, r.session_idx) for r in spark.read.parquet(str(tmp_path / "out")).collect() if r.host == 1}
+    assert got == {(i, 0) for i in range(20)} | {(300 + i, 1) for i in range(20)}
 
 
 def called(df):
@@ -86,9 +111,15 @@ def called(df):
 def test_running_counters(spark, arriving, tmp_path):
     df, folder = arriving
     events = R.detection_events(called(R.stream_parquet(spark, folder, df.schema)))
-    start_counters(events, "counters_test", str(tmp_path / "cp")).awaitTermination()
+    kept = str(tmp_path / "counters")
+    start_counters(events, kept, str(tmp_path / "cp")).awaitTermination()
     batch = detection_counters(R.detection_events(called(df))).collect()
-    assert spark.table("counters_test").collect() == batch
+    assert read_counters(spark, kept).collect() == batch
+    # a batch that died before its marker does not count, and nothing depends on the driver's memory
+    (tmp_path / "counters" / "batch=99").mkdir()
+    assert read_counters(spark, kept).collect() == batch
+    with pytest.raises(FileNotFoundError):
+        read_counters(spark, str(tmp_path / "none"))
     write_stream_summary(R.detection_events(called(df)), 10, str(tmp_path / "summary"))
     assert read_json(spark, str(tmp_path / "summary")).first().flows_per_second == 90.0
 
