@@ -10,7 +10,7 @@ from flowspark.functions.scores import confidence
 from flowspark.functions.text import kpi_band
 from flowspark.operators import counters as C
 from flowspark.operators.sessions import session_truth
-from flowspark.schema import LABELS, MAX_ALERTS
+from flowspark.schema import LABELS
 from flowspark.session import work_dir
 from flowspark.sources.alert_table import AlertTable, newest_per_id, normalise_alerts, retain
 
@@ -46,14 +46,14 @@ def verdicts(spark, sf_dir):
 
 def one_per_id(spark, sf_dir):
     """The last alert of each id over all alerts, before the table's size limit."""
-    found = newest_per_id(alerts_of(spark, sf_dir), F.col("ts"))
+    found = newest_per_id(alerts_of(spark, sf_dir), ("ts",))
     return found.select("alert_uuid", "session_id", "ts", "attack_id", "verdict")
 
 
 def upserted(spark, sf_dir):
-    """Table of the newest MAX_ALERTS after three batches, the later ones updating ids of the earlier; the second is the newest."""
+    """The table after three batches, the later ones updating ids of the earlier."""
     alerts = alerts_of(spark, sf_dir)
-    store = AlertTable(spark, work_dir(spark, "alert-table"), MAX_ALERTS)
+    store = AlertTable(spark, work_dir(spark, "alert-table"))
     store.record(alerts.filter("session_id % 3 = 0"))
     store.record(alerts.filter("session_id % 3 = 2").withColumn("ts", F.col("ts") + 1e6))
     store.record(alerts.filter("session_id % 3 = 1").withColumn("ts", F.col("ts") + 2e6))
@@ -179,9 +179,8 @@ judged AS (
     WHEN is_attack AND ground_truth <> 0 THEN 'TP' WHEN is_attack THEN 'FP'
     WHEN ground_truth <> 0 THEN 'FN' ELSE 'TN' END AS verdict FROM alerts
 ),
-latest AS (SELECT * FROM judged QUALIFY row_number() OVER (PARTITION BY alert_uuid ORDER BY ts DESC) = 1),
-kept AS (SELECT * FROM latest ORDER BY ts DESC LIMIT {MAX_ALERTS})"""
-_RECENT = "SELECT alert_uuid, attack_id, attack_name, confidence, is_attack, source, session_id, verdict FROM kept"
+latest AS (SELECT * FROM judged QUALIFY row_number() OVER (PARTITION BY alert_uuid ORDER BY ts DESC) = 1)"""
+_RECENT = "SELECT alert_uuid, attack_id, attack_name, confidence, is_attack, source, session_id, verdict FROM latest"
 
 _CALLS = f"""
 WITH {ENRICHED_CTE}{sessions_cte()},
@@ -198,21 +197,21 @@ QUERIES = {
     "alert_upsert": (upserted, f"""{_ALERTS},
 again AS (SELECT * REPLACE (ts + CASE session_id % 3 WHEN 1 THEN 2e6 WHEN 2 THEN 1e6 ELSE 0e0 END AS ts) FROM judged),
 one AS (SELECT * FROM again QUALIFY row_number() OVER (PARTITION BY alert_uuid ORDER BY ts DESC) = 1)
-SELECT alert_uuid, session_id, ts, attack_id, verdict FROM one ORDER BY ts DESC LIMIT {MAX_ALERTS}"""),
+SELECT alert_uuid, session_id, ts, attack_id, verdict FROM one"""),
     "alert_recent": (recent, f"{_ALERTS}\n{_RECENT} ORDER BY ts DESC LIMIT 50"),
     "alert_recent_source": (recent_rest, f"{_ALERTS}\n{_RECENT} WHERE source = 'rest' ORDER BY ts DESC LIMIT 50"),
     "alert_stats": (totals, f"""{_ALERTS}
 SELECT count(*) AS total_sessions_analyzed, count(*) FILTER (is_attack) AS total_attacks_detected,
   count(*) FILTER (verdict = 'TP') AS tp, count(*) FILTER (verdict = 'FP') AS fp, count(*) FILTER (verdict = 'TN') AS tn,
   count(*) FILTER (verdict = 'FN') AS fn,
-  round(count(*) FILTER (is_attack) / CAST(greatest(count(*), 1) AS DOUBLE), 4) AS attack_share FROM kept"""),
-    "alerts_by_attack": (by_attack, f"{_ALERTS}\nSELECT attack_name, count(*) AS n FROM kept WHERE is_attack GROUP BY 1"),
-    "alerts_by_source": (by_source, f"{_ALERTS}\nSELECT source, count(*) AS n FROM kept GROUP BY 1"),
+  round(count(*) FILTER (is_attack) / CAST(greatest(count(*), 1) AS DOUBLE), 4) AS attack_share FROM latest"""),
+    "alerts_by_attack": (by_attack, f"{_ALERTS}\nSELECT attack_name, count(*) AS n FROM latest WHERE is_attack GROUP BY 1"),
+    "alerts_by_source": (by_source, f"{_ALERTS}\nSELECT source, count(*) AS n FROM latest GROUP BY 1"),
     "alert_top_attacks": (top_attacks, f"""{_ALERTS}
-SELECT attack_name, count(*) AS n FROM kept WHERE is_attack GROUP BY 1 ORDER BY n DESC, attack_name LIMIT 10"""),
-    "alert_bars": (bars, f"""{_ALERTS}, b AS (SELECT attack_name, count(*) AS n FROM kept WHERE is_attack GROUP BY 1)
+SELECT attack_name, count(*) AS n FROM latest WHERE is_attack GROUP BY 1 ORDER BY n DESC, attack_name LIMIT 10"""),
+    "alert_bars": (bars, f"""{_ALERTS}, b AS (SELECT attack_name, count(*) AS n FROM latest WHERE is_attack GROUP BY 1)
 SELECT attack_name, n, round(n * 100 / CAST(max(n) OVER () AS DOUBLE), 1) AS bar_percent FROM b"""),
-    "alert_retention": (retention, f"{_ALERTS}\nSELECT alert_uuid, session_id FROM kept ORDER BY ts DESC LIMIT 1000"),
+    "alert_retention": (retention, f"{_ALERTS}\nSELECT alert_uuid, session_id FROM latest ORDER BY ts DESC LIMIT 1000"),
     "alert_record": (alert_records, f"""{_P},
 e AS (SELECT session_id, unnest(probs) AS p, unnest(range(15)) AS c FROM preds),
 t AS (SELECT session_id, string_agg(CAST(c AS VARCHAR), ',' ORDER BY p DESC, c) AS top_predictions FROM

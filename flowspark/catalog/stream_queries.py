@@ -13,7 +13,7 @@ from flowspark.operators.counters import attack_counts
 from flowspark.operators.scaling import FeatureScaler
 from flowspark.operators.sessions import session_summary
 from flowspark.operators.stats import session_stats
-from flowspark.schema import FEATURES, LABELS, MAX_ALERTS, N_CLASSES
+from flowspark.schema import FEATURES, LABELS, N_CLASSES
 from flowspark.session import work_dir
 from flowspark.sources.alert_table import AlertTable
 from flowspark.streaming.replay import clean_stream, detection_events, feature_events, score_stream, stream_parquet
@@ -114,16 +114,16 @@ def stream_stats(spark, sf_dir):
 
 
 def stream_alerts(spark, sf_dir):
-    """Alerts of the stream upserted into the alert table; the newest 10000 stay."""
+    """Alerts of the stream recorded in the alert table, numbered by time."""
     root = work_dir(spark, "alerts")
     events = detection_events(_called(_stream(spark, sf_dir)))
     alerts = events.select(
         F.col("flow_id").alias("session_no"), F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), "attack_id",
         "attack_name", "confidence", (F.col("ground_truth_id") != 0).alias("has_attack"), F.lit(20).alias("n_flows"),
     ).withColumn("ts", F.col("us") / 1e6)
-    store = AlertTable(spark, f"{root}/table", MAX_ALERTS)
+    store = AlertTable(spark, f"{root}/table")
     start_alerts(session_alerts(alerts), store, f"{root}/checkpoint").awaitTermination()
-    return store.read().select("seq", "alert_uuid", "attack_id", "verdict", "ground_truth", "source")
+    return store.numbered().select("seq", "alert_uuid", "attack_id", "verdict", "ground_truth", "source")
 
 
 def model_fn_events(spark, sf_dir):
@@ -204,8 +204,7 @@ SELECT flow_id, CAST(-1 AS INT) AS attack_id, '' AS attack_name, 0e0 AS confiden
     "stream_sessions_resumed": (stream_sessions_resumed, _SESSIONS),
     "stream_stats": (stream_stats, f"WITH {ENRICHED_CTE}{sessions_cte()}\n{stats_sql()}"),
     "stream_alerts": (stream_alerts, f"""{_CALLED},
-n AS (SELECT *, row_number() OVER (ORDER BY ts DESC, 'stream-' || flow_id DESC) AS age FROM called),
-k AS (SELECT *, row_number() OVER (ORDER BY age DESC) AS seq FROM n WHERE age <= 10000)
+k AS (SELECT *, row_number() OVER (ORDER BY ts, 'stream-' || flow_id) AS seq FROM called)
 SELECT seq, 'stream-' || flow_id AS alert_uuid, CAST(c AS INT) AS attack_id,
   CASE WHEN c <> 0 AND label_id <> 0 THEN 'TP' WHEN c <> 0 THEN 'FP' WHEN label_id <> 0 THEN 'FN' ELSE 'TN' END AS verdict,
   CAST(label_id <> 0 AS INT) AS ground_truth, 'stream' AS source FROM k"""),

@@ -4,6 +4,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowspark.functions.labels import label_name
+from flowspark.schema import ALERT_ORDER
 
 
 def detection_counters(events: DataFrame, truth="ground_truth_id", pred="attack_id", by=()):
@@ -70,7 +71,7 @@ def recent_alerts(alerts: DataFrame, limit=50, source=None):
     """Newest alerts first."""
     if source is not None:
         alerts = alerts.filter(F.col("source") == source)
-    return alerts.orderBy(F.col("seq").desc()).limit(limit).select(
+    return alerts.orderBy(*[F.desc_nulls_last(c) for c in ALERT_ORDER]).limit(limit).select(
         "alert_uuid", "ts", "attack_id", "attack_name", "confidence", "is_attack", "source", "session_id", "verdict"
     )
 

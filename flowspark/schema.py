@@ -48,7 +48,6 @@ N_CLASSES = 15
 EMBEDDING_DIM = 256
 MAX_SEQ_LEN = 60
 MAX_FLOWS_PER_REQUEST = 1000
-MAX_ALERTS = 10_000
 CLIP_LIMIT = 1e9
 FILES_BYTE_THRESHOLD = 1_000_000
 SHORT_FLOW_US = 100_000
@@ -189,6 +188,9 @@ ALERT_SCHEMA = T.StructType([
     T.StructField("raw", T.StringType()),
 ])
 
+#: Alerts by the time they were recorded, then by their own.
+ALERT_ORDER = ("recorded", "ts", "alert_uuid", "row_id")
+
 
 def small_table(spark, columns):
     """A fixed dimension as a local relation; columns maps name -> (arrow type, values)."""

@@ -1,25 +1,33 @@
-"""The alert table: all alerts or the newest ones, one row per alert id, kept as parquet snapshots.
+"""The alert table: one row per alert id, read from an append-only log of batches.
 
-Each change writes a new snapshot folder and never touches the one it reads. A snapshot counts
-once its _SUCCESS marker exists, so a job that dies half-way leaves the previous one in force.
-A stream's batches are listed in a ledger beside the snapshots that took them in; an entry counts
-once its snapshot does, so a batch that is handed in again is left out.
+Every writer owns the folders of its batches, `writer=<name>/batch=<number>`, and writes no other. A
+batch is written whole and counts once its _SUCCESS marker exists, so one that died is written again by
+its writer, one that is there already is left alone, and writers never touch each other's alerts. Which
+alert of an id is the latest, and the order of all, are worked out at reading, by the time a batch was
+recorded and the alert's own time. Compaction puts the rows in force into one batch and keeps markers.
 """
 
 import logging
-import re
+import time
+import uuid
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from flowspark.functions.alerts import verdict
-from flowspark.schema import ALERT_SCHEMA
+from flowspark.schema import ALERT_ORDER, ALERT_SCHEMA
 from flowspark.session import materialise
 from flowspark.sources import files
 
 log = logging.getLogger(__name__)
 
 _FIELDS = [f.name for f in ALERT_SCHEMA.fields if f.name != "seq"]
+#: What the log holds besides the alert: micros at which the batch was recorded, and an id of the row.
+_STORED = T.StructType([
+    T.StructField("recorded", T.LongType()), T.StructField("row_id", T.StringType()),
+    *[f for f in ALERT_SCHEMA.fields if f.name != "seq"],
+])
 
 
 def normalise_alerts(batch: DataFrame, source=None) -> DataFrame:
@@ -51,93 +59,79 @@ def normalise_alerts(batch: DataFrame, source=None) -> DataFrame:
     return out.withColumn("verdict", verdict(F.col("is_attack"), F.col("ground_truth"))).select(*_FIELDS)
 
 
-def newest_per_id(alerts: DataFrame, order) -> DataFrame:
-    """The last row of each alert id; rows without an id never replace each other.
+def newest_per_id(alerts: DataFrame, order, spare=None) -> DataFrame:
+    """The last row of each alert id by the order columns.
 
-    max_by combines inside the tasks first, so an id repeated very often costs nothing extra.
+    Rows without an id never replace each other, or by the id that `spare` gives. Ranks of one are cut
+    inside the tasks before the shuffle, so an id repeated very often costs nothing extra.
     """
-    row = F.struct(*[F.col(c) for c in alerts.columns])
-    named = alerts.filter("alert_uuid IS NOT NULL").groupBy("alert_uuid").agg(
-        F.max_by(row, order).alias("r")
-    ).select("r.*")
-    return named.unionByName(alerts.filter("alert_uuid IS NULL"))
+    named = alerts if spare is not None else alerts.filter("alert_uuid IS NOT NULL")
+    key = F.col("alert_uuid") if spare is None else F.coalesce("alert_uuid", F.concat(F.lit("\0"), F.col(spare)))
+    place = F.row_number().over(Window.partitionBy("_key").orderBy(*[F.desc_nulls_last(c) for c in order]))
+    latest = named.withColumn("_key", key).withColumn("_place", place).filter("_place = 1").drop("_key", "_place")
+    return latest if spare is not None else latest.unionByName(alerts.filter("alert_uuid IS NULL"))
 
 
-def _numbered(rows: DataFrame, last) -> DataFrame:
-    """rows with seq counting on from last in (ts, alert_uuid, raw) order; ranges are numbered apart and shifted.
+def retain(alerts: DataFrame, max_alerts=None) -> DataFrame:
+    """The newest max_alerts rows, all without a number."""
+    if max_alerts is None:
+        return alerts
+    return alerts.orderBy(*[F.desc_nulls_last(c) for c in ALERT_ORDER]).limit(max_alerts)
 
-    with_row_index wants a number as tie-breaker, which a text id is not.
-    """
-    order = ("ts", "alert_uuid", "raw")
+
+def numbered(alerts: DataFrame) -> DataFrame:
+    """Alerts with seq, 1 for the oldest; ranges of the order are numbered apart and shifted."""
+    order = [F.asc_nulls_first(c) for c in ALERT_ORDER]
     # written once, so that the ranges are the same for counting and numbering
-    dealt = materialise(rows.repartitionByRange(*order).withColumn("range", F.spark_partition_id()), "new-alerts")
+    dealt = materialise(alerts.repartitionByRange(*order).withColumn("range", F.spark_partition_id()), "alert-order")
     # one row for each range
     earlier = Window.partitionBy(F.lit(1)).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     before = dealt.groupBy("range").agg(F.count(F.lit(1)).alias("n")).select(
         "range", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
     place = F.row_number().over(Window.partitionBy("range").orderBy(*order))
-    return dealt.join(before, "range").withColumn("seq", (F.lit(last) + F.col("before") + place).cast("bigint"))
-
-
-def upsert(existing: DataFrame, batch: DataFrame, max_alerts=None) -> DataFrame:
-    """Table after recording a batch of normalised alerts in (ts, alert_uuid) order.
-
-    A known id moves to the end with its new content. With max_alerts only the newest so many stay.
-    """
-    order = F.struct(F.col("ts"), F.coalesce("alert_uuid", F.lit("")), F.col("raw"))
-    latest = newest_per_id(batch, order)
-    if max_alerts is not None:
-        latest = latest.orderBy(F.col("ts").desc(), F.col("alert_uuid").desc()).limit(max_alerts)
-    last = existing.agg(F.coalesce(F.max("seq"), F.lit(0)).alias("last")).first()["last"]
-    fresh = _numbered(latest, last)
-    columns = ["seq", *_FIELDS]
-    both = existing.select(*columns).unionByName(fresh.select(*columns))
-    return retain(newest_per_id(both, F.col("seq")), max_alerts)
-
-
-def retain(alerts: DataFrame, max_alerts=None) -> DataFrame:
-    """The newest max_alerts rows, all without a number."""
-    return alerts if max_alerts is None else alerts.orderBy(F.col("seq").desc()).limit(max_alerts)
+    return dealt.join(before, "range").withColumn("seq", (F.col("before") + place).cast("bigint")).select("seq", *_FIELDS)
 
 
 class AlertTable:
     def __init__(self, spark, root, max_alerts=None):
         self.spark, self.root, self.max_alerts = spark, root.rstrip("/"), max_alerts
 
-    def version(self):
-        """Number of the snapshot in force, -1 when the table is new."""
-        done = files.glob(self.spark, f"{self.root}/snapshot=*/_SUCCESS")
-        numbers = [int(re.search(r"snapshot=(\d+)/_SUCCESS$", p).group(1)) for p in done]
-        return max(numbers, default=-1)
+    def _folder(self, writer, batch_id):
+        # the name of a writer may be a path, such as that of a checkpoint
+        return f"{self.root}/writer={uuid.uuid5(uuid.NAMESPACE_URL, writer).hex}/batch={batch_id}"
 
-    def read(self, version=None) -> DataFrame:
-        version = self.version() if version is None else version
-        if version < 0:
-            return self.spark.createDataFrame([], ALERT_SCHEMA)
-        return self.spark.read.schema(ALERT_SCHEMA).parquet(f"{self.root}/snapshot={version}")
+    def batches(self):
+        """Folders of the batches that are complete."""
+        return [p.rsplit("/", 1)[0] for p in files.glob(self.spark, f"{self.root}/writer=*/batch=*/_SUCCESS")]
 
-    def _write(self, alerts, version):
-        alerts.write.mode("overwrite").parquet(f"{self.root}/snapshot={version}")
+    def log(self, folders=None) -> DataFrame:
+        """All rows of complete batches, those that others replace too."""
+        folders = self.batches() if folders is None else folders
+        if not folders:
+            return self.spark.createDataFrame([], _STORED)
+        return self.spark.read.schema(_STORED).parquet(*folders)
 
-    def _stored(self, writer, batch_id, base):
-        if not files.glob(self.spark, f"{self.root}/ledger/snapshot=*/_SUCCESS"):
-            return False
-        ledger = self.spark.read.schema("writer string, batch_id bigint, snapshot int").parquet(f"{self.root}/ledger")
-        mine = (F.col("writer") == writer) & (F.col("batch_id") == batch_id) & (F.col("snapshot") <= base)
-        return not ledger.filter(mine).isEmpty()
+    def read(self) -> DataFrame:
+        """The alerts in force: the latest of each id, the newest max_alerts where that is given."""
+        return retain(newest_per_id(self.log(), ALERT_ORDER, spare="row_id"), self.max_alerts)
+
+    def numbered(self) -> DataFrame:
+        """read() with seq, the place by the time of recording."""
+        return numbered(self.read())
 
     def record(self, batch: DataFrame, source=None, batch_id=None, writer="stream"):
-        """Add a batch to the snapshot in force, whoever wrote that.
+        """Append a batch; of an id that is in it more than once only the latest alert.
 
-        A stream names itself and its batch; a batch that is stored already changes nothing.
+        A stream names itself and its batch; a batch that is stored already changes nothing. Without a
+        batch number the batch stands for itself.
         """
-        base = self.version()
-        if batch_id is not None:
-            if self._stored(writer, batch_id, base):
-                return
-            entry = self.spark.createDataFrame([(writer, batch_id)], "writer string, batch_id bigint")
-            entry.coalesce(1).write.mode("overwrite").parquet(f"{self.root}/ledger/snapshot={base + 1}")
-        self._write(upsert(self.read(base), normalise_alerts(batch, source), self.max_alerts), base + 1)
+        folder = self._folder(writer, batch_id) if batch_id is not None else self._folder(uuid.uuid4().hex, 0)
+        if files.exists(self.spark, f"{folder}/_SUCCESS"):
+            return
+        order = ("ts", "alert_uuid", "raw")
+        latest = newest_per_id(normalise_alerts(batch, source), order)
+        rows = latest.withColumns({"recorded": F.lit(time.time_ns() // 1000), "row_id": F.expr("uuid()")})
+        rows.select(*_STORED.names).write.mode("overwrite").parquet(folder)
 
     def record_safely(self, batch: DataFrame, source=None, batch_id=None, writer="stream"):
         """record for callers whose detection must go on when the table cannot be written."""
@@ -148,6 +142,18 @@ class AlertTable:
             log.warning("alerts were not stored: %s", error)
             return False
 
+    def compact(self):
+        """Put the rows in force into one batch and remove those of the batches it was made from.
+
+        For times when nobody reads. The markers stay, so a batch that is handed in again is still known;
+        a compaction that dies leaves rows twice, which reading takes for one.
+        """
+        folders = self.batches()
+        kept = retain(newest_per_id(self.log(folders), ALERT_ORDER, spare="row_id"), self.max_alerts)
+        kept.write.parquet(self._folder(uuid.uuid4().hex, 0))
+        for folder in folders:
+            files.remove(self.spark, f"{folder}/part-*")
+
     def clear(self):
-        """Empty the table."""
-        self._write(self.spark.createDataFrame([], ALERT_SCHEMA), self.version() + 1)
+        """Empty the table; it forgets its batches too."""
+        files.remove(self.spark, f"{self.root}/writer=*")

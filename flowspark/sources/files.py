@@ -21,6 +21,13 @@ def exists(spark, path):
     return fs.exists(path)
 
 
+def remove(spark, pattern):
+    """Remove what matches a glob, folders with all they hold."""
+    fs, _ = _fs(spark, pattern)
+    for path in glob(spark, pattern):
+        fs.delete(spark._jvm.org.apache.hadoop.fs.Path(path), True)
+
+
 def existing(spark, paths):
     return [p for p in paths if exists(spark, p)]
 

@@ -1,6 +1,10 @@
+import os
+from concurrent.futures import ThreadPoolExecutor
+
 import pytest
 from pyspark.sql import functions as F
 
+from flowspark.operators.counters import recent_alerts
 from flowspark.operators.scaling import FeatureScaler
 from flowspark.operators.sessions import sessionize
 from flowspark.plans.embedding import TextEmbedder
@@ -135,18 +139,20 @@ def store(spark, tmp_path):
 
 
 def test_alert_table(spark, store):
-    assert store.version() == -1 and store.read().count() == 0
+    assert store.batches() == [] and store.read().count() == 0
     store.record(spark.createDataFrame([REST], ALERT), "rest")
     store.record(spark.createDataFrame([STREAM], ALERT).withColumn("ground_truth", F.lit(1)), "stream")
-    rows = {r.alert_uuid: r for r in store.read().collect()}
+    rows = {r.alert_uuid: r for r in store.numbered().collect()}
     assert rows["rest-001"].verdict is None and rows["stream-001"].verdict == "FN"
     assert (rows["rest-001"].seq, rows["stream-001"].seq) == (1, 2)
     assert '"attack_name":"PortScan"' in rows["rest-001"].raw
     store.record(spark.createDataFrame([REST], ALERT).withColumn("confidence", F.lit(0.5)), "rest")
-    again = store.read().filter("alert_uuid = 'rest-001'").collect()
-    assert len(again) == 1 and again[0].confidence == 0.5 and again[0].seq == 3
+    again = {r.alert_uuid: r for r in store.numbered().collect()}
+    assert len(again) == 2 and again["rest-001"].confidence == 0.5
+    assert (again["stream-001"].seq, again["rest-001"].seq) == (1, 2)
+    assert [r.alert_uuid for r in recent_alerts(store.read(), 1).collect()] == ["rest-001"]
     store.clear()
-    assert store.read().count() == 0 and store.version() == 3
+    assert store.read().count() == 0 and store.batches() == []
 
 
 def test_alert_retention_and_null_ids(spark, store):
@@ -163,19 +169,61 @@ def test_alert_table_without_a_limit_keeps_all(spark, tmp_path):
         F.col("id").cast("string").alias("alert_uuid"), (F.col("id") % 7).cast("double").alias("ts"))
     store.record(many.filter("id < 10040"), "rest")
     store.record(many.filter("id >= 10030"), "rest")
-    rows = store.read().collect()
-    assert len(rows) == len({r.alert_uuid for r in rows}) == 10_050
+    rows = store.numbered().collect()
+    assert sorted(r.seq for r in rows) == list(range(1, 10_051))
     first = sorted((r for r in rows if int(r.alert_uuid) < 10_030), key=lambda r: r.seq)
     assert first == sorted(first, key=lambda r: (r.ts, r.alert_uuid))
-    assert sorted(r.seq for r in rows if int(r.alert_uuid) >= 10_030) == list(range(10_041, 10_061))
+    assert sorted(r.seq for r in rows if int(r.alert_uuid) >= 10_030) == list(range(10_031, 10_051))
 
 
-def test_repeated_batch_gives_the_same_snapshot(spark, store):
+def test_repeated_batch_changes_nothing(spark, store):
     batch = spark.createDataFrame([REST, STREAM], ALERT)
     store.record(batch, "stream", batch_id=0)
     first = store.read().collect()
     store.record(batch, "stream", batch_id=0)
-    assert store.read().collect() == first and store.version() == 0
+    assert store.read().collect() == first and len(store.batches()) == 1
+
+
+def _ids(store):
+    return sorted(r["alert_uuid"] for r in store.read().collect())
+
+
+def test_a_batch_that_died_is_taken_when_it_comes_again(spark, tmp_path, monkeypatch):
+    store = A.AlertTable(spark, str(tmp_path / "died"))
+    batch = spark.createDataFrame([STREAM], ALERT)
+    # the batch leaves a part file behind but no marker
+    store.record(batch, "stream", batch_id=0, writer="a")
+    os.remove(f"{store.batches()[0].removeprefix('file:')}/_SUCCESS")
+    assert store.read().count() == 0
+    store.record(spark.createDataFrame([REST], ALERT), "rest")
+    assert _ids(store) == ["rest-001"]
+    store.record(batch, "stream", batch_id=0, writer="a")
+    assert _ids(store) == ["rest-001", "stream-001"]
+
+
+def test_writers_that_start_from_the_same_state_keep_each_others_alerts(spark, tmp_path):
+    root = str(tmp_path / "two")
+    one, two = A.AlertTable(spark, root), A.AlertTable(spark, root)
+    with ThreadPoolExecutor(2) as pool:
+        list(pool.map(lambda job: job[0].record(spark.createDataFrame([job[1]], ALERT), "rest"), [(one, REST), (two, STREAM)]))
+    assert _ids(one) == _ids(two) == ["rest-001", "stream-001"]
+
+
+def test_compaction_keeps_rows_and_known_batches(spark, tmp_path):
+    store = A.AlertTable(spark, str(tmp_path / "compact"))
+    nameless = spark.createDataFrame([(None, 5.0), (None, 5.0)], "alert_uuid string, ts double")
+    store.record(spark.createDataFrame([REST, STREAM], ALERT), "stream", batch_id=0)
+    store.record(spark.createDataFrame([REST], ALERT).withColumn("confidence", F.lit(0.1)), "rest")
+    store.record(nameless, "rest")
+    before = sorted(map(str, store.read().collect()))
+    assert len(before) == 4 and store.log().count() == 5
+    rows_twice = store.read()
+    rows_twice.write.parquet(store._folder("died after writing", 0))
+    assert sorted(map(str, store.read().collect())) == before
+    store.compact()
+    assert sorted(map(str, store.read().collect())) == before and store.log().count() == 4
+    store.record(spark.createDataFrame([REST, STREAM], ALERT), "stream", batch_id=0)
+    assert sorted(map(str, store.read().collect())) == before
 
 
 def test_write_failure_is_not_fatal(spark, tmp_path):
