@@ -77,20 +77,22 @@ def failure_cells(docs, labels):
     rows = content_failures(docs)
     said = columns_of(labels, "doc_id", "quality", "toxic").where("doc_id is not null").groupBy("doc_id").agg(
         F.max(F.expr("cast(quality <=> 1 as int)")).alias("good"), F.max(F.expr("cast(toxic <=> 1 as int)")).alias("toxic"))
-    counted = rows.where("doc_id is not null").groupBy("doc_id", "part", "key", "mask").agg(F.count(F.lit(1)).alias("n"))
-    told = counted.join(said, "doc_id", "left").withColumns(
+    counted = rows.groupBy("doc_id", "part", "key", "mask").agg(F.count(F.lit(1)).alias("n"))
+    # rows without an id find no labels; a second key keeps them from meeting in one task
+    spread = counted.withColumn("spread", F.when(F.col("doc_id").isNull(), F.hash("key")).otherwise(F.lit(0)))
+    told = spread.join(said.withColumn("spread", F.lit(0)), ["doc_id", "spread"], "left").withColumns(
         {"good": F.coalesce("good", F.lit(0)), "toxic": F.coalesce("toxic", F.lit(0))})
+    named = F.col("doc_id").isNotNull()
     copies = told.groupBy("key", "part", "mask", "good", "toxic").agg(
-        F.sum("n").alias("n"), F.min(F.struct("doc_id", "n")).alias("first"))
+        F.sum("n").alias("n"), F.min(F.when(named, F.struct("doc_id", "n"))).alias("first"),
+        F.sum(F.when(named, F.lit(0)).otherwise(F.col("n"))).alias("nameless"))
     least = F.min("first.doc_id").over(Window.partitionBy("key"))
-    marked = copies.withColumn("originals", F.when(F.col("first.doc_id") == least, F.col("first.n")).otherwise(F.lit(0)))
+    marked = copies.withColumn("originals", F.col("nameless") + F.when(
+        F.col("first.doc_id") == least, F.col("first.n")).otherwise(F.lit(0)))
     sides = F.array(F.struct(F.col("mask").alias("mask"), F.col("originals").alias("n")),
                     F.struct((F.col("mask") + _COPY).alias("mask"), (F.col("n") - F.col("originals")).alias("n")))
-    known = marked.select("part", "good", "toxic", F.inline(sides)).where("n > 0").groupBy("part", "mask").agg(
+    return marked.select("part", "good", "toxic", F.inline(sides)).where("n > 0").groupBy("part", "mask").agg(
         F.sum("n").alias("n"), F.sum(F.expr("n * good")).alias("good"), F.sum(F.expr("n * toxic")).alias("toxic"))
-    nameless = rows.where("doc_id is null").groupBy("part", "mask").agg(F.count(F.lit(1)).alias("n")).selectExpr(
-        "part", "mask", "n", "0L as good", "0L as toxic")
-    return known.unionByName(nameless).groupBy("part", "mask").agg(*[F.sum(c).alias(c) for c in ("n", "good", "toxic")])
 
 
 def subset_states(cells, size):
