@@ -4,13 +4,13 @@
 def all_queries():
     from flowspark.catalog import (
         alert_queries, flow_queries, metric_queries, model_queries, sample_queries, session_queries,
-        stream_queries, threat_queries,
+        source_queries, stream_queries, threat_queries,
     )
 
     found = {}
     modules = (
         flow_queries, session_queries, sample_queries, metric_queries, alert_queries, threat_queries,
-        model_queries, stream_queries,
+        model_queries, source_queries, stream_queries,
     )
     for module in modules:
         for name, pair in module.QUERIES.items():

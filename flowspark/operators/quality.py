@@ -133,8 +133,8 @@ def label_balance(df: DataFrame, label="label_id", min_samples=2, warn_ratio=100
 def label_distribution_by_file(df: DataFrame, file="source_file", label="label_id"):
     """Rows and percentage of each class within its file."""
     per_class = df.groupBy(file, label).agg(F.count("*").alias("n"))
-    per_file = per_class.groupBy(file).agg(F.sum("n").alias("_total"))
-    return per_class.join(per_file, file).select(
-        file, label, label_name(F.col(label)).alias("label_name"), "n",
-        (F.col("n") * 100 / F.col("_total")).alias("percent"),
+    # at most a row per class and file
+    total = F.sum("n").over(Window.partitionBy(file))
+    return per_class.select(
+        file, label, label_name(F.col(label)).alias("label_name"), "n", (F.col("n") * 100 / total).alias("percent"),
     )

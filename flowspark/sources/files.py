@@ -16,6 +16,12 @@ def glob(spark, pattern):
     return sorted(s.getPath().toString() for s in (fs.globStatus(path) or []))
 
 
+def uri(spark, path):
+    """The full name of a path, special characters encoded."""
+    fs, path = _fs(spark, path)
+    return fs.makeQualified(path).toUri().toString()
+
+
 def exists(spark, path):
     fs, path = _fs(spark, path)
     return fs.exists(path)
@@ -30,14 +36,3 @@ def remove(spark, pattern):
 
 def existing(spark, paths):
     return [p for p in paths if exists(spark, p)]
-
-
-def first_line(spark, path, encoding="ISO-8859-1"):
-    """First line of a text file, read without touching the rest of it."""
-    fs, path = _fs(spark, path)
-    stream = fs.open(path)
-    try:
-        reader = spark._jvm.java.io.BufferedReader(spark._jvm.java.io.InputStreamReader(stream, encoding))
-        return reader.readLine()
-    finally:
-        stream.close()

@@ -1,3 +1,4 @@
+import gzip
 import os
 from concurrent.futures import ThreadPoolExecutor
 
@@ -11,7 +12,7 @@ from flowspark.plans.embedding import TextEmbedder
 from flowspark.schema import FEATURES, RAW_FEATURES
 from flowspark.sources import alert_table as A
 from flowspark.sources import files, stores
-from flowspark.sources.flow_csv import header_names, load_directory, load_flows, load_listed
+from flowspark.sources.flow_csv import csv_report, header_names, load_directory, load_flows, load_listed
 
 # Header as the files have it: most names start with a space, one name is there twice.
 HEADER = [f" {n}" if i % 3 else n for i, n in enumerate(RAW_FEATURES)]
@@ -73,9 +74,44 @@ def test_cap_lists_and_missing_files(spark, folder):
         load_directory(spark, str(folder / "empty"))
 
 
-def test_a_bad_file_is_left_out(spark, folder):
+def test_broken_files_are_left_out_whole_and_reported(spark, folder):
     (folder / "c.csv").write_bytes(b"")
-    assert load_directory(spark, str(folder)).count() == 53
+    write_csv(folder / "d.csv", [({"Destination Port": 1}, "BENIGN"), ({"Destination Port": 2}, "BENIGN,one,more"), ({}, "BENIGN")])
+    whole = gzip.compress("\n".join([",".join(HEADER + [" Label"])] + [line({"Idle Min": i}, "Bot") for i in range(9000)]).encode())
+    (folder / "e.csv.gz").write_bytes(whole[:len(whole) // 2])
+    paths = [str(folder / f"{n}") for n in ("a.csv", "b.csv", "c.csv", "d.csv", "e.csv.gz")]
+    flows = load_flows(spark, paths)
+    assert flows.count() == 53 and {r.source_file for r in flows.collect()} == {"a.csv", "b.csv"}
+    said = {r["file"].rsplit("/", 1)[1]: (r["status"], r["rows"]) for r in csv_report(spark, paths).collect()}
+    assert said["a.csv"] == ("ok", 3) and said["b.csv"] == ("ok", 50) and said["c.csv"] == ("no header", 0)
+    assert said["d.csv"] == ("a line of 81 fields under a header of 79", 0)
+    assert said["e.csv.gz"][0].startswith("unreadable") and said["e.csv.gz"][1] == 0
+    (folder / "e.csv.gz").write_bytes(whole)
+    assert load_flows(spark, paths).count() == 9053
+
+
+def test_rows_keep_their_identity_and_the_sample_its_rows_under_any_layout(spark, tmp_path):
+    folder = tmp_path / "some files"
+    folder.mkdir()
+    for name, n in (("a.csv", 400), ("b.csv", 3), ("c.csv", 150)):
+        write_csv(folder / name, [({"Destination Port": i, "Idle Min": len(name)}, "ddos") for i in range(n)])
+    with open(folder / "b.csv", "a") as file:
+        file.write("\n\n" + line({"Destination Port": 77}, "Bot") + "\n")
+
+    def read(size, **options):
+        before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        try:
+            found = load_directory(spark, str(folder), **options)
+            return {(r.flow_id >> 40, r.flow_id & (1 << 40) - 1, r.destination_port) for r in found.collect()}, found.rdd.getNumPartitions()
+        finally:
+            spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+    (large, few), (small, many) = read("128m"), read("4k")
+    assert many > few and large == small
+    assert large == {(0, i + 1, float(i)) for i in range(400)} | {(1, i + 1, float(i)) for i in range(3)} | {(1, 6, 77.0)} | {
+        (2, i + 1, float(i)) for i in range(150)}
+    assert read("128m", max_rows_per_file=20)[0] == read("4k", max_rows_per_file=20)[0]
 
 
 def test_files_with_other_columns_are_joined_by_name(spark, folder):
