@@ -12,6 +12,7 @@ from flowspark.functions.text import kb_text, parse_reply, promote_reply, prompt
 from flowspark.knowledge import TACTICS, TECHNIQUES, TRUTH, entries, knowledge_base
 from flowspark.operators import threat as T
 from flowspark.operators.metrics import class_counts_from, confusion_counts
+from flowspark.operators.nearest_join import nearest_join
 from flowspark.operators.neighbors import hit_rows, nearest, nearest_in_large
 from flowspark.operators.stats import session_stats
 from flowspark.plans.embedding import TextEmbedder
@@ -147,6 +148,13 @@ def vector_nearest_class(spark, sf_dir):
     )
 
 
+def vector_join(spark, sf_dir):
+    """The five vectors nearest to every vector, both sides taken as large."""
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    found = nearest_join(vectors, vectors, 5, "vec_id", "embedding", "vec_id", "embedding")
+    return found.select(F.col("query_id").alias("vec_id"), F.col("id").alias("near_id"), "rank", F.round("distance", 6).alias("distance"))
+
+
 def vector_truncate(spark, sf_dir):
     """Vectors cut to 16 entries: their length and squared norm show that nothing is rescaled."""
     cut = truncate_vector(F.col("embedding"), 16)
@@ -346,6 +354,11 @@ SELECT conv_id, turn, CASE role WHEN 'assistant' THEN 'LOW' WHEN 'user' THEN 'UN
 d AS (SELECT vec_id, c.label, round({_DISTANCE}, 9) AS distance FROM embeddings e, c),
 r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY distance, label) - 1 AS rank FROM d)
 SELECT vec_id, rank, label, round(distance, 6) AS distance FROM r WHERE rank < 3"""),
+    "vector_join_topk": (vector_join, """
+WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+d AS (SELECT a.vec_id, b.vec_id AS near_id, round(1 - list_cosine_similarity(a.e, b.e), 9) AS distance FROM v a, v b),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY vec_id ORDER BY distance, near_id) AS INT) AS rank FROM d)
+SELECT vec_id, near_id, rank, round(distance, 6) AS distance FROM r WHERE rank <= 5"""),
     "vector_truncate": (vector_truncate, """
 SELECT vec_id, CAST(16 AS BIGINT) AS dims,
   round(list_sum(list_transform(embedding[1:16], lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE))), 6) AS squared_norm FROM embeddings"""),

@@ -1,8 +1,8 @@
-"""Exact nearest vectors by cosine distance when one of the two sides is small.
+"""Exact nearest vectors by cosine distance.
 
-The small side is counted before it is sent to the tasks. `nearest` sends the index and works
-row by row without a shuffle; `nearest_in_large` sends the queries and merges each partition's
-best k.
+A side counted as small is sent to the tasks: `nearest` sends the index and works row by row without a
+shuffle; `nearest_in_large` sends the queries and merges each partition's best k. Where that side is
+larger, both go through the blocked join of two large sides.
 """
 
 import numpy as np
@@ -10,27 +10,25 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from flowspark.operators.nearest_join import DIGITS, nearest_join, unit
+from flowspark.session import materialise
+
 MAX_SMALL_ROWS = 10_000
 MAX_SMALL_CELLS = 32_000_000
-DIGITS = 9
-
-
-class SideTooLarge(ValueError):
-    """The side meant to be small is above the limit; use the other function or smaller batches."""
 
 
 def collect_small(df: DataFrame, id_column, vector_column):
-    """(ids, row-normalised matrix) of a table proven small."""
+    """(ids, row-normalised matrix) of a table proven small; None for a larger one."""
     vectors = df.select(id_column, F.col(vector_column).cast("array<double>").alias("v")).filter("v IS NOT NULL")
     rows = vectors.limit(MAX_SMALL_ROWS + 1).collect()
     if len(rows) > MAX_SMALL_ROWS:
-        raise SideTooLarge(f"more than {MAX_SMALL_ROWS} vectors on the side to be sent to every task")
+        return None
     if not rows:
         return np.empty(0, dtype=object), np.empty((0, 0))
     matrix = np.array([r["v"] for r in rows], dtype=float)
     if matrix.size > MAX_SMALL_CELLS:
-        raise SideTooLarge(f"{matrix.shape} cells exceed {MAX_SMALL_CELLS}")
-    return np.array([r[id_column] for r in rows]), _normalise(matrix)
+        return None
+    return np.array([r[id_column] for r in rows]), unit(matrix)
 
 
 def nearest(queries: DataFrame, index: DataFrame, k, query_vector="embedding", index_id="id",
@@ -44,7 +42,10 @@ def nearest(queries: DataFrame, index: DataFrame, k, query_vector="embedding", i
     if where is not None:
         index = index.filter(where)
     kind = index.schema[index_id].dataType.simpleString()
-    ids, matrix = collect_small(index, index_id, index_vector)
+    small = collect_small(index, index_id, index_vector)
+    if small is None:
+        return _joined_hits(queries, index, k, query_vector, index_id, index_vector, name)
+    ids, matrix = small
     order = np.argsort(ids, kind="stable")
     ids, matrix = ids[order], matrix[order]
     k = min(k, len(ids))
@@ -66,6 +67,18 @@ def nearest(queries: DataFrame, index: DataFrame, k, query_vector="embedding", i
     return queries.withColumn(name, search(F.col(query_vector)))
 
 
+def _joined_hits(queries, index, k, query_vector, index_id, index_vector, name):
+    """What nearest gives, from the blocked join; a query is known by its row."""
+    rows = materialise(queries.withColumn("_row", F.monotonically_increasing_id()), "nearest-asked")
+    pairs = nearest_join(rows, index, k, "_row", query_vector, index_id, index_vector)
+    # k hits a query
+    hits = pairs.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("rank", "id", "distance"))).alias("_hits"))
+    plain = F.transform("_hits", lambda h: F.struct(h["id"].alias("id"), h["distance"].alias("distance")))
+    joined = rows.join(hits, rows["_row"] == hits["query_id"], "left")
+    kind = pairs.schema["id"].dataType.simpleString()
+    return joined.withColumn(name, F.coalesce(plain, F.array().cast(f"array<struct<id:{kind},distance:double>>"))).select(*queries.columns, name)
+
+
 def hit_rows(found: DataFrame, keep, name="hits"):
     """One row per hit: keep, rank (from 0), id, distance.
 
@@ -81,7 +94,10 @@ def nearest_in_large(index: DataFrame, queries: DataFrame, k, index_id="id", ind
     """(query_id, id, distance, rank): the k nearest rows of a large index per query of a small table."""
     if where is not None:
         index = index.filter(where)
-    query_ids, matrix = collect_small(queries, query_id, query_vector)
+    small = collect_small(queries, query_id, query_vector)
+    if small is None:
+        return nearest_join(queries, index, k, query_id, query_vector, index_id, index_vector)
+    query_ids, matrix = small
     query_kind = queries.schema[query_id].dataType.simpleString()
     id_kind = index.schema[index_id].dataType.simpleString()
 
@@ -111,11 +127,6 @@ def nearest_in_large(index: DataFrame, queries: DataFrame, k, index_id="id", ind
     return found.withColumn("rank", F.row_number().over(ranked)).filter(F.col("rank") <= k)
 
 
-def _normalise(matrix):
-    norm = np.linalg.norm(matrix, axis=1, keepdims=True)
-    return np.divide(matrix, norm, out=np.zeros_like(matrix), where=norm > 0)
-
-
 def _distances(rows, normalised):
     """Cosine distances of rows against normalised rows; a zero vector is at distance 1."""
-    return np.round(1.0 - _normalise(rows) @ _normalise(normalised).T, DIGITS)
+    return np.round(1.0 - unit(rows) @ unit(normalised).T, DIGITS)

@@ -8,6 +8,7 @@ from flowspark.functions.text import kb_text, retrieval_query
 from flowspark.knowledge import CATEGORY, TACTICS, TECHNIQUE_NAMES, TECHNIQUES, TRUTH, entries, knowledge_base
 from flowspark.operators import explain as E
 from flowspark.operators import neighbors as N
+from flowspark.operators.nearest_join import nearest_join
 from flowspark.operators import threat as T
 from flowspark.operators.scaling import FeatureScaler
 from flowspark.plans.embedding import SessionEmbedder, TextEmbedder
@@ -58,13 +59,34 @@ def test_nearest_in_a_large_index(spark, k):
     assert got == brute_nearest(q, x, k)
 
 
-def test_size_of_the_sent_side_is_checked(spark, monkeypatch):
-    index, _ = vectors(spark, 30, "id", 3)
+def test_two_sides_above_the_limit_are_joined_in_blocks(spark, monkeypatch):
+    index, x = vectors(spark, 30, "id", 3)
+    queries, q = vectors(spark, 20, "qid", 4)
     monkeypatch.setattr(N, "MAX_SMALL_ROWS", 10)
-    with pytest.raises(N.SideTooLarge):
-        N.nearest(index, index, 2)
-    with pytest.raises(N.SideTooLarge):
-        N.nearest_in_large(index, index.withColumnRenamed("id", "query_id"), 2, "id")
+    want = brute_nearest(q, x, 2)
+    got = {r.qid: [h.id for h in r.hits] for r in N.nearest(queries, index, 2).collect()}
+    assert [got[i] for i in range(20)] == want
+    found = N.nearest_in_large(index, queries.withColumnRenamed("qid", "query_id"), 2, "id").collect()
+    assert [[r.id for r in sorted((r for r in found if r.query_id == i), key=lambda r: r.rank)] for i in range(20)] == want
+
+
+@pytest.mark.parametrize("k, block_rows", [(1, 16), (5, 16), (7, 4096)])
+def test_blocked_join_against_all_pairs(spark, k, block_rows):
+    rng = np.random.default_rng(11)
+    centres = rng.normal(size=(6, 5))
+    data = np.concatenate([c + rng.normal(scale=0.05, size=(40, 5)) for c in centres]).round(2)
+    data[7] = 0.0
+    data[20:90] = data[20]          # a large group of copies
+    data[100] = [1e200, 1e200, 0, 0, 0]
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate(data)] + [(999, None)]
+    table = spark.createDataFrame(rows, "id long, embedding array<double>").repartition(4)
+    found = nearest_join(table, table, k, "id", block_rows=block_rows, pivots=8).collect()
+    got = {}
+    for r in sorted(found, key=lambda r: (r.query_id, r.rank)):
+        got.setdefault(r.query_id, []).append(r.id)
+    scaled = data / np.maximum(np.abs(data).max(axis=1, keepdims=True), 1e-300)
+    assert [got[i] for i in range(len(data))] == brute_nearest(scaled, scaled, k) and 999 not in got
+    assert nearest_join(table, table.limit(0), k, "id").count() == 0
 
 
 def test_missing_vectors(spark):
