@@ -8,14 +8,13 @@ from flowspark.catalog.adapters import (
 from flowspark.catalog.session_queries import KEYS, windows
 from flowspark.functions.labels import label_name
 from flowspark.functions.scores import confidence, top_predictions, truncate_vector
-from flowspark.functions.text import kb_text, parse_reply, promote_reply, prompt_text, retrieval_query
+from flowspark.functions.text import DOCUMENT_PREFIX, QUERY_PREFIX, kb_text, parse_reply, promote_reply, prompt_text, retrieval_query
 from flowspark.knowledge import TACTICS, TECHNIQUES, TRUTH, entries, knowledge_base
 from flowspark.operators import threat as T
 from flowspark.operators.metrics import class_counts_from, confusion_counts
 from flowspark.operators.nearest_join import nearest_join
 from flowspark.operators.neighbors import hit_rows, nearest, nearest_in_large
 from flowspark.operators.stats import session_stats
-from flowspark.plans.embedding import TextEmbedder
 from flowspark.plans.enrich import KnowledgeSearch, enrich_alerts
 from flowspark.schema import LABELS, STAT_NAMES
 
@@ -166,11 +165,11 @@ def vector_truncate(spark, sf_dir):
 # top_predictions over all 15 classes names every class once per flow, so the names asked for come
 # from the data and each carries the number of flows.
 def _search(spark):
-    return KnowledgeSearch.build(spark, TextEmbedder)
+    return KnowledgeSearch.build(spark)
 
 
 def text_search(spark, sf_dir):
-    """The knowledge-base entry nearest to every whole document."""
+    """The three knowledge-base entries nearest to every whole document."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = _search(spark).search(docs, "text", 3)
     return hit_rows(found, ["doc_id"]).select(
@@ -178,6 +177,15 @@ def text_search(spark, sf_dir):
     )
 
 
+def text_search_severity(spark, sf_dir):
+    """The two entries of high severity nearest to every whole document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = _search(spark).search(docs, "text", 2, severity="HIGH")
+    return hit_rows(found, ["doc_id"]).select(
+        "doc_id", "rank", F.col("id").alias("attack_id"), F.round("distance", 6).alias("distance")
+    )
+
+
 def _called_names(spark, sf_dir):
     preds = predictions(spark, sf_dir)
     called = preds.select(F.explode(top_predictions(F.col("probs"), 15)).alias("p"), "session_id")
@@ -196,9 +204,10 @@ def lookup_precision(spark, sf_dir):
 
 def enriched_alerts(spark, sf_dir):
     found = enrich_alerts(_session_rows(spark, sf_dir), _search(spark))
+    hits = F.transform("retrieved", lambda h: F.concat_ws(":", h["id"].cast("string"), F.round(h["distance"], 6).cast("string")))
     return found.select(
-        *KEYS, "attack_id", "attack_name", "severity", F.size("retrieved").alias("n_retrieved"),
-        F.size("rag_context").alias("n_context"), F.get("top_predictions", F.lit(0))["attack_id"].alias("first_id"),
+        *KEYS, "attack_id", "attack_name", "severity", F.array_join(hits, ",").alias("retrieved"),
+        F.array_join("rag_context", "|").alias("context"), F.get("top_predictions", F.lit(0))["attack_id"].alias("first_id"),
         F.size("techniques").alias("n_techniques"),
     )
 
@@ -308,6 +317,48 @@ SELECT host, session_idx, 'DETECTION RESULT:' || chr(10) || '  Attack type : ' |
   || chr(10) || chr(10) || 'Provide your SOC analyst assessment as JSON.' AS prompt FROM q"""
 
 
+def _search_ctes(where="true"):
+    """Cosines of weighted words of every asked(doc_id, text) against every entry: r(doc_id, id, distance, rank)."""
+    split = r"[^\p{L}\p{N}.]+"
+    return f"""
+e AS (SELECT kb_id AS id, severity, {_KB_TEXT} AS body FROM kb),
+ew AS (SELECT id, word, count(*) AS tf FROM (SELECT id, unnest(string_split_regex(lower('{DOCUMENT_PREFIX}' || body), '{split}')) AS word FROM e)
+  WHERE word <> '' GROUP BY 1, 2),
+i AS (SELECT word, ln((SELECT count(*) + 1 FROM e) / CAST(count(*) + 1 AS DOUBLE)) AS idf FROM ew GROUP BY 1),
+l AS (SELECT id, sqrt(sum(tf * idf * tf * idf)) AS length FROM ew JOIN i USING (word) GROUP BY 1),
+p AS (SELECT ew.word, idf, id, tf * idf / length AS weight FROM ew JOIN i USING (word) JOIN l USING (id)),
+q AS (SELECT doc_id, word, count(*) AS tf FROM (SELECT doc_id,
+  unnest(string_split_regex(lower('{QUERY_PREFIX}' || coalesce(text, '')), '{split}')) AS word FROM asked) WHERE word <> '' GROUP BY 1, 2),
+n AS (SELECT doc_id, sqrt(sum(power(tf * coalesce(idf, ln((SELECT count(*) + 1 FROM e))), 2))) AS length FROM q LEFT JOIN i USING (word) GROUP BY 1),
+s AS (SELECT doc_id, id, sum(tf * idf * weight) AS product FROM q JOIN p USING (word) GROUP BY 1, 2),
+far AS (SELECT n.doc_id, e.id, body, round(1 - coalesce(product, 0) / n.length, 9) AS distance FROM n CROSS JOIN e
+  LEFT JOIN s ON s.doc_id = n.doc_id AND s.id = e.id WHERE {where}),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY distance, id) - 1 AS INT) AS rank FROM far)"""
+
+
+def _search_sql(k, where="true"):
+    return f"""WITH {_kb_cte()},
+asked AS (SELECT doc_id, text FROM documents),{_search_ctes(where)}
+SELECT doc_id, rank, CAST(id AS INT) AS attack_id, round(distance, 6) AS distance FROM r WHERE rank < {k}"""
+
+
+_SENTENCE = """'Detected attack type: ' || name
+  || CASE WHEN syn > 0.5 THEN '. High SYN flag ratio suggesting SYN flood' ELSE '' END
+  || CASE WHEN pe > 3 THEN '. High destination port entropy suggesting port scanning' ELSE '' END
+  || CASE WHEN ports > 50 THEN '. Many unique destination ports accessed' ELSE '' END
+  || CASE WHEN short > 0.8e0 THEN '. Mostly very short flows suggesting rapid connection attempts' ELSE '' END
+  || CASE WHEN bps > 1e6 THEN '. High bandwidth suggesting volumetric attack' ELSE '' END
+  || CASE WHEN rst > 0.3 THEN '. High RST flag count suggesting connection refusals' ELSE '' END"""
+
+_KB_TEXT = """'ATTACK: ' || kb_name || chr(10) || 'CATEGORY: ' || category || chr(10)
+  || 'SEVERITY: ' || severity || chr(10) || 'DESCRIPTION: ' || description || chr(10)
+  || 'MITRE TACTICS: ' || array_to_string(mitre_tactics, ', ') || chr(10)
+  || 'MITRE TECHNIQUES: ' || array_to_string(techniques, ', ') || chr(10)
+  || 'ZEEK LOG INDICATORS: ' || array_to_string(zeek_indicators, '; ') || chr(10)
+  || 'NETWORK IOCS: ' || array_to_string(network_iocs, '; ') || chr(10)
+  || 'RESPONSE ACTIONS: ' || array_to_string(response_actions, '; ') || chr(10)
+  || 'TAGS: ' || array_to_string(tags, ', ')"""
+
 QUERIES = {
     "kb_join": (kb_join, f"""{_D}
 SELECT session_id, attack_id, coalesce(kb_name, 'Unknown (' || attack_id || ')') AS attack_name,
@@ -320,23 +371,10 @@ SELECT session_id, CASE WHEN attack_id <> 0 THEN coalesce(severity, 'UNKNOWN') E
   CASE WHEN attack_id <> 0 THEN coalesce(array_to_string(tags[1:8], '|'), '') END AS tags, attack_id = 0 AS no_intel
 FROM d LEFT JOIN kb ON attack_id = kb_id"""),
     "kb_text": (kb_texts, f"""{_D}
-SELECT y_pred AS attack_id, count(*) AS n, any_value('ATTACK: ' || kb_name || chr(10) || 'CATEGORY: ' || category || chr(10)
-  || 'SEVERITY: ' || severity || chr(10) || 'DESCRIPTION: ' || description || chr(10)
-  || 'MITRE TACTICS: ' || array_to_string(mitre_tactics, ', ') || chr(10)
-  || 'MITRE TECHNIQUES: ' || array_to_string(techniques, ', ') || chr(10)
-  || 'ZEEK LOG INDICATORS: ' || array_to_string(zeek_indicators, '; ') || chr(10)
-  || 'NETWORK IOCS: ' || array_to_string(network_iocs, '; ') || chr(10)
-  || 'RESPONSE ACTIONS: ' || array_to_string(response_actions, '; ') || chr(10)
-  || 'TAGS: ' || array_to_string(tags, ', ')) AS text
+SELECT y_pred AS attack_id, count(*) AS n, any_value({_KB_TEXT}) AS text
 FROM preds JOIN kb ON y_pred = kb_id GROUP BY 1"""),
     "rag_query_text": (query_text, f"""{_SESSION_ROWS}
-SELECT host, session_idx, 'Detected attack type: ' || name
-  || CASE WHEN syn > 0.5 THEN '. High SYN flag ratio suggesting SYN flood' ELSE '' END
-  || CASE WHEN pe > 3 THEN '. High destination port entropy suggesting port scanning' ELSE '' END
-  || CASE WHEN ports > 50 THEN '. Many unique destination ports accessed' ELSE '' END
-  || CASE WHEN short > 0.8e0 THEN '. Mostly very short flows suggesting rapid connection attempts' ELSE '' END
-  || CASE WHEN bps > 1e6 THEN '. High bandwidth suggesting volumetric attack' ELSE '' END
-  || CASE WHEN rst > 0.3 THEN '. High RST flag count suggesting connection refusals' ELSE '' END AS query_text
+SELECT host, session_idx, {_SENTENCE} AS query_text
 FROM called"""),
     "prompt_text": (prompts, _prompt_sql()),
     "response_parse": (parsed, """
@@ -362,17 +400,22 @@ SELECT vec_id, near_id, rank, round(distance, 6) AS distance FROM r WHERE rank <
     "vector_truncate": (vector_truncate, """
 SELECT vec_id, CAST(16 AS BIGINT) AS dims,
   round(list_sum(list_transform(embedding[1:16], lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE))), 6) AS squared_norm FROM embeddings"""),
-    "text_search": (text_search, None),
+    "text_search": (text_search, _search_sql(3)),
+    "text_search_severity": (text_search_severity, _search_sql(2, "severity = 'HIGH'")),
     # Every class name finds its own entry.
     "threat_lookup": (threat_lookup, f"""{_P}
 SELECT CAST(i AS INT) AS attack_id, {_NAMES}[i + 1] AS query, {_NAMES}[i + 1] AS top_result, (SELECT count(*) FROM preds) AS n,
   CAST(3 AS INT) AS n_similar FROM range(1, 15) r(i)"""),
     "lookup_precision": (lookup_precision, None),
-    "alert_enrichment": (enriched_alerts, f"""{_SESSION_ROWS}
+    "alert_enrichment": (enriched_alerts, f"""{_SESSION_ROWS}, {_kb_cte()},
+said AS (SELECT *, {_SENTENCE} AS query_text FROM called),
+asked AS (SELECT DISTINCT query_text AS doc_id, query_text AS text FROM said),{_search_ctes()},
+h AS (SELECT doc_id AS query_text, string_agg(id || ':' || round(distance, 6), ',' ORDER BY rank) FILTER (rank < 3) AS retrieved,
+  string_agg(substr(body, 1, 400), '|' ORDER BY rank) FILTER (rank < 2) AS context FROM r GROUP BY 1)
 SELECT host, session_idx, CAST(CASE name WHEN 'DoS Hulk' THEN 4 ELSE 10 END AS INT) AS attack_id, name AS attack_name,
-  CASE name WHEN 'DoS Hulk' THEN 'HIGH' ELSE 'MEDIUM' END AS severity, CAST(3 AS INT) AS n_retrieved, CAST(2 AS INT) AS n_context,
+  CASE name WHEN 'DoS Hulk' THEN 'HIGH' ELSE 'MEDIUM' END AS severity, retrieved, context,
   CAST(CASE WHEN round(short, 6) >= 0.5 THEN 4 ELSE 10 END AS INT) AS first_id,
-  CAST(CASE name WHEN 'DoS Hulk' THEN 2 ELSE 3 END AS INT) AS n_techniques FROM called"""),
+  CAST(CASE name WHEN 'DoS Hulk' THEN 2 ELSE 3 END AS INT) AS n_techniques FROM said JOIN h USING (query_text)"""),
     "technique_coverage": (technique_coverage, f"""{_P},
 {_root_cte()}
 SELECT CAST(class_id AS INT) AS class_id, (SELECT count(*) FROM preds WHERE y_true = class_id) AS support, attack_name, tactic_recall,

@@ -7,31 +7,30 @@ from flowspark.functions.labels import label_name
 from flowspark.functions.literals import literal_map
 from flowspark.functions.scores import top_predictions
 from flowspark.functions.text import retrieval_query, with_prefix
-from flowspark.operators.neighbors import nearest
+from flowspark.operators.text_index import TextIndex
 from flowspark.operators.threat import join_knowledge_base, lookup_entry
-from flowspark.plans.embedding import TEXT_DIMS
 from flowspark.sources.stores import knowledge_texts
 
 
 class KnowledgeSearch:
-    """The embedded knowledge base; 15 rows, sent to every task."""
+    """The knowledge base behind an inverted index."""
 
-    def __init__(self, embedder, index: DataFrame):
-        self.embedder, self.index = embedder, index
+    def __init__(self, index: TextIndex, texts: DataFrame):
+        self.index, self.texts = index, texts
 
     @classmethod
-    def build(cls, spark, embedder_class, dims=TEXT_DIMS):
-        texts = knowledge_texts(spark).withColumn("document", F.col("text"))
-        texts = texts.withColumn("text", with_prefix(F.col("text")))
-        embedder = embedder_class.fit(texts, "text", dims)
-        return cls(embedder, embedder.transform(texts, "text"))
+    def build(cls, spark):
+        texts = knowledge_texts(spark)
+        prefixed = texts.withColumn("text", with_prefix(F.col("text")))
+        return cls(TextIndex.fit(prefixed, "attack_id", "text"), texts)
 
     def search(self, queries: DataFrame, column="query", k=5, severity=None, name="hits"):
         """Add the k nearest entries (id, distance) of a text column, optionally of one severity only."""
-        where = None if severity is None else F.col("severity") == severity
-        vectors = self.embedder.transform(queries.withColumn("_q", with_prefix(F.col(column), True)), "_q", "_vector")
-        found = nearest(vectors, self.index, k, "_vector", "attack_id", "embedding", where, name)
-        return found.drop("_q", "_vector")
+        index = self.index
+        if severity is not None:
+            index = index.restrict(self.texts.where(F.col("severity") == severity).select(F.col("attack_id").alias("id")))
+        asked = queries.withColumn("_q", with_prefix(F.coalesce(F.col(column), F.lit("")), True))
+        return index.search(asked, "_q", k, name).drop("_q")
 
     def lookup(self, names: DataFrame, column="query"):
         """Entry of each class name: nearest five, then the containment rule."""
@@ -39,7 +38,7 @@ class KnowledgeSearch:
         return lookup_entry(self.search(asked, "_ask", 5), column).drop("_ask")
 
     def documents(self):
-        return self.index.select(F.col("attack_id").alias("id"), "document")
+        return self.texts.select(F.col("attack_id").alias("id"), F.col("text").alias("document"))
 
 
 def enrich_alerts(alerts: DataFrame, search: KnowledgeSearch, k=3):

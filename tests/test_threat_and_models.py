@@ -120,7 +120,7 @@ def test_unknown_class_keeps_its_row(spark):
 
 
 def test_search_and_lookup(spark):
-    search = KnowledgeSearch.build(spark, TextEmbedder)
+    search = KnowledgeSearch.build(spark)
     names = spark.createDataFrame([(n,) for i, n in LABELS.items() if i], "query string")
     found = {r["query"]: r for r in search.lookup(names).collect()}
     score = T.precision_at_1(search.lookup(names)).first()
@@ -140,7 +140,7 @@ def test_lookup_rule(spark):
 
 
 def test_enrichment_searches_each_sentence_once(spark):
-    search = KnowledgeSearch.build(spark, TextEmbedder)
+    search = KnowledgeSearch.build(spark)
     stats = {c: 0.0 for c in STAT_NAMES}
     rows = [(i, 4, [0.1] * 15, *{**stats, "stat_syn_ratio": 0.9 if i % 2 else 0.1}.values()) for i in range(20)]
     df = spark.createDataFrame(rows, "sid int, attack_id int, probs array<double>, " + ", ".join(f"{c} double" for c in STAT_NAMES))
