@@ -41,16 +41,23 @@ _PARTS, _PAIRS = 400_000, 400_000
 
 
 class Bounded(dict):
-    """A table that computes missing entries and starts anew when it is full."""
+    """A table that computes missing entries. A full one starts anew and takes over what it is asked for again."""
 
     def __init__(self, make, limit):
         super().__init__()
-        self.make, self.limit = make, limit
+        self.make, self.limit, self.before = make, limit // 2, {}
 
-    def __missing__(self, key):
-        if len(self) >= self.limit:
+    def room(self, n=1):
+        if len(self) + n > self.limit:
+            self.before = dict(self)
             self.clear()
-        value = self[key] = self.make(key)
+
+    def __missing__(self, key):
+        self.room()
+        value = self.before.get(key)
+        if value is None:
+            value = self.make(key)
+        self[key] = value
         return value
 
 
@@ -132,10 +139,8 @@ class PieceModel:
                 found[first] = n
         return found
 
-    def backtrack(self, text):
-        """The pieces of a text; a character without a piece stands for itself."""
-        size, pieces, at = len(text), [], 0
-        failed = bytearray((size >> 3) + 1)
+    def _by_block(self, text):
+        """_matches at any position, a few blocks of a long text at a time."""
         blocks = {}
 
         def longest(position):
@@ -146,6 +151,13 @@ class PieceModel:
                 blocks[number] = self._matches(text, number * _BLOCK)
             return blocks[number][position - number * _BLOCK]
 
+        return longest
+
+    def backtrack(self, text):
+        """The pieces of a text; a character without a piece stands for itself."""
+        size, pieces, at = len(text), [], 0
+        failed = bytearray((size >> 3) + 1)
+        longest = self._matches(text, 0).__getitem__ if size <= _BLOCK else self._by_block(text)
         piece = text[:longest(0)] if size else None
         while at < size:
             while piece is not None:

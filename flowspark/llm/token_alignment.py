@@ -7,8 +7,8 @@ group by group: the occurrences of A and B whose byte ranges end together, which
 group's two slices.
 
 A text is cut first where both tokenizers certainly end a token: before white space, and between a letter
-and ASCII punctuation. Parts are aligned once and kept in a bounded table in every worker; a text's lists
-are those of its parts in order. Where a piece model connects such characters, texts stay whole.
+and ASCII punctuation, unless a piece of B connects the two. Parts are aligned once and kept in a bounded
+table in every worker; a text's lists are those of its parts in order.
 
 How often an id pair is linked is counted over all documents. Pairs with the highest counts, at most
 `head_pairs` of them, go to the tasks as sorted arrays; links with any other pair are joined with the
@@ -25,20 +25,22 @@ import os
 import re
 import zlib
 from array import array
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Window, functions as F
+from sentencepiece import SentencePieceProcessor
 from tokenizers import Tokenizer
 
 from flowspark.llm.bpe import head_cut
 from flowspark.llm.keys import columns_of
-from flowspark.llm.piece_bpe import file_content, model_of
+from flowspark.llm.piece_bpe import Bounded, file_content, model_of
 from flowspark.llm.words import slices
 from flowspark.session import materialise
 
 #: Pairs that every task holds, parts that a worker keeps, pairs that a task counts before it hands them on.
-HEAD_PAIRS, _PARTS, _HELD = 500_000, 200_000, 1_000_000
+HEAD_PAIRS, _PARTS, _HELD = 500_000, 500_000, 1_000_000
 _ROWS = 256
 #: Bits of an id of B in the number that stands for a pair.
 _SHIFT = 20
@@ -47,6 +49,9 @@ _SHIFT = 20
 _SPACE = "\t-\r \x85\xa0  -     　"
 _LETTER = "A-Za-zÀ-ÖØ-öø-ɏ"
 _MARK = "!-@\\[-`{-~"
+#: Appended to a piece model, it takes back the space put before a text: normaliser settings (field 3) in
+#: which field 3 is 0; of a repeated setting the last one holds.
+_NO_SPACE_BEFORE = bytes([3 << 3 | 2, 2, 3 << 3, 0])
 
 
 def _byte_of_entry():
@@ -57,23 +62,17 @@ def _byte_of_entry():
 
 
 def cut_groups(a_ends, b_ends):
-    """Groups as (A slice, B slice), and the links as (A index, B index), from cumulative byte ends."""
-    a_at, b_at = {e: i for i, e in enumerate(a_ends)}, {e: i for i, e in enumerate(b_ends)}
-    groups, links, a, b = [], [], 0, 0
+    """Groups as (start and stop in A, start and stop in B), from cumulative byte ends.
+
+    The tokens of a group that end together, its link, are the last of either slice.
+    """
+    a_at, b_at = dict(zip(a_ends, range(1, len(a_ends) + 1))), dict(zip(b_ends, range(1, len(b_ends) + 1)))
+    groups, a, b = [], 0, 0
     for end in sorted(a_at.keys() & b_at.keys()):
-        i, j = a_at[end] + 1, b_at[end] + 1
-        groups.append((slice(a, i), slice(b, j)))
-        links.append((i - 1, j - 1))
+        i, j = a_at[end], b_at[end]
+        groups.append((a, i, b, j))
         a, b = i, j
-    return groups, links
-
-
-def _ends(lengths):
-    ends, at = [], 0
-    for n in lengths:
-        at += n
-        ends.append(at)
-    return ends
+    return groups
 
 
 class Aligner:
@@ -89,53 +88,69 @@ class Aligner:
         vocabulary = self.bytes_model.get_vocab(with_added_tokens=False)
         self.entry = {i: bytes(value[c] for c in entry) for entry, i in vocabulary.items()}
         self.pieces = model_of(piece_file)
-        if max(self.entry) >> _SHIFT or len(self.pieces.piece_bytes) >> _SHIFT:
+        self.piece_model = SentencePieceProcessor(model_proto=piece_file + _NO_SPACE_BEFORE)
+        self.a_size, self.b_size = {i: len(b) for i, b in self.entry.items()}, list(map(len, self.pieces.piece_bytes))
+        self.numbers = list(map(str, range(max(max(self.entry) + 1, len(self.b_size)))))
+        if len(self.numbers) >> _SHIFT:
             raise ValueError(f"ids of {_SHIFT} bits at most")
-        self.parts = {}
-        touching = self.pieces.touching
+        self.parts = Bounded(None, _PARTS)
+        self._part = self._parts_pattern({b.replace("▁", " ") for b in self.pieces.touching})
+
+    @staticmethod
+    def _parts_pattern(touching):
+        """White space and what follows it to the next white space, or to a mark after a letter.
+
+        White space that pieces take after another character, such as a carriage return, goes on with the part.
+        """
         spaces, letters, marks = (re.compile(f"[{c}]") for c in (_SPACE, _LETTER, _MARK))
-        shown = [b.replace("▁", " ") for b in touching]
-        one_space = not any(spaces.match(b[1]) and not spaces.match(b[0]) for b in shown)
-        one_letter = not any(letters.match(b[0]) and marks.match(b[1]) for b in shown)
-        ways = ([f"[{_SPACE}]*[{_LETTER}]+(?=[{_MARK}])"] if one_letter else []) + [f"[{_SPACE}]*[^{_SPACE}]+", f"[{_SPACE}]+"]
-        self._part = re.compile("|".join(ways) if one_space else "(?s).+")
+        bound = "".join(sorted({re.escape(b[1]) for b in touching if spaces.match(b[1]) and not spaces.match(b[0])}))
+        way = f"[{_SPACE}]*[^{_SPACE}]+" + (f"(?:[{bound}][{_SPACE}]*[^{_SPACE}]*)*" if bound else "")
+        ways = [way, f"[{_SPACE}]+"]
+        if not any(letters.match(b[0]) and marks.match(b[1]) for b in touching):
+            ways.insert(0, f"[{_SPACE}]*[{_LETTER}]+(?=[{_MARK}])")
+        return re.compile("|".join(ways))
 
     def cut(self, text):
         return self._part.findall(" " + text)
 
-    def align(self, part, a):
-        """(groups as text, pairs, tokens of A, tokens of B, groups, whole) of a part with A's ids."""
-        b = array("I", self.pieces.encode_marked(part.replace(" ", "▁")))
-        a_bytes, b_bytes = [self.entry[i] for i in a], [self.pieces.piece_bytes[i] for i in b]
+    def align(self, part, a, b):
+        """(groups as text, pairs, tokens of A, tokens of B) of a part with its ids; pairs are None if bytes differ."""
         raw = part.encode()
-        if b"".join(a_bytes) != raw or b"".join(b_bytes) != raw:
-            return "", b"", 0, 0, 0, False
-        groups, links = cut_groups(_ends(map(len, a_bytes)), _ends(map(len, b_bytes)))
-        said = ";".join(",".join(map(str, a[x])) + "|" + ",".join(map(str, b[y])) for x, y in groups)
-        pairs = array("q", [a[i] << _SHIFT | b[j] for i, j in links]).tobytes()
-        return said, pairs, len(a), len(b), len(groups), True
+        if b"".join(map(self.entry.__getitem__, a)) != raw or b"".join(map(self.pieces.piece_bytes.__getitem__, b)) != raw:
+            return "", None, 0, 0
+        groups = cut_groups(list(accumulate(map(self.a_size.__getitem__, a))), list(accumulate(map(self.b_size.__getitem__, b))))
+        a_said, b_said = list(map(self.numbers.__getitem__, a)), list(map(self.numbers.__getitem__, b))
+        said = ";".join([f"{','.join(a_said[i:j])}|{','.join(b_said[k:l])}" for i, j, k, l in groups])
+        pairs = array("q", [a[j - 1] << _SHIFT | b[l - 1] for _, j, _, l in groups]).tobytes()
+        return said, pairs, len(a), len(b)
 
     def learn(self, texts):
         """Align the parts of texts that the table does not hold; returns the parts of every text."""
         cut = [self.cut(t) if t else [] for t in texts]
-        new = list({p for parts in cut for p in parts if p not in self.parts})
-        if len(self.parts) + len(new) > _PARTS:
-            self.parts.clear()
-            new = list({p for parts in cut for p in parts})
+        asked = {p for parts in cut for p in parts if p not in self.parts}
+        if asked:
+            full = len(self.parts)
+            self.parts.room(len(asked))
+            if len(self.parts) < full:
+                asked = {p for parts in cut for p in parts}
+        self.parts.update((p, self.parts.before[p]) for p in asked & self.parts.before.keys())
+        new = [p for p in asked if p not in self.parts]
         for i in range(0, len(new), 10_000):
             some = new[i:i + 10_000]
-            for part, e in zip(some, self.bytes_model.encode_batch_fast(some, add_special_tokens=False)):
-                self.parts[part] = self.align(part, e.ids)
+            first = self.bytes_model.encode_batch_fast(some, add_special_tokens=False)
+            for part, a, b in zip(some, first, self.piece_model.encode(some, num_threads=1)):
+                self.parts[part] = self.align(part, a.ids, b)
         return cut
 
     def of(self, parts):
-        """The alignment of a text: what align() gives for a part, for all parts together."""
+        """The alignment of a text: what align() gives for a part, for all parts together, and the number of groups."""
         if not parts:
             return "", b"", 0, 0, 0
-        said, pairs, n_a, n_b, n_groups, whole = zip(*map(self.parts.__getitem__, parts))
-        if not all(whole):
+        said, pairs, n_a, n_b = zip(*map(self.parts.__getitem__, parts))
+        if None in pairs:
             return "", b"", 0, 0, 0
-        return ";".join(said), b"".join(pairs), sum(n_a), sum(n_b), sum(n_groups)
+        pairs = b"".join(pairs)
+        return ";".join(said), pairs, sum(n_a), sum(n_b), len(pairs) // 8
 
 
 _aligners = {}

@@ -91,9 +91,7 @@ def test_groups_hold_all_tokens(spark, docs, paths, tokens):
 
 
 def test_groups_and_links_of_two_lists():
-    groups, links = token_alignment.cut_groups([2, 3, 7, 9], [1, 3, 9])
-    assert [(s.start, s.stop, t.start, t.stop) for s, t in groups] == [(0, 2, 0, 2), (2, 4, 2, 3)]
-    assert links == [(1, 1), (3, 2)]
+    assert token_alignment.cut_groups([2, 3, 7, 9], [1, 3, 9]) == [(0, 2, 0, 2), (2, 4, 2, 3)]
 
 
 def test_parts_are_cut_where_both_tokenizers_end_a_token(paths, tokens):

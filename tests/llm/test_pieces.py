@@ -55,8 +55,10 @@ def test_failed_positions_are_not_tried_again(model):
 
 
 def test_bounded_tables_start_anew(model):
-    table = piece_bpe.Bounded(str.upper, 3)
-    assert [table[c] for c in "abcdab"] == list("ABCDAB") and len(table) <= 3
+    made = []
+    table = piece_bpe.Bounded(lambda c: made.append(c) or c.upper(), 6)
+    assert [table[c] for c in "abcadeafgab"] == list("ABCADEAFGAB") and len(table) + len(table.before) <= 6
+    assert "".join(made) == "abcdefgb"  # what is asked for again and again is not made again
 
 
 def test_query_columns_and_round_trip(spark, docs, path, library):
