@@ -22,8 +22,8 @@ def words(text):
 class TextIndex:
     """Postings (word, idf, id, weight); a row without id for every word carries its idf alone."""
 
-    def __init__(self, postings: DataFrame, entries, first_ids, id_type):
-        self.postings, self.entries, self.first_ids, self.id_type = postings, entries, first_ids, id_type
+    def __init__(self, postings: DataFrame, entries, first_ids, keep, id_type):
+        self.postings, self.entries, self.first_ids, self.keep, self.id_type = postings, entries, first_ids, keep, id_type
 
     @classmethod
     def fit(cls, texts: DataFrame, id_column="id", column="text", keep=16):
@@ -39,13 +39,13 @@ class TextIndex:
         lists = weighted.join(length, "id").where("idf > 0").select("word", "idf", "id", (F.col("w") / F.col("length")).alias("weight"))
         alone = idf.select("word", "idf", F.lit(None).cast(texts.schema[id_column].dataType).alias("id"), F.lit(None).cast("double").alias("weight"))
         first = [r["id"] for r in entries.select("id").distinct().orderBy("id").limit(keep).collect()]
-        return cls(materialise(lists.unionByName(alone), "index-postings"), n, first, texts.schema[id_column].dataType.simpleString())
+        return cls(materialise(lists.unionByName(alone), "index-postings"), n, first, keep, texts.schema[id_column].dataType.simpleString())
 
     def restrict(self, allowed: DataFrame):
         """The same weights for the entries of a table (id) alone."""
-        first = [r["id"] for r in allowed.select("id").orderBy("id").limit(len(self.first_ids)).collect()]
+        first = [r["id"] for r in allowed.select("id").orderBy("id").limit(self.keep).collect()]
         kept = self.postings.join(allowed.select("id"), "id", "left_semi").unionByName(self.postings.where("id IS NULL"))
-        return TextIndex(kept.select("word", "idf", "id", "weight"), self.entries, first, self.id_type)
+        return TextIndex(kept.select("word", "idf", "id", "weight"), self.entries, first, self.keep, self.id_type)
 
     def search(self, queries: DataFrame, column, k, name="hits") -> DataFrame:
         """Add `name`: array of (id, distance), the k nearest entries, nearest first, ties by id.
@@ -53,8 +53,8 @@ class TextIndex:
         Equal texts are searched once. An entry without a common word is at distance 1; an empty text is
         at distance 1 from all. k is at most the `keep` of the index, or the number of entries.
         """
-        if k > len(self.first_ids) and self.entries > len(self.first_ids):
-            raise ValueError(f"k is {k}, the index keeps {len(self.first_ids)} ids")
+        if k > self.keep and len(self.first_ids) == self.keep:
+            raise ValueError(f"k is {k}, the index keeps {self.keep} ids")
         key = F.substring(F.unhex(F.sha2(F.coalesce(F.col(column), F.lit("")), 256)), 1, 16)
         keyed = queries.withColumn("_key", key)
         texts = keyed.select("_key", F.col(column).alias("_text")).groupBy("_key").agg(F.first("_text").alias("_text"))

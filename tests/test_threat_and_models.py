@@ -1,3 +1,7 @@
+import math
+import re
+from collections import Counter
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -9,6 +13,7 @@ from flowspark.knowledge import CATEGORY, TACTICS, TECHNIQUE_NAMES, TECHNIQUES,
 from flowspark.operators import explain as E
 from flowspark.operators import neighbors as N
 from flowspark.operators.nearest_join import nearest_join
+from flowspark.operators.text_index import TextIndex
 from flowspark.operators import threat as T
 from flowspark.operators.scaling import FeatureScaler
 from flowspark.plans.embedding import SessionEmbedder, TextEmbedder
@@ -130,6 +135,37 @@ def test_search_and_lookup(spark):
     assert sorted(h.id for h in only.hits) == [2, 8, 9, 13]
 
 
+def test_text_index_against_plain_cosines(spark):
+    rng = np.random.default_rng(3)
+    pool = [f"w{i}" for i in range(30)] + ["Common", "É.1"]
+    texts = [(i, " ".join(["common", *rng.choice(pool, 12)])) for i in range(12)] + [(20, "only here")]
+    asked = [(i, " ".join(rng.choice(pool + ["unknown"], rng.integers(1, 40)))) for i in range(30)]
+    asked += [(90, None), (91, ""), (92, "common"), (93, "unknown words"), (94, asked[0][1]), (94, asked[0][1])]
+
+    def counts(text):
+        return Counter(w for w in re.split(r"[^\w.]+", (text or "").lower()) if w)
+
+    n = len(texts)
+    frequency = Counter(w for _, t in texts for w in counts(t))
+
+    def weights(text):
+        raw = {w: c * math.log((n + 1) / (frequency.get(w, 0) + 1)) for w, c in counts(text).items()}
+        length = math.sqrt(sum(x * x for x in raw.values()))
+        return {w: x / length for w, x in raw.items()} if length else {}
+
+    index = TextIndex.fit(spark.createDataFrame(texts, "id long, text string"), keep=5)
+    queries = spark.createDataFrame([(i, t, "x") for i, t in asked], "qid long, text string, id string")
+    got = sorted((r.qid, [(h.id, round(h.distance, 7)) for h in r.hits]) for r in index.search(queries, "text", 4).collect())
+    want = []
+    for i, text in asked:
+        w = weights(text)
+        far = sorted((round(1 - sum(x * weights(t).get(k, 0.0) for k, x in w.items()), 9), j) for j, t in texts)
+        want.append((i, [(j, round(d, 7)) for d, j in far[:4]]))
+    assert got == sorted(want)
+    with pytest.raises(ValueError):
+        index.search(queries, "text", 6)
+
+
 def test_lookup_rule(spark):
     rows = [("dos", [2, 4, 3]), ("nothing", [7, 1, 2, 3, 4])]
     df = spark.createDataFrame(rows, "query string, ids array<int>").withColumn(
