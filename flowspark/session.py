@@ -1,5 +1,6 @@
 """Session settings that suit this package; a cluster's own settings win."""
 
+import gc
 import uuid
 
 from pyspark.sql import SparkSession
@@ -58,4 +59,22 @@ def materialise(df, name):
     path = work_dir(spark, name)
     df.write.parquet(path)
     forget_at_exit(spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.work_path = path
+    return table
+
+
+def release(spark, *done):
+    """Give back what a finished step held: tables of materialise that nothing reads any more, and broadcasts.
+
+    Spark drops shuffles and broadcasts once no plan refers to them, which its driver notices when it
+    collects garbage; a long job of many steps would keep them until then.
+    """
+    for thing in done:
+        if hasattr(thing, "work_path"):
+            path = spark._jvm.org.apache.hadoop.fs.Path(thing.work_path)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        else:
+            thing.destroy()
+    gc.collect()
+    spark._jvm.System.gc()
