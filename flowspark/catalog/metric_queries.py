@@ -160,7 +160,7 @@ def _configs(spark, sf_dir):
 
 def configs(spark, sf_dir):
     preds = _configs(spark, sf_dir)
-    found = M.compare_configs(preds, M.auc_by_config(preds, ["Config A", "Config C"]))
+    found = M.compare_configs(preds, M.auc_by_config(preds))
     return _rounded(found, [*_SCORES, "auc_weighted", "auc_shown"])
 
 
@@ -290,12 +290,11 @@ scored AS (
 summary AS (SELECT config, {_SUMMARY} FROM scored GROUP BY config)
 {_AUC_CTE},
 w AS (SELECT round(sum(auc * support) / sum(support), 6) AS a FROM aucs)
-SELECT s.*, CASE WHEN config <> 'Config B' THEN a END AS auc_weighted,
-  CASE WHEN config <> 'Config B' THEN a ELSE 0e0 END AS auc_shown,
+SELECT s.*, a AS auc_weighted, a AS auc_shown,
   rpad(config, 30, ' ') || ' ' || lpad(printf('%.4f', accuracy), 10, ' ') || ' ' || lpad(printf('%.4f', f1_weighted), 8, ' ')
   || ' ' || lpad(printf('%.4f', f1_macro), 8, ' ') || ' ' || lpad(printf('%.4f', precision_weighted), 10, ' ')
   || ' ' || lpad(printf('%.4f', recall_weighted), 8, ' ') || ' '
-  || lpad(printf('%.4f', CASE WHEN config <> 'Config B' THEN a ELSE 0e0 END), 8, ' ') AS line
+  || lpad(printf('%.4f', a), 8, ' ') AS line
 FROM summary s, w"""
 
 

@@ -11,26 +11,25 @@ from flowspark.functions.text import explanation_report
 from flowspark.operators.explain import (
     event_weights, model_importance, occlusion, permutation_importance, top_events, weight_entropy,
 )
-from flowspark.operators.metrics import summary_metrics
+from flowspark.operators.metrics import flow_evaluation, summary_metrics
+from flowspark.operators.sampling import stratified_split
 from flowspark.operators.scaling import FeatureScaler
 from flowspark.plans.analyze import analyze
 from flowspark.plans.embedding import SessionEmbedder
 from flowspark.plans.evaluate import score_configs
-from flowspark.plans.models import ClassModel, DetectorSet, unseen_classes
-from flowspark.plans.prepare import session_table, split_sessions
+from flowspark.plans.models import ClassModel, DetectorSet, FlowClassifier, unseen_classes
+from flowspark.plans.prepare import aligned_flows, session_table, split_sessions
 from flowspark.schema import FEATURES, STAT_NAMES
-from flowspark.session import materialise
-
-# Small forests keep the queries quick; the library's own defaults are larger.
-_TREES = {"numTrees": 12, "maxDepth": 5}
-_COMPONENTS = 8
+from flowspark.session import materialise, work_dir
+from flowspark.streaming.replay import score_stream, stream_parquet
+from flowspark.streaming.sinks import start_table
 
 
 def _embedder(flows, scaler=None):
     scaler = scaler or FeatureScaler.fit(flows, FLOW_COLUMNS)
     keys = F.max("label_id")
     benign = flows.join(flows.groupBy(*KEYS).agg(keys.alias("_worst")).filter("_worst = 0"), KEYS)
-    return SessionEmbedder.fit(benign, scaler, _COMPONENTS, KEYS)
+    return SessionEmbedder.fit(benign, scaler, keys=KEYS)
 
 
 def _session_rows(spark, sf_dir):
@@ -71,14 +70,14 @@ def session_embedding(spark, sf_dir):
 def models_abc(spark, sf_dir):
     """Three configurations trained on one split and measured on another."""
     rows, _ = _session_rows(spark, sf_dir)
-    detectors = DetectorSet.fit(rows.filter("split = 'train'"), **_TREES)
+    detectors = DetectorSet.fit(rows.filter("split = 'train'"))
     return summary_metrics(score_configs(detectors, rows.filter("split = 'test'")), ["config"])
 
 
 def fallback(spark, sf_dir):
     """C scores a session unless a statistic is missing; then B does."""
     rows, _ = _session_rows(spark, sf_dir)
-    detectors = DetectorSet.fit(rows.filter("split = 'train'"), configs=("B", "C"), **_TREES)
+    detectors = DetectorSet.fit(rows.filter("split = 'train'"), configs=("B", "C"))
     broken = rows.withColumn("stat_syn_ratio", F.when(F.col("host") % 4 != 0, F.col("stat_syn_ratio")))
     scored = detectors.predict_with_fallback(broken)
     return scored.groupBy("config_used").agg(
@@ -91,12 +90,42 @@ def vector_classifier(spark, sf_dir):
     """A forest on the vectors of the embedding table, every class weighed alike."""
     from pyspark.ml.functions import array_to_vector
     rows = table(spark, sf_dir, "embeddings").withColumn("embedding", array_to_vector(F.col("embedding").cast("array<double>")))
-    model = ClassModel.fit(rows, ["embedding"], **_TREES)
+    model = ClassModel.fit(rows, ["embedding"])
     return model.predict(rows).groupBy("label").agg(
         F.count("*").alias("n"), F.count_if(F.col("label") == F.col("y_pred")).alias("n_right")
     )
 
 
+def _flow_classifier(spark, sf_dir):
+    """(the per-flow model, all flows with the 81 columns and their split)."""
+    flows = stratified_split(enriched(spark, sf_dir).drop("session_idx"))
+    aligned = materialise(aligned_flows(flows), "aligned-flows")
+    train = aligned.filter("split <> 'test'").withColumn("validation", F.col("split") == "val")
+    return FlowClassifier.fit(train), aligned
+
+
+def flow_classifier(spark, sf_dir):
+    """The report of the per-flow model on the test flows."""
+    model, aligned = _flow_classifier(spark, sf_dir)
+    scored = model.predict(aligned.filter("split = 'test'"))
+    return flow_evaluation(scored.select(F.col("label_id").alias("y_true"), "y_pred", "probs"))
+
+
+def flow_classifier_stream(spark, sf_dir):
+    """The same model on a stream of the flows: events written by the stream against those of the batch path."""
+    model, aligned = _flow_classifier(spark, sf_dir)
+    stream = stream_parquet(spark, aligned.work_path, aligned.schema)
+    root = work_dir(spark, "scored")
+    start_table(score_stream(stream, model=model), f"{root}/events", f"{root}/checkpoint").awaitTermination()
+    streamed = spark.read.parquet(f"{root}/events").select("flow_id", "attack_id", "probabilities", "correct")
+    batch = score_stream(aligned, model=model).select(
+        "flow_id", F.col("attack_id").alias("b_id"), F.col("probabilities").alias("b_probs"), F.col("correct").alias("b_correct"))
+    same = (F.col("attack_id") == F.col("b_id")) & (F.col("probabilities") == F.col("b_probs")) & F.col("correct").eqNullSafe(F.col("b_correct"))
+    return streamed.join(batch, "flow_id", "full").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(same).alias("n_same"),
+        F.count_if(F.abs(F.aggregate("probabilities", F.lit(0.0), lambda a, p: a + p) - 1) < 1e-9).alias("n_sum_to_one"))
+
+
 def new_classes(spark, sf_dir):
     """Ports of all flows that no attack flow used: classes a model of attacks would not know."""
     flows = enriched(spark, sf_dir).withColumn("label", F.col("destination_port"))
@@ -105,7 +134,7 @@ def new_classes(spark, sf_dir):
 
 def _fitted(spark, sf_dir):
     rows = materialise(session_table(windows(spark, sf_dir), KEYS).withColumn("sid", F.xxhash64(*KEYS)), "sessions")
-    return rows, ClassModel.fit(rows, list(STAT_NAMES), **_TREES)
+    return rows, ClassModel.fit(rows, list(STAT_NAMES))
 
 
 def importance(spark, sf_dir):
@@ -166,7 +195,7 @@ def analyzed(spark, sf_dir):
     """Hosts as requests: their flows as arrays of 78 values, answered with alerts or rejected."""
     flows = enriched(spark, sf_dir)
     rows, embedder = _session_rows(spark, sf_dir)
-    detectors = DetectorSet.fit(rows.filter("split = 'train'"), configs=("C",), **_TREES)
+    detectors = DetectorSet.fit(rows.filter("split = 'train'"), configs=("C",))
     have = set(flows.columns)
     values = F.array(*[F.col(c) if c in have else F.lit(0.0) for c in FEATURES])
     requests = flows.select(F.col("host").alias("request_id"), F.col("flow_id").alias("pos"), values.alias("features"), "log_type")
@@ -215,6 +244,9 @@ s AS (SELECT DISTINCT host, session_idx FROM session_flows)
 SELECT CASE WHEN host % 4 = 0 THEN 'B' ELSE 'C' END AS config_used, count(*) AS n,
   count(*) FILTER (host % 4 = 0) AS n_broken, CAST(0 AS BIGINT) AS n_unscored FROM s GROUP BY 1"""),
     "vector_classifier": (vector_classifier, None),
+    "flow_classifier": (flow_classifier, None),
+    "flow_classifier_stream": (flow_classifier_stream, """
+SELECT count(*) AS n, count(*) AS n_same, count(*) AS n_sum_to_one FROM events"""),
     "unseen_classes": (new_classes, f"""
 WITH {ENRICHED_CTE}
 SELECT DISTINCT destination_port AS label FROM enriched

@@ -37,7 +37,7 @@ def pool(spark, sf_dir):
 def exemplars(spark, sf_dir):
     """First 20 flows per class from the first day that has 20 of them."""
     rows = flows(spark, sf_dir).withColumn("source_file", F.date_format("ts", "yyyy-MM-dd"))
-    found = first_exemplars(rows, 5, order="flow_id", targets=[0, 2, 4, 10])
+    found = first_exemplars(rows, order="flow_id", targets=[0, 2, 4, 10])
     return found.select("flow_id", "label_id", "source_file")
 
 
@@ -109,22 +109,23 @@ QUALIFY row_number() OVER (PARTITION BY label_id ORDER BY md5('42|' || flow_id),
 WITH {FLOWS_CTE},
 d AS (SELECT *, strftime(ts, '%Y-%m-%d') AS source_file FROM flows),
 c AS (SELECT label_id, min(source_file) AS source_file FROM
-      (SELECT label_id, source_file FROM d GROUP BY ALL HAVING count(*) >= 5) GROUP BY 1)
+      (SELECT label_id, source_file FROM d GROUP BY ALL HAVING count(*) >= 20) GROUP BY 1)
 SELECT flow_id, label_id, source_file FROM d JOIN c USING (label_id, source_file)
-QUALIFY row_number() OVER (PARTITION BY label_id ORDER BY flow_id) <= 5"""),
+QUALIFY row_number() OVER (PARTITION BY label_id ORDER BY flow_id) <= 20"""),
     "stratified_split": (split, f"""
 WITH {FLOWS_CTE},
 {split_cte('flows', 'label_id', 'flow_id')}
 SELECT flow_id, label_id, split FROM split_flows"""),
-    # Copies of a row: how many terms of the class's Poisson distribution lie below its draw.
+    # Draw j takes a class and a place in it from two hashes.
     "balanced_resample": (resample, f"""
 WITH {FLOWS_CTE},
-c AS (SELECT label_id, count(*) AS n FROM flows GROUP BY 1),
-m AS (SELECT label_id, (SELECT sum(n) FROM c) / CAST((SELECT count(*) FROM c) * n AS DOUBLE) AS mean FROM c),
-p AS (SELECT label_id, k, sum(exp(-mean + k * ln(mean) - lgamma(k + 1))) OVER (PARTITION BY label_id ORDER BY k) AS cdf
-      FROM m, range(0, 400) r(k)),
-u AS (SELECT flow_id, label_id, CAST('0x' || substr(md5('42|' || flow_id), 1, 8) AS BIGINT) / 4294967296e0 AS u FROM flows)
-SELECT flow_id, label_id, k AS copy FROM u JOIN p USING (label_id) WHERE cdf <= u"""),
+c AS (SELECT label_id, count(*) AS n, row_number() OVER (ORDER BY label_id) - 1 AS number FROM flows GROUP BY 1),
+j AS (SELECT unnest(range((SELECT count(*) FROM flows))) AS j),
+w AS (SELECT j, CAST('0x' || substr(md5('42|class|' || j), 1, 15) AS BIGINT) % (SELECT count(*) FROM c) AS number FROM j),
+d AS (SELECT label_id, CAST('0x' || substr(md5('42|row|' || j), 1, 15) AS BIGINT) % n AS place, count(*) AS copies
+      FROM w JOIN c USING (number) GROUP BY ALL),
+f AS (SELECT flow_id, label_id, row_number() OVER (PARTITION BY label_id ORDER BY flow_id) - 1 AS place FROM flows)
+SELECT flow_id, label_id, unnest(range(copies)) AS copy FROM f JOIN d USING (label_id, place)"""),
     "standard_scale": (scaled_items, "WITH " + _scaled_sql("lineitem", "l_orderkey, l_linenumber", _ITEM_MEASURES, True)),
     "standard_scale_flows": (scaled_flows, f"WITH {FLOWS_CTE}, " + _scaled_sql("flows", "flow_id", FLOW_COLUMNS)),
     "class_weights_log": (weights_log, f"""

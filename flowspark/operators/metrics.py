@@ -217,39 +217,41 @@ def average_precision(preds: DataFrame, digits=DIGITS):
     return curve.filter("pos > 0").agg(F.coalesce(F.sum(step), F.lit(0.0)).alias("average_precision"))
 
 
-def one_vs_rest_auc(preds: DataFrame, digits=DIGITS):
-    """Rank-sum AUC per class met in the truth, with its support.
+def one_vs_rest_auc(preds: DataFrame, digits=DIGITS, by=()):
+    """Rank-sum AUC per class met in the truth, with its support, and per value of the `by` columns.
 
-    Probabilities are restricted to those classes and normalised again per row. Classes without
-    negatives give no row.
+    Probabilities are restricted to the classes that a group's truth holds and normalised again per row.
+    Classes without negatives give no row. Which classes there are goes into the plan as a table of a row
+    for each group, so the curves of all groups and classes come from one aggregate.
     """
-    present = sorted(r["y_true"] for r in preds.select("y_true").distinct().limit(N_CLASSES + 1).collect())
-    if len(present) > N_CLASSES:
-        raise ValueError(f"y_true has more than {N_CLASSES} classes")
-    inside = [F.get(F.col("probs"), F.lit(int(c))) for c in present]
-    if len(present) < 2:
-        return preds.sparkSession.createDataFrame([], "class_id int, support bigint, auc double")
-    total = F.greatest(reduce(lambda a, b: a + b, inside), F.lit(1e-10))
-    scores = F.array(*[
-        F.struct(F.lit(int(c)).alias("class_id"), (p / F.col("_total")).alias("score"),
-                 (F.col("y_true") == c).alias("positive"))
-        for c, p in zip(present, inside)
-    ])
-    scored = preds.withColumn("_total", total).select(F.explode(scores).alias("s")).select("s.*")
-    curve = cumulate_scores(score_counts(scored, ["class_id"], digits), ["class_id"])
+    by = list(by)
+    one = [F.lit(1).alias("_one")] if not by else []
+    keys = by or ["_one"]
+    rows = preds.select(*by, *one, "y_true", "probs")
+    # at most the known classes in each group; a row of any other class is a negative of all
+    inside = F.when(F.col("y_true").between(0, N_CLASSES - 1), F.col("y_true"))
+    known = rows.groupBy(*keys).agg(F.collect_set(inside).alias("_classes")).filter(F.size("_classes") > 1)
+    marked = known.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.array_sort("_classes").alias("_classes"))
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)])
+    each = F.transform("_classes", lambda c: F.get("probs", c))
+    total = F.greatest(F.aggregate("_inside", F.lit(0.0), lambda a, p: a + F.coalesce(p, F.lit(0.0))), F.lit(1e-10))
+    joined = rows.join(marked if by else F.broadcast(marked), same).withColumn("_inside", each).withColumn("_total", total)
+    scored = joined.select(*keys, "y_true", "_total", F.explode(F.arrays_zip("_classes", "_inside")).alias("s")).select(
+        *keys, F.col("s._classes").cast("int").alias("class_id"), (F.col("s._inside") / F.col("_total")).alias("score"),
+        (F.col("y_true") == F.col("s._classes")).alias("positive"))
+    curve = cumulate_scores(score_counts(scored, [*keys, "class_id"], digits), [*keys, "class_id"])
     pos, neg = F.col("pos").cast("double"), F.col("neg")
     below = F.col("total_neg") - F.col("neg_above") - neg
-    return curve.groupBy("class_id").agg(
+    return curve.groupBy(*keys, "class_id").agg(
         F.first("total_pos").alias("support"),
         (F.sum(pos * (below + neg / 2)) / F.first(F.col("total_pos").cast("double") * F.col("total_neg"))).alias("auc"),
-    )
+    ).select(*by, "class_id", "support", "auc")
 
 
-def weighted_auc(preds: DataFrame, digits=DIGITS):
-    """One-vs-rest AUC averaged by class support."""
-    return one_vs_rest_auc(preds, digits).agg(
-        (F.sum(F.col("auc") * F.col("support")) / F.sum("support")).alias("auc_weighted")
-    )
+def weighted_auc(preds: DataFrame, digits=DIGITS, by=()):
+    """One-vs-rest AUC averaged by class support, in one row or one for each value of the `by` columns."""
+    mean = (F.sum(F.col("auc") * F.col("support")) / F.sum("support")).alias("auc_weighted")
+    return one_vs_rest_auc(preds, digits, by).groupBy(*by).agg(mean)
 
 
 def threshold_sweep(preds: DataFrame, thresholds=tuple(THRESHOLDS), digits=DIGITS):
@@ -314,12 +316,10 @@ def compare_configs(preds: DataFrame, auc: DataFrame = None):
     })
 
 
-def auc_by_config(preds: DataFrame, configs):
-    """(config, auc_weighted) for a short list of configuration names."""
-    parts = [
-        weighted_auc(preds.filter(F.col("config") == c)).withColumn("config", F.lit(c)) for c in configs
-    ]
-    return reduce(DataFrame.unionByName, parts)
+def auc_by_config(preds: DataFrame):
+    """(config, auc_weighted) of all configurations at once; null where the truth has one class only."""
+    configs = preds.select("config").distinct()
+    return configs.join(weighted_auc(preds, by=["config"]), "config", "left")
 
 
 def stage_coverage(preds: DataFrame):

@@ -1,11 +1,10 @@
 """Repeatable sampling: every choice is a function of a seed and the row's id."""
 
-import math
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowspark.functions.labels import encode_label, label_name
+from flowspark.functions.literals import literal_array
 from flowspark.operators.ordering import HOT_ROWS, with_row_index
 from flowspark.schema import MASK_RATE
 
@@ -13,7 +12,6 @@ _UNIT = 2 ** 32
 CHUNK = 10_000
 # Cuts of up to this many groups are sent to every task; more are joined.
 MAX_GROUPS = 100_000
-MAX_POISSON_MEAN = 1000
 
 
 def hash_hex(seed, *cols):
@@ -116,47 +114,36 @@ def class_totals(df: DataFrame, label="label_id"):
     return {r[label]: r["n"] for r in rows}
 
 
-def balanced_resample(df: DataFrame, label="label_id", id_column="flow_id", seed=42, chunk=CHUNK):
-    """Draw with replacement so that every class is expected equally often and the size is kept.
+def balanced_resample(df: DataFrame, label="label_id", id_column="flow_id", seed=42, size=None, chunk=CHUNK,
+                      hot_rows=HOT_ROWS):
+    """Draw `size` rows with replacement, every class equally likely and every row of a class; size is exact.
 
-    Each row gets a Poisson number of copies with mean rows / (classes * class rows), drawn from
-    its hash; `copy` numbers them. A class so rare that the mean passes 1000 gets the mean rounded
-    at random instead. Rows with many copies are first cut into chunks and spread over the tasks.
+    Without a size as many rows are drawn as there are. Draw j takes the class and the row's place in
+    its class, by id, from hashes of j, so repeated tasks draw the same. `copy` numbers the draws of a row.
+    Draws are counted per row before they meet it, so a rare class costs its rows; rows with many copies
+    are cut into chunks and spread over the tasks.
     """
     totals = class_totals(df, label)
     if not totals:
         return df.withColumn("copy", F.lit(0).cast("bigint"))
-    rows, classes = sum(totals.values()), len(totals)
-    means = {c: rows / (classes * n) for c, n in totals.items()}
-    u = F.col("_u")
-    copies = F
-    for c, mean in means.items():
-        if mean <= MAX_POISSON_MEAN:
-            steps = F.array(*[F.lit(p) for p in _poisson_cdf(mean)])
-            drawn = F.size(F.filter(steps, lambda p: p <= u))
-        else:
-            drawn = F.lit(math.floor(mean)) + F.when(u < mean - math.floor(mean), 1).otherwise(0)
-        copies = copies.when(F.col(label) == c, drawn.cast("bigint"))
-    out = df.withColumn("_u", hash_unit(seed, id_column)).withColumn("_copies", copies).filter("_copies > 0")
-    if max(means.values()) > chunk:
+    classes = sorted(totals, key=lambda c: (c is None, c))
+    size = sum(totals.values()) if size is None else size
+    rows_of = literal_array([totals[c] for c in classes])
+    draws = df.sparkSession.range(size).withColumn("_class", (hash_long(f"{seed}|class", "id") % len(classes)).cast("int"))
+    draws = draws.withColumn("_place", hash_long(f"{seed}|row", "id") % F.element_at(rows_of, F.col("_class") + 1))
+    drawn = draws.groupBy("_class", "_place").agg(F.count(F.lit(1)).alias("_copies"))
+    number = F.coalesce(*[F.when(F.col(label).eqNullSafe(F.lit(c)), i) for i, c in enumerate(classes)])
+    placed = with_row_index(df, [label], id_column, id_column, "_place", hot_rows=hot_rows).withColumn("_class", number)
+    out = placed.join(drawn, ["_class", "_place"])
+    many = size / len(classes) / min(totals.values()) > chunk
+    if many:
         out = out.withColumn("_chunk", F.explode(F.sequence(F.lit(0).cast("bigint"), F.expr(f"(_copies - 1) div {chunk}"))))
         out = out.repartition(F.col(id_column), F.col("_chunk"))
     else:
         out = out.withColumn("_chunk", F.lit(0).cast("bigint"))
     first = F.col("_chunk") * chunk
-    last = F.least(first + chunk, F.col("_copies")) - 1
-    return out.withColumn("copy", F.explode(F.sequence(first, last))).drop("_u", "_copies", "_chunk")
-
-
-def _poisson_cdf(mean):
-    """P(X <= k) for k = 0, 1, ... up to 1 - 1e-12."""
-    steps, log_p, total, k = [], -mean, 0.0, 0
-    while total < 1 - 1e-12 and k < 20 + mean + 20 * math.sqrt(mean):
-        total += math.exp(log_p)
-        steps.append(total)
-        k += 1
-        log_p += math.log(mean) - math.log(k)
-    return steps
+    last = F.least(first + chunk, F.col("_copies")) - 1 if many else F.col("_copies") - 1
+    return out.withColumn("copy", F.explode(F.sequence(first, last))).drop("_class", "_place", "_copies", "_chunk")
 
 
 def mask_fields(session_flows: DataFrame, features, keys=("host", "session_idx", "pos"), rate=MASK_RATE, seed=42):

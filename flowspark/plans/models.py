@@ -1,7 +1,9 @@
 """Tree classifiers on session statistics (A), session embeddings (B) or both (C)."""
 
+from multiprocessing.pool import ThreadPool
+
 from pyspark.ml import PipelineModel
-from pyspark.ml.classification import RandomForestClassifier
+from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler, VectorSizeHint
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import VectorUDT
@@ -13,7 +15,8 @@ from flowspark.functions.literals import literal_map
 from flowspark.functions.scores import argmax_class, confidence, scatter_classes
 from flowspark.operators.sampling import class_totals
 from flowspark.operators.scaling import log_class_weights
-from flowspark.schema import N_CLASSES, STAT_NAMES
+from flowspark.schema import N_CLASSES, STAT_NAMES, TRAINED_FEATURES
+from flowspark.session import materialise
 from flowspark.sources import files
 from flowspark.sources.stores import read_metadata, write_metadata
 
@@ -98,6 +101,69 @@ def unseen_classes(train: DataFrame, validation: DataFrame, label="label"):
     return validation.select(label).distinct().join(train.select(label).distinct(), label, "left_anti")
 
 
+#: Boosting of the per-flow detector; it stops early when the validation rows gain less than the tolerance.
+BOOSTING = {"maxIter": 40, "maxDepth": 5, "stepSize": 0.3, "subsamplingRate": 0.8, "validationTol": 0.01, "seed": 42}
+
+
+class FlowClassifier:
+    """Boosted trees on the columns of a single flow, one ensemble for each class against the others."""
+
+    def __init__(self, stages, inputs, classes):
+        self.stages, self.inputs, self.classes = list(stages), list(inputs), list(classes)
+
+    @classmethod
+    def fit(cls, flows: DataFrame, inputs=tuple(TRAINED_FEATURES), label="label_id", validation="validation", parallel=4, **boosting):
+        """Train on flows with a boolean column that marks the validation rows; rare classes weigh more."""
+        weighted = log_class_weights(flows, label, "_w")
+        columns = [F.col(c).cast("double").alias(c) for c in inputs]
+        assembler = VectorAssembler(inputCols=list(inputs), outputCol="_x", handleInvalid="keep")
+        rows = assembler.transform(weighted.select(*columns, F.col(label).alias("_label"), "_w", F.col(validation).alias("_held")))
+        # every class and iteration passes over these rows
+        rows = materialise(rows.select("_x", "_label", "_w", "_held"), "flow-classifier")
+        known = rows.filter("NOT _held AND _label IS NOT NULL").groupBy("_label").agg(F.count(F.lit(1)).alias("n"))
+        classes = sorted(r["_label"] for r in known.limit(N_CLASSES + 1).collect())
+        if not 2 <= len(classes) <= N_CLASSES:
+            raise ValueError(f"training needs 2 to {N_CLASSES} classes")
+
+        def one(c):
+            trees = GBTClassifier(featuresCol="_x", labelCol="_y", weightCol="_w", validationIndicatorCol="_held",
+                                  predictionCol=f"_is{c}", **{**BOOSTING, **boosting})
+            trees = trees.setProbabilityCol(f"_p{c}").setRawPredictionCol(f"_raw{c}")
+            return trees.fit(rows.filter("_label IS NOT NULL").withColumn("_y", (F.col("_label") == c).cast("double")))
+
+        with ThreadPool(parallel) as pool:
+            found = pool.map(one, classes)
+        return cls([assembler, *found], inputs, classes)
+
+    def predict(self, flows: DataFrame):
+        """Add probs (15 slots, the ensembles' probabilities made to sum to 1) and y_pred; a stream may be given."""
+        missing = [c for c in self.inputs if c not in flows.columns]
+        if missing:
+            raise FeatureDimensionError("flow-classifier", len(self.inputs), len(self.inputs) - len(missing))
+        scored = flows
+        for stage in self.stages:
+            scored = stage.transform(scored)
+        each = F.array(*[F.get(vector_to_array(f"_p{c}"), F.lit(1)) for c in self.classes])
+        total = F.aggregate("_each", F.lit(0.0), lambda a, p: a + p)
+        scored = scored.select(*flows.columns, each.alias("_each"))
+        share = F.transform("_each", lambda p: F.when(total > 0, p / total).otherwise(F.lit(1.0 / len(self.classes))))
+        probs = scatter_classes(share, self.classes, N_CLASSES)
+        return scored.withColumn("probs", probs).drop("_each").withColumn("y_pred", argmax_class(F.col("probs")))
+
+    def rounds(self):
+        """Trees that each class kept."""
+        return {c: stage.getNumTrees for c, stage in zip(self.classes, self.stages[1:])}
+
+    def save(self, spark, path):
+        PipelineModel(self.stages).write().overwrite().save(f"{path}/stages")
+        write_metadata(spark, f"{path}/about", {"inputs": self.inputs, "classes": self.classes})
+
+    @classmethod
+    def load(cls, spark, path):
+        about = read_metadata(spark, f"{path}/about")
+        return cls(PipelineModel.load(f"{path}/stages").stages, about["inputs"], about["classes"])
+
+
 class DetectorSet:
     """The models of configurations A, B and C; any of them may be absent."""
 

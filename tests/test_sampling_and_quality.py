@@ -67,8 +67,12 @@ def test_resample_balances_classes(spark):
     df = rows(spark, 20000)
     drawn = balanced_resample(df)
     counts = {r.label_id: r["count"] for r in drawn.groupBy("label_id").count().collect()}
+    assert sum(counts.values()) == 20000
     for n in counts.values():
-        assert n == pytest.approx(20000 / 3, rel=0.08)
+        assert n == pytest.approx(20000 / 3, rel=0.05)
+    again = balanced_resample(df.repartition(7), hot_rows=100)
+    assert again.exceptAll(drawn).count() == 0 and again.count() == 20000
+    assert balanced_resample(df, size=777, seed=5).count() == 777
     assert drawn.groupBy("flow_id", "copy").count().filter("count > 1").count() == 0
 
 
@@ -76,8 +80,11 @@ def test_resample_of_a_very_rare_class(spark):
     df = rows(spark, 20000).withColumn("label_id", F.when(F.col("flow_id") == 7, 3).otherwise(0))
     drawn = balanced_resample(df, chunk=100)
     rare = drawn.filter("label_id = 3")
-    assert abs(rare.count() - 10000) <= 1
-    assert rare.select("copy").distinct().count() == rare.count()
+    assert rare.count() == pytest.approx(10000, rel=0.03) and drawn.count() == 20000
+    assert sorted(r["copy"] for r in rare.collect()) == list(range(rare.count()))
+    holed = df.withColumn("label_id", F.when(F.col("label_id") == 3, 3))
+    assert balanced_resample(holed, chunk=100).filter("label_id IS NULL").count() == pytest.approx(10000, rel=0.03)
+    assert balanced_resample(df.limit(0)).count() == 0
 
 
 def test_masking_rate_and_targets(spark):

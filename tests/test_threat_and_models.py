@@ -18,7 +18,7 @@ from flowspark.operators import threat as T
 from flowspark.operators.scaling import FeatureScaler
 from flowspark.plans.embedding import SessionEmbedder, TextEmbedder
 from flowspark.plans.enrich import KnowledgeSearch, enrich_alerts
-from flowspark.plans.models import ClassModel, DetectorSet, unseen_classes
+from flowspark.plans.models import ClassModel, DetectorSet, FlowClassifier, unseen_classes
 from flowspark.schema import LABELS, STAT_NAMES
 
 
@@ -296,3 +296,26 @@ def test_session_embedding_width(spark):
     embedder = SessionEmbedder.fit(flows, FeatureScaler.fit(flows, ["a", "b"]), 3)
     out = embedder.transform(flows)
     assert out.count() == 30 and out.first().embedding.size == 3 and out.columns == ["host", "session_idx", "embedding"]
+
+
+def test_flow_classifier_learns_stops_early_and_is_stored(spark, tmp_path):
+    rng = np.random.default_rng(4)
+    rows = []
+    for i in range(600):
+        c = [0, 0, 0, 4, 10][i % 5]
+        seen = c if rng.random() < 0.9 else int(rng.choice([0, 4, 10]))  # a tenth of the labels says nothing
+        rows.append((i, seen, i % 4 == 0, float(rng.normal(c, 0.4)), float(rng.normal(0, 1))))
+    flows = spark.createDataFrame(rows, "flow_id long, label_id int, validation boolean, a double, b double")
+    model = FlowClassifier.fit(flows, ["a", "b"], maxIter=25)
+    assert model.classes == [0, 4, 10] and all(n < 25 for n in model.rounds().values())
+    scored = model.predict(flows.filter("validation")).collect()
+    assert np.mean([r.y_pred == r.label_id for r in scored]) > 0.85
+    for r in scored:
+        assert len(r.probs) == 15 and abs(sum(r.probs) - 1) < 1e-9 and r.probs[r.y_pred] == max(r.probs)
+    model.save(spark, str(tmp_path / "flow"))
+    again = FlowClassifier.load(spark, str(tmp_path / "flow")).predict(flows.filter("validation")).collect()
+    assert [r.probs for r in sorted(again, key=lambda r: r.flow_id)] == [r.probs for r in sorted(scored, key=lambda r: r.flow_id)]
+    with pytest.raises(FeatureDimensionError):
+        model.predict(flows.drop("b"))
+    with pytest.raises(ValueError):
+        FlowClassifier.fit(flows.filter("label_id = 0"), ["a", "b"])
