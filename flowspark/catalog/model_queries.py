@@ -132,8 +132,13 @@ def new_classes(spark, sf_dir):
     return unseen_classes(flows.filter("label_id != 0"), flows)
 
 
+def _session_number():
+    """One number for host and session_idx: hosts below 2**31, sessions of a host below 2**32."""
+    return F.shiftleft("host", 32) + F.col("session_idx")
+
+
 def _fitted(spark, sf_dir):
-    rows = materialise(session_table(windows(spark, sf_dir), KEYS).withColumn("sid", F.xxhash64(*KEYS)), "sessions")
+    rows = materialise(session_table(windows(spark, sf_dir), KEYS).withColumn("sid", _session_number()), "sessions")
     return rows, ClassModel.fit(rows, list(STAT_NAMES))
 
 
@@ -181,7 +186,7 @@ def reports(spark, sf_dir):
     rows, model = _fitted(spark, sf_dir)
     parts = occlusion(model.score_index, rows, list(STAT_NAMES), _means(rows), "sid", 10)
     features = parts.groupBy("sid").agg(F.array_sort(F.collect_list(F.struct("rank", "feature", "importance", "value"))).alias("features"))
-    events = top_events(_weights(spark, sf_dir), 5, KEYS).withColumn("sid", F.xxhash64(*KEYS)).groupBy("sid").agg(
+    events = top_events(_weights(spark, sf_dir), 5, KEYS).withColumn("sid", _session_number()).groupBy("sid").agg(
         F.array_sort(F.collect_list(F.struct("rank", "pos", "weight"))).alias("events")
     )
     scored = model.predict(rows).join(features, "sid").join(events, "sid")

@@ -10,7 +10,7 @@ from flowspark.operators.sessions import (
     session_truth, sessionize, truncate_sessions,
 )
 from flowspark.operators.stats import session_stats
-from flowspark.schema import MAX_SEQ_LEN, STAT_NAMES
+from flowspark.schema import MAX_SEQ_LEN, STAT_NAMES, TRUNCATION_POINTS
 
 KEYS = ["host", "session_idx"]
 
@@ -129,7 +129,7 @@ def time_window_stats(spark, sf_dir):
 
 
 def truncated(spark, sf_dir):
-    cut = truncate_sessions(windows(spark, sf_dir), (3, 5, 10))
+    cut = truncate_sessions(windows(spark, sf_dir))
     return cut.groupBy(*KEYS, "n").agg(
         F.count("*").alias("n_flows"), F.round(F.sum("total_length_of_fwd_packets"), 1).alias("fwd_bytes"),
         F.max("pos").alias("last_pos"),
@@ -267,7 +267,7 @@ WITH {ENRICHED_CTE}, daily AS (SELECT *, strftime(ts, '%Y-%m-%d') AS day FROM en
 {_TUMBLING}
 SELECT host, session_idx, CAST(n AS INT) AS n, count(*) AS n_flows,
   round(sum(total_length_of_fwd_packets), 1) AS fwd_bytes, max(pos) AS last_pos
-FROM session_flows, (VALUES (3), (5), (10)) v(n) WHERE pos < n GROUP BY host, session_idx, n"""),
+FROM session_flows, (VALUES {", ".join(f"({n})" for n in TRUNCATION_POINTS)}) v(n) WHERE pos < n GROUP BY host, session_idx, n"""),
     "session_truth": (truth, f"""
 {_TUMBLING},
 c AS (SELECT host, session_idx, label_id, count(*) AS n, min(pos) AS first_pos FROM session_flows GROUP BY ALL),

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from flowspark.session import materialise
+from flowspark.session import materialise, release
 
 
 def _towards_minimum(pairs):
@@ -27,7 +27,7 @@ def _mark(edges):
 
 
 def connected_components(links, a, b):
-    """(node, component) of every node in a table of links; the component is its least node.
+    """A written table (node, component) of every node in a table of links; the component is its least node.
 
     Nodes may be of any type that sorts. Links from a node to itself and repeated links change
     nothing; no link gives an empty table. Each round halves the distance to the least node or
@@ -38,11 +38,14 @@ def connected_components(links, a, b):
     edges = materialise(edges, "edges")
     mark = _mark(edges)
     while mark[0]:
-        edges = materialise(_round(edges), "edges")
+        before, edges = edges, materialise(_round(edges), "edges")
+        release(edges.sparkSession, before)
         now = _mark(edges)
         if now == mark:
             break
         mark = now
     stars = edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
     roots = edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
-    return stars.unionByName(roots)
+    found = materialise(stars.unionByName(roots), "components")
+    release(edges.sparkSession, edges)
+    return found

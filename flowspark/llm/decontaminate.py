@@ -24,9 +24,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from flowspark.llm.keys import columns_of, text_key
+from flowspark.llm.keys import columns_of, free_names, text_key
 from flowspark.llm.words import NOT_ALNUM, slices, words_of
-from flowspark.session import materialise
+from flowspark.session import materialise, release
 
 WIDTH = 10
 ANCHORS = 2
@@ -198,6 +198,7 @@ def phrase_matches(docs, items, width=WIDTH, anchors=ANCHORS, near=NEAR, block_w
         index = materialise(build_index(docs, vocabulary, wanted), "postings")
         found = materialise(_diagonals(docs.sparkSession, index, places, block, rule), "diagonals")
         part = materialise(_judge(docs, found, block, width, near), "matches")
+        release(docs.sparkSession, index, found)
         out = part if out is None else out.unionByName(part)
     if out is None:
         out = docs.sparkSession.createDataFrame([], _MATCHES)
@@ -246,9 +247,10 @@ def _covered(edges):
 
 def remove_contaminated(docs, items, **settings):
     """The documents without any hit, with all their columns; null texts stay."""
+    (name,) = free_names(docs, "hit_text")
     hit = phrase_matches(docs, items, **{"proximity": False} | settings).where(F.size("edges") > 0).select(
-        F.col("text_id").alias("__hit_text")).distinct()
-    return docs.join(hit, text_key(F.col("text")) == F.col("__hit_text"), "left_anti")
+        F.col("text_id").alias(name)).distinct()
+    return docs.join(hit, text_key(F.col("text")) == F.col(name), "left_anti")
 
 
 SQL = r"""

@@ -13,6 +13,18 @@ def columns_of(docs, *names):
     return docs.select(*[F.col(f"`{n}`") for n in names])
 
 
+def free_names(docs, *names):
+    """These names, made longer where a column of the table has one of them."""
+    taken = {c.lower() for c in docs.columns}
+    out = []
+    for name in names:
+        name = f"__{name}"
+        while name in taken:
+            name += "_"
+        out.append(name)
+    return out
+
+
 def bounded_batches(spark, rows=1000):
     """Lower Spark's default of 10,000 rows in an Arrow batch, as whole texts are long; another setting stays."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"

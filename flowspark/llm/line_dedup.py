@@ -20,8 +20,8 @@ documents of their own. Lines are split at line feeds only. Other columns pass t
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from flowspark.llm.keys import columns_of, text_key
-from flowspark.session import materialise
+from flowspark.llm.keys import columns_of, free_names, text_key
+from flowspark.session import materialise, release
 
 MIN_LINES = 2
 MIN_CHARS = 50
@@ -54,6 +54,7 @@ def doubling_levels(lines):
     classes = materialise(_repeated(lines, "id"), "classes")
     level = lines.join(classes, "id").select("doc", "idx", F.col("id").alias("name"), "first", "long")
     level = materialise(level.dropDuplicates(["doc", "idx"]), "level")
+    release(lines.sparkSession, classes)
     levels, width = [], 1
     while not level.isEmpty():
         levels.append(level)
@@ -64,6 +65,7 @@ def doubling_levels(lines):
         names = _repeated(pairs, "a", "b").orderBy("a", "b").withColumn("name", F.monotonically_increasing_id())
         names = materialise(names, "names")
         level = materialise(pairs.join(names, ["a", "b"]).select("doc", "idx", "name", "first"), "level")
+        release(lines.sparkSession, pairs, names)
         width *= 2
     return levels
 
@@ -103,7 +105,7 @@ def repeated_runs(levels, min_lines=MIN_LINES):
 
 
 def deleted_lines(docs, min_lines=MIN_LINES, min_chars=MIN_CHARS):
-    """(doc, gone): the indexes of the lines to delete, for every document that has any."""
+    """A written table (doc, gone): the indexes of the lines to delete, for every document that has any; None for none."""
     levels = doubling_levels(_lines(docs, min_chars))
     if not levels:
         return None
@@ -115,11 +117,15 @@ def deleted_lines(docs, min_lines=MIN_LINES, min_chars=MIN_CHARS):
     # of overlapping spans of a document each gives only what the earlier ones have not covered
     earlier = Window.partitionBy("doc").orderBy("idx", "end").rowsBetween(Window.unboundedPreceding, -1)
     spans = spans.withColumn("start", F.greatest("idx", F.coalesce(F.max("end").over(earlier), F.lit(0)))).where("start < end")
-    return spans.groupBy("doc").agg(F.flatten(F.collect_list(F.sequence("start", F.col("end") - 1))).alias("gone"))
+    gone = spans.groupBy("doc").agg(F.flatten(F.collect_list(F.sequence("start", F.col("end") - 1))).alias("gone"))
+    gone = materialise(gone, "gone")
+    release(docs.sparkSession, *levels)
+    return gone
 
 
 def dedup_lines(docs, min_lines=MIN_LINES, min_chars=MIN_CHARS):
-    """docs with their columns, text replaced by what is left of it, and n_lines and n_deleted added.
+    """docs with their columns, text replaced by what is left of it, and n_lines and n_deleted added,
+    which take the place of columns of these names.
 
     A document whose every line goes is left with the empty text.
     """
@@ -128,14 +134,15 @@ def dedup_lines(docs, min_lines=MIN_LINES, min_chars=MIN_CHARS):
     every = F.split("text", "\n", -1)
     if gone is None:
         return docs.withColumns({"n_lines": F.coalesce(F.size(every), F.lit(0)).cast("long"), "n_deleted": F.lit(0).cast("long")})
-    gone = materialise(gone.select(F.col("doc").alias("__doc"), F.col("gone").alias("__gone")), "gone")
-    joined = docs.join(gone, _document(docs) == F.col("__doc"), "left")
-    kept = F.array_except(F.sequence(F.lit(0), F.size(every) - 1), F.col("__gone"))
-    text = F.when(F.col("__gone").isNull(), F.col("text")).otherwise(
+    own_doc, own_gone = free_names(docs, "doc", "gone")
+    gone = gone.select(F.col("doc").alias(own_doc), F.col("gone").alias(own_gone))
+    joined = docs.join(gone, _document(docs) == F.col(own_doc), "left")
+    kept = F.array_except(F.sequence(F.lit(0), F.size(every) - 1), F.col(own_gone))
+    text = F.when(F.col(own_gone).isNull(), F.col("text")).otherwise(
         F.array_join(F.transform(kept, lambda i: F.get(every, i)), "\n"))
-    columns = {**{c: docs[c] for c in docs.columns}, "text": text,
+    columns = {**{c: F.col(f"`{c}`") for c in docs.columns}, "text": text,
                "n_lines": F.when(F.col("text").isNull(), 0).otherwise(F.size(every)).cast("long"),
-               "n_deleted": F.coalesce(F.size("__gone"), F.lit(0)).cast("long")}
+               "n_deleted": F.coalesce(F.size(own_gone), F.lit(0)).cast("long")}
     return joined.select(*[c.alias(n) for n, c in columns.items()])
 
 

@@ -32,9 +32,9 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from flowspark.llm.components import connected_components
-from flowspark.llm.keys import columns_of, text_key
+from flowspark.llm.keys import columns_of, free_names, text_key
 from flowspark.llm.words import WHITE_SPACE, slices, windows, words_of
-from flowspark.session import materialise
+from flowspark.session import materialise, release
 
 #: Words are counted in this many cells; only the order of the tokens depends on it.
 CELL_BITS = 20
@@ -106,7 +106,9 @@ def crowded_tokens(docs, weights, words, percent):
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found))], names=["token"])
 
     counts = docs.select("text").mapInArrow(emit, "token long").groupBy("token").agg(F.count(F.lit(1)).alias("n"))
-    return _bits(counts.where(F.col("n") > CROWD).select("token"))
+    bits = _bits(counts.where(F.col("n") > CROWD).select("token"))
+    release(docs.sparkSession, sent)
+    return bits
 
 
 def _bits(numbers):
@@ -142,7 +144,7 @@ def _overlap_needed(size, percent):
 
 
 def token_sets(docs, order, words, percent):
-    """Per row: doc_id, text_id, n (set size), sig (equal for equal sets), prefix tokens and parities."""
+    """A written table, per row: doc_id, text_id, n (set size), sig (equal for equal sets), prefix tokens and parities."""
     sent = docs.sparkSession.sparkContext.broadcast(order)
 
     def build(batches):
@@ -159,8 +161,10 @@ def token_sets(docs, order, words, percent):
                 names=["doc_id", "text_id", "n", "sig", "prefix", "parity"])
 
     kind = dict(docs.dtypes)["doc_id"]
-    return docs.select("doc_id", "text", text_key(F.col("text")).alias("text_id")).mapInArrow(
-        build, f"doc_id {kind}, text_id binary, n long, sig binary, prefix array<long>, parity array<long>")
+    sets = materialise(docs.select("doc_id", "text", text_key(F.col("text")).alias("text_id")).mapInArrow(
+        build, f"doc_id {kind}, text_id binary, n long, sig binary, prefix array<long>, parity array<long>"), "token_sets")
+    release(docs.sparkSession, sent)
+    return sets
 
 
 def _postings(classes):
@@ -211,7 +215,8 @@ def _hub_pairs(postings, percent):
 
 
 def _cross_pairs(postings, classes, parts, percent):
-    """Pairs of a posting group whose ends are in different components, with all bounds in the join."""
+    """Pairs of a posting group whose ends are in different components, with all bounds in the join; and the
+    written table that they come from."""
     marked = postings.join(parts, postings["id"] == parts["node"], "left").withColumn(
         "part", F.coalesce("component", "id")).drop("node", "component")
     several = marked.groupBy("token").agg(F.min("part").alias("low"), F.max("part").alias("high"))
@@ -221,7 +226,7 @@ def _cross_pairs(postings, classes, parts, percent):
     b = _side(marked, "b", F.col("part").alias("b_part"), F.col("parity").alias("pb"))
     return a.join(b, "token").where(
         (F.col("a_id") < F.col("b_id")) & (F.col("a_part") != F.col("b_part")) & _may_link(percent)
-        & _few_differ(F.col("a_n"), F.col("b_n"), percent)).select("a_id", "b_id")
+        & _few_differ(F.col("a_n"), F.col("b_n"), percent)).select("a_id", "b_id"), marked
 
 
 def _few_differ(na, nb, percent):
@@ -238,10 +243,14 @@ def _suffix_bound(pairs, classes, percent):
     return pairs.join(a, "a").join(b, "b").where(_few_differ(F.col("na"), F.col("nb"), percent)).select("a", "b")
 
 
-def _verified(pairs, docs, classes, order, words, percent):
-    """The pairs that reach the similarity, each compared once over the whole sets."""
+def _verified(pairs, docs, classes, order, words, percent, spent=()):
+    """A written table of the pairs that reach the similarity, each compared once over the whole sets.
+
+    Tables in spent are those that the pairs come from and nothing else needs.
+    """
     pairs = pairs.select(F.least("a_id", "b_id").alias("a"), F.greatest("a_id", "b_id").alias("b")).distinct()
     pairs = materialise(_suffix_bound(pairs, classes, percent), "pairs")
+    release(docs.sparkSession, *spent)
     ends = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
     sets = _sets_of(classes.join(ends, "id"), docs, order, words)
     left = sets.select(F.col("id").alias("a"), F.col("tokens").alias("left"))
@@ -249,7 +258,9 @@ def _verified(pairs, docs, classes, order, words, percent):
     both = pairs.join(left, "a").join(right, "b")
     shared = F.size(F.array_intersect("left", "right"))
     union = F.size("left") + F.size("right") - shared
-    return both.where(shared * 100 >= union * percent).select("a", "b")
+    links = materialise(both.where(shared * 100 >= union * percent).select("a", "b"), "links")
+    release(docs.sparkSession, pairs, sets)
+    return links
 
 
 def _sets_of(classes, docs, order, words):
@@ -275,7 +286,9 @@ def _sets_of(classes, docs, order, words):
     key = text_key(F.col("text"))
     texts = docs.select(key.alias("text_id"), "text").select("text_id", "text", F.xxhash64("text_id").alias("h"))
     sets = texts.mapInArrow(tokens, "text_id binary, tokens array<long>").join(wanted, "text_id")
-    return materialise(sets.groupBy("id").agg(F.first("tokens").alias("tokens")), "sets")
+    sets = materialise(sets.groupBy("id").agg(F.first("tokens").alias("tokens")), "sets")
+    release(docs.sparkSession, wanted, sent)
+    return sets
 
 
 def _groups(docs, words, percent):
@@ -283,17 +296,25 @@ def _groups(docs, words, percent):
     plain = columns_of(docs, "doc_id", "text")
     weights = word_weights(plain)
     order = (weights, crowded_tokens(plain, weights, words, percent))
-    sets = materialise(token_sets(plain, order, words, percent), "token_sets")
-    classes = sets.where("n > 0").groupBy("sig").agg(
+    wide = token_sets(plain, order, words, percent)
+    classes = wide.where("n > 0").groupBy("sig").agg(
         F.min("doc_id").alias("least_id"), F.first("n").alias("n"), F.first("prefix").alias("prefix"),
         F.first("parity").alias("parity"), F.min("text_id").alias("text_id"), F.count(F.lit(1)).alias("n_rows"))
     # the number is drawn once, when the table is written
-    classes = materialise(classes.withColumn("id", F.monotonically_increasing_id()), "classes")
-    postings = materialise(_postings(classes), "postings")
-    links = materialise(_verified(_hub_pairs(postings, percent), plain, classes, order, words, percent), "links")
-    parts = materialise(connected_components(links, "a", "b"), "parts")
-    more = _verified(_cross_pairs(postings, classes, parts, percent), plain, classes, order, words, percent)
-    return plain, order, sets, classes, connected_components(links.unionByName(more), "a", "b")
+    with_prefix = materialise(classes.withColumn("id", F.monotonically_increasing_id()), "classes")
+    # prefixes are needed for the postings only; what goes on is written without them
+    sets = materialise(wide.drop("prefix", "parity"), "rows")
+    classes = materialise(with_prefix.drop("prefix"), "classes")
+    release(plain.sparkSession, wide)
+    postings = materialise(_postings(with_prefix), "postings")
+    release(plain.sparkSession, with_prefix)
+    links = _verified(_hub_pairs(postings, percent), plain, classes, order, words, percent)
+    parts = connected_components(links, "a", "b")
+    cross, marked = _cross_pairs(postings, classes, parts, percent)
+    more = _verified(cross, plain, classes, order, words, percent, (marked, postings, parts))
+    parts = connected_components(links.unionByName(more), "a", "b")
+    release(plain.sparkSession, links, more)
+    return plain, order, sets, classes, parts
 
 
 def _members(sets, classes, parts, *more):
@@ -379,15 +400,13 @@ def _by_tiles(groups, words, percent, tile, function, schema):
 def similar_pairs(docs, words=3, percent=90, tile=TILE):
     """Two tables: per row doc_id, n_shingles, component_id, text_id, part and class id; and every pair a < b of
     linked classes, once. Rows of one class link with each other and with all rows of linked classes."""
-    *head, parts = _groups(docs, words, percent)
-    groups = (*head, materialise(parts, "all_parts"))
+    groups = _groups(docs, words, percent)
     return (_members(*groups[2:], "id"), _by_tiles(groups, words, percent, tile, _pairs_of, "a long, b long"))
 
 
 def similar_links(docs, words=3, percent=90, tile=TILE):
     """Per row of docs: the columns of similar_groups and n_links, the number of other rows it links with."""
-    *head, parts = _groups(docs, words, percent)
-    groups = (*head, materialise(parts, "all_parts"))
+    groups = _groups(docs, words, percent)
     _, _, sets, classes, parts = groups
     counts = _by_tiles(groups, words, percent, tile, _counts_of, "id long, n_linked long")
     counts = counts.groupBy("id").agg(F.sum("n_linked").alias("n_linked"))
@@ -402,19 +421,24 @@ def keep_one_of_each_group(docs, words=5, percent=80):
     doc_id (null ids last, ties by text). Documents without words stay. Rows that repeat both id and
     text of the one that stays are left out.
     """
-    groups = materialise(similar_groups(docs, words, percent), "groups").where("part is not null")
+    _, _, sets, classes, parts = _groups(docs, words, percent)
+    members = materialise(_members(sets, classes, parts), "groups")
+    release(docs.sparkSession, sets, classes, parts)
+    groups = members.where("part is not null")
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_id")
     first = groups.groupBy("part").agg(F.min(order).alias("first")).select(
         "part", F.col("first.doc_id").alias("first_id"), F.col("first.text_id").alias("first_text"))
     same = F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("text_id") == F.col("first_text"))
+    ident, text, gone, repeated = free_names(docs, "id", "text", "gone", "repeated")
     marks = groups.join(first, "part").groupBy("doc_id", "text_id").agg(
-        (~F.max(same)).alias("__gone"), (F.count(F.lit(1)) > 1).alias("__repeated"))
-    marks = materialise(marks.where("__gone or __repeated").select(
-        F.col("doc_id").alias("__id"), F.col("text_id").alias("__text"), "__gone", "__repeated"), "marks")
-    marked = docs.join(marks, F.col("doc_id").eqNullSafe(F.col("__id")) & (text_key(F.col("text")) == F.col("__text")), "left")
-    kept = marked.where(~F.coalesce("__gone", F.lit(False)))
-    once = kept.where(~F.coalesce("__repeated", F.lit(False))).select(docs["*"])
-    if marks.where("__repeated and not __gone").isEmpty():
+        (~F.max(same)).alias(gone), (F.count(F.lit(1)) > 1).alias(repeated))
+    marks = materialise(marks.where(F.col(gone) | F.col(repeated)).select(
+        F.col("doc_id").alias(ident), F.col("text_id").alias(text), gone, repeated), "marks")
+    release(docs.sparkSession, members)
+    marked = docs.join(marks, F.col("doc_id").eqNullSafe(F.col(ident)) & (text_key(F.col("text")) == F.col(text)), "left")
+    kept = marked.where(~F.coalesce(gone, F.lit(False)))
+    once = kept.where(~F.coalesce(repeated, F.lit(False))).select(docs["*"])
+    if marks.where(F.col(repeated) & ~F.col(gone)).isEmpty():
         return once
-    twice = kept.where("__repeated").dropDuplicates(["__id", "__text"]).select(docs["*"])
+    twice = kept.where(repeated).dropDuplicates([ident, text]).select(docs["*"])
     return once.unionByName(twice)

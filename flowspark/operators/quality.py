@@ -71,10 +71,15 @@ def split_by_size(session_flows: DataFrame, keys=("host", "session_idx"), size=S
     return sizes.filter(F.col("n_flows") == size), sizes.filter(F.col("n_flows") != size)
 
 
+def fits_request(n_flows, max_flows):
+    """Whether a request has flows and not more than allowed."""
+    return (n_flows > 0) & (n_flows <= max_flows)
+
+
 def split_requests(flows: DataFrame, max_flows, key="request_id"):
     """(accepted, rejected) requests by number of flows; an empty request has one row of null features."""
     sizes = flows.groupBy(key).agg(F.count("features").alias("n_flows"))
-    ok = (F.col("n_flows") > 0) & (F.col("n_flows") <= max_flows)
+    ok = fits_request(F.col("n_flows"), max_flows)
     return sizes.filter(ok), sizes.filter(~ok)
 
 
@@ -86,12 +91,18 @@ def log_type_distribution(df: DataFrame):
 
 def log_type_map(df: DataFrame, keys):
     """Log-type name -> count per key, from counters held inside one aggregate."""
-    counts = [F.count_if(F.col("log_type") == code).alias(name) for code, name in LOG_TYPE_NAMES.items()]
+    return df.groupBy(*keys).agg(*log_type_counts()).select(*keys, present_log_types().alias("log_type_distribution"))
+
+
+def log_type_counts():
+    """One count per log type, for use inside an aggregate; a column for each name."""
+    return [F.count_if(F.col("log_type") == code).alias(name) for code, name in LOG_TYPE_NAMES.items()]
+
+
+def present_log_types():
+    """The map of the log types that occur, from the columns of log_type_counts."""
     pairs = F.array(*[F.struct(F.lit(n).alias("key"), F.col(n).alias("value")) for n in LOG_TYPE_NAMES.values()])
-    present = F.filter(pairs, lambda p: p["value"] > 0)
-    return df.groupBy(*keys).agg(*counts).select(
-        *keys, F.map_from_entries(present).alias("log_type_distribution")
-    )
+    return F.map_from_entries(F.filter(pairs, lambda p: p["value"] > 0))
 
 
 def label_counts(df: DataFrame, label="label_id"):

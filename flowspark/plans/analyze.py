@@ -7,17 +7,18 @@ from flowspark.errors import ModelNotLoadedError
 from flowspark.functions.alerts import alert_fields, alert_id
 from flowspark.functions.alignment import realign_array
 from flowspark.functions.cleaning import clean_sql
-from flowspark.operators.quality import log_type_map, split_requests
+from flowspark.operators.quality import fits_request, log_type_counts, present_log_types
 from flowspark.operators.stats import session_stats
 from flowspark.operators.threat import add_threat_intel
 from flowspark.schema import MAX_FLOWS_PER_REQUEST, STAT_NAMES, TRAINED_FEATURES
+from flowspark.session import materialise
 
 
 def aligned_requests(requests: DataFrame) -> DataFrame:
     """(request_id, pos, features[78], log_type) to the 81 trained columns, boundary-cleaned."""
     bounded = F.expr(f"transform(CAST(features AS ARRAY<DOUBLE>), v -> {clean_sql('v', 'bound')})")
     rows = requests.withColumn("_f", bounded).withColumn("_a", realign_array("_f", "log_type"))
-    return rows.selectExpr("request_id", "pos", *[f"_a[{i}] AS `{c}`" for i, c in enumerate(TRAINED_FEATURES)])
+    return rows.selectExpr("request_id", "pos", "features AS _given", *[f"_a[{i}] AS `{c}`" for i, c in enumerate(TRAINED_FEATURES)])
 
 
 def analyze(requests: DataFrame, detectors, embedder, received_at, max_flows=MAX_FLOWS_PER_REQUEST):
@@ -28,12 +29,13 @@ def analyze(requests: DataFrame, detectors, embedder, received_at, max_flows=MAX
     """
     if detectors is None or embedder is None:
         raise ModelNotLoadedError("detector models")
-    accepted, rejected = split_requests(requests, max_flows)
-    aligned = aligned_requests(requests.join(accepted.select("request_id"), "request_id"))
-    keys = ["request_id"]
-    stats = session_stats(aligned, keys, [F.count("*").cast("int").alias("n_flows")], bounded=False)
-    table = stats.join(embedder.transform(aligned), keys).join(log_type_map(aligned, keys), keys)
-    scored = detectors.predict_with_fallback(table)
+    # flows, statistics, summary and log types of a request come from one aggregate; a row a request is left
+    extra = [F.count("_given").cast("int").alias("n_flows"), *embedder.aggregates(embedder.scaler), *log_type_counts()]
+    table = materialise(session_stats(aligned_requests(requests), ["request_id"], extra, bounded=False), "requests")
+    fits = fits_request(F.col("n_flows"), max_flows)
+    rejected = table.filter(~fits).select("request_id", F.col("n_flows").cast("bigint").alias("n_flows"))
+    accepted = table.filter(fits).withColumn("log_type_distribution", present_log_types())
+    scored = detectors.predict_with_fallback(embedder.embed(accepted))
     stat_map = F.create_map(*[x for s in STAT_NAMES for x in (F.lit(s), F.round(F.col(s), 4))])
     alerts = scored.select(
         "request_id",

@@ -53,7 +53,8 @@ class SessionEmbedder:
         self.scaler, self.model, self.keys = scaler, model, list(keys)
 
     @staticmethod
-    def summarise(session_flows: DataFrame, scaler, keys=("host", "session_idx"), extra_aggs=()):
+    def aggregates(scaler):
+        """The summary as aggregates, for use beside others of the same grouping."""
         aggs = []
         for i, c in enumerate(scaler.columns):
             z = scaler.scaled_sql(c)
@@ -61,7 +62,11 @@ class SessionEmbedder:
                 F.expr(f"avg({z})").alias(f"e{i}_mean"), F.expr(f"stddev_pop({z})").alias(f"e{i}_sd"),
                 F.expr(f"max_by({z}, pos) - min_by({z}, pos)").alias(f"e{i}_trend"),
             ]
-        return session_flows.groupBy(*keys).agg(*aggs, *extra_aggs)
+        return aggs
+
+    @classmethod
+    def summarise(cls, session_flows: DataFrame, scaler, keys=("host", "session_idx"), extra_aggs=()):
+        return session_flows.groupBy(*keys).agg(*cls.aggregates(scaler), *extra_aggs)
 
     @staticmethod
     def columns(scaler):
@@ -79,6 +84,8 @@ class SessionEmbedder:
 
     def transform(self, session_flows: DataFrame, extra_aggs=()):
         """One row per session with its embedding vector."""
-        summary = self.summarise(session_flows, self.scaler, self.keys, extra_aggs)
-        out = self.model.transform(summary)
-        return out.drop("_summary", *self.columns(self.scaler))
+        return self.embed(self.summarise(session_flows, self.scaler, self.keys, extra_aggs))
+
+    def embed(self, summary: DataFrame):
+        """The embedding in place of the summary's columns."""
+        return self.model.transform(summary).drop("_summary", *self.columns(self.scaler))

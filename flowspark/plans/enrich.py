@@ -3,6 +3,7 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from flowspark.errors import EnrichmentError
 from flowspark.functions.labels import label_name
 from flowspark.functions.literals import literal_map
 from flowspark.functions.scores import top_predictions
@@ -45,8 +46,12 @@ def enrich_alerts(alerts: DataFrame, search: KnowledgeSearch, k=3):
     """Alerts (attack_id, probs, statistics columns) with entry fields, context and top predictions.
 
     For known classes the retrieval sentence takes at most 15 * 2**6 values, so each distinct
-    sentence is searched once and joined back to the alerts; Spark picks the form of the join.
+    sentence is searched once and joined back to the alerts; Spark picks the form of the join. Without a
+    knowledge base, or the columns it needs, it raises EnrichmentError, after which the alerts stand.
     """
+    missing = [c for c in ("attack_id", "probs") if c not in alerts.columns]
+    if search is None or missing:
+        raise EnrichmentError("retrieval", "no knowledge base" if search is None else f"columns {missing} are missing")
     name = label_name(F.col("attack_id"), F.concat(F.lit("Unknown ("), F.col("attack_id").cast("string"), F.lit(")")))
     asked = alerts.withColumn("query_text", retrieval_query(name))
     hits = search.search(asked.select("query_text").distinct(), "query_text", k)

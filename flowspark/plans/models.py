@@ -7,10 +7,11 @@ from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler, VectorSizeHint
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import VectorUDT
+from pyspark.errors import AnalysisException, IllegalArgumentException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowspark.errors import FeatureDimensionError, ModelNotLoadedError
+from flowspark.errors import FeatureDimensionError, InferenceError, ModelNotLoadedError
 from flowspark.functions.literals import literal_map
 from flowspark.functions.scores import argmax_class, confidence, scatter_classes
 from flowspark.operators.sampling import class_totals
@@ -181,7 +182,11 @@ class DetectorSet:
     def predict(self, sessions: DataFrame, config="C"):
         if config not in self.models:
             raise ModelNotLoadedError(f"config {config} model")
-        return self.models[config].predict(sessions).withColumn("config", F.lit(config))
+        try:
+            return self.models[config].predict(sessions).withColumn("config", F.lit(config))
+        except (AnalysisException, IllegalArgumentException) as error:
+            # the inputs are there but are not what the model takes
+            raise InferenceError(config, error) from error
 
     def predict_with_fallback(self, sessions: DataFrame):
         """C, else B, never A; config_used names the one that scored the row.

@@ -12,7 +12,7 @@ from flowspark.functions.scores import confidence
 from flowspark.schema import FEATURES, N_CLASSES, RAW_LABEL, snake
 from flowspark.sources.flow_csv import ENCODING
 
-_CARRIED = ("flow_id", "host", "ts", "label_id", "file_order", "source_file")
+_CARRIED = ("flow_id", "host", "ts", "label_id", "file_order", "source_file", "score_error")
 
 
 def stream_csv(spark, directory, columns, files_per_trigger=1):
@@ -79,7 +79,7 @@ def apply_model_fn(flows: DataFrame, model_fn, scaler, id_column="flow_id", feat
     """Score with a user's function(raw, scaled) -> (classes, probabilities), batch by batch.
 
     Both inputs are 2-d float arrays. A batch the function fails on gives null results, which
-    detection_events turns into the benign fallback. Other columns are kept.
+    detection_events turns into the benign fallback, and its reason in score_error. Other columns are kept.
     """
     raw = F.expr(f"array({', '.join(f'CAST(`{c}` AS DOUBLE)' for c in features)})")
     scaled = F.expr(f"array({', '.join(scaler.scaled_sql(c) for c in features)})")
@@ -87,6 +87,7 @@ def apply_model_fn(flows: DataFrame, model_fn, scaler, id_column="flow_id", feat
     schema = T.StructType([
         *[flows.schema[c] for c in kept],
         T.StructField("y_pred", T.IntegerType()), T.StructField("probs", T.ArrayType(T.DoubleType())),
+        T.StructField("score_error", T.StringType()),
     ])
 
     def score(batches):
@@ -98,9 +99,11 @@ def apply_model_fn(flows: DataFrame, model_fn, scaler, id_column="flow_id", feat
                 )
                 out["y_pred"] = pd.array(np.asarray(classes, dtype="int32"), dtype="Int32")
                 out["probs"] = list(np.asarray(probs, dtype=float))
-            except Exception:
+                out["score_error"] = None
+            except Exception as error:
                 out["y_pred"] = pd.array([None] * len(pdf), dtype="Int32")
                 out["probs"] = None
+                out["score_error"] = f"{type(error).__name__}: {error}"[:500]
             yield out
 
     return flows.select(*kept, raw.alias("_raw"), scaled.alias("_scaled")).mapInPandas(score, schema)

@@ -7,7 +7,7 @@ from flowspark.llm.queries import QUERIES, tokenizer_file
 
 def test_names_and_order():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "line_dedup", "ngram_jaccard", "decontamination", "bpe"]
-    assert {n.split("_")[0] for n in QUERIES} == {f"op{i}" for i in range(1, 11)}
+    assert {n.split("_")[0] for n in QUERIES} == {f"op{i}" for i in range(1, 14)}
 
 
 def test_stages_keep_columns_and_take_effect(spark, sf_dir, tmp_path):

@@ -209,3 +209,19 @@ def test_language_of_odd_texts(spark):
     bare = table.withColumn("lang", F.lit(None).cast("string"))
     assert {r["lang_pred"] for r in language_id.identify(bare).collect()} == {"und"}
     assert language_id.identify(table.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("name", ["__gone", "__doc", "__id", "__text", "__repeated", "__hit_text", "doc", "gone", "part"])
+def test_columns_of_any_name_pass_through(spark, name):
+    from flowspark.llm import ngram_join
+
+    item = "one two three four five six seven eight nine ten"
+    rows = [(1, "a\nb\nc", 7), (2, "x\na\nb\nc", 8), (3, item, 9), (4, item + " eleven", 10), (5, item + " eleven", 11)]
+    table = spark.createDataFrame(rows, f"doc_id long, text string, `{name}` long")
+    lines = {(r["doc_id"], r["text"], r[name]) for r in line_dedup.dedup_lines(table).collect()}
+    assert (2, "x", 8) in lines and (1, "a\nb\nc", 7) in lines
+    kept = ngram_join.keep_one_of_each_group(table, words=5, percent=80)
+    assert kept.columns == table.columns and {r[name] for r in kept.collect()} == {7, 8, 9}
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    clean = decontaminate.remove_contaminated(table, bench)
+    assert clean.columns == table.columns and {r[name] for r in clean.collect()} == {7, 8}

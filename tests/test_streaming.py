@@ -153,6 +153,7 @@ def test_failed_batches_fall_back_and_are_marked(spark):
         raise RuntimeError("no model")
 
     rows = R.score_stream(df, model_fn=broken, scaler=scaler).collect()
+    assert {r.score_error for r in rows} == {"RuntimeError: no model"}
     assert all(r.score_failed and r.attack_id == 0 and r.confidence == 1.0 and sum(r.probabilities) == 1.0 for r in rows)
 
     def port(raw, scaled):

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from flowspark.errors import FeatureDimensionError, ModelNotLoadedError
+from flowspark.errors import EnrichmentError, FeatureDimensionError, InferenceError, ModelNotLoadedError
 from flowspark.functions.alerts import intel_from_kb
 from flowspark.functions.text import kb_text, retrieval_query
 from flowspark.knowledge import CATEGORY, TACTICS, TECHNIQUE_NAMES, TECHNIQUES, TRUTH, entries, knowledge_base
@@ -319,3 +319,15 @@ def test_flow_classifier_learns_stops_early_and_is_stored(spark, tmp_path):
         model.predict(flows.drop("b"))
     with pytest.raises(ValueError):
         FlowClassifier.fit(flows.filter("label_id = 0"), ["a", "b"])
+
+
+def test_typed_errors_of_scoring_and_enrichment(spark, sessions):
+    detectors = DetectorSet.fit(sessions, configs=("A",), numTrees=3, maxDepth=2)
+    with pytest.raises(InferenceError) as caught:
+        detectors.predict(sessions.withColumn("stat_syn_ratio", F.lit("text")), "A")
+    assert caught.value.config == "A" and caught.value.__cause__ is caught.value.cause
+    with pytest.raises(EnrichmentError) as caught:
+        enrich_alerts(sessions.select("sid"), KnowledgeSearch.build(spark))
+    assert not caught.value.fatal
+    with pytest.raises(EnrichmentError):
+        enrich_alerts(sessions, None)
