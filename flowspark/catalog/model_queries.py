@@ -19,7 +19,7 @@ from flowspark.plans.embedding import SessionEmbedder
 from flowspark.plans.evaluate import score_configs
 from flowspark.plans.models import ClassModel, DetectorSet, FlowClassifier, unseen_classes
 from flowspark.plans.prepare import aligned_flows, session_table, split_sessions
-from flowspark.schema import FEATURES, STAT_NAMES
+from flowspark.schema import FEATURES, LOG_TYPE_NAMES, STAT_NAMES
 from flowspark.session import materialise, work_dir
 from flowspark.streaming.replay import score_stream, stream_parquet
 from flowspark.streaming.sinks import start_table
@@ -196,6 +196,9 @@ def reports(spark, sf_dir):
     return scored.select(*KEYS, text.alias("report"))
 
 
+_SHOWN_STATS = ["syn_ratio", "port_entropy", "unique_dst_ports", "short_flow_ratio", "avg_win_size"]
+
+
 def analyzed(spark, sf_dir):
     """Hosts as requests: their flows as arrays of 78 values, answered with alerts or rejected."""
     flows = enriched(spark, sf_dir)
@@ -206,14 +209,21 @@ def analyzed(spark, sf_dir):
     requests = flows.select(F.col("host").alias("request_id"), F.col("flow_id").alias("pos"), values.alias("features"), "log_type")
     embedder = SessionEmbedder(embedder.scaler, embedder.model, ["request_id"])
     alerts, rejected = analyze(requests, detectors, embedder, 1700000000.0, max_flows=70)
+    entries = F.transform(F.map_entries("log_type_distribution"), lambda e: F.concat_ws("=", e["key"], e["value"].cast("string")))
     kept = alerts.select("request_id", "n_flows", "config_used", F.lit(True).alias("accepted"),
-                         (F.col("threat_intelligence").isNull() == ~F.col("is_attack")).alias("intel_fits"))
+                         (F.col("threat_intelligence").isNull() == ~F.col("is_attack")).alias("intel_fits"),
+                         F.array_join(F.array_sort(entries), ",").alias("log_types"),
+                         *[F.col("session_stats")[f"stat_{s}"].alias(s) for s in _SHOWN_STATS])
     return kept.unionByName(rejected.select(
         "request_id", F.col("n_flows").cast("int").alias("n_flows"), F.lit(None).cast("string").alias("config_used"),
-        F.lit(False).alias("accepted"), F.lit(True).alias("intel_fits"),
+        F.lit(False).alias("accepted"), F.lit(True).alias("intel_fits"), F.lit(None).cast("string").alias("log_types"),
+        *[F.lit(None).cast("double").alias(s) for s in _SHOWN_STATS],
     ))
 
 
+_LOG_NAMES = "[" + ", ".join(f"'{n}'" for n in LOG_TYPE_NAMES.values()) + "]"
+
+
 def _z_sql():
     stats = ", ".join(f"avg({c}) AS m_{c}, stddev_pop({c}) AS s_{c}" for c in FLOW_COLUMNS)
     total = " + ".join(f"pow(({c} - m_{c}) / s_{c}, 2)" for c in FLOW_COLUMNS)
@@ -267,7 +277,15 @@ SELECT host, session_idx, pos, rank, round(weight, 6) AS weight FROM r WHERE ran
 SELECT host, session_idx, round(-sum(weight * ln(weight + 1e-10)), 6) AS attention_entropy FROM w GROUP BY ALL"""),
     "explanation_report": (reports, None),
     "analyze_requests": (analyzed, f"""
-WITH {ENRICHED_CTE}
-SELECT host AS request_id, CAST(count(*) AS INT) AS n_flows, CASE WHEN count(*) <= 70 THEN 'C' END AS config_used,
-  count(*) <= 70 AS accepted, true AS intel_fits FROM enriched GROUP BY host"""),
+WITH {ENRICHED_CTE},
+l AS (SELECT host, string_agg(name || '=' || n, ',' ORDER BY name || '=' || n) AS log_types FROM
+  (SELECT host, {_LOG_NAMES}[log_type + 1] AS name, count(*) AS n FROM enriched GROUP BY 1, 2) GROUP BY 1),
+h AS (SELECT host, count(*) AS n, round(sum(syn_flag_count) /
+    sum(fin_flag_count + syn_flag_count + rst_flag_count + psh_flag_count + urg_flag_count + 1e-9), 4) AS syn_ratio,
+  round(entropy(CAST(destination_port AS BIGINT)), 4) AS port_entropy, CAST(count(DISTINCT destination_port) AS DOUBLE) AS unique_dst_ports,
+  round(avg(CASE WHEN flow_duration < 100000 THEN 1e0 ELSE 0e0 END), 4) AS short_flow_ratio,
+  round(avg((init_win_bytes_forward + init_win_bytes_backward) / 2e0), 4) AS avg_win_size FROM enriched GROUP BY host)
+SELECT host AS request_id, CAST(n AS INT) AS n_flows, CASE WHEN n <= 70 THEN 'C' END AS config_used,
+  n <= 70 AS accepted, true AS intel_fits, CASE WHEN n <= 70 THEN log_types END AS log_types,
+  {", ".join(f"CASE WHEN n <= 70 THEN {s} END AS {s}" for s in _SHOWN_STATS)} FROM h JOIN l USING (host)"""),
 }
