@@ -162,8 +162,6 @@ def vector_truncate(spark, sf_dir):
     return rows.select("vec_id", F.size("v").cast("bigint").alias("dims"), F.round(norm, 6).alias("squared_norm"))
 
 
-# top_predictions over all 15 classes names every class once per flow, so the names asked for come
-# from the data and each carries the number of flows.
 def _search(spark):
     return KnowledgeSearch.build(spark)
 
@@ -187,10 +185,9 @@ def text_search_severity(spark, sf_dir):
 
 
 def _called_names(spark, sf_dir):
-    preds = predictions(spark, sf_dir)
-    called = preds.select(F.explode(top_predictions(F.col("probs"), 15)).alias("p"), "session_id")
-    names = called.groupBy(F.col("p.attack_name").alias("query")).agg(F.count("*").alias("n"))
-    return names.filter(F.col("query") != LABELS[0])
+    """Names of the attacks that flows were called, with the number of flows."""
+    called = predictions(spark, sf_dir).filter("y_pred <> 0")
+    return called.groupBy(label_name(F.col("y_pred")).alias("query")).agg(F.count("*").alias("n"))
 
 
 def threat_lookup(spark, sf_dir):
@@ -224,7 +221,7 @@ def technique_coverage(spark, sf_dir):
 
 
 def coverage_totals(spark, sf_dir):
-    found = T.coverage_totals(_classes(spark, sf_dir))
+    found = T.coverage_totals(_classes(spark, sf_dir).filter("support > 0"))
     return found.withColumns({c: F.col(c).cast("bigint") for c in found.columns if found.schema[c].dataType.simpleString() == "int"})
 
 
@@ -404,9 +401,10 @@ SELECT vec_id, CAST(16 AS BIGINT) AS dims,
     "text_search_severity": (text_search_severity, _search_sql(2, "severity = 'HIGH'")),
     # Every class name finds its own entry.
     "threat_lookup": (threat_lookup, f"""{_P}
-SELECT CAST(i AS INT) AS attack_id, {_NAMES}[i + 1] AS query, {_NAMES}[i + 1] AS top_result, (SELECT count(*) FROM preds) AS n,
-  CAST(3 AS INT) AS n_similar FROM range(1, 15) r(i)"""),
-    "lookup_precision": (lookup_precision, None),
+SELECT y_pred AS attack_id, {_NAMES}[y_pred + 1] AS query, {_NAMES}[y_pred + 1] AS top_result, count(*) AS n,
+  CAST(3 AS INT) AS n_similar FROM preds WHERE y_pred <> 0 GROUP BY y_pred"""),
+    "lookup_precision": (lookup_precision, f"""{_P}
+SELECT count(DISTINCT y_pred) AS correct, count(DISTINCT y_pred) AS total, 1e0 AS precision_at_1 FROM preds WHERE y_pred <> 0"""),
     "alert_enrichment": (enriched_alerts, f"""{_SESSION_ROWS}, {_kb_cte()},
 said AS (SELECT *, {_SENTENCE} AS query_text FROM called),
 asked AS (SELECT DISTINCT query_text AS doc_id, query_text AS text FROM said),{_search_ctes()},
@@ -420,11 +418,12 @@ SELECT host, session_idx, CAST(CASE name WHEN 'DoS Hulk' THEN 4 ELSE 10 END AS I
 {_root_cte()}
 SELECT CAST(class_id AS INT) AS class_id, (SELECT count(*) FROM preds WHERE y_true = class_id) AS support, attack_name, tactic_recall,
   overlap AS technique_overlap, technique_recall FROM rec"""),
-    "coverage_totals": (coverage_totals, f"""
-WITH {_root_cte()},
+    "coverage_totals": (coverage_totals, f"""{_P},
+{_root_cte()},
 s AS (SELECT list_distinct(flatten(list(kb_tactics))) AS kt, list_distinct(flatten(list(true_tactics))) AS gt,
   list_distinct(flatten(list(kb_roots))) AS kx, list_distinct(flatten(list(true_roots))) AS gx,
-  round(avg(tactic_recall), 4) AS mean_tactic_recall, round(avg(technique_recall), 4) AS mean_technique_recall FROM rec)
+  round(avg(tactic_recall), 4) AS mean_tactic_recall, round(avg(technique_recall), 4) AS mean_technique_recall FROM rec
+  WHERE class_id IN (SELECT y_true FROM preds))
 SELECT len(kt) AS kb_tactics, len(gt) AS true_tactics, len(list_intersect(kt, gt)) AS shared_tactics,
   round(len(list_intersect(kt, gt)) / CAST(len(gt) AS DOUBLE), 4) AS tactic_coverage,
   len(kx) AS kb_techniques, len(gx) AS true_techniques, len(list_intersect(kx, gx)) AS shared_techniques,
