@@ -45,16 +45,19 @@ _SLACK = 1e-9
 def _read(vectors):
     """(vec_id, label, dim, class_id, vec) of every row; the last three are null where it cannot link.
 
-    vec holds little-endian doubles; class_id is equal for equal labels and vectors.
+    vec holds little-endian doubles, very large and very small vectors brought to size; class_id is equal
+    for equal labels and vectors.
     """
 
     def usable(label, v):
         if label is None or not v or any(x is None for x in v):
             return None
         x = np.array(v, dtype="<f8")
-        with np.errstate(over="ignore", invalid="ignore"):
-            size = np.linalg.norm(x)
-        return x if np.isfinite(size) and size > 0 else None
+        largest = np.abs(x).max()
+        if not np.isfinite(largest) or largest == 0:
+            return None
+        # squares of very large or small components leave the range of doubles; a power of two changes no cosine
+        return x if 1e-100 < largest < 1e100 else np.ldexp(x, -int(np.frexp(largest)[1])).astype("<f8")
 
     def read(batches):
         for batch in slices(batches):

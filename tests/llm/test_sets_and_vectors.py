@@ -147,3 +147,11 @@ def test_survivors_never_lose_a_pair():
     a /= np.linalg.norm(a, axis=1, keepdims=True)
     i, j = vector_join.survivors(a, a, 0.5)
     assert set(zip(*np.nonzero(a @ a.T >= 0.5))) == set(zip(i, j))
+
+
+def test_vectors_of_any_finite_size_link(spark):
+    rows = [(1, 0, [1e200, 1e200]), (2, 0, [1e200, 1e200]), (3, 0, [1e-200, 1e-200]), (4, 0, [2.0, 2.0]), (5, 0, [5e-324, 0.0]),
+            (6, 0, [1e308, 0.0]), (7, 0, [0.0, 0.0]), (8, 0, [float("inf"), 1.0]), (9, 0, [float("nan"), 1.0]), (10, 1, [1e200, 1e200])]
+    table = spark.createDataFrame(rows, "vec_id long, label long, embedding array<double>")
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in vector_join.near_vectors(table).collect()}
+    assert got == {1: (3, 1), 2: (3, 1), 3: (3, 1), 4: (3, 1), 5: (1, 5), 6: (1, 5), 7: (0, 7), 8: (0, 8), 9: (0, 9), 10: (0, 10)}
