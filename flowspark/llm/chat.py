@@ -78,7 +78,9 @@ def conversations(turns):
     return rows.select("conv_id", F.array_join(F.transform("t", lambda x: x["formatted"]), "").alias("formatted"))
 
 
-_TURN = re.compile(re.escape(OPEN) + r"((?:[^\\\n]|\\.)*)\n((?:[^\\<]|\\.|<(?!\|))*)" + re.escape(CLOSE), re.S)
+# Runs of plain characters are taken whole and never given back, so a very long turn needs no memory beside itself.
+_TURN = re.compile(re.escape(OPEN) + r"([^\\\n]*+(?:\\.[^\\\n]*+)*+)\n([^\\<]*+(?:(?:\\.|<(?!\|))[^\\<]*+)*+)"
+                   + re.escape(CLOSE), re.S)
 
 
 def parse(formatted):

@@ -119,7 +119,11 @@ class _Reader:
         self.left, self.rows, self.with_data = b"", rows, with_data
         self.fields, self.missing, self.skip = None, 0, 0
         self.sha, self.size, self.chunk, self.segments = None, 0, 0, 1
-        self.origin = None
+        self.origin, self.open = None, False
+
+    def unfinished(self):
+        """Whether the stream stands inside a record, or before a segment that its record still needs."""
+        return bool(self.left) or self.fields is not None or self.open
 
     def feed(self, data):
         """Take the next bytes; rows of chunks are appended as far as they are complete."""
@@ -145,6 +149,8 @@ class _Reader:
             raise ValueError("no WARC record where one should begin")
         self.fields = dict(line.split(": ", 1) for line in lines[1:])
         self.missing = int(self.fields["Content-Length"])
+        if self.open and self.fields["WARC-Type"] != "continuation":
+            raise ValueError("a record ends before its last segment")
 
     def _end(self, block):
         f = self.fields
@@ -163,6 +169,7 @@ class _Reader:
         revisit = first["WARC-Type"] == "revisit"
         stated = base64.b32decode(first["WARC-Payload-Digest"][5:]).hex()
         last = self.chunk + 1 == int(f.get("X-Segments", 1))
+        self.open = not last
         digest, size = (stated, int(first["X-Payload-Length"])) if revisit else (self.sha.hexdigest(), self.size)
         if last and (digest, size) != (stated, int(first["X-Payload-Length"])):
             raise ValueError("a payload differs from the digest of its record")
@@ -192,14 +199,14 @@ def read_warc(spark, path, with_data=True):
                 end = len(lines) if files[len(lines) - 1].as_py() == here else next(
                     i for i in range(start, len(lines)) if files[i].as_py() != here)
                 if here != file:
-                    if reader is not None and reader.left:
+                    if reader is not None and reader.unfinished():
                         raise ValueError(f"{file} ends inside a record")
                     file, reader = here, _Reader(rows, with_data)
                 reader.feed(("\n".join(lines[start:end]) + "\n").encode())
                 start = end
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=names)
             rows.clear()
-        if reader is not None and reader.left:
+        if reader is not None and reader.unfinished():
             raise ValueError(f"{file} ends inside a record")
 
     lines = spark.read.option("lineSep", "\n").text(path).select("value", F.col("_metadata.file_path").alias("file"))

@@ -1,7 +1,9 @@
 """Chat logs, archives and urls."""
 
+import os
 import hashlib
 import math
+import pytest
 from collections import Counter
 
 from flowspark.llm import chat, url_filter, warc
@@ -113,3 +115,33 @@ def test_url_scores_against_the_definition(spark):
         assert abs(rows[page]["score"] - total / len(line)) < 1e-9
     assert url_filter.judge(pages.limit(0)).count() == 0
     assert {r["verdict"] for r in url_filter.judge(pages.where("page_id in (40, 42)")).collect()} == {"allow"}
+
+
+def test_a_very_long_turn_is_read_back_without_much_memory(spark):
+    import resource
+    text = "plain words and <| a mark, a \\ backslash\n" * 500_000
+    rendered = chat.render(_turns(spark, [(1, 0, "user", text)])).first()["formatted"]
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    ((role, got, _, _),) = chat.parse(rendered)
+    assert (role, got) == ("user", text)
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 600_000  # kB, for 20 million characters
+
+
+def test_archives_that_stop_between_two_segments_are_refused(spark, tmp_path):
+    import glob
+    import gzip
+    pages = spark.createDataFrame([(1, "http://a/", "0123456789ab")], "page_id long, url string, html string")
+    warc.write_warc(pages.coalesce(1), str(tmp_path / "w"), chunk=4)
+    (name,) = [f for f in glob.glob(str(tmp_path / "w" / "*.gz")) if gzip.open(f).read()]
+    whole = gzip.open(name).read()
+    third = whole.rindex(b"WARC/1.0\r\n")
+    with gzip.open(name, "wb") as file:
+        file.write(whole[:third])
+    for crc in glob.glob(str(tmp_path / "w" / ".*.crc")):
+        os.remove(crc)
+    with pytest.raises(Exception, match="ends inside a record"):
+        warc.read_warc(spark, str(tmp_path / "w")).collect()
+    # two whole records after one another, the first one cut short
+    reader = warc._Reader([], True)
+    with pytest.raises(ValueError, match="before its last segment"):
+        reader.feed(whole[:third] + whole)
