@@ -10,6 +10,7 @@ from flowspark.operators.sessions import (
     session_truth, sessionize, truncate_sessions,
 )
 from flowspark.operators.stats import session_stats
+from flowspark.plans.prepare import session_prefixes
 from flowspark.schema import MAX_SEQ_LEN, STAT_NAMES, TRUNCATION_POINTS
 
 KEYS = ["host", "session_idx"]
@@ -136,6 +137,12 @@ def truncated(spark, sf_dir):
     )
 
 
+def prefixes(spark, sf_dir):
+    """Statistics and labels of the first flows of every session, at all cut points from one pass."""
+    found = session_prefixes(windows(spark, sf_dir), TRUNCATION_POINTS, KEYS)
+    return found.select(*KEYS, "n_flows", "observed_label", "label", *rounded_stats())
+
+
 def truth(spark, sf_dir):
     found = session_truth(windows(spark, sf_dir))
     pairs = F.transform(F.map_entries("distribution"), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string")))
@@ -268,6 +275,15 @@ WITH {ENRICHED_CTE}, daily AS (SELECT *, strftime(ts, '%Y-%m-%d') AS day FROM en
 SELECT host, session_idx, CAST(n AS INT) AS n, count(*) AS n_flows,
   round(sum(total_length_of_fwd_packets), 1) AS fwd_bytes, max(pos) AS last_pos
 FROM session_flows, (VALUES {", ".join(f"({n})" for n in TRUNCATION_POINTS)}) v(n) WHERE pos < n GROUP BY host, session_idx, n"""),
+    "session_prefixes": (prefixes, f"""
+{_TUMBLING}{LABELLED_CTE},
+pre AS (SELECT session_flows.*, n AS n_flows FROM session_flows, (VALUES {", ".join(f"(CAST({n} AS INT))" for n in TRUNCATION_POINTS)}) v(n) WHERE pos < n),
+s AS ({stats_sql('pre', 'host, session_idx, n_flows')}),
+k AS (SELECT host, session_idx, n_flows, label_id, count(*) AS n FROM pre GROUP BY ALL),
+o AS (SELECT host, session_idx, n_flows, CAST(coalesce(arg_max(CASE WHEN label_id <> 0 THEN label_id END,
+  CASE WHEN label_id <> 0 THEN n * 100 - label_id END), 0) AS INT) AS observed_label FROM k GROUP BY ALL)
+SELECT s.*, observed_label, label FROM s JOIN o USING (host, session_idx, n_flows)
+  JOIN (SELECT host, session_idx, label FROM labelled) USING (host, session_idx)"""),
     "session_truth": (truth, f"""
 {_TUMBLING},
 c AS (SELECT host, session_idx, label_id, count(*) AS n, min(pos) AS first_pos FROM session_flows GROUP BY ALL),

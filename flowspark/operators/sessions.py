@@ -44,8 +44,12 @@ def benign_sessions(flows: DataFrame, **options):
 
 def class_counts(label="label_id"):
     """One count per class as an array column, for use inside an aggregate; the last is OTHER_CLASS."""
+    return F.expr(class_counts_sql(label))
+
+
+def class_counts_sql(label="label_id"):
     known = [f"count_if({label} = {c})" for c in range(N_CLASSES)]
-    return F.expr(f"array({', '.join(known)}, count_if({label} NOT BETWEEN 0 AND {N_CLASSES - 1}))")
+    return f"array({', '.join(known)}, count_if({label} NOT BETWEEN 0 AND {N_CLASSES - 1}))"
 
 
 def majority_label(counts):

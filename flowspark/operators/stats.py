@@ -1,5 +1,7 @@
 """The 26 statistics of a session in one aggregate."""
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,6 +21,48 @@ def session_stats(session_flows: DataFrame, keys=("host", "session_idx"), extra_
     any size (time windows). Input columns that are absent count as 0.
     """
     keys = list(keys)
+    aggs = _aggregates(session_flows, bounded)
+    grouped = session_flows.groupBy(*keys).agg(*[F.expr(e).alias(name) for name, e in aggs.items()], *extra_aggs)
+    if not bounded:
+        grouped = grouped.join(port_diversity(session_flows, keys), keys)
+    return _finished(grouped, keys, bounded)
+
+
+def prefix_stats(session_flows: DataFrame, points, keys=("host", "session_idx"), name="n_flows", extra=None, whole=None):
+    """The 26 statistics of the first n flows of each session, for every n of points, from one running window.
+
+    extra maps names to further aggregates, given as SQL text, and whole to aggregates over all flows of the
+    session. A session has a row for each n that it reaches.
+    """
+    keys = list(keys)
+    listed = ", ".join(f"`{k}`" for k in keys)
+    window = f"(PARTITION BY {listed} ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+    aggs = {**_aggregates(session_flows, True), **(extra or {})}
+    running = session_flows.selectExpr(*[f"`{k}`" for k in keys], f"pos + 1 AS `{name}`",
+                                       *[f"{running_sql(e, window)} AS `{n}`" for n, e in aggs.items()],
+                                       *[f"{running_sql(e, f'(PARTITION BY {listed})')} AS `{n}`" for n, e in (whole or {}).items()])
+    cut = running.filter(F.col(name).isin(list(points)))
+    return _finished(cut, [*keys, name], True)
+
+
+_CALL = re.compile(r"\b(sum|avg|max|min|count|count_if|stddev_pop|collect_list)\(")
+
+
+def running_sql(sql, window):
+    """Every aggregate call of an expression taken over a window."""
+    out, at = [], 0
+    while found := _CALL.search(sql, at):
+        depth, end = 1, found.end()
+        while depth:
+            depth += {"(": 1, ")": -1}.get(sql[end], 0)
+            end += 1
+        out.append(f"{sql[at:end]} OVER {window}")
+        at = end
+    return "".join(out) + sql[at:]
+
+
+def _aggregates(session_flows, bounded):
+    """The statistics, or what they are derived from, as aggregates in SQL text."""
     have = set(session_flows.columns)
 
     def col(name):
@@ -63,15 +107,16 @@ def session_stats(session_flows: DataFrame, keys=("host", "session_idx"), extra_
     }
     if bounded:
         aggs["_ports"] = f"collect_list(CAST({col('destination_port')} AS BIGINT))"
-    grouped = session_flows.groupBy(*keys).agg(*[F.expr(e).alias(name) for name, e in aggs.items()], *extra_aggs)
+    return aggs
 
+
+def _finished(grouped, keys, bounded):
+    """The columns in order, derived and cleaned."""
     derived = {"stat_log_type_entropy": entropy_sql("_log_counts")}
     if bounded:
         repeats = "transform(array_distinct(_ports), p -> size(filter(_ports, q -> q = p)))"
         derived["stat_port_entropy"] = entropy_sql(repeats)
         derived["stat_unique_dst_ports"] = "CAST(size(array_distinct(_ports)) AS DOUBLE)"
-    else:
-        grouped = grouped.join(port_diversity(session_flows, keys), keys)
     dropped = {"_log_counts", "_ports"}
     wide = grouped.selectExpr(
         *[f"`{c}`" for c in grouped.columns if c not in dropped], *[f"{e} AS {n}" for n, e in derived.items()]

@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowspark.operators.metrics import metrics_by
-from flowspark.operators.sessions import sessionize, truncate_sessions
-from flowspark.plans.prepare import session_table
+from flowspark.operators.sessions import sessionize
+from flowspark.plans.prepare import session_prefixes, session_table
 from flowspark.schema import ABLATION_SIZES, TRUNCATION_POINTS
 
 
@@ -24,12 +24,10 @@ def latency_curve(score, aligned_session_flows: DataFrame, points=tuple(TRUNCATI
     """Accuracy and F1 by number of observed flows, statistics on raw values.
 
     score adds y_pred to a session table, whose observed_label is the label of the flows seen so
-    far; the truth is the label of the whole session.
+    far; the truth is the label of the whole session. Both come from one running pass over the flows.
     """
-    keys = list(keys)
-    truth = session_table(aligned_session_flows, keys).select(*keys, F.col("label").alias("y_true"))
-    cut = session_table(truncate_sessions(aligned_session_flows, points, "n_flows"), [*keys, "n_flows"]).withColumnRenamed("label", "observed_label")
-    return metrics_by(score(cut.join(truth, keys)), "n_flows")
+    cut = session_prefixes(aligned_session_flows, points, list(keys))
+    return metrics_by(score(cut.withColumnRenamed("label", "y_true")), "n_flows")
 
 
 def window_ablation(score, aligned: DataFrame, sizes=tuple(ABLATION_SIZES), **options):

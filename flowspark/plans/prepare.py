@@ -8,8 +8,8 @@ from flowspark.functions.alignment import realign
 from flowspark.functions.protocol import add_protocol_columns
 from flowspark.operators.sampling import hash_long, hash_number, stratified_split
 from flowspark.operators.scaling import FeatureScaler
-from flowspark.operators.sessions import attack_ids, class_counts, majority_label, sessionize
-from flowspark.operators.stats import session_stats
+from flowspark.operators.sessions import attack_ids, class_counts, class_counts_sql, majority_label, sessionize
+from flowspark.operators.stats import prefix_stats, session_stats
 from flowspark.schema import FEATURES, SESSION_SIZE, TRAINED_FEATURES
 
 CARRIED = ("flow_id", "host", "ts", "label_id", "session_idx", "pos", "split", "request_id", "n",
@@ -44,6 +44,17 @@ def session_table(session_flows: DataFrame, keys=("host", "session_idx"), label=
     }).drop("_counts")
 
 
+def session_prefixes(session_flows: DataFrame, points, keys=("host", "session_idx"), label="label_id"):
+    """Statistics and observed label of the first n_flows flows of a session, for every number of points, and
+    the label of the whole session."""
+    counts = class_counts_sql(label)
+    cut = prefix_stats(session_flows, points, keys, "n_flows", {"_counts": counts}, {"_whole": counts})
+    return cut.withColumns({
+        "observed_label": majority_label(F.col("_counts")), "has_attack": F.size(attack_ids(F.col("_counts"))) > 0,
+        "attack_ids": attack_ids(F.col("_counts")), "label": majority_label(F.col("_whole")),
+    }).drop("_counts", "_whole")
+
+
 def prepare_sessions(session_flows: DataFrame, scaler: FeatureScaler = None, keys=("host", "session_idx")):
     """(aligned flows, scaled where a scaler is given; session table on the raw values)."""
     aligned = aligned_flows(session_flows)

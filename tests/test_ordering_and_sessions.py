@@ -174,3 +174,19 @@ def test_padding_and_next_event(spark):
     assert pair.context_length == 19 and pair.target == [20.0] and pair.context[-1] == [19.0]
     single = sessionize(labelled(spark, [0] * 2), 1).withColumn("x", F.lit(1.0))
     assert next_event_pairs(single, ["x"]).count() == 0
+
+
+def test_running_statistics_are_those_of_the_first_flows(spark):
+    from flowspark.operators.sessions import truncate_sessions
+    from flowspark.operators.stats import prefix_stats, running_sql, session_stats
+
+    assert running_sql("sum(a * (b + 1)) / (count(*) + 1D)", "w") == "sum(a * (b + 1)) OVER w / (count(*) OVER w + 1D)"
+    flows = spark.range(47).selectExpr(
+        "id % 3 AS host", "0 AS session_idx", "CAST(id div 3 AS INT) AS pos", "CAST(id * 7 % 11 AS DOUBLE) AS flow_duration",
+        "CAST(id % 4 AS DOUBLE) AS destination_port", "CAST(id % 2 AS DOUBLE) AS syn_flag_count", "id % 5 AS log_type")
+    points = [1, 4, 15, 16, 99]
+    want = session_stats(truncate_sessions(flows, points, "n_flows"), ["host", "session_idx", "n_flows"])
+    got = prefix_stats(flows, points)
+    # a cut longer than the session has no row of its own
+    want = {(r.host, r.n_flows): [round(x, 9) for x in r[3:]] for r in want.collect() if r.n_flows <= r.stat_flow_count}
+    assert {(r.host, r.n_flows): [round(x, 9) for x in r[3:]] for r in got.collect()} == want
