@@ -10,8 +10,6 @@ from flowspark.schema import MASK_RATE
 
 _UNIT = 2 ** 32
 CHUNK = 10_000
-# Cuts of up to this many groups are sent to every task; more are joined.
-MAX_GROUPS = 100_000
 
 
 def hash_hex(seed, *cols):
@@ -37,24 +35,24 @@ def hash_unit(seed, *cols):
 def capped_sample(df: DataFrame, n, group, id_column, seed=42):
     """At most n rows per group: the first n in hash order.
 
-    One pass counts, per group, the rows below 2**32, 2**31, ... of the hash. The lowest of these
-    limits that still lets n rows through becomes the group's cut, and only rows below it are
-    ranked: about 2n of them, however large the group is.
+    One pass counts rows by (group, leading zero bits of the hash). The most zeros that still leave n
+    rows become the group's cut, and only rows below it are ranked: about 2n of them, however large
+    the group is. The cuts are a row for each group; Spark picks the form of the join.
     """
     group = list(group)
     hashed = df.withColumn("_h", hash_hex(seed, id_column)).withColumn(
         "_u", F.conv(F.substring("_h", 1, 8), 16, 10).cast("bigint")
     )
-    below = F.expr(f"array({', '.join(f'count_if(_u < {_UNIT >> j})' for j in range(32))})")
-    sizes = hashed.groupBy(*group).agg(F.count("*").alias("_n"), below.alias("_below"))
-    enough = F.size(F.filter("_below", lambda c: c >= F.least(F.lit(n), F.col("_n"))))
-    cuts = sizes.withColumn("_enough", enough).select(
-        *[F.col(c).alias(f"_g{i}") for i, c in enumerate(group)],
-        F.expr(f"shiftright({_UNIT}L, _enough - 1)").alias("_cut"),
-    )
-    found = cuts.limit(MAX_GROUPS + 1).collect()
-    if len(found) <= MAX_GROUPS:
-        cuts = F.broadcast(df.sparkSession.createDataFrame(found, cuts.schema))
+    keys = [F.col(c).alias(f"_g{i}") for i, c in enumerate(group)]
+    names = [f"_g{i}" for i in range(len(group))]
+    zeros = F.expr("CASE WHEN _u = 0 THEN 32 ELSE 32 - length(bin(_u)) END")
+    counted = hashed.groupBy(*keys, zeros.alias("_zeros")).agg(F.count(F.lit(1)).alias("_n"))
+    # at most 33 rows a group
+    of_group = Window.partitionBy(*names)
+    left = F.sum("_n").over(of_group.orderBy(F.col("_zeros").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    enough = counted.select(*names, "_zeros", left.alias("_left"), F.sum("_n").over(of_group).alias("_total")).filter(
+        F.col("_left") >= F.least(F.lit(n), F.col("_total")))
+    cuts = enough.groupBy(*names).agg(F.expr("shiftleft(1L, 32 - CAST(max(_zeros) AS INT))").alias("_cut"))
     same = [F.col(c).eqNullSafe(F.col(f"_g{i}")) for i, c in enumerate(group)]
     candidates = hashed.join(cuts, same).filter(F.col("_u") < F.col("_cut"))
     ranked = Window.partitionBy(*group).orderBy("_h", id_column)
