@@ -69,6 +69,11 @@ def url_query(spark, sf_dir):
     return url_filter.judge(_table(spark, sf_dir, "pages"))
 
 
+def url_rules_query(spark, sf_dir):
+    """What SQL can state of the filter: host, path and the rule that fits."""
+    return url_filter.judge(_table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule")
+
+
 def license_query(spark, sf_dir):
     return license_scan.scan(_table(spark, sf_dir, "documents"))
 
@@ -110,8 +115,9 @@ QUERIES = {
     "op5_decontamination": (decontamination_query, decontaminate.SQL),
     "op5_proximity": (proximity_query, None),
     "op6_url_filter": (url_query, None),
-    "op7_license_scan": (license_query, license_scan.SQL),
+    "op6_url_rules": (url_rules_query, url_filter.RULE_SQL),
     "op7_license_notices": (license_notices_query, license_scan.NOTICES_SQL),
+    "op7_license_scan": (license_query, license_scan.SQL),
     "op8_warc": (warc_query, warc.SQL),
     "op9_bpe": (bpe_query, None),
     "op10_vector_join": (vector_query, vector_join.SQL),
