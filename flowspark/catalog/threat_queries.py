@@ -190,8 +190,16 @@ def _called_names(spark, sf_dir):
     return called.groupBy(label_name(F.col("y_pred")).alias("query")).agg(F.count("*").alias("n"))
 
 
+def _named(spark, sf_dir):
+    """Every class but the first, as top_predictions over all 15 classes names each once per flow."""
+    named = predictions(spark, sf_dir).select(F.explode(top_predictions(F.col("probs"), 15)).alias("p"))
+    names = named.groupBy(F.col("p.attack_name").alias("query")).agg(F.count("*").alias("n"))
+    return names.filter(F.col("query") != LABELS[0])
+
+
 def threat_lookup(spark, sf_dir):
-    found = _search(spark).lookup(_called_names(spark, sf_dir))
+    """The entries found for the name of every class, with the number of flows that name it."""
+    found = _search(spark).lookup(_named(spark, sf_dir))
     return found.select("query", "n", "attack_id", "top_result", F.size("similar_threats").alias("n_similar"))
 
 
@@ -401,8 +409,8 @@ SELECT vec_id, CAST(16 AS BIGINT) AS dims,
     "text_search_severity": (text_search_severity, _search_sql(2, "severity = 'HIGH'")),
     # Every class name finds its own entry.
     "threat_lookup": (threat_lookup, f"""{_P}
-SELECT y_pred AS attack_id, {_NAMES}[y_pred + 1] AS query, {_NAMES}[y_pred + 1] AS top_result, count(*) AS n,
-  CAST(3 AS INT) AS n_similar FROM preds WHERE y_pred <> 0 GROUP BY y_pred"""),
+SELECT CAST(i AS INT) AS attack_id, {_NAMES}[i + 1] AS query, {_NAMES}[i + 1] AS top_result, (SELECT count(*) FROM preds) AS n,
+  CAST(3 AS INT) AS n_similar FROM range(1, 15) r(i)"""),
     "lookup_precision": (lookup_precision, f"""{_P}
 SELECT count(DISTINCT y_pred) AS correct, count(DISTINCT y_pred) AS total, 1e0 AS precision_at_1 FROM preds WHERE y_pred <> 0"""),
     "alert_enrichment": (enriched_alerts, f"""{_SESSION_ROWS}, {_kb_cte()},
