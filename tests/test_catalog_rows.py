@@ -3,6 +3,7 @@
 import datetime
 
 from flowspark.catalog import all_queries
+from flowspark.knowledge import TACTICS, TRUTH
 from flowspark.schema import LABELS
 
 QUERIES = all_queries()
@@ -21,3 +22,10 @@ def test_every_class_is_looked_up(spark, tmp_path):
     found = QUERIES["threat_lookup"][0](spark, events(spark, tmp_path)).collect()
     assert {r["query"]: r.top_result for r in found} == {n: n for i, n in LABELS.items() if i}
     assert {(r.n, r.n_similar) for r in found} == {(3, 3)}
+
+
+def test_totals_cover_every_class(spark, tmp_path):
+    """All flows are benign: the knowledge of the other classes is covered all the same."""
+    total = QUERIES["coverage_totals"][0](spark, events(spark, tmp_path)).first()
+    assert total.kb_tactics == len({t for of_class in TACTICS.values() for t in of_class})
+    assert total.true_tactics == len({t for tactics, _ in TRUTH.values() for t in tactics})
