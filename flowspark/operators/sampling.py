@@ -7,6 +7,7 @@ from flowspark.functions.labels import encode_label, label_name
 from flowspark.functions.literals import literal_array
 from flowspark.operators.ordering import HOT_ROWS, with_row_index
 from flowspark.schema import MASK_RATE
+from flowspark.session import materialise
 
 _UNIT = 2 ** 32
 CHUNK = 10_000
@@ -37,7 +38,8 @@ def capped_sample(df: DataFrame, n, group, id_column, seed=42):
 
     One pass counts rows by (group, leading zero bits of the hash). The most zeros that still leave n
     rows become the group's cut, and only rows below it are ranked: about 2n of them, however large
-    the group is. The cuts are a row for each group; Spark picks the form of the join.
+    the group is. The cuts are a row for each group and written, so that Spark knows their size before
+    it picks the form of the join: a few cuts go to the rows, which then stay where they are.
     """
     group = list(group)
     hashed = df.withColumn("_h", hash_hex(seed, id_column)).withColumn(
@@ -53,6 +55,7 @@ def capped_sample(df: DataFrame, n, group, id_column, seed=42):
     enough = counted.select(*names, "_zeros", left.alias("_left"), F.sum("_n").over(of_group).alias("_total")).filter(
         F.col("_left") >= F.least(F.lit(n), F.col("_total")))
     cuts = enough.groupBy(*names).agg(F.expr("shiftleft(1L, 32 - CAST(max(_zeros) AS INT))").alias("_cut"))
+    cuts = materialise(cuts, "cuts")
     same = [F.col(c).eqNullSafe(F.col(f"_g{i}")) for i, c in enumerate(group)]
     candidates = hashed.join(cuts, same).filter(F.col("_u") < F.col("_cut"))
     ranked = Window.partitionBy(*group).orderBy("_h", id_column)

@@ -32,6 +32,17 @@ def test_cap_with_repeated_ids_and_null_groups(spark):
     assert capped_sample(copies, 3, ["label_id"], "flow_id").count() == 3
 
 
+def test_rows_stay_where_they_are_for_a_few_groups(spark):
+    name = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "100KB")
+    try:
+        plan = capped_sample(rows(spark, 100_000), 7, ["label_id"], "flow_id")._jdf.queryExecution().sparkPlan().toString()
+    finally:
+        spark.conf.set(name, before)
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
 def test_pool_merges_spellings(spark):
     df = rows(spark).withColumn("label", F.when(F.col("flow_id") % 2 == 0, "DDoS").otherwise(" ddos"))
     pool = class_pool(df, 25)
