@@ -7,7 +7,7 @@ from flowspark.functions.labels import label_name
 from flowspark.schema import ATTACK_GATE, N_CLASSES
 
 
-def _let(value: Column, body) -> Column:
+def let(value: Column, body) -> Column:
     """body(value) with value computed once, also inside the lambdas of body."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
@@ -25,7 +25,7 @@ def softmax(logits: Column) -> Column:
     def shared(s):
         return F.transform(s["p"], lambda x: x / s["total"])
 
-    return _let(_let(_let(_let(logits, shifted), powered), totalled), shared)
+    return let(let(let(let(logits, shifted), powered), totalled), shared)
 
 
 def argmax_class(probs: Column) -> Column:

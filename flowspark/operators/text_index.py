@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowspark.functions.literals import literal_array
+from flowspark.functions.scores import let
 from flowspark.session import materialise
 
 DIGITS = 9
@@ -19,6 +20,23 @@ def words(text):
     return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}.]+"), lambda w: w != "")
 
 
+def word_counts(text):
+    """(word, tf) for every distinct word of a text: the lengths of the runs of its sorted words.
+
+    A text is counted by itself, so memory goes with one text and not with the texts of a task.
+    """
+
+    def starts(s):
+        at = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1)))
+        return F.struct(s.alias("s"), F.when(F.size(s) > 0, at).otherwise(F.array().cast("array<int>")).alias("at"))
+
+    def lengths(r):
+        end = lambda j: F.coalesce(F.get(r["at"], j + 1), F.size(r["s"]))
+        return F.transform(r["at"], lambda a, j: F.struct(F.get(r["s"], a).alias("word"), (end(j) - a).alias("tf")))
+
+    return let(let(F.sort_array(words(text)), starts), lengths)
+
+
 class TextIndex:
     """Postings (word, idf, id, weight); a row without id for every word carries its idf alone."""
 
@@ -58,8 +76,8 @@ class TextIndex:
         key = F.substring(F.unhex(F.sha2(F.coalesce(F.col(column), F.lit("")), 256)), 1, 16)
         keyed = queries.withColumn("_key", key)
         texts = keyed.select("_key", F.col(column).alias("_text")).groupBy("_key").agg(F.first("_text").alias("_text"))
-        # grouped by text already, so counting its words needs no shuffle
-        counted = texts.select("_key", F.explode(words(F.col("_text"))).alias("word")).groupBy("_key", "word").agg(F.count(F.lit(1)).alias("tf"))
+        # for the plain form of the generator Spark may add a check that counts the words a second time
+        counted = texts.select("_key", F.inline_outer(word_counts(F.col("_text")))).where("word IS NOT NULL")
         unseen = F.log(F.lit(float(self.entries + 1)))
         w = F.col("tf") * F.coalesce("idf", unseen)
         sums = counted.join(self.postings, "word", "left").groupBy("_key", "id").agg(
