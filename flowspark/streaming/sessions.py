@@ -6,36 +6,46 @@ are those of the query. The last windows of a host, which it never fills, are no
 dropped tail of the batch path.
 """
 
+import pickle
+
+import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.streaming.state import GroupStateTimeout
 
 from flowspark.functions.alignment import bad_cells
 from flowspark.schema import SESSION_SIZE
 
 
-def _packed(rows, schema):
-    table = pa.Table.from_pandas(rows, schema=schema, preserve_index=False)
-    out = pa.BufferOutputStream()
-    with pa.ipc.new_stream(out, schema) as writer:
-        writer.write_table(table)
-    return out.getvalue().to_pybytes()
+def _in_order(first, second):
+    """Places of the rows by two columns, nulls last."""
+    if "O" in (first.dtype.kind, second.dtype.kind):
+        return pd.DataFrame({"first": first, "second": second}).sort_values(["first", "second"], kind="stable").index.to_numpy()
+    return np.lexsort((second, first))
+
+
+def _in_line(rows, names, order, tie, waiting):
+    """The packed rows that wait, then those of a batch in order.
+
+    Columns are handled as plain arrays: with a few dozen rows a host, a table's own steps would take most of the time.
+    """
+    columns = {c: rows[c].to_numpy() for c in names}
+    place = _in_order(columns[order], columns[tie])
+    before = pickle.loads(waiting) if waiting is not None else {}
+    return pd.DataFrame({c: np.concatenate([before[c], x[place]]) if before else x[place] for c, x in columns.items()})
 
 
-def _unpacked(packed):
-    return pa.ipc.open_stream(packed).read_all().to_pandas()
+def _packed(rows):
+    return pickle.dumps({c: rows[c].to_numpy() for c in rows.columns})
 
 
 def _cut(rows, size, done):
     """(flows of the windows that are full, with session_idx and pos; the others; windows filled so far)."""
     full = len(rows) // size * size
-    windows, place = rows.iloc[:full].copy(), pd.RangeIndex(full)
-    windows["session_idx"] = done + place // size
-    windows["pos"] = (place % size).astype("int32")
+    place = np.arange(full)
+    windows = rows.iloc[:full].assign(session_idx=done + place // size, pos=(place % size).astype("int32"))
     return windows, rows.iloc[full:], done + full // size
 
 
@@ -50,8 +60,6 @@ def sessionize_stream(flows: DataFrame, size=SESSION_SIZE, key="host", order="ts
     """
     out = T.StructType([*flows.schema.fields, T.StructField("session_idx", T.LongType()), T.StructField("pos", T.IntegerType())])
     names = flows.columns
-    # pandas holds time stamps without a zone, in the state as in a batch
-    arrow = pa.schema([f.with_type(pa.timestamp("us")) if pa.types.is_timestamp(f.type) else f for f in to_arrow_schema(flows.schema)])
     late = GroupStateTimeout.NoTimeout
     if idle is not None:
         late = GroupStateTimeout.EventTimeTimeout
@@ -62,16 +70,14 @@ def sessionize_stream(flows: DataFrame, size=SESSION_SIZE, key="host", order="ts
         if state.hasTimedOut:
             state.update((done, None))
             return
-        rows = pd.concat(chunks)
+        chunks = list(chunks)
+        rows = chunks[0] if len(chunks) == 1 else pd.concat(chunks)
         if idle is not None:
             # the watermark lags behind by the idle time, so it passes the host's last flow when that is over
             last = rows["_seen_at"].max().value // 1_000_000
             state.setTimeoutTimestamp(max(last, state.getCurrentWatermarkMs() + 1))
-        rows = rows[names].sort_values([order, tie], kind="stable")
-        if waiting is not None:
-            rows = pd.concat([_unpacked(waiting), rows])
-        full, rest, done = _cut(rows, size, done)
-        state.update((done, _packed(rest, arrow) if len(rest) else None))
+        full, rest, done = _cut(_in_line(rows, names, order, tie, waiting), size, done)
+        state.update((done, _packed(rest) if len(rest) else None))
         if len(full):
             yield full
 

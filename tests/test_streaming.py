@@ -3,6 +3,7 @@ import os
 import time
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -13,7 +14,7 @@ from flowspark.operators.sessions import five_minute_windows, sessionize
 from flowspark.schema import FEATURES, N_CLASSES
 from flowspark.sources.alert_table import AlertTable
 from flowspark.streaming import replay as R
-from flowspark.streaming.sessions import _cut, split_valid_sessions, start_sessions
+from flowspark.streaming.sessions import _cut, _in_line, _packed, split_valid_sessions, start_sessions
 from flowspark.streaming.sinks import read_counters, session_alerts, start_alerts, start_counters, start_table, write_stream_summary
 from flowspark.sources.stores import read_json
 
@@ -81,6 +82,20 @@ def test_state_holds_less_than_a_window_of_a_host(spark):
     assert (len(full), len(rest), done) == (0, 19, 3)
 
 
+def test_waiting_rows_come_before_those_of_a_batch_in_order():
+    def rows(ids, times, text=None):
+        return pd.DataFrame({"flow_id": ids, "ts": pd.to_datetime(times, unit="s"), "x": [float(i) for i in ids], "text": text or ["a"] * len(ids)})
+
+    names = ["flow_id", "ts", "x", "text"]
+    first = _in_line(rows([5, 3, 4], [2, 2, 1], ["e", None, "d"]), names, "ts", "flow_id", None)
+    assert list(first["flow_id"]) == [4, 3, 5] and list(first["text"]) == ["d", None, "e"]
+    second = rows([9, 8, 7, 6], [4, 3, 3, None])
+    both = _in_line(second, names, "ts", "flow_id", _packed(first))
+    assert list(both["flow_id"]) == [4, 3, 5, 7, 8, 9, 6] and both["ts"].isna().tolist() == [False] * 6 + [True]
+    by_text = _in_line(rows([1, 2, 3], [1, 1, 1], ["b", None, "a"]), names, "text", "flow_id", None)
+    assert list(by_text["flow_id"]) == [3, 1, 2]
+
+
 def test_idle_hosts_lose_what_waits_but_keep_their_numbers(spark, tmp_path):
     folder = tmp_path / "in"
     folder.mkdir()
