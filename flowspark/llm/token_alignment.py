@@ -23,6 +23,7 @@ are ignored; an empty table gives no rows. Texts are taken whole.
 import hashlib
 import os
 import re
+import sys
 import zlib
 from array import array
 from itertools import accumulate
@@ -118,8 +119,11 @@ class Aligner:
         raw = part.encode()
         if b"".join(map(self.entry.__getitem__, a)) != raw or b"".join(map(self.pieces.piece_bytes.__getitem__, b)) != raw:
             return "", None, 0, 0
-        groups = cut_groups(list(accumulate(map(self.a_size.__getitem__, a))), list(accumulate(map(self.b_size.__getitem__, b))))
         a_said, b_said = list(map(self.numbers.__getitem__, a)), list(map(self.numbers.__getitem__, b))
+        if len(a) == 1 or len(b) == 1:
+            # one token ends where the part does, so the part is one group
+            return f"{','.join(a_said)}|{','.join(b_said)}", (a[-1] << _SHIFT | b[-1]).to_bytes(8, sys.byteorder), len(a), len(b)
+        groups = cut_groups(list(accumulate(map(self.a_size.__getitem__, a))), list(accumulate(map(self.b_size.__getitem__, b))))
         said = ";".join([f"{','.join(a_said[i:j])}|{','.join(b_said[k:l])}" for i, j, k, l in groups])
         pairs = array("q", [a[j - 1] << _SHIFT | b[l - 1] for _, j, _, l in groups]).tobytes()
         return said, pairs, len(a), len(b)

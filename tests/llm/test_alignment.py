@@ -108,3 +108,21 @@ def test_parts_are_cut_where_both_tokenizers_end_a_token(paths, tokens):
 
 def test_empty_table(spark, docs, paths):
     assert token_alignment.digests(docs([]), *paths).count() == 0
+
+
+def test_parts_of_one_token_are_not_cut(paths, monkeypatch):
+    """A part that is one token on either side is one group, as cutting it gives."""
+    aligner = token_alignment.Aligner(*(open(p, "rb").read() for p in paths))
+    parts = sorted({p for text in TRICKY if text for p in aligner.cut(text)})
+    first = aligner.bytes_model.encode_batch_fast(parts, add_special_tokens=False)
+    seen = [(p, a.ids, b) for p, a, b in zip(parts, first, aligner.piece_model.encode(parts))]
+    single = [x for x in seen if len(x[1]) == 1 or len(x[2]) == 1]
+    assert len(single) > 10
+    cut, calls = token_alignment.cut_groups, []
+    monkeypatch.setattr(token_alignment, "cut_groups", lambda *ends: calls.append(ends) or cut(*ends))
+    for part, a, b in single:
+        said, pairs, n_a, n_b = aligner.align(part, a, b)
+        if pairs is not None:
+            assert said == f"{','.join(map(str, a))}|{','.join(map(str, b))}" and (n_a, n_b) == (len(a), len(b))
+            assert list(memoryview(pairs).cast("q")) == [a[-1] << token_alignment._SHIFT | b[-1]]
+    assert not calls
