@@ -11,6 +11,7 @@ from flowspark.functions.alerts import intel_from_kb
 from flowspark.functions.text import kb_text, retrieval_query
 from flowspark.knowledge import CATEGORY, TACTICS, TECHNIQUE_NAMES, TECHNIQUES, TRUTH, entries, knowledge_base
 from flowspark.operators import explain as E
+from flowspark.operators import nearest_join as nearest_join_module
 from flowspark.operators import neighbors as N
 from flowspark.operators.nearest_join import nearest_join
 from flowspark.operators.text_index import TextIndex
@@ -94,6 +95,25 @@ def test_blocked_join_against_all_pairs(spark, k, block_rows):
     assert nearest_join(table, table.limit(0), k, "id").count() == 0
 
 
+@pytest.mark.parametrize("k, tile", [(1, 8192), (5, 8192), (5, 16)])
+def test_rows_of_a_block_beyond_the_limits_are_left_out(monkeypatch, k, tile):
+    monkeypatch.setattr(nearest_join_module, "TILE_ROWS", tile)
+    monkeypatch.setattr(nearest_join_module, "TILE_PAIRS", 7)
+    rng = np.random.default_rng(4)
+    rows = nearest_join_module.unit(rng.normal(size=(300, 6)).round(1))
+    rows[10:30] = rows[10]
+    rows[50:55] = 0.0
+    asking = np.concatenate([rows[:40], rows[50:51] * 1.0, -rows[:1]])
+    far = np.round(1.0 - asking @ rows.T, 9)
+    limits = np.where(np.arange(len(asking)) % 2 == 0, 0.05, 2.0)
+    row, at, distance = nearest_join_module._nearest_rows(asking, rows, limits, k)
+    best = np.argsort(far, axis=1, kind="stable")[:, :k]
+    want = [(i, j) for i in range(len(asking)) for j in best[i] if far[i, j] <= limits[i]]
+    assert list(zip(row, at)) == want
+    assert (distance == far[row, at]).all()
+    assert [len(x) for x in nearest_join_module._nearest_rows(asking[:0], rows, limits[:0], k)] == [0, 0, 0]
+
+
 def test_missing_vectors(spark):
     queries, _ = vectors(spark, 8, "qid", 1)
     holed = queries.withColumn("embedding", F.when(F.col("qid") != 2, F.col("embedding")))
