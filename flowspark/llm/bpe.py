@@ -65,7 +65,9 @@ class Splitter:
         self.fast = self._has_known_pattern()
         if self.tokenizer.decoder is None:
             self.pieces = pa.array([self.tokenizer.id_to_token(i) for i in range(size)])
-            self.numbers = pa.array([str(i) for i in range(size)])
+            numbers = pa.array([str(i) for i in range(size)])
+            #: Each entry with the space that divides it from the next one.
+            self.spaced = [pc.binary_join_element_wise(table, "", " ").cast(pa.large_string()) for table in (numbers, self.pieces)]
 
     def _has_known_pattern(self):
         shape = json.loads(self.tokenizer.to_str())
@@ -284,16 +286,21 @@ def _ids(codes, head, fill, id_type):
     if len(gaps) != len(fill):
         raise ValueError(f"{len(gaps)} gaps and {len(fill)} words for them")
     more = [np.frombuffer(f, dtype=id_type, offset=4) for f in fill]
-    flat = np.concatenate([head.flat, (codes[special] // 2).astype(id_type), *more]) if len(gaps) or special.any() else head.flat
     rank = np.maximum(codes.astype(np.int64) // 2 - 1, 0)
     rank[special] = 0
     lengths = head.lengths[rank].astype(np.int64) if len(head.lengths) else np.zeros(len(codes), dtype=np.int64)
-    starts = (head.ends[rank] if len(head.ends) else 0) - lengths
+    starts = head.ends[rank] - lengths if len(head.ends) else np.zeros(len(codes), dtype=np.int64)
     lengths[special], lengths[gaps] = 1, [len(m) for m in more]
-    starts[special] = len(head.flat) + np.arange(int(special.sum()))
-    if len(gaps):
-        starts[gaps] = len(flat) - np.cumsum([len(m) for m in more[::-1]])[::-1]
-    return flat[_ragged(starts, lengths)].tobytes()
+    if not len(head.flat):
+        out = np.zeros(int(lengths.sum()), dtype=id_type)
+    else:
+        # what stands in the place of gaps and special tokens is written over
+        out = head.flat.take(_ragged(starts, lengths), mode="clip")
+    if len(gaps) or special.any():
+        places = np.cumsum(lengths) - lengths
+        out[places[special]] = codes[special] // 2
+        out[_ragged(places[gaps], lengths[gaps])] = np.frombuffer(b"".join(m.tobytes() for m in more), dtype=id_type)
+    return out.tobytes()
 
 
 def encode(docs, path, head_words=HEAD_WORDS, keep=("doc_id",)):
@@ -376,6 +383,14 @@ def _joined(table, column, id_type):
     return pc.binary_join(rows, " ")
 
 
+def _digests(spaced, ids, sizes):
+    """For texts of these sizes, whose ids follow each other, the SHA-256 of their entries with spaces between."""
+    offsets, data = text_buffers(spaced.take(ids))
+    ends = offsets[np.concatenate(([0], np.cumsum(sizes)))].tolist()
+    data = memoryview(data)
+    return pa.array([hashlib.sha256(data[a:max(a, b - 1)]).hexdigest() for a, b in zip(ends[:-1], ends[1:])], pa.string())
+
+
 def _pieces(path):
     cut = splitter(path)
     if cut.tokenizer.decoder is not None:
@@ -405,11 +420,10 @@ def digests(docs, path, head_words=HEAD_WORDS):
         cut = splitter(path)
         size = np.dtype(cut.id_type).itemsize
         for batch in slices(batches, 128):
-            ids = batch.column(1)
-            counts = pa.array(pc.binary_length(ids).to_numpy(zero_copy_only=False).astype(np.int64) // size)
-            hashed = [pa.array([hashlib.sha256(t.as_buffer()).hexdigest() for t in _joined(table, ids, cut.id_type)], pa.string())
-                      for table in (cut.numbers, cut.pieces)]
+            sizes = pc.binary_length(batch.column(1)).to_numpy(zero_copy_only=False).astype(np.int64) // size
+            ids = pa.array(np.frombuffer(b"".join(batch.column(1).to_pylist()), dtype=cut.id_type))
+            hashed = [_digests(spaced, ids, sizes) for spaced in cut.spaced]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), counts, *hashed], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+                [batch.column(0), pa.array(sizes), *hashed], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return _encode(docs, path, head_words, ("doc_id",), digest, "n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -4,6 +4,8 @@ import hashlib
 import itertools
 import re
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from flowspark.llm import bpe, decontaminate, language_id, license_scan, line_dedup
@@ -127,6 +129,24 @@ def test_near_windows_are_all_found(spark, docs):
     assert [r["near_edges"] for r in spans.collect()] == [[2, 12]]
 
 
+def test_bpe_fills_gaps_without_copying_the_dictionary():
+    class Flat(np.ndarray):
+        """Ids that may be read at places but not as a whole."""
+
+        def __array_function__(self, *args):
+            raise AssertionError("the dictionary was copied")
+
+    table = pa.table({"word": ["aa", "b"], "n": [9, 5], "ids": pa.array([np.array(i, "<u2").tobytes() for i in ([1, 2, 3], [4])], pa.binary())})
+    head = bpe.Head(table, "<u2")
+    head.flat = head.flat.view(Flat)
+    fill = [b"...." + np.array(i, "<u2").tobytes() for i in ([7, 8, 9, 10, 11, 12], [13])]
+    for codes, ids in (([2, 4, 2], [1, 2, 3, 4, 1, 2, 3]), ([0, 4, 0, 2 * 60 + 1], [7, 8, 9, 10, 11, 12, 4, 13, 60]), ([], [])):
+        got = bpe._ids(np.array(codes, dtype="<u4"), head, fill[:codes.count(0)], "<u2")
+        assert np.frombuffer(got, "<u2").tolist() == ids
+    none = bpe.Head(table.slice(0, 0), "<u2")
+    assert np.frombuffer(bpe._ids(np.array([0, 0, 9], dtype="<u4"), none, fill, "<u2"), "<u2").tolist() == [7, 8, 9, 10, 11, 12, 13, 4]
+
+
 def test_bpe_equals_the_library(spark, docs):
     tokenizers = pytest.importorskip("tokenizers")
     path = tokenizer_file()
