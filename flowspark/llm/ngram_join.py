@@ -12,6 +12,8 @@ Groups are never paired with themselves outright. The first pass links every pos
 hub for each length band, the member with most shared prefix tokens; verified links make components.
 The second pass takes the pairs of a group whose ends are not yet in one component, with all three
 bounds inside the join. So a group of copies costs its size, and no link between components is lost.
+A pair that shares many tokens is taken at the first of them: where a token of the few before the shared
+one is shared as well, the pair has been met there, and the bounds hold at every token that a link shares.
 
 That gives the components, which are all that one row of every group needs (similar_groups). Links are
 counted by similar_links and listed by similar_pairs: every link lies inside a component, so there the
@@ -29,6 +31,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from flowspark.llm.components import connected_components
@@ -41,6 +44,8 @@ CELL_BITS = 20
 _CELLS = 1 << CELL_BITS
 #: A token is crowded when more texts than this hold it among the first of their order.
 CROWD = 32
+#: So many tokens before a posting tell whether a pair was met before.
+EARLIER = 4
 #: Sets that go to the tasks are sets of bits of this fixed size, which may let more pass.
 CROWD_BITS = 24
 #: A tile holds about this many classes, or this many tokens if those are fewer classes.
@@ -221,11 +226,13 @@ def _cross_pairs(postings, classes, parts, percent):
         "part", F.coalesce("component", "id")).drop("node", "component")
     several = marked.groupBy("token").agg(F.min("part").alias("low"), F.max("part").alias("high"))
     marked = marked.join(several.where("low <> high").select("token"), "token")
-    marked = materialise(marked.join(classes.select("id", "parity"), "id"), "marked")
-    a = _side(marked, "a", F.col("part").alias("a_part"), F.col("parity").alias("pa"))
-    b = _side(marked, "b", F.col("part").alias("b_part"), F.col("parity").alias("pb"))
+    # a token that two components share is in the table for both
+    before = F.collect_list("token").over(Window.partitionBy("id").orderBy("pos").rowsBetween(-EARLIER, -1))
+    marked = materialise(marked.join(classes.select("id", "parity"), "id").withColumn("earlier", before), "marked")
+    a = _side(marked, "a", F.col("part").alias("a_part"), F.col("parity").alias("pa"), F.col("earlier").alias("ea"))
+    b = _side(marked, "b", F.col("part").alias("b_part"), F.col("parity").alias("pb"), F.col("earlier").alias("eb"))
     return a.join(b, "token").where(
-        (F.col("a_id") < F.col("b_id")) & (F.col("a_part") != F.col("b_part")) & _may_link(percent)
+        (F.col("a_id") < F.col("b_id")) & (F.col("a_part") != F.col("b_part")) & ~F.arrays_overlap("ea", "eb") & _may_link(percent)
         & _few_differ(F.col("a_n"), F.col("b_n"), percent)).select("a_id", "b_id"), marked
 
 

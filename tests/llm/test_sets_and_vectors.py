@@ -82,6 +82,19 @@ def test_ngram_join_counts_every_link(spark, docs):
     assert {(a, b) for a, i in named for b, j in named if a != b and (i == j or (min(i, j), max(i, j)) in pairs)} == links
 
 
+def test_a_pair_that_shares_many_tokens_is_taken_once(spark):
+    def rows(start, skip=()):
+        return [(t, start, 300, 30, i, i) for i, t in enumerate(t for t in range(1, 31) if t not in skip)]
+
+    # 1 and 2 share all tokens; 3 lacks the first ones, so that its first shared token is not its first place in 1
+    postings = spark.createDataFrame(rows(1) + rows(2) + rows(3, (1, 2)) + [(99, 4, 300, 1, 0, 0)],
+                                     "token long, id long, n int, width int, free int, pos int")
+    classes = spark.createDataFrame([(i, [0, 0, 0, 0]) for i in range(1, 5)], "id long, parity array<long>")
+    parts = spark.createDataFrame([], "node long, component long")
+    pairs, _ = ngram_join._cross_pairs(postings, classes, parts, 90)
+    assert sorted(map(tuple, pairs.collect())) == [(1, 2), (1, 3), (2, 3)]
+
+
 def test_one_row_of_every_group_stays(spark, docs):
     text = " ".join(f"w{i}" for i in range(30))
     rows = [(5, text), (5, text), (2, text + " more"), (None, text), (9, "other words here now five six"), (7, None), (8, None)]
