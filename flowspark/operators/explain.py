@@ -4,9 +4,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowspark.functions.scores import attention_entropy
-from flowspark.operators.ordering import with_row_index
+from flowspark.operators.ordering import evenly, with_row_index
 from flowspark.operators.sampling import hash_hex, hash_unit
 
+#: Rows whose copies, one for each column, one task scores.
+COPIED_ROWS = 10_000
+
 
 def event_weights(session_flows: DataFrame, scaler, keys=("host", "session_idx")):
     """Weight of each flow in its session: squared standardised distance over the session's sum.
@@ -57,7 +60,8 @@ def permutation_importance(scored_by, rows: DataFrame, columns, label, id_column
     drawn = rows.select(F.col(id_column).alias("_id"), hash_unit(seed, id_column).alias("_u"),
                         *[F.col(c).alias(f"_donor_{c}") for c in columns])
     donors = with_row_index(drawn, (), "_u", "_id", "_r").drop("_id", "_u")
-    paired = here.join(donors, "_r")
+    # both numberings and a join of little data leave the rows with few tasks
+    paired = evenly(here.join(donors, "_r"), rows.count(), [id_column], COPIED_ROWS)
     names = F.array(F.lit(""), *[F.lit(c) for c in columns])
     copies = paired.withColumn("feature", F.explode(names))
     shuffled = copies.withColumns({
@@ -78,7 +82,7 @@ def occlusion(scored_by, rows: DataFrame, columns, means, id_column, n=15):
     row are scored in one pass.
     """
     names = F.array(F.lit(""), *[F.lit(c) for c in columns])
-    copies = rows.withColumn("feature", F.explode(names))
+    copies = evenly(rows, rows.count(), [id_column], COPIED_ROWS).withColumn("feature", F.explode(names))
     values = F.create_map(*[x for c in columns for x in (F.lit(c), F.col(c).cast("double"))])
     replaced = copies.withColumn("value", F.try_element_at(values, F.col("feature"))).withColumns({
         c: F.when(F.col("feature") == c, F.lit(float(means[c]))).otherwise(F.col(c)) for c in columns

@@ -16,6 +16,8 @@ from pyspark.sql import types as T
 HOT_ROWS = 2_000_000
 MAX_HOT_KEYS = 100_000
 MAX_SLICES = 4096
+#: Rows of a part that one task is given, where work passes over a table many times.
+PART_ROWS = 250_000
 
 _INF = float("inf")
 
@@ -61,6 +63,13 @@ def with_row_index(df: DataFrame, keys, order, tie, name="row_index", total=None
     return out.select(*df.columns, *added)
 
 
+def evenly(df: DataFrame, n_rows, keys, part_rows=PART_ROWS):
+    """df in parts of about part_rows rows, dealt by the hash of keys and in their order; as it is if one part holds all."""
+    if n_rows <= part_rows:
+        return df
+    return df.repartition(-(-n_rows // part_rows), *keys).sortWithinPartitions(*keys)
+
+
 def _stand_ins(df, keys):
     """Key columns without nulls (value and null flag), so that joins and windows treat null as a key."""
     columns = {}

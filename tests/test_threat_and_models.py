@@ -14,6 +14,7 @@ from flowspark.operators import explain as E
 from flowspark.operators import nearest_join as nearest_join_module
 from flowspark.operators import neighbors as N
 from flowspark.operators.nearest_join import nearest_join
+from flowspark.operators.ordering import evenly
 from flowspark.operators.text_index import TextIndex
 from flowspark.operators import threat as T
 from flowspark.operators.scaling import FeatureScaler
@@ -341,6 +342,37 @@ def test_flow_classifier_learns_stops_early_and_is_stored(spark, tmp_path):
         FlowClassifier.fit(flows.filter("label_id = 0"), ["a", "b"])
 
 
+def test_rows_are_dealt_evenly_in_a_fixed_order(spark):
+    rows = spark.range(1000, numPartitions=1).selectExpr("id", "0 AS label")
+    assert evenly(rows, 1000, ["id"], 1000) is rows
+    parts = evenly(rows, 1000, ["id"], 100).rdd.glom().collect()
+    assert len(parts) == 10 and max(map(len, parts)) < 200 and sum(map(len, parts)) == 1000
+    assert all(p == sorted(p) for p in parts)
+
+
+def test_copies_of_rows_are_scored_by_several_tasks(spark, monkeypatch):
+    rows = spark.range(200, numPartitions=1).selectExpr("id", "cast(id % 2 as int) AS label", "cast(id % 2 as double) AS a", "1.0D AS b")
+    rules = {"prediction": F.col("a"), "probability": F.array(1 - F.col("a"), F.col("a")), "task": F.spark_partition_id()}
+    seen = []
+
+    def score(copies):
+        scored = copies.withColumns(rules)
+        seen.append(scored)
+        return scored
+
+    def both():
+        lost = E.permutation_importance(score, rows, ["a", "b"], "label", "id").collect()
+        moved = E.occlusion(score, rows, ["a", "b"], {"a": 0.5, "b": 0.0}, "id").collect()
+        return sorted(map(str, lost)), sorted(map(str, moved))
+
+    whole = both()
+    monkeypatch.setattr(E, "COPIED_ROWS", 20)
+    assert both() == whole
+    for scored in seen[2:]:
+        per_task = [r["n"] for r in scored.groupBy("task").agg(F.count("*").alias("n")).collect()]
+        assert len(per_task) > 5 and max(per_task) < 200 and sum(per_task) == 600
+
+
 def test_typed_errors_of_scoring_and_enrichment(spark, sessions):
     detectors = DetectorSet.fit(sessions, configs=("A",), numTrees=3, maxDepth=2)
     with pytest.raises(InferenceError) as caught:
