@@ -12,6 +12,7 @@ from flowspark.operators.explain import (
     event_weights, model_importance, occlusion, permutation_importance, top_events, weight_entropy,
 )
 from flowspark.operators.metrics import flow_evaluation, summary_metrics
+from flowspark.operators.ordering import evenly
 from flowspark.operators.sampling import stratified_split
 from flowspark.operators.scaling import FeatureScaler
 from flowspark.plans.analyze import analyze
@@ -98,8 +99,10 @@ def vector_classifier(spark, sf_dir):
 
 def _flow_classifier(spark, sf_dir):
     """(the per-flow model, all flows with the 81 columns and their split)."""
-    flows = stratified_split(enriched(spark, sf_dir).drop("session_idx"))
-    aligned = materialise(aligned_flows(flows), "aligned-flows")
+    flows = enriched(spark, sf_dir).drop("session_idx")
+    # the split numbers the rows of a class, which leaves most rows with the tasks of the largest class
+    split = evenly(stratified_split(flows), flows.count(), ["flow_id", "host", "ts"])
+    aligned = materialise(aligned_flows(split), "aligned-flows")
     train = aligned.filter("split <> 'test'").withColumn("validation", F.col("split") == "val")
     return FlowClassifier.fit(train), aligned
 
@@ -114,7 +117,8 @@ def flow_classifier(spark, sf_dir):
 def flow_classifier_stream(spark, sf_dir):
     """The same model on a stream of the flows: events written by the stream against those of the batch path."""
     model, aligned = _flow_classifier(spark, sf_dir)
-    stream = stream_parquet(spark, aligned.work_path, aligned.schema)
+    # a trigger takes a file for every core, as a batch has a task for a file
+    stream = stream_parquet(spark, aligned.work_path, aligned.schema, spark.sparkContext.defaultParallelism)
     root = work_dir(spark, "scored")
     start_table(score_stream(stream, model=model), f"{root}/events", f"{root}/checkpoint").awaitTermination()
     streamed = spark.read.parquet(f"{root}/events").select("flow_id", "attack_id", "probabilities", "correct")

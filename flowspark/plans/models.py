@@ -1,12 +1,14 @@
 """Tree classifiers on session statistics (A), session embeddings (B) or both (C)."""
 
+import math
 from multiprocessing.pool import ThreadPool
 
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
-from pyspark.ml.feature import VectorAssembler, VectorSizeHint
+from pyspark.ml.feature import VectorAssembler, VectorSizeHint, VectorSlicer
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import VectorUDT
+from pyspark.ml.stat import Summarizer
 from pyspark.errors import AnalysisException, IllegalArgumentException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -97,6 +99,14 @@ def _size_hints(rows: DataFrame, inputs):
     return [VectorSizeHint(inputCol=c, size=first[c].size, handleInvalid="optimistic") for c in vectors]
 
 
+def _varying(rows: DataFrame, vector, width):
+    """The places of a vector column of finite numbers that hold more than one value, as no tree can split on the others;
+    all places if none has."""
+    found = rows.agg(Summarizer.metrics("min", "max", "mean").summary(F.col(vector)).alias("s")).select("s.*").first()
+    ends = zip(range(width), found["min"].toArray(), found["max"].toArray(), found["mean"].toArray())
+    return [i for i, low, high, mean in ends if low != high or not math.isfinite(mean)] or list(range(width))
+
+
 def unseen_classes(train: DataFrame, validation: DataFrame, label="label"):
     """Classes of the validation rows that training never saw."""
     return validation.select(label).distinct().join(train.select(label).distinct(), label, "left_anti")
@@ -117,14 +127,18 @@ class FlowClassifier:
         """Train on flows with a boolean column that marks the validation rows; rare classes weigh more."""
         weighted = log_class_weights(flows, label, "_w")
         columns = [F.col(c).cast("double").alias(c) for c in inputs]
-        assembler = VectorAssembler(inputCols=list(inputs), outputCol="_x", handleInvalid="keep")
-        rows = assembler.transform(weighted.select(*columns, F.col(label).alias("_label"), "_w", F.col(validation).alias("_held")))
+        every = VectorAssembler(inputCols=list(inputs), outputCol="_all", handleInvalid="keep")
+        rows = every.transform(weighted.select(*columns, F.col(label).alias("_label"), "_w", F.col(validation).alias("_held")))
         # every class and iteration passes over these rows
-        rows = materialise(rows.select("_x", "_label", "_w", "_held"), "flow-classifier")
+        rows = materialise(rows.select("_all", "_label", "_w", "_held"), "flow-classifier")
         known = rows.filter("NOT _held AND _label IS NOT NULL").groupBy("_label").agg(F.count(F.lit(1)).alias("n"))
         classes = sorted(r["_label"] for r in known.limit(N_CLASSES + 1).collect())
         if not 2 <= len(classes) <= N_CLASSES:
             raise ValueError(f"training needs 2 to {N_CLASSES} classes")
+        # every node of every tree counts all columns it is given
+        places = _varying(rows, "_all", len(inputs))
+        assembler = VectorAssembler(inputCols=[inputs[i] for i in places], outputCol="_x", handleInvalid="keep")
+        rows = VectorSlicer(inputCol="_all", outputCol="_x", indices=places).transform(rows).drop("_all")
 
         def one(c):
             trees = GBTClassifier(featuresCol="_x", labelCol="_y", weightCol="_w", validationIndicatorCol="_held",

@@ -342,6 +342,22 @@ def test_flow_classifier_learns_stops_early_and_is_stored(spark, tmp_path):
         FlowClassifier.fit(flows.filter("label_id = 0"), ["a", "b"])
 
 
+def test_flow_classifier_counts_only_inputs_that_vary(spark, monkeypatch):
+    rows = [(i, [0, 4][i % 2], i % 4 == 0, float(i % 2), 7.0, 2.0 if i == 3 else 1.0, -0.0 if i % 3 else 0.0) for i in range(80)]
+    flows = spark.createDataFrame(rows, "flow_id long, label_id int, validation boolean, a double, same double, gap double, zero double")
+    inputs = ["same", "a", "zero", "gap"]
+    model = FlowClassifier.fit(flows, inputs, maxIter=3)
+    assert model.inputs == inputs and model.stages[0].getInputCols() == ["a", "gap"]
+    few = [r.probs for r in model.predict(flows).orderBy("flow_id").collect()]
+    monkeypatch.setattr("flowspark.plans.models._varying", lambda rows, vector, width: list(range(width)))
+    every = FlowClassifier.fit(flows, inputs, maxIter=3)
+    assert [r.probs for r in every.predict(flows).orderBy("flow_id").collect()] == few
+    monkeypatch.undo()
+    assert FlowClassifier.fit(flows, ["same", "zero"], maxIter=2).stages[0].getInputCols() == ["same", "zero"]
+    with pytest.raises(ValueError):
+        FlowClassifier.fit(flows.limit(0), inputs)
+
+
 def test_rows_are_dealt_evenly_in_a_fixed_order(spark):
     rows = spark.range(1000, numPartitions=1).selectExpr("id", "0 AS label")
     assert evenly(rows, 1000, ["id"], 1000) is rows
