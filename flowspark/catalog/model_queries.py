@@ -26,21 +26,15 @@ from flowspark.streaming.replay import score_stream, stream_parquet
 from flowspark.streaming.sinks import start_table
 
 
-def _embedder(flows, scaler=None):
-    scaler = scaler or FeatureScaler.fit(flows, FLOW_COLUMNS)
-    keys = F.max("label_id")
-    benign = flows.join(flows.groupBy(*KEYS).agg(keys.alias("_worst")).filter("_worst = 0"), KEYS)
-    return SessionEmbedder.fit(benign, scaler, keys=KEYS)
-
-
 def _session_rows(spark, sf_dir):
     """Sessions with split, statistics, label and embedding, prepared once and stored."""
     flows = materialise(split_sessions(enriched(spark, sf_dir)), "session-flows")
-    train = flows.filter("split = 'train'")
-    embedder = _embedder(train)
-    stats = session_table(flows, KEYS)
-    vectors = embedder.transform(flows, [F.first("split").alias("split")])
-    return materialise(stats.join(vectors, KEYS), "session-rows"), embedder
+    scaler = FeatureScaler.fit(flows.filter("split = 'train'"), FLOW_COLUMNS)
+    # one summary of the flows serves the fit and the embedding; a session is in one split
+    summary = SessionEmbedder.summarise(flows, scaler, [*KEYS, "split"], [F.max("label_id").alias("_worst")])
+    summed = materialise(session_table(flows, KEYS).join(summary, KEYS), "session-summary")
+    embedder = SessionEmbedder.fit_summary(summed.filter("split = 'train' AND _worst = 0"), scaler, keys=KEYS)
+    return materialise(embedder.embed(summed.drop("_worst")), "session-rows"), embedder
 
 
 def split_by_session(spark, sf_dir):

@@ -7,7 +7,8 @@ from flowspark.errors import FeatureDimensionError, NaNInfError, SessionSizeErro
 from flowspark.functions.cleaning import bad_sql
 from flowspark.functions.protocol import add_protocol_columns, conn_state_sql, proto_flag_sql, service_code_sql
 from flowspark.schema import (
-    DROPPED_FEATURE_INDEX, FEATURES, N_RAW_FEATURES, N_TRAINED_FEATURES, SESSION_SIZE, TRAINED_FEATURES,
+    DROPPED_FEATURE_INDEX, FEATURES, N_RAW_FEATURES, N_TRAINED_FEATURES, PROTOCOL_COLUMNS, SESSION_SIZE,
+    TRAINED_FEATURES,
 )
 
 
@@ -60,17 +61,26 @@ def realign_array(features, log_type) -> Column:
     def at(name):
         return f"element_at({features}, {FEATURES.index(name) + 1})"
 
-    fin, syn = at("fin_flag_count"), at("syn_flag_count")
-    state = conn_state_sql(syn, fin, at("rst_flag_count"), at("total_backward_packets"))
-    tail = ", ".join(f"CAST({e} AS DOUBLE)" for e in (
-        log_type, proto_flag_sql(fin, syn), state, service_code_sql(at("destination_port"))
-    ))
+    tail = ", ".join(f"CAST({e} AS DOUBLE)" for e in protocol_sql(at, log_type).values())
     first_after = DROPPED_FEATURE_INDEX + 2
-    return F.expr(f"""CASE WHEN size({features}) = {N_RAW_FEATURES} THEN concat(
+    return F.expr(width_checked_sql(features, f"""concat(
         slice({features}, 1, {DROPPED_FEATURE_INDEX}),
-        slice({features}, {first_after}, {N_RAW_FEATURES - first_after + 1}), array({tail}))
+        slice({features}, {first_after}, {N_RAW_FEATURES - first_after + 1}), array({tail}))"""))
+
+
+def protocol_sql(at, log_type):
+    """The protocol columns as SQL text by name; at gives the text of a raw column."""
+    fin, syn = at("fin_flag_count"), at("syn_flag_count")
+    state = conn_state_sql(syn, fin, at("rst_flag_count"), at("total_backward_packets"))
+    made = (log_type, proto_flag_sql(fin, syn), state, service_code_sql(at("destination_port")))
+    return dict(zip(PROTOCOL_COLUMNS, made))
+
+
+def width_checked_sql(features, value) -> str:
+    """The value where the array of a request row has the raw width; a wrong width fails the query."""
+    return f"""CASE WHEN size({features}) = {N_RAW_FEATURES} THEN {value}
       ELSE raise_error(concat('realign-input: {N_RAW_FEATURES} feature columns expected, ', size({features}), ' found'))
-      END""")
+      END"""
 
 
 assert N_TRAINED_FEATURES == N_RAW_FEATURES - 1 + 4

@@ -21,7 +21,7 @@ def session_stats(session_flows: DataFrame, keys=("host", "session_idx"), extra_
     any size (time windows). Input columns that are absent count as 0.
     """
     keys = list(keys)
-    aggs = _aggregates(session_flows, bounded)
+    aggs = _aggregates(session_flows.columns, bounded)
     grouped = session_flows.groupBy(*keys).agg(*[F.expr(e).alias(name) for name, e in aggs.items()], *extra_aggs)
     if not bounded:
         grouped = grouped.join(port_diversity(session_flows, keys), keys)
@@ -37,7 +37,7 @@ def prefix_stats(session_flows: DataFrame, points, keys=("host", "session_idx"),
     keys = list(keys)
     listed = ", ".join(f"`{k}`" for k in keys)
     window = f"(PARTITION BY {listed} ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
-    aggs = {**_aggregates(session_flows, True), **(extra or {})}
+    aggs = {**_aggregates(session_flows.columns, True), **(extra or {})}
     running = session_flows.selectExpr(*[f"`{k}`" for k in keys], f"pos + 1 AS `{name}`",
                                        *[f"{running_sql(e, window)} AS `{n}`" for n, e in aggs.items()],
                                        *[f"{running_sql(e, f'(PARTITION BY {listed})')} AS `{n}`" for n, e in (whole or {}).items()])
@@ -61,9 +61,15 @@ def running_sql(sql, window):
     return "".join(out) + sql[at:]
 
 
-def _aggregates(session_flows, bounded):
+def stat_inputs(columns):
+    """Those of the columns that the statistics are taken from."""
+    read = " ".join(_aggregates(columns, True).values())
+    return [c for c in columns if f"`{c}`" in read]
+
+
+def _aggregates(columns, bounded):
     """The statistics, or what they are derived from, as aggregates in SQL text."""
-    have = set(session_flows.columns)
+    have = set(columns)
 
     def col(name):
         return f"CAST(`{name}` AS DOUBLE)" if name in have else "0D"

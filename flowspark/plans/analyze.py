@@ -5,20 +5,37 @@ from pyspark.sql import functions as F
 
 from flowspark.errors import ModelNotLoadedError
 from flowspark.functions.alerts import alert_fields, alert_id
-from flowspark.functions.alignment import realign_array
+from flowspark.functions.alignment import protocol_sql, width_checked_sql
 from flowspark.functions.cleaning import clean_sql
 from flowspark.operators.quality import fits_request, log_type_counts, present_log_types
-from flowspark.operators.stats import session_stats
+from flowspark.operators.stats import session_stats, stat_inputs
 from flowspark.operators.threat import add_threat_intel
-from flowspark.schema import MAX_FLOWS_PER_REQUEST, STAT_NAMES, TRAINED_FEATURES
+from flowspark.schema import FEATURES, MAX_FLOWS_PER_REQUEST, PROTOCOL_COLUMNS, STAT_NAMES, TRAINED_FEATURES
 from flowspark.session import materialise
 
 
-def aligned_requests(requests: DataFrame) -> DataFrame:
-    """(request_id, pos, features[78], log_type) to the 81 trained columns, boundary-cleaned."""
-    bounded = F.expr(f"transform(CAST(features AS ARRAY<DOUBLE>), v -> {clean_sql('v', 'bound')})")
-    rows = requests.withColumn("_f", bounded).withColumn("_a", realign_array("_f", "log_type"))
-    return rows.selectExpr("request_id", "pos", "features AS _given", *[f"_a[{i}] AS `{c}`" for i, c in enumerate(TRAINED_FEATURES)])
+#: Raw columns that the protocol columns are made from.
+_PROTOCOL_INPUTS = ("destination_port", "total_backward_packets", "fin_flag_count", "syn_flag_count", "rst_flag_count")
+
+
+def aligned_requests(requests: DataFrame, columns=tuple(TRAINED_FEATURES)) -> DataFrame:
+    """(request_id, pos, features[78], log_type) to the trained columns asked for, boundary-cleaned.
+
+    Every row's width is checked, but only values that are asked for are cleaned: cleaning all of them takes most of the
+    time of a row.
+    """
+    made = any(c in columns for c in PROTOCOL_COLUMNS if c != "log_type")
+    raw = [c for c in FEATURES if c in columns or made and c in _PROTOCOL_INPUTS]
+    taken = ", ".join(f"_f[{FEATURES.index(c)}]" for c in raw)
+
+    def at(name):
+        return f"_c[{raw.index(name)}]"
+
+    protocol = protocol_sql(at, "log_type") if made else {"log_type": "log_type"}
+    cells = {c: f"CAST({protocol[c]} AS DOUBLE)" if c in protocol else at(c) for c in TRAINED_FEATURES if c in columns}
+    checked = width_checked_sql("_f", f"transform(array({taken}), v -> {clean_sql('v', 'bound')})")
+    rows = requests.withColumn("_f", F.expr("CAST(features AS ARRAY<DOUBLE>)")).withColumn("_c", F.expr(checked))
+    return rows.selectExpr("request_id", "pos", "features AS _given", *[f"{e} AS `{c}`" for c, e in cells.items()])
 
 
 def analyze(requests: DataFrame, detectors, embedder, received_at, max_flows=MAX_FLOWS_PER_REQUEST):
@@ -31,7 +48,8 @@ def analyze(requests: DataFrame, detectors, embedder, received_at, max_flows=MAX
         raise ModelNotLoadedError("detector models")
     # flows, statistics, summary and log types of a request come from one aggregate; a row a request is left
     extra = [F.count("_given").cast("int").alias("n_flows"), *embedder.aggregates(embedder.scaler), *log_type_counts()]
-    table = materialise(session_stats(aligned_requests(requests), ["request_id"], extra, bounded=False), "requests")
+    read = {"log_type", *stat_inputs(TRAINED_FEATURES), *embedder.scaler.columns}
+    table = materialise(session_stats(aligned_requests(requests, read), ["request_id"], extra, bounded=False), "requests")
     fits = fits_request(F.col("n_flows"), max_flows)
     rejected = table.filter(~fits).select("request_id", F.col("n_flows").cast("bigint").alias("n_flows"))
     accepted = table.filter(fits).withColumn("log_type_distribution", present_log_types())

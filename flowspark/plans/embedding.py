@@ -74,12 +74,16 @@ class SessionEmbedder:
 
     @classmethod
     def fit(cls, benign_sessions: DataFrame, scaler, k=16, keys=("host", "session_idx")):
+        return cls.fit_summary(cls.summarise(benign_sessions, scaler, keys), scaler, k, keys)
+
+    @classmethod
+    def fit_summary(cls, benign_summary: DataFrame, scaler, k=16, keys=("host", "session_idx")):
+        """fit from the summary of the benign sessions."""
         columns = cls.columns(scaler)
-        summary = cls.summarise(benign_sessions, scaler, keys)
         model = Pipeline(stages=[
             VectorAssembler(inputCols=columns, outputCol="_summary", handleInvalid="keep"),
             PCA(k=min(k, len(columns)), inputCol="_summary", outputCol="embedding"),
-        ]).fit(summary)
+        ]).fit(benign_summary)
         return cls(scaler, model, keys)
 
     def transform(self, session_flows: DataFrame, extra_aggs=()):

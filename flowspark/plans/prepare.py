@@ -11,6 +11,7 @@ from flowspark.operators.scaling import FeatureScaler
 from flowspark.operators.sessions import attack_ids, class_counts, class_counts_sql, majority_label, sessionize
 from flowspark.operators.stats import prefix_stats, session_stats
 from flowspark.schema import FEATURES, SESSION_SIZE, TRAINED_FEATURES
+from flowspark.session import materialise
 
 CARRIED = ("flow_id", "host", "ts", "label_id", "session_idx", "pos", "split", "request_id", "n",
            "file_order", "source_file", "log_type")
@@ -76,7 +77,8 @@ def split_sessions(flows: DataFrame, size=SESSION_SIZE, split_first=False, seed=
     windows = sessionize(flows, size, keys=keys, order=order, tie=tie)
     session_keys = [*keys, "session_idx"]
     labels = windows.groupBy(*session_keys).agg(majority_label(class_counts()).alias("label"))
-    labels = labels.withColumn("_sid", hash_long("session", *session_keys))
+    # the split counts, ranks and joins the labels; a row a session is kept, so that windows are cut for them once
+    labels = materialise(labels.withColumn("_sid", hash_long("session", *session_keys)), "session-labels")
     assigned = stratified_split(labels, "label", "_sid", seed=seed).select(*session_keys, "split")
     return windows.join(assigned, session_keys)
 

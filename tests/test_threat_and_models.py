@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from flowspark.errors import EnrichmentError, FeatureDimensionError, InferenceError, ModelNotLoadedError
 from flowspark.functions.alerts import intel_from_kb
+from flowspark.functions.alignment import realign_array
+from flowspark.functions.cleaning import clean_sql
 from flowspark.functions.text import kb_text, retrieval_query
 from flowspark.knowledge import CATEGORY, TACTICS, TECHNIQUE_NAMES, TECHNIQUES, TRUTH, entries, knowledge_base
 from flowspark.operators import explain as E
@@ -18,10 +20,13 @@ from flowspark.operators.ordering import evenly
 from flowspark.operators.text_index import TextIndex
 from flowspark.operators import threat as T
 from flowspark.operators.scaling import FeatureScaler
+from flowspark.operators.stats import session_stats, stat_inputs
+from flowspark.plans.analyze import aligned_requests
 from flowspark.plans.embedding import SessionEmbedder, TextEmbedder
 from flowspark.plans.enrich import KnowledgeSearch, enrich_alerts
 from flowspark.plans.models import ClassModel, DetectorSet, FlowClassifier, unseen_classes
-from flowspark.schema import LABELS, STAT_NAMES
+from flowspark.plans.prepare import split_sessions
+from flowspark.schema import LABELS, STAT_NAMES, TRAINED_FEATURES
 
 
 def vectors(spark, n, name, seed):
@@ -319,6 +324,56 @@ def test_session_embedding_width(spark):
     assert out.count() == 30 and out.first().embedding.size == 3 and out.columns == ["host", "session_idx", "embedding"]
 
 
+def test_session_embedder_fitted_on_a_summary_that_is_there(spark):
+    rng = np.random.default_rng(5)
+    rows = [(h, 0, p, *[float(x) for x in rng.normal(size=2)]) for h in range(30) for p in range(5)]
+    flows = spark.createDataFrame(rows, "host long, session_idx long, pos int, a double, b double")
+    scaler = FeatureScaler.fit(flows, ["a", "b"])
+    summary = SessionEmbedder.summarise(flows, scaler)
+    one, two = SessionEmbedder.fit(flows, scaler, 3), SessionEmbedder.fit_summary(summary, scaler, 3)
+    vectors = [[r.embedding.toArray() for r in e.embed(summary).orderBy("host").collect()] for e in (one, two)]
+    assert np.allclose(*vectors) and len(vectors[0]) == 30
+
+
+def test_request_rows_clean_only_the_columns_asked_for(spark):
+    odd = [None, float("nan"), float("inf"), float("-inf"), 5e12, -5e12, 1.0, 0.0]
+    rows = [(i, 0, [odd[(i * 7 + j * j) % len(odd)] for j in range(78)], 1 + i % 4) for i in range(24)]
+    requests = spark.createDataFrame(rows, "request_id long, pos int, features array<double>, log_type int")
+    cleaned = F.expr(f"transform(features, v -> {clean_sql('v', 'bound')})")
+    arrays = requests.withColumn("f", cleaned).select("request_id", realign_array("f", "log_type").alias("a")).orderBy("request_id").collect()
+    whole = aligned_requests(requests)
+    assert [list(r)[3:] for r in whole.orderBy("request_id").collect()] == [r.a for r in arrays]
+    read = {"log_type", "zeek_conn_state", "idle_mean", *stat_inputs(TRAINED_FEATURES)}
+    few = aligned_requests(requests, read)
+    assert set(few.columns) == {"request_id", "pos", "_given", *read}
+    values = [c for c in few.columns if c != "_given"]  # a given NaN equals nothing
+    assert few.select(*values).orderBy("request_id").collect() == whole.select(*values).orderBy("request_id").collect()
+    assert aligned_requests(requests, ["log_type", "flow_duration"]).columns == ["request_id", "pos", "_given", "flow_duration", "log_type"]
+    with pytest.raises(Exception, match="78 feature columns expected"):
+        aligned_requests(requests.withColumn("features", F.slice("features", 1, 77)), ["flow_duration"]).collect()
+
+
+def test_statistics_need_no_other_columns(spark):
+    names = list(TRAINED_FEATURES)
+    rows = [(i % 3, *[float((i * (j + 3)) % 11) for j in range(len(names))]) for i in range(40)]
+    flows = spark.createDataFrame(rows, "request_id long, " + ", ".join(f"`{c}` double" for c in names))
+    needed = stat_inputs(names)
+    assert 0 < len(needed) < len(names)
+    for bounded in (True, False):
+        whole, few = (session_stats(x, ["request_id"], bounded=bounded).orderBy("request_id").collect()
+                      for x in (flows, flows.select("request_id", *needed)))
+        assert whole == few
+
+
+def test_labels_of_windows_are_worked_out_once_for_the_split(spark):
+    rows = [(h * 100 + i, h, i, int(h % 2 and i % 7 == 0) * 4) for h in range(6) for i in range(45)]
+    flows = spark.createDataFrame(rows, "flow_id long, host long, ts long, label_id int")
+    split = split_sessions(flows)
+    assert any("session-labels" in f for f in split.inputFiles())
+    per_session = split.groupBy("host", "session_idx").agg(F.count("*").alias("n"), F.countDistinct("split").alias("s")).collect()
+    assert len(per_session) == 12 and all((r.n, r.s) == (20, 1) for r in per_session)
+
+
 def test_flow_classifier_learns_stops_early_and_is_stored(spark, tmp_path):
     rng = np.random.default_rng(4)
     rows = []
