@@ -10,6 +10,7 @@ from flowspark.catalog.session_queries import KEYS, LABELLED_CTE, rounded_stats,
 from flowspark.functions.labels import label_name
 from flowspark.functions.protocol import add_protocol_columns
 from flowspark.operators.counters import attack_counts
+from flowspark.operators.ordering import HOT_ROWS, PART_ROWS
 from flowspark.operators.scaling import FeatureScaler
 from flowspark.operators.sessions import session_summary
 from flowspark.operators.stats import session_stats
@@ -70,27 +71,36 @@ def _streamed_sessions(spark, sf_dir):
 
 
 def _resumed_sessions(spark, sf_dir):
-    """Windows of a stream of four files, one a batch, that is stopped and started again half-way."""
+    """Windows of a stream of four slices in time, one a batch, that is stopped and started again half-way.
+
+    A slice lies in files by host, so that its files may arrive in any order. There are more slices where a host
+    has more than HOT_ROWS rows in one, as a task takes them all.
+    """
     root = work_dir(spark, "resumed")
     events = table(spark, sf_dir, "events")
     second = F.unix_micros(F.col("ts").cast("timestamp"))
-    cuts = events.agg(F.percentile_approx(second, [0.25, 0.5, 0.75], 1000).alias("cuts")).first()["cuts"] or []
+    per_host = events.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
+    sizes = per_host.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("rows"), F.coalesce(F.max("n"), F.lit(0)).alias("largest")).first()
+    n_slices = 4 * max(1, -(-sizes["largest"] // (4 * HOT_ROWS)))
+    n_files = max(1, -(-sizes["rows"] // (n_slices * PART_ROWS)))
+    grid = [i / n_slices for i in range(1, n_slices)]
+    cuts = events.agg(F.percentile_approx(second, grid, max(1000, 10 * n_slices)).alias("cuts")).first()["cuts"] or []
     edges = [None, *cuts, None]
 
     def arrive(slices):
         for low, high in slices:
             part = events.where(F.lit(low is None) | (second >= F.lit(low)))
             part = part.where(F.lit(high is None) | (second < F.lit(high)))
-            part.write.mode("append").parquet(f"{root}/arriving")
+            part.repartition(n_files, "user_id").write.mode("append").parquet(f"{root}/arriving")
 
     def run():
-        stream = add_protocol_columns(flows_from_events(stream_parquet(spark, f"{root}/arriving", events.schema)))
+        stream = add_protocol_columns(flows_from_events(stream_parquet(spark, f"{root}/arriving", events.schema, n_files)))
         start_sessions(stream, f"{root}/windows", f"{root}/checkpoint").awaitTermination()
 
     slices = list(zip(edges, edges[1:]))
-    arrive(slices[:2])
+    arrive(slices[:n_slices // 2])
     run()
-    arrive(slices[2:])
+    arrive(slices[n_slices // 2:])
     run()
     return spark.read.parquet(f"{root}/windows")
 

@@ -7,14 +7,16 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from flowspark.catalog.adapters import enriched
+from flowspark.catalog.stream_queries import stream_sessions_resumed
 from flowspark.functions.protocol import add_protocol_columns
 from flowspark.operators.counters import detection_counters
 from flowspark.operators.scaling import FeatureScaler
-from flowspark.operators.sessions import five_minute_windows, sessionize
+from flowspark.operators.sessions import five_minute_windows, session_summary, sessionize
 from flowspark.schema import FEATURES, N_CLASSES
 from flowspark.sources.alert_table import AlertTable
 from flowspark.streaming import replay as R
-from flowspark.streaming.sessions import _cut, _in_line, _packed, split_valid_sessions, start_sessions
+from flowspark.streaming.sessions import _cut, _cut_hosts, _in_line, _packed, split_valid_sessions, start_sessions
 from flowspark.streaming.sinks import read_counters, session_alerts, start_alerts, start_counters, start_table, write_stream_summary
 from flowspark.sources.stores import read_json
 
@@ -213,3 +215,43 @@ def test_quarantine(spark):
     assert valid.count() == good.filter("host != 1").count()
     short, wrong = split_valid_sessions(good.filter("pos < 10"), ["destination_port"])
     assert short.count() == 0 and wrong.select("reason").distinct().first()[0] == "session size"
+
+
+def test_resumed_windows_of_a_table_of_many_files(spark, tmp_path):
+    rows = [(i, START + dt.timedelta(seconds=i), i % 3 if i % 5 else None, "error" if i % 7 else "view", float(i), f'{{"k": {i % 40}}}')
+            for i in range(1200)]
+    events = spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string")
+    # the files hold rows of all hosts and times, so that the order in which they arrive says nothing
+    events.repartition(6, F.xxhash64("event_id")).write.parquet(str(tmp_path / "events.parquet"))
+    names = ["host", "session_idx", "label", "has_attack", "attack_ids", "n_flows"]
+    ids = F.array_join(F.transform("attack_ids", lambda c: c.cast("string")), ",")
+    want = session_summary(sessionize(enriched(spark, str(tmp_path)))).withColumn("attack_ids", ids).select(*names)
+    got = stream_sessions_resumed(spark, str(tmp_path)).select(*names)
+    assert got.count() == want.count() > 50 and got.exceptAll(want).count() == 0
+
+
+def test_hosts_that_share_a_state_keep_their_own_windows(spark, tmp_path):
+    big = 2 ** 60
+    rows = [(None if i == 500 else big + i, None if i % 4 == 3 else big + i % 4, START + dt.timedelta(seconds=i), 80.0, None if i % 6 else 2)
+            for i in range(600)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    folder = tmp_path / "in"
+    folder.mkdir()
+    for part in range(3):
+        staged = str(tmp_path / f"part{part}")
+        low = START + dt.timedelta(seconds=part * 200)
+        df.filter((F.col("ts") >= F.lit(low)) & (F.col("ts") < F.lit(low + dt.timedelta(seconds=200)))).coalesce(1).write.parquet(staged)
+        _link(folder, staged, part)
+    start_sessions(R.stream_parquet(spark, str(folder), df.schema), str(tmp_path / "out"), str(tmp_path / "cp"), states=1).awaitTermination()
+    got = spark.read.parquet(str(tmp_path / "out")).select(*df.columns, "session_idx", "pos")
+    want = sessionize(df).select(*got.columns)
+    assert got.count() == want.count() == 560 and got.exceptAll(want).count() == 0
+
+
+def test_cut_of_many_hosts():
+    rows = pd.DataFrame({"host": [7, 5, 7, 5, 7, 5, 7, 9], "x": range(8)})
+    full, rest, done = _cut_hosts(rows, 2, "host", None)
+    assert sorted(zip(full["host"], full["session_idx"], full["pos"], full["x"])) == [(5, 0, 0, 1), (5, 0, 1, 3), (7, 0, 0, 0), (7, 0, 1, 2), (7, 1, 0, 4), (7, 1, 1, 6)]
+    assert list(rest["x"]) == [5, 7]
+    full, rest, _ = _cut_hosts(pd.concat([rest, pd.DataFrame({"host": [4, 5, 7, 7], "x": [8, 9, 10, 11]})]), 2, "host", done)
+    assert sorted(zip(full["host"], full["session_idx"], full["x"])) == [(5, 1, 5), (5, 1, 9), (7, 2, 10), (7, 2, 11)] and list(rest["x"]) == [7, 8]
