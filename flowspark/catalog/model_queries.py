@@ -105,7 +105,8 @@ def flow_classifier(spark, sf_dir):
     """The report of the per-flow model on the test flows."""
     model, aligned = _flow_classifier(spark, sf_dir)
     scored = model.predict(aligned.filter("split = 'test'"))
-    return flow_evaluation(scored.select(F.col("label_id").alias("y_true"), "y_pred", "probs"))
+    # the report passes over the scores several times
+    return flow_evaluation(materialise(scored.select(F.col("label_id").alias("y_true"), "y_pred", "probs"), "scored-flows"))
 
 
 def flow_classifier_stream(spark, sf_dir):

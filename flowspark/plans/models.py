@@ -19,7 +19,7 @@ from flowspark.functions.scores import argmax_class, confidence, scatter_classes
 from flowspark.operators.sampling import class_totals
 from flowspark.operators.scaling import log_class_weights
 from flowspark.schema import N_CLASSES, STAT_NAMES, TRAINED_FEATURES
-from flowspark.session import materialise
+from flowspark.session import free_memory, materialise
 from flowspark.sources import files
 from flowspark.sources.stores import read_metadata, write_metadata
 
@@ -114,6 +114,10 @@ def unseen_classes(train: DataFrame, validation: DataFrame, label="label"):
 
 #: Boosting of the per-flow detector; it stops early when the validation rows gain less than the tolerance.
 BOOSTING = {"maxIter": 40, "maxDepth": 5, "stepSize": 0.3, "subsamplingRate": 0.8, "validationTol": 0.01, "seed": 42}
+#: Memory of a training row in the copy that a class keeps, without the 4 bytes a column: objects, errors, draws.
+COPY_BYTES = 240
+#: The fit adds doubles in the order of its columns and bins, which shows in the last digits of a probability.
+_DIGITS = 1e12
 
 
 class FlowClassifier:
@@ -124,7 +128,11 @@ class FlowClassifier:
 
     @classmethod
     def fit(cls, flows: DataFrame, inputs=tuple(TRAINED_FEATURES), label="label_id", validation="validation", parallel=4, **boosting):
-        """Train on flows with a boolean column that marks the validation rows; rare classes weigh more."""
+        """Train on flows with a boolean column that marks the validation rows; rare classes weigh more.
+
+        Every class keeps a copy of the rows while it is fitted: at most `parallel` classes are fitted side by side, fewer
+        where memory does not hold their copies, as each of the many passes would read the rest back from disk.
+        """
         weighted = log_class_weights(flows, label, "_w")
         columns = [F.col(c).cast("double").alias(c) for c in inputs]
         every = VectorAssembler(inputCols=list(inputs), outputCol="_all", handleInvalid="keep")
@@ -132,7 +140,8 @@ class FlowClassifier:
         # every class and iteration passes over these rows
         rows = materialise(rows.select("_all", "_label", "_w", "_held"), "flow-classifier")
         known = rows.filter("NOT _held AND _label IS NOT NULL").groupBy("_label").agg(F.count(F.lit(1)).alias("n"))
-        classes = sorted(r["_label"] for r in known.limit(N_CLASSES + 1).collect())
+        known = {r["_label"]: r["n"] for r in known.limit(N_CLASSES + 1).collect()}
+        classes = sorted(known)
         if not 2 <= len(classes) <= N_CLASSES:
             raise ValueError(f"training needs 2 to {N_CLASSES} classes")
         # every node of every tree counts all columns it is given
@@ -146,12 +155,13 @@ class FlowClassifier:
             trees = trees.setProbabilityCol(f"_p{c}").setRawPredictionCol(f"_raw{c}")
             return trees.fit(rows.filter("_label IS NOT NULL").withColumn("_y", (F.col("_label") == c).cast("double")))
 
-        with ThreadPool(parallel) as pool:
+        copies = free_memory(rows.sparkSession) // (sum(known.values()) * (4 * len(places) + COPY_BYTES))
+        with ThreadPool(max(1, min(parallel, copies))) as pool:
             found = pool.map(one, classes)
         return cls([assembler, *found], inputs, classes)
 
     def predict(self, flows: DataFrame):
-        """Add probs (15 slots, the ensembles' probabilities made to sum to 1) and y_pred; a stream may be given."""
+        """Add probs (15 slots, the ensembles' probabilities made to sum to 1, 12 digits) and y_pred; a stream may be given."""
         missing = [c for c in self.inputs if c not in flows.columns]
         if missing:
             raise FeatureDimensionError("flow-classifier", len(self.inputs), len(self.inputs) - len(missing))
@@ -162,6 +172,7 @@ class FlowClassifier:
         total = F.aggregate("_each", F.lit(0.0), lambda a, p: a + p)
         scored = scored.select(*flows.columns, each.alias("_each"))
         share = F.transform("_each", lambda p: F.when(total > 0, p / total).otherwise(F.lit(1.0 / len(self.classes))))
+        share = F.transform(share, lambda p: F.rint(p * _DIGITS) / _DIGITS)
         probs = scatter_classes(share, self.classes, N_CLASSES)
         return scored.withColumn("probs", probs).drop("_each").withColumn("y_pred", argmax_class(F.col("probs")))
 

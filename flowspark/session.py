@@ -64,6 +64,15 @@ def materialise(df, name):
     return table
 
 
+def free_memory(spark):
+    """Bytes of memory that the executors have left for stored data."""
+    left = spark.sparkContext._jsc.sc().getExecutorMemoryStatus().valuesIterator()
+    total = 0
+    while left.hasNext():
+        total += left.next()._2()
+    return total
+
+
 def release(spark, *done):
     """Give back what a finished step held: tables of materialise that nothing reads any more, and broadcasts.
 

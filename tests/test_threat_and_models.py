@@ -1,11 +1,13 @@
 import math
 import re
 from collections import Counter
+from multiprocessing.pool import ThreadPool
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from flowspark.catalog.model_queries import flow_classifier
 from flowspark.errors import EnrichmentError, FeatureDimensionError, InferenceError, ModelNotLoadedError
 from flowspark.functions.alerts import intel_from_kb
 from flowspark.functions.alignment import realign_array
@@ -24,9 +26,10 @@ from flowspark.operators.stats import session_stats, stat_inputs
 from flowspark.plans.analyze import aligned_requests
 from flowspark.plans.embedding import SessionEmbedder, TextEmbedder
 from flowspark.plans.enrich import KnowledgeSearch, enrich_alerts
-from flowspark.plans.models import ClassModel, DetectorSet, FlowClassifier, unseen_classes
+from flowspark.plans.models import BOOSTING, COPY_BYTES, ClassModel, DetectorSet, FlowClassifier, unseen_classes
 from flowspark.plans.prepare import split_sessions
 from flowspark.schema import LABELS, STAT_NAMES, TRAINED_FEATURES
+from flowspark.session import free_memory, materialise
 
 
 def vectors(spark, n, name, seed):
@@ -413,6 +416,39 @@ def test_flow_classifier_counts_only_inputs_that_vary(spark, monkeypatch):
         FlowClassifier.fit(flows.limit(0), inputs)
 
 
+def test_flow_classifier_fits_as_many_classes_at_once_as_memory_holds(spark, monkeypatch):
+    flows = spark.createDataFrame([(i, [0, 4, 10][i % 3], i % 4 == 0, float(i % 3)) for i in range(60)],
+                                  "flow_id long, label_id int, validation boolean, a double")
+    assert 0 < free_memory(spark) < 2 ** 40
+    used = []
+
+    class Pool(ThreadPool):
+        def __init__(self, n):
+            used.append(n)
+            super().__init__(n)
+
+    monkeypatch.setattr("flowspark.plans.models.ThreadPool", Pool)
+    # 45 training rows of one column
+    for free in (0, 2.5 * 45 * (4 + COPY_BYTES), 1e9):
+        monkeypatch.setattr("flowspark.plans.models.free_memory", lambda spark, free=free: int(free))
+        FlowClassifier.fit(flows, ["a"], maxIter=1)
+    FlowClassifier.fit(flows, ["a"], maxIter=1, parallel=3)
+    assert used == [1, 2, 4, 3]
+
+
+def test_report_of_flows_scores_them_once(spark, sf_dir, monkeypatch):
+    kept = []
+
+    def keep(df, name):
+        kept.append(name)
+        return materialise(df, name)
+
+    monkeypatch.setattr("flowspark.catalog.model_queries.materialise", keep)
+    monkeypatch.setattr("flowspark.plans.models.BOOSTING", {**BOOSTING, "maxIter": 1})
+    report = flow_classifier(spark, sf_dir)
+    assert kept == ["aligned-flows", "scored-flows"] and report.inputFiles() and all("scored-flows" in f for f in report.inputFiles())
+
+
 def test_rows_are_dealt_evenly_in_a_fixed_order(spark):
     rows = spark.range(1000, numPartitions=1).selectExpr("id", "0 AS label")
     assert evenly(rows, 1000, ["id"], 1000) is rows
